@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, simhash, url_filters
 from .common import table
 
 #: The tokenizer file's name; its folder is found by the package that holds it.
@@ -24,5 +25,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer_path(), keep=["doc_id"], with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_bpe": op10_bpe}
+#: The written rules of operator 8: (verdict, host/path).
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the document with a page's id say whether its URL is to be blocked (poor quality or toxic)."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    marks = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    mined = url_filters.mine_rules(pages.join(marks, "page_id"), "url", F.col("block"))
+    return url_filters.judge(pages, mined, url_filters.written_rules(spark, URL_RULES), keep=["page_id"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash": op6_simhash,
+    "op8_url_filters": op8_url_filters,
+    "op10_bpe": op10_bpe,
+}
 ORACLES: dict[str, str] = {}
