@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, url_filters
-from .common import table
+from . import bpe, language_id, simhash, url_filters
+from .common import remainder, table
 
 #: The tokenizer file's name; its folder is found by the package that holds it.
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(remainder(F.col("doc_id"), 4) != 2))
+    found = language_id.identify(docs, model)
+    held = F.coalesce(remainder(F.col("id"), 4) == 2, F.lit(False))
+    return found.select(F.col("id").alias("doc_id"), held.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of the document with a page's id say whether its URL is to be blocked (poor quality or toxic)."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
@@ -44,6 +52,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
+    "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
     "op10_bpe": op10_bpe,
 }
