@@ -70,8 +70,8 @@ def mix(key: np.ndarray) -> np.ndarray:
 
 
 def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    """Shard by the key's leading 32 bits: shard numbers follow the order of keys."""
-    return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+    """Shard by the key's leading 16 bits: shard numbers follow the order of keys. At most 65536 shards."""
+    return ((key >> np.uint64(48)) * np.uint64(shards) >> np.uint64(16)).astype(np.int32)
 
 
 def write_table(df: DataFrame, uri: str, shards: int, width: int) -> None:
@@ -79,7 +79,7 @@ def write_table(df: DataFrame, uri: str, shards: int, width: int) -> None:
 
     The keys are expected to be spread evenly (``mix``); a shard's rows are held by one task.
     """
-    number = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * F.lit(shards), 32).cast("int")
+    number = F.shiftrightunsigned(F.shiftrightunsigned("key", 48) * F.lit(shards), 16).cast("int")
     dealt = df.select(number.alias("shard"), "key", "v").repartition(shards, "shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
