@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, simhash, url_filters
+from . import bpe, language_id, line_dedup, ngram_lm, simhash, url_filters
 from .common import remainder, table
 
 #: The tokenizer file's name; its folder is found by the package that holds it.
@@ -20,6 +20,42 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_deleted").cast("bigint").alias("n_deleted"), F.sha2("text", 256).alias("text_sha256"))
+
+
+#: The same rule over the lines' texts instead of hashes. Runs are found by a range over the words before a line.
+LINE_DEDUP_SQL = """
+WITH texts AS (
+  SELECT DISTINCT doc_id, text,
+    string_split(replace(replace(replace(replace(text, chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), chr(1)) AS parts
+  FROM documents WHERE text IS NOT NULL
+), lines AS (
+  SELECT doc_id, text, unnest(parts) AS part, unnest(range(len(parts))) AS place FROM texts
+), own AS (
+  SELECT doc_id, text, part, place, trim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM lines
+), counted AS (
+  SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS n FROM own WHERE line <> ''
+), placed AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc_id, text ORDER BY place) - n AS before FROM counted
+), runs AS (
+  SELECT doc_id, text, place, max(place) OVER run AS last, sum(n) OVER run AS words, list(line) OVER run AS content
+  FROM placed WINDOW run AS (PARTITION BY doc_id, text ORDER BY before RANGE BETWEEN CURRENT ROW AND 39 FOLLOWING)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, place) AS nth FROM runs WHERE words >= 40
+), gone AS (
+  SELECT DISTINCT doc_id, text, unnest(range(place, last + 1)) AS place FROM ranked WHERE nth > 1
+), rebuilt AS (
+  SELECT o.doc_id, o.text, count(*) FILTER (o.line <> '') AS n_lines, count(g.place) AS n_deleted,
+    coalesce(string_agg(o.part, '' ORDER BY o.place) FILTER (g.place IS NULL), '') AS kept
+  FROM own o LEFT JOIN gone g ON g.doc_id = o.doc_id AND g.text = o.text AND g.place = o.place GROUP BY o.doc_id, o.text
+)
+SELECT d.doc_id, CAST(coalesce(r.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n_deleted, 0) AS BIGINT) AS n_deleted, sha256(r.kept) AS text_sha256
+FROM documents d LEFT JOIN rebuilt r ON r.doc_id = d.doc_id AND r.text = d.text
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode(docs, tokenizer_path(), keep=["doc_id"], with_ids=False)
@@ -29,6 +65,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False))
+    model = ngram_lm.train(docs.filter(~held))
+    found = ngram_lm.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -51,9 +95,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_lm": op1_ngram_lm,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
+    "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_line_dedup": LINE_DEDUP_SQL}
