@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, ngram_lm, simhash, url_filters
+from . import bpe, decontaminate, language_id, line_dedup, ngram_lm, quality, simhash, url_filters
 from .common import remainder, table
 
 #: The tokenizer file's name; its folder is found by the package that holds it.
@@ -73,6 +73,26 @@ def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per stretch of a document that is a benchmark item within the edit budget."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+#: A document is rejected if either probability, or the vote posterior for toxicity, reaches this.
+REJECT = 0.5
+
+
+def rejected(prefix: str = "") -> Column:
+    return F.greatest(*[F.col(prefix + c) for c in ("poor", "toxic", "toxic_label")]) >= REJECT
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, quality.train(docs)).drop("text")
+    return judged.select("doc_id", "poor", "toxic", "poor_label", "toxic_label", (~rejected()).alias("kept"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -96,6 +116,8 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_lm": op1_ngram_lm,
+    "op2_decontaminate": op2_decontaminate,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
