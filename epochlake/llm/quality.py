@@ -1,9 +1,10 @@
 """Quality classifier (operator 5): weak labels by expectation-maximisation, a hashed linear scorer on top.
 
-Two targets, poor quality and toxicity, are learned in the same way and without hand labels:
+Two targets, poor quality and toxicity, are learned in the same way:
 
-1. overlapping heuristic labellers vote yes, no or nothing on each document (shapes of the text for quality,
-   word lists for toxicity);
+1. overlapping heuristic labellers vote yes, no or nothing on each document: shapes of the text for quality; for
+   toxicity fixed word lists and, where some documents have hand labels, word openings that occur in many
+   toxic texts and hardly elsewhere (``mine_openings``, counted over all labelled documents);
 2. Spark counts the vote patterns over all documents; expectation-maximisation on these counts estimates how each labeller
    votes for either class, and the posterior of each pattern;
 3. the posteriors of about ``FIT_ROWS`` documents, picked by a hash of the text, train a logistic model on hashed
@@ -41,7 +42,12 @@ INSULTS = ["clown", "idiot", "loser", "moron", "scum", "trash", "stupid", "imbec
 SLURS = ["disgusting", "pathetic", "worthless", "stupid", "idiot", "scum", "vermin", "filthy"]
 
 QUALITY = ["symbols", "capitals", "variety", "top word", "bars", "pairs", "exclaims", "endings", "echoes"]
-TOXIC = ["insults", "slurs", "several", "none"]
+TOXIC = ["insults", "slurs", "several", "none", "openings"]
+#: Bytes of a word's opening that the mined list goes by; least number and share of toxic texts with an opening, least precision.
+OPENINGS = (4, 5, 6, 7, 8, 9)
+LEAST_TEXTS, LEAST_SHARE, LEAST_PRECISION = 8, 0.005, 0.9
+#: Hand labels up to this number are broadcast; above it they are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 #: For each labeller of quality, the figure up to which it votes "fine" and that from which it votes "poor".
 LIMITS = {"symbols": (0.03, 0.08), "capitals": (0.12, 0.4), "variety": (0.6, 0.8), "top word": (0.15, 0.3), "bars": (0.005, 0.02), "pairs": (0.25, 0.45), "exclaims": (0.01, 0.05), "endings": (0.05, 0.2), "echoes": (0.05, 0.25)}
 
@@ -56,12 +62,12 @@ def bare_hashes(words: list[str]) -> np.ndarray:
     return word_hashes([a + w + b for w in words for a in ("", '"', "(") for b in ("", ".", ",", "!", "?", ";", ":", "###", "$$$", "%%%", "&&&", "***", "!!", '"', ")")])
 
 
-def figures(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, figures by QUALITY, tokens, their rows) of groups of texts."""
+def figures(texts: pa.Array) -> Iterator[tuple]:
+    """(first row, row after the last, figures by QUALITY, tokens, their rows, openings) of groups of texts."""
     import pyarrow.compute as pc
 
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    for first, last, token, row in token_chunks(texts):
+    for first, last, token, row, *openings in token_chunks(texts, OPENINGS):
         part, n = texts.slice(first, last - first), last - first
         offset = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + n + 1]
         raw = np.frombuffer(part.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]]
@@ -112,18 +118,22 @@ def figures(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
             axis=1,
         )
         out[words == 0, 0] = 1.0
-        yield first, last, out, token, row
+        yield first, last, out, token, row, openings
 
 
-def votes(texts: pa.Array, insults: np.ndarray, slurs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def votes(texts: pa.Array, lists: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, votes on quality, votes on toxicity, tokens, their rows); a vote is 1 (yes, bad), 0 (no) or 2 (none)."""
     low, high = (np.array([LIMITS[k][j] for k in QUALITY]) for j in (0, 1))
-    for first, last, figure, token, row in figures(texts):
+    insults, slurs, *mined = lists
+    for first, last, figure, token, row, openings in figures(texts):
         quality = np.where(figure >= high, 1, np.where(figure <= low, 0, 2)).astype(np.int8)
         n = last - first
         a, b = (np.bincount((row - first)[np.isin(token, w)], minlength=n) for w in (insults, slurs))
         either = np.bincount((row - first)[np.isin(token, np.union1d(insults, slurs))], minlength=n)
-        toxic = np.stack([np.where(a > 0, 1, 2), np.where(b > 0, 1, 2), np.where(either > 1, 1, 2), np.where(either == 0, 0, 2)], axis=1).astype(np.int8)
+        learned = np.zeros(n, bool)
+        for known, opening in zip(mined, openings, strict=True):
+            learned[(row - first)[np.isin(opening, known)]] = True
+        toxic = np.stack([np.where(a > 0, 1, 2), np.where(b > 0, 1, 2), np.where(either > 1, 1, 2), np.where((either == 0) & ~learned, 0, 2), np.where(learned, 1, 2)], axis=1).astype(np.int8)
         yield first, last, quality, toxic, token, row
 
 
@@ -167,8 +177,7 @@ class Target:
 class Model:
     quality: Target
     toxic: Target
-    insults: np.ndarray
-    slurs: np.ndarray
+    lists: list[np.ndarray]
 
 
 def feature_rows(v: np.ndarray, first: int, token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,19 +192,54 @@ def feature_rows(v: np.ndarray, first: int, token: np.ndarray, row: np.ndarray)
     return np.concatenate([r, vote_row]), np.concatenate([c, size + 3 * labeller + v.ravel()]), np.concatenate([times / count[r], np.ones(v.size)])
 
 
-def train(df: DataFrame, text: str = "text") -> Model:
-    """Learn both targets from the texts alone."""
-    insults, slurs = bare_hashes(INSULTS), bare_hashes(SLURS)
+def mine_openings(df: DataFrame, labels: DataFrame, id_col: str, text: str) -> list[np.ndarray]:
+    """For each of ``OPENINGS``, the hashes of openings typical of toxic texts.
+
+    An opening must occur in ``LEAST_SHARE`` of the toxic texts, so the list is bounded by the openings per text.
+    """
+    marks = labels.filter("toxic is not null").groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    if marks.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        marks = F.broadcast(marks)
+    known = df.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("text")).join(marks, "__id").select("text", "toxic")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mark = batch.column(1).to_numpy()
+            for _, _, _, row, *openings in token_chunks(batch.column(0), OPENINGS):
+                for k, opening in zip(OPENINGS, openings, strict=True):
+                    own = opening != 0
+                    pair = _distinct(opening[own], row[own])
+                    value, at = np.unique(pair[0], return_inverse=True)
+                    toxic = np.bincount(at, mark[pair[1]], len(value))
+                    clean = np.bincount(at, 1 - mark[pair[1]], len(value))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(toxic), pa.array(clean)], names=["k", "opening", "toxic", "clean"])
+
+    counted = known.mapInArrow(count, "k int, opening bigint, toxic double, clean double").groupBy("k", "opening").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    toxic_texts = known.filter("toxic = 1").count()
+    found = counted.filter((F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * toxic_texts)) & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean") + 0.5))).collect()
+    return [np.unique(np.array([r["opening"] for r in found if r["k"] == k], np.int64).view(np.uint64)) for k in OPENINGS]
+
+
+def _distinct(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((row, value))
+    value, row = value[order], row[order]
+    fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])]) if len(value) else np.zeros(0, bool)
+    return value[fresh], row[fresh]
+
+
+def train(df: DataFrame, text: str = "text", labels: DataFrame | None = None, id_col: str = "doc_id") -> Model:
+    """Learn both targets from the texts and, for the mined list, from ``labels`` (id, toxic 0/1) if given."""
+    mined = mine_openings(df, labels, id_col, text) if labels is not None else [np.zeros(0, np.uint64) for _ in OPENINGS]
+    lists = [bare_hashes(INSULTS), bare_hashes(SLURS), *mined]
     texts = df.select(F.col(text).cast("string").alias("text"))
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, q, t, _, _ in votes(batch.column(0), insults, slurs):
+            for _, _, q, t, _, _ in votes(batch.column(0), lists):
                 both, n = np.unique(np.stack([code_of(q), code_of(t)], axis=1), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n)], names=["quality", "toxic", "n"])
 
     counted = cut(texts.mapInArrow(patterns, "quality bigint, toxic bigint, n bigint").groupBy("quality", "toxic").agg(F.sum("n").alias("n")))
-    model = Model(Target(QUALITY), Target(TOXIC), insults, slurs)
+    model = Model(Target(QUALITY), Target(TOXIC), lists)
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
         return model
@@ -213,19 +257,19 @@ def train(df: DataFrame, text: str = "text") -> Model:
 
 def fit(sample: DataFrame, name: str, target: Target, model: Model) -> None:
     width = (1 << HASH_BITS) + 3 * len(target.names)
-    insults, slurs, posterior = model.insults, model.slurs, target.posterior
+    lists, posterior = model.lists, target.posterior
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, q, t, token, row in votes(batch.column(0), insults, slurs):
+            for first, last, q, t, token, row in votes(batch.column(0), lists):
                 v = q if name == "quality" else t
                 r, c, x = feature_rows(v, first, token, row)
                 order = np.lexsort((c, r))
                 bounds = np.searchsorted(r[order], np.arange(last - first + 1))
                 c, x = c[order].astype(np.int32), x[order]
                 p = [posterior.get(k, target.prior) for k in code_of(v).tolist()]
-                lists = [[a[bounds[k] : bounds[k + 1]] for k in range(last - first)] for a in (c, x)]
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.float64()))], names=["p", "at", "x"])
+                ats, xs = ([a[bounds[k] : bounds[k + 1]] for k in range(last - first)] for a in (c, x))
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(ats, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.float64()))], names=["p", "at", "x"])
 
     made = sample.mapInArrow(rows, "p double, at array<int>, x array<double>")
     vector = F.udf(lambda at, x: Vectors.sparse(width, at, x), VectorUDT())
@@ -245,7 +289,7 @@ def judge(df: DataFrame, model: Model, text: str = "text", prefix: str = "") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((4, batch.num_rows))
-            for first, last, q, t, token, row in votes(batch.column(batch.schema.get_field_index(text)), model.insults, model.slurs):
+            for first, last, q, t, token, row in votes(batch.column(batch.schema.get_field_index(text)), model.lists):
                 for k, (target, v) in enumerate(((model.quality, q), (model.toxic, t))):
                     label = np.array([target.posterior.get(c, target.prior) for c in code_of(v).tolist()])
                     out[2 + k, first:last] = label

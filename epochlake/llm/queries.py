@@ -89,7 +89,7 @@ def rejected(prefix: str = "") -> Column:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = quality.judge(docs, quality.train(docs)).drop("text")
+    judged = quality.judge(docs, quality.train(docs, labels=table(spark, sf_dir, "labels"))).drop("text")
     return judged.select("doc_id", "poor", "toxic", "poor_label", "toxic_label", (~rejected()).alias("kept"))
 
 

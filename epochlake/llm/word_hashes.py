@@ -44,9 +44,11 @@ class _Tables:
 _TABLES: list[_Tables] = []
 
 
-def token_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def token_chunks(texts: pa.Array, openings: tuple[int, ...] = ()) -> Iterator[tuple]:
     """(first row, row after the last, tokens, row of each token) of groups of texts; a null text is empty.
 
+    Then, for each number of bytes in ``openings``, the hashes of the words' first bytes (0 for shorter words, the end).
+
     A word's hash is a polynomial of its lower-cased (A-Z) bytes, from one prefix sum over the whole group; each
     text ends with ``END``, so every row has at least one token.
     """
@@ -73,6 +75,13 @@ def token_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         word = mix((total[stop] - total[start]) * down[start])
         row = np.searchsorted(own, start, "right") - 1
         token = np.full(len(word) + last - first, END, np.uint64)
-        token[np.arange(len(word)) + row] = word
-        yield first, last, token, np.repeat(np.arange(first, last), np.bincount(row, minlength=last - first) + 1)
+        at = np.arange(len(word)) + row
+        token[at] = word
+        more = []
+        for n in openings:
+            enough = stop - start >= n
+            opening = np.zeros(len(token), np.uint64)
+            opening[at[enough]] = mix((total[start[enough] + n] - total[start[enough]]) * down[start[enough]])
+            more.append(opening)
+        yield first, last, token, np.repeat(np.arange(first, last), np.bincount(row, minlength=last - first) + 1), *more
         first = last
