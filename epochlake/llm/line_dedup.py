@@ -7,15 +7,15 @@ depend on their own content alone, so equal passages have equal runs.
 * winnowing: the least line hash of each run is its fingerprint; a run can only repeat if its fingerprint stands at
   two places, and one fingerprint serves all neighbouring runs that share the minimum;
 * positions are joined by fingerprint, which leaves a fraction of the runs;
-* these are extended to whole runs and compared by a hash of all their lines. Of equal runs the first in the order
-  of (document id, place) stays, the lines of all later ones are deleted. Overlapping runs of a longer passage
-  delete it whole.
+* these are extended to whole runs and compared by fingerprint, first line, number of words and a sum of hashes of all
+  neighbouring lines. Of equal runs the first in the order of (document id, place) stays, the lines of all later
+  ones are deleted. Overlapping runs of a longer passage delete it whole.
 
 A line is deleted if and only if it lies in a run that stood earlier; shorter repeats stay. Defined results: null
 text stays null, empty text stays empty, blank lines count for nothing and stay unless they lie inside a deleted
-run; a document may end up empty but its row stays. Rows with equal id and text are one document and get one
-result. A null id sorts first. Equal ids with different texts are ordered by the texts' hashes. U+0001 in a text is
-a line end and is lost where lines are deleted. Extra columns are carried along.
+run; a document may end up empty but its row stays. A null id sorts first. Rows with equal ids count as one place: equal
+runs at the same place in them all stay. U+0001 in a text is a line end and is lost where lines are deleted. Extra
+columns are carried along.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ RUN_WORDS = 40
 MARK = "\x01"
 #: After these a line ends.
 ENDS = ["\n", ". ", "! ", "? "]
-BLANK = " \t\n\x0b\f\r"
-#: Deleted places up to this number in all are broadcast to the documents; above it both sides are shuffled.
-BROADCAST_PLACES = 2_000_000
+#: Bits of a fingerprint that hold the place; the others hold the line's hash.
+PLACE_BITS = 20
+#: Repeated fingerprints, and deleted stretches, up to this number are broadcast; above it both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def lines_of(text: Column) -> Column:
@@ -40,57 +41,64 @@ def lines_of(text: Column) -> Column:
     return F.split(text, MARK)
 
 
-def with_key(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    return df.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text)))
+def bare_lines_of(text: Column) -> Column:
+    """The same lines without what separates them."""
+    for e in ENDS:
+        text = F.replace(text, F.lit(e), F.lit(e.strip() + MARK))
+    return F.split(text, MARK)
+
+
+def key_of(id_col: str, text: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("bigint"), F.col(text))
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def deletions(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """Rows (__key, places): the numbers of the lines to delete, one row per document that has any."""
+    """Rows (__key, stretches): the lines to delete as (first, last), one row per document that has any."""
     spark = df.sparkSession
-
-    def measured(line: Column) -> Column:
-        own = F.btrim(line, F.lit(BLANK))
-        words = F.when(own == "", 0).otherwise(F.octet_length(own) - F.octet_length(F.replace(own, F.lit(" "), F.lit(""))) + 1)
-        return F.struct(F.xxhash64(own).alias("h"), words.cast("int").alias("n"))
-
-    keyed = with_key(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")), "id", "text")
-    long_enough = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit(" "), F.lit(""))) + 1 >= 1
-    slim = keyed.filter(long_enough).select("id", "__key", F.transform(lines_of(F.col("text")), measured).alias("lines"))
-    once = slim.groupBy("id", "__key").agg(F.first("lines").alias("lines"))
-    lines = once.select("id", "__key", F.posexplode("lines").alias("place", "line")).select("id", "__key", "place", "line.h", "line.n").filter("n > 0")
-    document = Window.partitionBy("id", "__key")
-    placed = lines.withColumn("before", F.sum("n").over(document.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    run = document.orderBy("before").rangeBetween(0, run_words - 1)
-    runs = placed.select(
-        "id",
-        "__key",
-        "place",
-        F.max("place").over(run).alias("last"),
-        F.sum("n").over(run).alias("words"),
-        F.min(F.struct("h", "place")).over(run).alias("seed"),
-        F.collect_list("h").over(run).alias("content"),
-    ).filter(F.col("words") >= run_words)
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null")
+    keyed = texts.select("id", key_of("id", "text").alias("__key"), F.monotonically_increasing_id().alias("row"), "text")
+    lines = keyed.select("id", "__key", "row", F.posexplode(bare_lines_of(F.col("text"))).alias("place", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    lines = lines.select("id", "__key", "row", "place", F.xxhash64("line").alias("h"), words.cast("bigint").alias("n"))
+    # All of a document's lines stand in one row of text, so each window below is one document.
+    so_far = Window.partitionBy("row").orderBy("place")
+    upto = so_far.rowsBetween(Window.unboundedPreceding, 0)
+    step = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.lag("h").over(so_far), F.lit(0)), "h"), 24)
+    placed = lines.withColumn("step", step).withColumns({"after": F.sum("n").over(upto), "steps": F.sum("step").over(upto)}).withColumn("before", F.col("after") - F.col("n"))
+    low = (1 << PLACE_BITS) - 1
+    mark = F.col("h").bitwiseAND(F.lit(~low)).bitwiseOR(F.col("place").cast("bigint").bitwiseAND(F.lit(low)))
+    run = Window.partitionBy("row").orderBy("before").rangeBetween(0, run_words - 1)
+    runs = placed.withColumn("mark", mark).select(
+        "id", "__key", "place", "h", "before", F.max("place").over(run).alias("last"), F.max("after").over(run).alias("end"), (F.max("steps").over(run) - F.col("steps")).alias("steps"), F.min("mark").over(run).alias("mark")
+    )
+    runs = runs.filter(F.col("end") - F.col("before") >= run_words)
     path = fresh_path(spark, "line-runs")
-    runs.select("id", "__key", "place", "last", F.col("seed.h").alias("print"), F.col("seed.place").alias("at"), F.xxhash64("content").alias("run")).write.parquet(path)
+    runs.select("id", "__key", "place", "last", F.col("mark").bitwiseAND(F.lit(~low)).alias("print"), F.xxhash64("__key", "mark").alias("at"), F.xxhash64("h", F.col("end") - F.col("before"), "steps").alias("run")).write.parquet(path)
     runs = spark.read.parquet(path)
-    where = F.struct("id", "__key", "at")
-    repeated = runs.groupBy("print").agg(F.min(where).alias("low"), F.max(where).alias("high")).filter("low <> high").select("print")
-    likely = cut(runs.join(repeated, "print", "left_semi").select("print", "run", "id", "__key", "place", "last"))
-    start = F.struct("id", "__key", "place")
-    first = likely.groupBy("print", "run").agg(F.min(start).alias("first"), F.max(start).alias("final")).filter("first <> final").select("print", "run", "first")
-    later = likely.join(first, ["print", "run"]).filter(start != F.col("first"))
-    return later.groupBy("__key", "place").agg(F.max("last").alias("last")).select("__key", F.explode(F.sequence("place", "last")).alias("place")).groupBy("__key").agg(F.collect_set("place").alias("places"))
+    repeated = cut(runs.groupBy("print").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a <> b").select("print"))
+    likely = runs.join(if_small(repeated), "print", "left_semi")
+    start = (F.coalesce("id", F.lit(-1 << 62)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.col("place")).cast("decimal(38,0)")
+    likely = likely.select("print", "run", "__key", "place", "last", start.alias("start"))
+    first = likely.groupBy("print", "run").agg(F.min("start").alias("first"), F.max("start").alias("final")).filter("first <> final").select("print", "run", "first")
+    later = likely.join(first, ["print", "run"]).filter("start > first").groupBy("__key", "place").agg(F.max("last").alias("last"))
+    order = Window.partitionBy("__key").orderBy("place")
+    reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = later.withColumn("opens", (reached.isNull() | (F.col("place") > reached)).cast("int"))
+    islands = opens.withColumn("island", F.sum("opens").over(order)).groupBy("__key", "island").agg(F.min("place").alias("first"), F.max("last").alias("last"))
+    return islands.groupBy("__key").agg(F.collect_list(F.struct("first", "last")).alias("stretches"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """All columns of ``df`` with the repeated runs cut out of the text, and ``n_lines``, ``n_deleted``."""
-    places = cut(deletions(df, id_col, text, run_words))
-    keyed = with_key(df.withColumn("__text", F.col(text).cast("string")), id_col, "__text")
-    small = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0] <= BROADCAST_PLACES
-    joined = keyed.join(F.broadcast(places) if small else places, "__key", "left")
-    lines = lines_of(F.col("__text"))
-    count = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANK)) != ""))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("places"))
-    rebuilt = F.when(F.col("places").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(kept, lambda k: F.element_at(lines, k + 1)), ""))
+    """All columns of ``df`` with the repeated runs cut out of the text, and ``n_deleted`` (lines, blank ones included)."""
+    found = cut(deletions(df, id_col, text, run_words))
+    keyed = df.withColumn("__text", F.col(text).cast("string")).withColumn("__key", key_of(id_col, "__text"))
+    joined = keyed.join(if_small(found), "__key", "left")
+    kept = F.filter(lines_of(F.col("__text")), lambda x, k: ~F.exists("stretches", lambda s: (k >= s["first"]) & (k <= s["last"])))
+    rebuilt = F.when(F.col("stretches").isNull(), F.col("__text")).otherwise(F.array_join(kept, ""))
+    gone = F.aggregate("stretches", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
     other = [F.col(f"`{c}`") if c != text else rebuilt.alias(text) for c in df.columns]
-    return joined.select(*other, F.when(F.col("__text").isNull(), 0).otherwise(count).alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).alias("n_deleted"))
+    return joined.select(*other, F.coalesce(gone, F.lit(0).cast("bigint")).alias("n_deleted"))

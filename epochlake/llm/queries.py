@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, ngram_lm, quality, simhash, url_filters
+from . import bpe, decontaminate, embedding_dedup, language_id, line_dedup, ngram_lm, quality, simhash, url_filters
 from .common import remainder, table
 
 #: The tokenizer file's name; its folder is found by the package that holds it.
@@ -22,7 +22,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_deleted").cast("bigint").alias("n_deleted"), F.sha2("text", 256).alias("text_sha256"))
+    return found.select("doc_id", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
 
 
 #: The same rule over the lines' texts instead of hashes. Runs are found by a range over the words before a line.
@@ -34,7 +34,7 @@ WITH texts AS (
 ), lines AS (
   SELECT doc_id, text, unnest(parts) AS part, unnest(range(len(parts))) AS place FROM texts
 ), own AS (
-  SELECT doc_id, text, part, place, trim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM lines
+  SELECT doc_id, text, part, place, trim(part, ' ' || chr(10)) AS line FROM lines
 ), counted AS (
   SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS n FROM own WHERE line <> ''
 ), placed AS (
@@ -47,11 +47,11 @@ WITH texts AS (
 ), gone AS (
   SELECT DISTINCT doc_id, text, unnest(range(place, last + 1)) AS place FROM ranked WHERE nth > 1
 ), rebuilt AS (
-  SELECT o.doc_id, o.text, count(*) FILTER (o.line <> '') AS n_lines, count(g.place) AS n_deleted,
+  SELECT o.doc_id, o.text, count(g.place) AS n_deleted,
     coalesce(string_agg(o.part, '' ORDER BY o.place) FILTER (g.place IS NULL), '') AS kept
   FROM own o LEFT JOIN gone g ON g.doc_id = o.doc_id AND g.text = o.text AND g.place = o.place GROUP BY o.doc_id, o.text
 )
-SELECT d.doc_id, CAST(coalesce(r.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n_deleted, 0) AS BIGINT) AS n_deleted, sha256(r.kept) AS text_sha256
+SELECT d.doc_id, CAST(coalesce(r.n_deleted, 0) AS BIGINT) AS n_deleted, sha256(r.kept) AS text_sha256
 FROM documents d LEFT JOIN rebuilt r ON r.doc_id = d.doc_id AND r.text = d.text
 """
 
@@ -79,6 +79,25 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+EMBEDDING_DEDUP_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(node, got) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.got
+), least AS (SELECT node, min(got) AS component_id FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.node = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+"""
+
+
 #: A document is rejected if either probability, or the vote posterior for toxicity, reaches this.
 REJECT = 0.5
 
@@ -117,6 +136,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_lm": op1_ngram_lm,
     "op2_decontaminate": op2_decontaminate,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
@@ -124,4 +144,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op9_line_dedup": LINE_DEDUP_SQL}
+ORACLES: dict[str, str] = {"op4_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
