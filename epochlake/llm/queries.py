@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, language_id, line_dedup, ngram_lm, quality, simhash, url_filters
+from . import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_lm, quality, simhash, url_filters
 from .common import remainder, table
 
 #: The tokenizer file's name; its folder is found by the package that holds it.
@@ -79,6 +79,20 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand as files of a tree: source / thousand / hundred / file, every tenth a file named LICENSE.
+
+    The LICENSE of a number divisible by 1000 lies in the thousand's directory, by 10,000 in the source's.
+    """
+    i = F.coalesce(F.col("doc_id"), F.lit(1))
+    is_license = i % 10 == 0
+    folder = F.when(is_license & (i % 10000 == 0), F.col("source")).when(is_license & (i % 1000 == 0), F.concat_ws("/", "source", F.floor(i / 1000).cast("string")))
+    folder = F.coalesce(folder, F.concat_ws("/", "source", F.floor(i / 1000).cast("string"), F.floor(i / 100).cast("string")))
+    name = F.concat(F.col("doc_id").cast("string"), F.when(is_license, F.lit(".LICENSE")).otherwise(F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", folder, name).alias("path"), is_license.alias("is_license_file"), "text")
+    return license_scan.inherit(license_scan.own_licenses(files))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -136,6 +150,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_lm": op1_ngram_lm,
     "op2_decontaminate": op2_decontaminate,
+    "op3_license_scan": op3_license_scan,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
