@@ -1,7 +1,7 @@
 """SimHash near-dedup (operator 6): popcount embedding, grid range-join, exact verification.
 
-``fingerprints`` makes a 64-bit fingerprint from the word shingles of each whole text. ``links`` finds all pairs of
-different fingerprints within ``radius`` bits:
+``fingerprints`` makes a 64-bit fingerprint from the word shingles of each whole text. ``near_duplicates`` finds all
+pairs of different fingerprints within ``radius`` bits:
 
 * embedding: the fingerprint is cut into 32 segments of two bits, each mapped to its number of set bits. Written in
   unary (0, 1, 2 -> 00, 01, 11) the vector fits in 64 bits, and the Manhattan distance of two vectors is the
@@ -13,7 +13,9 @@ different fingerprints within ``radius`` bits:
 
 Equal fingerprints are one class before any of this. A cell with more than ``CELL_ROWS`` members is dealt out as
 pairs of blocks. A task reports a spanning forest of the links it found, never all pairs, so a group of n near
-copies costs at most n rows per cell. ``near_duplicates`` joins the links up to components.
+copies costs at most n rows per cell. The links are joined up to components.
+
+``near_texts`` does the same with fingerprints of 256 bits for looser similarities, where a grid is a random choice of segments.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and links like any other;
 with fewer words than a shingle the whole sequence is the one shingle. Repeated rows stay; a null id takes part but
@@ -22,6 +24,7 @@ never names a component. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,19 +36,24 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions_of
 from .components import components
+from .hash_arrays import mix
 
 SEED = 42
 #: Members of a grid cell that one task compares; larger cells are dealt out as pairs of blocks of this size.
 CELL_ROWS = 4096
 #: Hashes whose bits are counted at once.
 BIT_ROWS = 65_536
+#: 64-bit words of a wide fingerprint; members of a cell of a sampled grid, about; chance that all grids miss a pair.
+LANES, CELL_MEMBERS, MISS = 4, 100, 0.02
+#: Ids of dropped documents up to this number are broadcast; above it both sides are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Signed 64-bit fingerprint of one text."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole sequence if it is shorter; none without words."""
     joined = b" ".join((text or "").encode().lower().split())
     if not joined:
-        return 0
+        return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(joined))
     if len(starts) > words:
@@ -53,23 +61,39 @@ def fingerprint(text: str | None, words: int) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(starts), BIT_ROWS):
-        part = [digest(view[a:b], SEED) for a, b in zip(starts[at : at + BIT_ROWS].tolist(), ends[at : at + BIT_ROWS].tolist(), strict=True)]
-        counts += np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<i8")[0])
+    return np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each of their 64 bits set; bytes are added in groups that cannot overflow."""
+    out = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BIT_ROWS):
+        bits = np.unpackbits(hashes[at : at + BIT_ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255
+        out += np.add.reduce(bits[:whole].reshape(-1, 255, 64), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
+    return out
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """Rows (id, fp): one per row of ``df``."""
+def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
+    """``lanes`` signed 64-bit words; the first is from the shingles' hashes themselves, further ones from mixed hashes."""
+    hashes, out = shingle_hashes(text, words), []
+    for lane in range(lanes):
+        own = hashes if lane == 0 else mix(hashes + np.uint64(lane))
+        out.append(int(np.packbits(bit_counts(own) * 2 > len(own), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
+    """Rows (id, f0, f1, ...): one per row of ``df``."""
+    names = [f"f{k}" for k in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["id", "fp"])
+            made = np.array([fingerprint(t.as_py(), words, lanes) for t in batch.column(1)], np.int64).reshape(-1, lanes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in made.T)], names=["id", *names])
 
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "id bigint, fp bigint")
+    return source.mapInArrow(run, ", ".join(["id bigint", *(f"{n} bigint" for n in names)]))
 
 
 def unary_popcounts(fp: Column) -> Column:
@@ -109,64 +133,142 @@ def hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def forest(cell: np.ndarray, fp: np.ndarray, unary: np.ndarray, radius: int) -> np.ndarray:
-    """For rows sorted by cell: the row that each is joined to by links inside cells (itself if by none)."""
-    parent = np.arange(len(fp))
+def forest(cell: np.ndarray, prints: np.ndarray, unary: np.ndarray, radius: int) -> np.ndarray:
+    """For rows sorted by cell: the row that each is joined to by links inside cells (itself if by none).
+
+    ``prints`` and ``unary`` have a column per lane. Pairs whose Manhattan distance exceeds the radius are out before
+    their Hamming distance is looked at.
+    """
+    parent = np.arange(len(cell))
     heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    sizes = np.diff(np.append(heads, len(fp)))
+    sizes = np.diff(np.append(heads, len(cell)))
     small = np.repeat(sizes <= 64, sizes)
+    lanes = range(prints.shape[1])
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ok = np.arange(len(a))
+        for codes in (unary, prints):
+            ok = ok[sum(np.bitwise_count(codes[a[ok], k] ^ codes[b[ok], k]).astype(np.int16) for k in lanes) <= radius]
+        return ok
+
     for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
         at = np.flatnonzero(small[d:] & (cell[d:] == cell[:-d]))
-        at = at[np.bitwise_count(unary[at] ^ unary[at + d]) <= radius]
-        at = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
+        at = at[near(at, at + d)]
         hook(parent, at, at + d)
     for head, n in zip(heads[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-        end, step = head + n, max(1, 2_000_000 // n)
+        end, step = head + n, max(1, 1_000_000 // n)
         for at in range(head, end, step):
             last = min(at + step, end)
-            a, b = np.nonzero(np.bitwise_count(unary[at:last, None] ^ unary[None, at:end]) <= radius)
-            near = (a < b) & (np.bitwise_count(fp[at + a] ^ fp[at + b]) <= radius)
-            hook(parent, at + a[near], at + b[near])
+            apart = sum(np.bitwise_count(unary[at:last, None, k] ^ unary[None, at:end, k]).astype(np.int16) for k in lanes)
+            a, b = np.nonzero(apart <= radius)
+            a, b = at + a[a < b], at + b[a < b]
+            ok = near(a, b)
+            hook(parent, a[ok], b[ok])
     return parent
 
 
-def links(prints: DataFrame, radius: int = 4, groups: int | None = None) -> DataFrame:
-    """Rows (a, b), a > b: a spanning forest of all links between the distinct fingerprints in column ``fp``."""
-    spark = prints.sparkSession
+def links(prints: DataFrame, radius: int, masks: list[tuple[int, ...]]) -> DataFrame:
+    """Rows (a, b), a > b: a spanning forest of the links that share a cell, between rows (node, f0, f1, ...).
+
+    Each entry of ``masks`` is a grid: the bits, per lane, of the embedding's segments that make its cells.
+    """
+    spark, lanes = prints.sparkSession, len(masks[0])
     n = prints.count()
-    masks = cell_masks(groups or group_count(n, radius), radius)
-    embedded = prints.select("fp", unary_popcounts(F.col("fp")).alias("unary"))
-    cells = embedded.select("fp", "unary", F.posexplode(F.array(*[F.col("unary").bitwiseAND(F.lit(m).cast("bigint")) for m in masks])).alias("grid", "cell"))
-    crowded = cut(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).select("grid", "cell", F.ceil(F.col("n") / (CELL_ROWS // 2)).cast("int").alias("blocks")))
-    dealt = cells.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    names, unary = [f"f{k}" for k in range(lanes)], [f"u{k}" for k in range(lanes)]
+    embedded = prints.select("node", *names, *[unary_popcounts(F.col(f)).alias(u) for f, u in zip(names, unary, strict=True)])
+
+    def cell(mask: tuple[int, ...], grid: int) -> Column:
+        return F.xxhash64(F.lit(grid), *[F.col(u).bitwiseAND(F.lit(m).cast("bigint")) for u, m in zip(unary, mask, strict=True) if m])
+
+    cells = embedded.select("node", *names, F.explode(F.array(*[cell(m, k) for k, m in enumerate(masks)])).alias("cell"))
+    crowded = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).select("cell", F.ceil(F.col("n") / (CELL_ROWS // 2)).cast("int").alias("blocks")))
+    dealt = cells.select("node", *names, F.col("cell").alias("key"))
     if (many := crowded.count()) > 0:
         sides = F.broadcast(crowded) if many <= 100_000 else crowded
-        block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        other = cells.join(sides, ["grid", "cell"], "left").withColumn("own", F.coalesce(block, F.lit(0))).withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
-        dealt = other.select("fp", "unary", "grid", "cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        other = cells.join(sides, "cell", "left").withColumn("own", F.coalesce(block, F.lit(0))).withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
+        dealt = other.select("node", *names, F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "with"), F.greatest("own", "with"))).alias("key"))
     tasks = max(partitions_of(spark), n * len(masks) // 400_000)
-    keyed = dealt.select("fp", "unary", F.xxhash64("grid", "cell", "i", "j").alias("key")).repartition(tasks, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [tuple(b.column(k).to_numpy() for k in range(3)) for b in batches if b.num_rows]
+        rows = [[b.column(k).to_numpy() for k in range(lanes + 2)] for b in batches if b.num_rows]
         if rows:
-            fp, unary, key = (np.concatenate(x).view(np.uint64) for x in zip(*rows, strict=True))  # bits of a signed number are those of its absolute value
-            order = np.lexsort((fp, key))
-            fp, unary, key = fp[order], unary[order], key[order]
-            parent = forest(key, fp, unary, radius)
-            at = np.flatnonzero(fp != fp[parent])
-            a, b = fp[at].view(np.int64), fp[parent[at]].view(np.int64)
+            node, *own, key = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.lexsort((node, key))
+            node, key = node[order], key[order]
+            prints = np.stack([f[order].view(np.uint64) for f in own], axis=1)  # bits of a signed number are those of its absolute value
+            low = np.uint64(0x5555555555555555)
+            half = prints >> np.uint64(1)
+            parent = forest(key, prints, ((prints & half & low) << np.uint64(1)) | ((prints | half) & low), radius)
+            at = np.flatnonzero(node != node[parent])
+            a, b = node[at], node[parent[at]]
             pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return keyed.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.select("node", *names, "key").repartition(tasks, "key").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def named(prints: DataFrame, classes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (id, keys, component_id) from classes (node, first, keys) and their links."""
+    members = classes.join(components(found), "node", "left").select(*keys, "first", F.coalesce("component", "node").alias("component"))
+    least = members.join(members.groupBy("component").agg(F.min("first").alias("component_id")), "component").select(*keys, "component_id")
+    return prints.join(least, keys, "left").select("id", *keys, "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """Rows (id, fp, component_id): one per row of ``df``; a component's id is the smallest document id in it."""
+    """Rows (id, fp, component_id): one per row of ``df``; a component's id is the smallest document id in it. Loses no link."""
     prints = cut(fingerprints(df, id_col, text, words))
-    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    joined = components(links(classes, radius))
-    members = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    named = members.join(members.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select("id", "fp", "component_id")
+    classes = cut(prints.groupBy("f0").agg(F.min("id").alias("first")).withColumn("node", F.col("f0")))
+    masks = [(m,) for m in cell_masks(group_count(classes.count(), radius), radius)]
+    return named(prints, classes, links(classes.select("node", "f0"), radius, masks), ["f0"]).withColumnRenamed("f0", "fp")
+
+
+def sampled_masks(n: int, lanes: int, flip: float) -> list[tuple[int, ...]]:
+    """Random grids for wide fingerprints: enough that a pair whose bits differ with chance ``flip`` misses all with chance ``MISS``.
+
+    A grid takes as many segments as leave about ``CELL_MEMBERS`` fingerprints to a cell, so the cells don't grow
+    with the input; the number of grids does, slowly.
+    """
+    same = (1 - flip) ** 2 + flip**2 / 2
+    segments = max(2, math.ceil(math.log(max(n, 2) / CELL_MEMBERS + 1) / -math.log(0.375)))
+    grids = math.ceil(math.log(MISS) / math.log(1 - same**segments))
+    rng, out = np.random.default_rng(11), []
+    for _ in range(grids):
+        mask = [0] * lanes
+        for s in rng.choice(32 * lanes, min(segments, 32 * lanes), replace=False).tolist():
+            mask[s // 32] |= 3 << (2 * (s % 32))
+        out.append(tuple(m - (1 << 64) if m >= 1 << 63 else m for m in mask))
+    return out
+
+
+def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows (id, f0..f3, component_id): texts of a Jaccard similarity of about ``similarity`` or more link.
+
+    At such distances 64 bits can't tell copies from chance, so fingerprints have 256 (``LANES`` lanes). Two sets of
+    Jaccard similarity s meet at a cosine of 2s / (1 + s), which sets the expected share of differing bits; the
+    radius lies two standard deviations above, so that a pair just at ``similarity`` is taken with 98 % and unlike
+    texts stay ten deviations away. Distances of pairs found are exact; the grids find a pair with a chance of 1 - ``MISS``.
+    """
+    lanes = LANES
+    flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * lanes
+    radius = math.floor(bits * flip + 2 * math.sqrt(bits * flip * (1 - flip)))
+    keys = [f"f{k}" for k in range(lanes)]
+    prints = cut(fingerprints(df, id_col, text, words, lanes))
+    classes = cut(prints.groupBy(*keys).agg(F.min("id").alias("first")).withColumn("node", F.xxhash64(*keys)))
+    found = links(classes.select("node", *keys), radius, sampled_masks(classes.count(), lanes, flip))
+    return named(prints, classes, found, keys)
+
+
+def drop_near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df`` but for near copies: of each group the smallest id stays, once. Rows without id stay."""
+    found = cut(near_texts(df, id_col, text, words, similarity).select("id", "component_id"))
+    gone = found.filter("id <> component_id").select(F.col("id").alias("__gone")).distinct()
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = df.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
+    twice = found.filter("id is not null").groupBy("id").count().filter("count > 1").limit(1).count()
+    if not twice:
+        return kept
+    nulls = kept.filter(F.col(id_col).isNull())
+    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(nulls)
