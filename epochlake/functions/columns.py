@@ -255,7 +255,7 @@ def mirror(x: Column, hand: Column) -> Column:
 
 def tidy_coord(lat: Column, lon: Column, digits: int = 1) -> list[Column]:
     """rounded; the longitude of a pole is 0."""
-    la = F.round(lat, digits)
+    la = F.round(lat, digits) + 0.0
     return [la.alias("lat"), F.when(F.abs(la) >= 90, F.lit(0.0)).otherwise(F.round(lon, digits)).alias("lon")]
 
 
@@ -363,7 +363,7 @@ def count_json(names: Column) -> Column:
 
 def split_codes(c: Column, sep: str = ";") -> Column:
     """codes of a list in a text, without blanks; null and empty give none."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def has_code(c: Column, code: str, sep: str = ";") -> Column:

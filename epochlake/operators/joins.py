@@ -111,7 +111,7 @@ def cross_registry(df: DataFrame, registry: DataFrame) -> DataFrame:
 
 def explode_crosswalk(df: DataFrame, col: str, sep: str = ";") -> DataFrame:
     """One row per entry of a list in a text, trimmed; rows without entries are dropped."""
-    return df.withColumn(col, F.explode(F.filter(F.transform(F.split(col, sep), F.trim), lambda x: x != "")))
+    return df.withColumn(col, F.explode(F.filter(F.transform(F.split(col, sep), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def pair_streams(a: DataFrame, b: DataFrame, part: Keys, order: Keys, at: str, tolerance: float) -> DataFrame:
