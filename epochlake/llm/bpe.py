@@ -24,13 +24,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Fixed value: how the tokenizer file splits normalised text into words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Fixed value: white space as the file's normaliser means it.
 SPACES = regex.compile(r"\s+")
 END = "</w>"
 #: Words kept per Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -162,7 +164,7 @@ def _codec(path: str) -> BpeCodec:
 
 _LOADED: tuple[str, BpeCodec] | None = None
 #: Characters of text looked at together; one longer text is still taken whole.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -184,6 +186,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     ``decoded``, ``ids_sha256`` and ``decoded_sha256``; the two texts of digests are hashed where they are made, so
     they need not travel. With ``with_ids=False`` ``ids`` and ``decoded`` are left out.
     """
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text] if keep is None else keep
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
     extra = ([pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())] if with_ids else []) + [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .hash_arrays import mix
 from .word_hashes import BASE, _inverse
 
@@ -32,7 +33,7 @@ EDIT_RATE = 0.06
 #: Characters of benchmark text per block of items.
 BLOCK_CHARS = 2_000_000
 #: Characters of documents looked at together; a longer document is still taken whole.
-CHUNK = 1_000_000
+CHUNK = 400_000
 FILTER_BITS = 22
 SPACE, GAP = 32, 0
 _CODES: list[np.ndarray] = []
@@ -206,6 +207,7 @@ def indexes(benchmark: DataFrame, item_id: str, text: str, q: int, edit_rate: fl
 def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, edit_rate: float = EDIT_RATE) -> DataFrame:
     """Rows (id, item_id, edits, start, end): each stretch of a document that is within the budget of a benchmark item."""
     spark = df.sparkSession
+    small_batches(spark)
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     out = None
     for index in indexes(benchmark, item_id, item_text, q, edit_rate):
@@ -226,6 +228,7 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, edit_rate: float = EDIT_RATE) -> DataFrame:
     """The rows of ``df`` whose text holds no benchmark item, all columns unchanged."""
     spark, schema = df.sparkSession, df.schema
+    small_batches(spark)
     for index in indexes(benchmark, item_id, item_text, q, edit_rate):
         shared = spark.sparkContext.broadcast(index)
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .word_hashes import END, token_chunks
 
 MIN_COSINE = 0.7
@@ -112,6 +112,7 @@ def stretches(texts: pa.Array) -> pa.Array:
 
 def own_licenses(files: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, min_cosine: float = MIN_COSINE, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` and ``own_license``, ``cosine`` of the best stretch (null if under the limit)."""
+    small_batches(files.sparkSession)
     keep = [c for c in files.columns if c != text] if keep is None else keep
     source = files.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])
     model = Templates(templates)

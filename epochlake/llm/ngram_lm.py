@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, small_batches
 from .hash_arrays import HashTable, mix, put_file, shard_of, worker_cache
 from .language_id import discounts
 from .word_hashes import BEGIN, END, token_chunks
@@ -126,6 +126,7 @@ class Model:
 
 def train(df: DataFrame, text: str = "text") -> Model:
     """Learn from every row of ``df``."""
+    small_batches(df.sparkSession)
     texts = df.select(F.col(text).cast("string").alias("text"))
     tokens, heavy = heavy_words(texts)
     model = Model(fresh_path(df.sparkSession, "ngram-lm"), tokens)

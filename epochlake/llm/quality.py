@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, small_batches
 from .hash_arrays import mix
 from .word_hashes import END, token_chunks
 
@@ -45,7 +45,7 @@ QUALITY = ["symbols", "capitals", "variety", "top word", "bars", "pairs", "excla
 TOXIC = ["insults", "slurs", "several", "none", "openings"]
 #: Bytes of a word's opening that the mined list goes by; least number and share of toxic texts with an opening, least precision.
 OPENINGS = (4, 5, 6, 7, 8, 9)
-LEAST_TEXTS, LEAST_SHARE, LEAST_PRECISION = 8, 0.005, 0.9
+LEAST_TEXTS, LEAST_SHARE, LEAST_PRECISION = 8, 0.005, 0.95
 #: Hand labels up to this number are broadcast; above it they are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 #: For each labeller of quality, the figure up to which it votes "fine" and that from which it votes "poor".
@@ -74,7 +74,7 @@ def figures(texts: pa.Array) -> Iterator[tuple]:
         own = offset - offset[0]
 
         def share(mask: np.ndarray, own=own) -> np.ndarray:
-            total = np.concatenate([[0], np.cumsum(mask)])
+            total = np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
             return total[own[1:]] - total[own[:-1]]
 
         upper, lower = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122)
@@ -195,28 +195,35 @@ def feature_rows(v: np.ndarray, first: int, token: np.ndarray, row: np.ndarray)
 def mine_openings(df: DataFrame, labels: DataFrame, id_col: str, text: str) -> list[np.ndarray]:
     """For each of ``OPENINGS``, the hashes of openings typical of toxic texts.
 
-    An opening must occur in ``LEAST_SHARE`` of the toxic texts, so the list is bounded by the openings per text.
+    An opening must occur in ``LEAST_SHARE`` of the toxic texts, so the list is bounded by the openings per text; only
+    those are then counted in the other texts.
     """
     marks = labels.filter("toxic is not null").groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
     if marks.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
     known = df.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("text")).join(marks, "__id").select("text", "toxic")
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mark = batch.column(1).to_numpy()
-            for _, _, _, row, *openings in token_chunks(batch.column(0), OPENINGS):
-                for k, opening in zip(OPENINGS, openings, strict=True):
-                    own = opening != 0
-                    pair = _distinct(opening[own], row[own])
-                    value, at = np.unique(pair[0], return_inverse=True)
-                    toxic = np.bincount(at, mark[pair[1]], len(value))
-                    clean = np.bincount(at, 1 - mark[pair[1]], len(value))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(toxic), pa.array(clean)], names=["k", "opening", "toxic", "clean"])
-
-    counted = known.mapInArrow(count, "k int, opening bigint, toxic double, clean double").groupBy("k", "opening").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    toxic_texts = known.filter("toxic = 1").count()
-    found = counted.filter((F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * toxic_texts)) & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean") + 0.5))).collect()
-    return [np.unique(np.array([r["opening"] for r in found if r["k"] == k], np.int64).view(np.uint64)) for k in OPENINGS]
+    def counted(texts: DataFrame, only: list[np.ndarray] | None) -> DataFrame:
+        """Rows (k, opening, n): in how many texts an opening occurs, of all openings or of those in ``only``."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, _, _, row, *openings in token_chunks(batch.column(0), OPENINGS):
+                    for j, (k, opening) in enumerate(zip(OPENINGS, openings, strict=True)):
+                        own = opening != 0 if only is None else np.isin(opening, only[j])
+                        value, n = np.unique(_distinct(opening[own], row[own])[0], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(n)], names=["k", "opening", "n"])
+
+        return texts.select("text").mapInArrow(count, "k int, opening bigint, n bigint").groupBy("k", "opening").agg(F.sum("n").alias("n"))
+
+    bad, good = known.filter("toxic = 1"), known.filter("toxic = 0")
+    least = max(LEAST_TEXTS, LEAST_SHARE * bad.count())
+    often = {(r["k"], r["opening"]): r["n"] for r in counted(bad, None).filter(F.col("n") >= least).collect()}
+    if not often:
+        return [np.zeros(0, np.uint64) for _ in OPENINGS]
+    likely = [np.unique(np.array([o for j, o in often if j == k], np.int64).view(np.uint64)) for k in OPENINGS]
+    clean = {(r["k"], r["opening"]): r["n"] for r in counted(good, likely).collect()}
+    typical = [x for x, n in often.items() if n >= LEAST_PRECISION * (n + clean.get(x, 0) + 0.5)]
+    return [np.unique(np.array([o for j, o in typical if j == k], np.int64).view(np.uint64)) for k in OPENINGS]
 
 
 def _distinct(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,6 +235,7 @@ def _distinct(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def train(df: DataFrame, text: str = "text", labels: DataFrame | None = None, id_col: str = "doc_id") -> Model:
     """Learn both targets from the texts and, for the mined list, from ``labels`` (id, toxic 0/1) if given."""
+    small_batches(df.sparkSession)
     mined = mine_openings(df, labels, id_col, text) if labels is not None else [np.zeros(0, np.uint64) for _ in OPENINGS]
     lists = [bare_hashes(INSULTS), bare_hashes(SLURS), *mined]
     texts = df.select(F.col(text).cast("string").alias("text"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions_of
+from .common import cut, partitions_of, small_batches
 from .components import components
 from .hash_arrays import mix
 
@@ -85,6 +85,7 @@ def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
     """Rows (id, f0, f1, ...): one per row of ``df``."""
+    small_batches(df.sparkSession)
     names = [f"f{k}" for k in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from .hash_arrays import mix
 
 #: Bytes of text looked at together; a longer text is still taken whole.
-CHUNK = 2_000_000
+CHUNK = 500_000
 #: Hash of the token that ends each text, and of the context before its first word.
 END, BEGIN = np.uint64(0x5EED_0E4D_0000_0001), np.uint64(0x5EED_0BE6_0000_0002)
 BASE = np.uint64(0x9E3779B97F4A7C15)
