@@ -98,9 +98,9 @@ def _(t):
     return rounded(w.zscore(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice"]).select("o_orderkey", "o_totalprice_z"), 4)
 
 
-@query("w16_within_between", "WITH m AS (SELECT *, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) OVER (PARTITION BY o_custkey) AS mu FROM orders), c AS (SELECT avg(mu) AS centre FROM (SELECT o_custkey, max(mu) AS mu FROM m GROUP BY 1)) SELECT o_orderkey, round(o_totalprice - mu, 1) AS o_totalprice_within, round(mu - centre, 1) AS o_totalprice_between FROM m, c")
+@query("w16_within_between", "WITH m AS (SELECT *, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) OVER (PARTITION BY o_custkey) AS mu FROM orders), c AS (SELECT avg(mu) AS centre FROM (SELECT o_custkey, max(mu) AS mu FROM m GROUP BY 1)) SELECT o_orderkey, round(o_totalprice - mu, 0) AS o_totalprice_within, round(mu - centre, 0) AS o_totalprice_between FROM m, c")
 def _(t):
-    return rounded(w.within_between(t.orders, ["o_custkey"], "o_totalprice", col("o_orderstatus") == "F").select("o_orderkey", "o_totalprice_within", "o_totalprice_between"), 1)
+    return rounded(w.within_between(t.orders, ["o_custkey"], "o_totalprice", col("o_orderstatus") == "F").select("o_orderkey", "o_totalprice_within", "o_totalprice_between"), 0)
 
 
 @query("w17_fill_group", f"WITH {EV} SELECT event_id, coalesce(CASE WHEN event_type = 'view' THEN k END, max(CASE WHEN event_type = 'view' THEN k END) OVER (PARTITION BY user_id)) AS filled FROM ev")
