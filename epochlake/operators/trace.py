@@ -211,7 +211,8 @@ def total_abs_curvature(segments: DataFrame, k: Keys, n: int = 61) -> DataFrame:
 
 
 def _grouped(df: DataFrame, k: Keys, columns: Sequence[str]) -> DataFrame:
-    return df.select(*dict.fromkeys([*k, *columns]))
+    names = list(dict.fromkeys([*k, *columns]))
+    return df.select(*names).toDF(*[f"{n}_" for n in names]).toDF(*names)  # new attributes, so that a table may meet itself
 
 
 def schema_of(df: DataFrame, k: Keys, more: str) -> str:
