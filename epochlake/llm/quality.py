@@ -285,7 +285,7 @@ def fit(sample: DataFrame, name: str, target: Target, model: Model) -> None:
     data = cut(data.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("y")).select("features", "y.*").filter("weight > 1e-6"))
     if data.select("label").distinct().count() < 2:
         return
-    fitted = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=40, standardization=False).fit(data)
+    fitted = LogisticRegression(weightCol="weight", regParam=1e-5, maxIter=100, standardization=False).fit(data)
     target.weights, target.bias = fitted.coefficients.toArray(), float(fitted.intercept)
 
 
