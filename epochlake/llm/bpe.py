@@ -32,7 +32,7 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
 SPACES = regex.compile(r"\s+")
 END = "</w>"
 #: Words kept per Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 120_000
 
 
 def byte_symbols() -> list[str]:
@@ -164,7 +164,7 @@ def _codec(path: str) -> BpeCodec:
 
 _LOADED: tuple[str, BpeCodec] | None = None
 #: Characters of text looked at together; one longer text is still taken whole.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:

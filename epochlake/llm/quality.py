@@ -279,7 +279,7 @@ def fit(sample: DataFrame, name: str, target: Target, model: Model) -> None:
                 ats, xs = ([a[bounds[k] : bounds[k + 1]] for k in range(last - first)] for a in (c, x))
                 yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(ats, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.float64()))], names=["p", "at", "x"])
 
-    made = sample.mapInArrow(rows, "p double, at array<int>, x array<double>")
+    made = cut(sample.mapInArrow(rows, "p double, at array<int>, x array<double>"))  # so that no stage needs two Python workers a task
     vector = F.udf(lambda at, x: Vectors.sparse(width, at, x), VectorUDT())
     data = made.select("p", vector("at", "x").alias("features"))
     data = cut(data.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("y")).select("features", "y.*").filter("weight > 1e-6"))
