@@ -1 +1 @@
-
+"""Operators on DataFrames, by group."""

@@ -162,9 +162,8 @@ def two_level(df: DataFrame, unit: str, groups: Keys, value: str) -> DataFrame:
 
 def t_quantile(p: float, df: int) -> float:
     """Quantile of Student's t by bisection of its distribution, integrated by Simpson's rule."""
-    from math import gamma, lgamma, pi, sqrt
+    from math import lgamma, pi, sqrt
 
-    del gamma
     scale = np.exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi)
 
     def cdf(x: float) -> float:

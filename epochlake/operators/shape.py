@@ -54,8 +54,7 @@ def set_change(base: Column, now: Column) -> list[Column]:
 def criteria_union(df: DataFrame, unit: Keys, item: str, primary: Mapping[str, Column], report: Mapping[str, Column], warn_at: float) -> DataFrame:
     """Items that meet any primary criterion, items that only meet report-only ones, the share of the former, a warning."""
     meets = lambda c: F.collect_set(F.when(c, F.col(item)))
-    anyof = lambda d: F.coalesce(*[c for c in [_any(d)]])
-    sets = df.groupBy(*unit).agg(meets(anyof(primary)).alias("__p"), meets(anyof(report)).alias("__r"), F.count_distinct(item).alias("__n"))
+    sets = df.groupBy(*unit).agg(meets(_any(primary)).alias("__p"), meets(_any(report)).alias("__r"), F.count_distinct(item).alias("__n"))
     share = F.size("__p") / F.col("__n")
     return sets.select(*unit, F.array_join(F.array_sort("__p"), ";").alias("primary_items"), F.array_join(F.array_sort(F.array_except("__r", "__p")), ";").alias("report_items"), share.alias("share"), (share > warn_at).alias("warning"))
 

@@ -1 +1 @@
-
+"""Scans and sinks."""

@@ -1 +1 @@
-
+"""No operator: what is to be rebuilt reads no unbounded stream."""
