@@ -45,32 +45,45 @@ def channel_metrics(chunks: DataFrame, k: Keys, chunk: str = "chunk", samples: s
 
     partial = chunks.select(*k, F.col(chunk).cast("bigint").alias(chunk), samples).mapInPandas(reduce, schema)
 
-    def merge(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("chunk_no")
+    numbers = [f.split()[0] for f in part.split(", ")]
+
+    def merged(rows) -> tuple:
+        """The chunks' numbers, in order, as those of the whole channel."""
         n = mean = m2 = 0.0
-        step, run, open_run, clip_run, open_clip, before = np.nan, 0, 0, 0, 0, np.nan
-        for r in p.itertuples(index=False):
-            if r.n == 0:
+        size, step, lo, hi, before = 0, -np.inf, np.inf, -np.inf, np.nan
+        run = open_run = clip_run = open_clip = 0
+        for r in rows:
+            if not r["n"]:
                 continue
-            d = r.mean - mean
-            total = n + r.n_finite
-            if total:
-                m2 += r.m2 + d * d * n * r.n_finite / total
-                mean += d * r.n_finite / total
-            n = total
-            jump = abs(r.first - before)
-            step = np.nanmax([step, r.max_step, jump]) if not np.isnan([step, r.max_step, jump]).all() else np.nan
-            joined = bool(jump <= flat)
-            open_run = (open_run + joined) if joined else 0
-            run = max(run, open_run + r.lead if joined else 0, r.run)
-            open_run = open_run + r.trail if r.trail == r.n - 1 else r.trail
-            clip_run = max(clip_run, open_clip + r.clip_lead, r.clip_run)
-            open_clip = open_clip + r.clip_trail if r.clip_trail == r.n else r.clip_trail
-            before = r.last
-        lo, hi = p["lo"].min(), p["hi"].max()
-        return pd.DataFrame([(*key, int(p["n"].sum()), int(n), mean if n else np.nan, m2 / n if n else np.nan, hi - lo, lo, hi, step, run + 1 if run else int(n > 0), clip_run)])
-
-    return partial.groupBy(*k).applyInPandas(merge, schema_of(chunks, k, "n bigint, n_finite bigint, mean double, variance double, ptp double, min double, max double, max_step double, flat_run bigint, clip_run bigint"))
+            size += r["n"]
+            if r["n_finite"]:
+                d, total = r["mean"] - mean, n + r["n_finite"]
+                m2 += r["m2"] + d * d * n * r["n_finite"] / total
+                mean += d * r["n_finite"] / total
+                n, lo, hi = total, min(lo, r["lo"]), max(hi, r["hi"])
+            first, last, inner = (np.nan if r[x] is None else r[x] for x in ("first", "last", "max_step"))
+            jump = abs(first - before)
+            step = max([step, *(x for x in (inner, jump) if x == x)])
+            joined = jump <= flat
+            open_run = open_run + 1 if joined else 0
+            run = max(run, open_run + r["lead"] if joined else 0, r["run"])
+            open_run = open_run + r["trail"] if r["trail"] == r["n"] - 1 else r["trail"]
+            clip_run = max(clip_run, open_clip + r["clip_lead"], r["clip_run"])
+            open_clip = open_clip + r["clip_trail"] if r["clip_trail"] == r["n"] else r["clip_trail"]
+            before = last
+        nan = float("nan")
+        return size, int(n), mean if n else nan, m2 / n if n else nan, hi - lo if n else nan, lo if n else nan, hi if n else nan, step if step >= 0 else nan, run + 1 if run else int(n > 0), clip_run
+
+    out = "n bigint, n_finite bigint, mean double, variance double, ptp double, min double, max double, max_step double, flat_run bigint, clip_run bigint"
+
+    def merge(batches):
+        for df in batches:
+            rows = [merged(r) for r in df["__parts"]]
+            made = pd.DataFrame(rows, columns=[f.split()[0] for f in out.split(", ")])
+            yield pd.concat([df[list(k)].reset_index(drop=True), made], axis=1)
+
+    lists = partial.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct(*numbers))).alias("__parts"))
+    return lists.mapInPandas(merge, schema_of(chunks, k, out))
 
 
 def whole_signals(chunks: DataFrame, k: Keys, chunk: str = "chunk", samples: str = "samples") -> DataFrame:

@@ -68,6 +68,13 @@ def test_channel_metrics_do_not_depend_on_chunks(spark):
         assert (r["n"], r["flat_run"], r["clip_run"]) == (500, 35, 3)
 
 
+def test_channel_metrics_skip_what_is_not_finite(spark):
+    rows = [("a", 0, [float("nan"), 1.0, 3.0]), ("a", 1, [float("nan")]), ("a", 2, [2.0, float("inf")]), ("b", 0, [float("nan")]), ("c", 0, [])]
+    got = {r["ch"]: r for r in signal.channel_metrics(spark.createDataFrame(rows, "ch string, chunk int, samples array<double>"), ["ch"]).collect()}
+    assert (got["a"]["n"], got["a"]["n_finite"], got["a"]["mean"], got["a"]["ptp"]) == (6, 3, 2.0, 2.0)
+    assert (got["b"]["n"], got["b"]["n_finite"], got["c"]["n"]) == (1, 0, 0)
+
+
 # ---- shapes
 
 
