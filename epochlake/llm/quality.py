@@ -62,8 +62,33 @@ def bare_hashes(words: list[str]) -> np.ndarray:
     return word_hashes([a + w + b for w in words for a in ("", '"', "(") for b in ("", ".", ",", "!", "?", ";", ":", "###", "$$$", "%%%", "&&&", "***", "!!", '"', ")")])
 
 
+def by_row(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, value) pairs: the value's leading 48 bits, the row (below 65,536), how often each occurs."""
+    key = np.sort((row.astype(np.uint64) << np.uint64(48)) | (value >> np.uint64(16)))
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    key, times = key[heads], np.diff(np.append(heads, len(key)))
+    return key & np.uint64((1 << 48) - 1), (key >> np.uint64(48)).astype(np.int64), times
+
+
+def among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
+class Openings:
+    """A sorted list of opening hashes behind a table of their leading 16 bits."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.table = known, np.zeros(1 << 16, bool)
+        self.table[known >> np.uint64(48)] = True
+
+    def hits(self, opening: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.table[opening >> np.uint64(48)])
+        return at[among(self.known, opening[at])]
+
+
 def figures(texts: pa.Array) -> Iterator[tuple]:
-    """(first row, row after the last, figures by QUALITY, tokens, their rows, openings) of groups of texts."""
+    """(first row, row after the last, figures by QUALITY, tokens, their rows, openings, distinct words) of groups of texts."""
     import pyarrow.compute as pc
 
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -89,19 +114,13 @@ def figures(texts: pa.Array) -> Iterator[tuple]:
         words = np.bincount(row - first, minlength=n) - 1
         some = np.maximum(words, 1)
         word, at = token[token != END], (row - first)[token != END]
-        order = np.lexsort((word, at))
-        w, r = word[order], at[order]
-        heads = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (r[1:] != r[:-1])])) if len(w) else np.zeros(0, np.int64)
-        times = np.diff(np.append(heads, len(w)))
+        kind, r, times = by_row(at, word)
         top = np.zeros(n)
-        np.maximum.at(top, r[heads], times)
-        kinds = np.bincount(r[heads], minlength=n)
+        np.maximum.at(top, r, times)
+        kinds = np.bincount(r, minlength=n)
         same_row = at[1:] == at[:-1]
         pair, pair_row = mix(word[:-1] * np.uint64(3) + word[1:])[same_row], at[1:][same_row]
-        order = np.lexsort((pair, pair_row))
-        p, q = pair[order], pair_row[order]
-        fresh = np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])]) if len(p) else np.zeros(0, bool)
-        pair_kinds = np.bincount(q[fresh], minlength=n)
+        pair_kinds = np.bincount(by_row(pair_row, pair)[1], minlength=n)
         expected = np.minimum(some, 60 + 0.15 * some)  # words seldom stay new in a long text
         out = np.stack(
             [
@@ -118,21 +137,21 @@ def figures(texts: pa.Array) -> Iterator[tuple]:
             axis=1,
         )
         out[words == 0, 0] = 1.0
-        yield first, last, out, token, row, openings
+        yield first, last, out, token, row, openings, (kind, r, times)
 
 
 def votes(texts: pa.Array, lists: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, votes on quality, votes on toxicity, tokens, their rows); a vote is 1 (yes, bad), 0 (no) or 2 (none)."""
     low, high = (np.array([LIMITS[k][j] for k in QUALITY]) for j in (0, 1))
-    insults, slurs, *mined = lists
-    for first, last, figure, token, row, openings in figures(texts):
+    insults, slurs = (np.unique(x >> np.uint64(16)) for x in lists[:2])
+    both, mined = np.union1d(insults, slurs), [Openings(x) for x in lists[2:]]
+    for first, last, figure, token, row, openings, (kind, r, times) in figures(texts):
         quality = np.where(figure >= high, 1, np.where(figure <= low, 0, 2)).astype(np.int8)
         n = last - first
-        a, b = (np.bincount((row - first)[np.isin(token, w)], minlength=n) for w in (insults, slurs))
-        either = np.bincount((row - first)[np.isin(token, np.union1d(insults, slurs))], minlength=n)
+        a, b, either = (np.bincount(r[hit], times[hit], n) for hit in (among(x, kind) for x in (insults, slurs, both)))
         learned = np.zeros(n, bool)
         for known, opening in zip(mined, openings, strict=True):
-            learned[(row - first)[np.isin(opening, known)]] = True
+            learned[(row - first)[known.hits(opening)]] = True
         toxic = np.stack([np.where(a > 0, 1, 2), np.where(b > 0, 1, 2), np.where(either > 1, 1, 2), np.where((either == 0) & ~learned, 0, 2), np.where(learned, 1, 2)], axis=1).astype(np.int8)
         yield first, last, quality, toxic, token, row
 
