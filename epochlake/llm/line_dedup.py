@@ -11,7 +11,11 @@ depend on their own content alone, so equal passages have equal runs.
   neighbouring lines. Of equal runs the first in the order of (document id, place) stays, the lines of all later
   ones are deleted. Overlapping runs of a longer passage delete it whole.
 
-A line is deleted if and only if it lies in a run that stood earlier; shorter repeats stay. Defined results: null
+A line is deleted if and only if it lies in a run that stood earlier; shorter repeats stay. With ``both_ways`` the runs
+that end at a line and go back until they have ``run_words`` words count too. Each line of a repeated stretch of at
+least ``run_words`` words lies in one or the other: a line with enough words from it to the stretch's end starts a run, any
+other lies in the run that goes back from the end. So matches are deleted as far as they extend to either side,
+short last lines included, and no pair of documents is formed. Defined results: null
 text stays null, empty text stays empty, blank lines count for nothing and stay unless they lie inside a deleted
 run; a document may end up empty but its row stays. A null id sorts first. Rows with equal ids count as one place: equal
 runs at the same place in them all stay. U+0001 in a text is a line end and is lost where lines are deleted. Extra
@@ -56,7 +60,7 @@ def if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def deletions(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+def deletions(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, both_ways: bool = False) -> DataFrame:
     """Rows (__key, stretches): the lines to delete as (first, last), one row per document that has any."""
     spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null")
@@ -72,10 +76,22 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_wor
     low = (1 << PLACE_BITS) - 1
     mark = F.col("h").bitwiseAND(F.lit(~low)).bitwiseOR(F.col("place").cast("bigint").bitwiseAND(F.lit(low)))
     run = Window.partitionBy("row").orderBy("before").rangeBetween(0, run_words - 1)
-    runs = placed.withColumn("mark", mark).select(
-        "id", "__key", "place", "h", "before", F.max("place").over(run).alias("last"), F.max("after").over(run).alias("end"), (F.max("steps").over(run) - F.col("steps")).alias("steps"), F.min("mark").over(run).alias("mark")
+    marked = placed.withColumn("mark", mark)
+    from_here = F.struct(
+        "place", "h", "before", F.max("place").over(run).alias("last"), F.max("after").over(run).alias("end"), (F.max("steps").over(run) - F.col("steps")).alias("steps"), F.min("mark").over(run).alias("mark")
     )
-    runs = runs.filter(F.col("end") - F.col("before") >= run_words)
+    runs = marked.withColumn("from_here", from_here)
+    if both_ways:
+        back = Window.partitionBy("row").orderBy("after").rangeBetween(1 - run_words, 0)
+        to_here = F.struct(
+            F.first("place").over(back).alias("place"), F.first("h").over(back).alias("h"), F.first("before").over(back).alias("before"), F.col("place").alias("last"), F.col("after").alias("end"),
+            (F.col("steps") - F.first("steps").over(back)).alias("steps"), F.min("mark").over(back).alias("mark"),
+        )
+        # Where the words before this line don't suffice, the run back equals the run from its own first line.
+        runs = runs.withColumn("to_here", to_here).withColumn("run", F.explode(F.array("from_here", F.when(F.col("before") - F.col("to_here.before") >= run_words, F.col("to_here")))))
+    else:
+        runs = runs.withColumn("run", F.col("from_here"))
+    runs = runs.select("id", "__key", "run.*").filter(F.col("end") - F.col("before") >= run_words)
     path = fresh_path(spark, "line-runs")
     runs.select("id", "__key", "place", "last", F.col("mark").bitwiseAND(F.lit(~low)).alias("print"), F.xxhash64("__key", "mark").alias("at"), F.xxhash64("h", F.col("end") - F.col("before"), "steps").alias("run")).write.parquet(path)
     runs = spark.read.parquet(path)
@@ -92,9 +108,9 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_wor
     return islands.groupBy("__key").agg(F.collect_list(F.struct("first", "last")).alias("stretches"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, both_ways: bool = False) -> DataFrame:
     """All columns of ``df`` with the repeated runs cut out of the text, and ``n_deleted`` (lines, blank ones included)."""
-    found = cut(deletions(df, id_col, text, run_words))
+    found = cut(deletions(df, id_col, text, run_words, both_ways))
     keyed = df.withColumn("__text", F.col(text).cast("string")).withColumn("__key", key_of(id_col, "__text"))
     joined = keyed.join(if_small(found), "__key", "left")
     kept = F.filter(lines_of(F.col("__text")), lambda x, k: ~F.exists("stretches", lambda s: (k >= s["first"]) & (k <= s["last"])))

@@ -56,6 +56,24 @@ FROM documents d LEFT JOIN rebuilt r ON r.doc_id = d.doc_id AND r.text = d.text
 """
 
 
+def op9_line_dedup_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_line_dedup, with matches extended both ways."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), both_ways=True)
+    return found.select("doc_id", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
+
+
+#: The same, with the runs that go back from a line.
+LINE_DEDUP_EXTENDED_SQL = LINE_DEDUP_SQL.replace(
+    "), ranked AS (",
+    """), back AS (
+  SELECT doc_id, text, min(place) OVER run AS place, place AS last, sum(n) OVER run AS words, list(line) OVER run AS content, sum(n) OVER run - n AS words_before
+  FROM placed WINDOW run AS (PARTITION BY doc_id, text ORDER BY before + n RANGE BETWEEN 39 PRECEDING AND CURRENT ROW)
+), both_ways AS (
+  SELECT * FROM runs WHERE words >= 40 UNION ALL SELECT doc_id, text, place, last, words, content FROM back WHERE words_before >= 40
+), ranked AS (""",
+).replace("FROM runs WHERE words >= 40\n", "FROM both_ways\n")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode(docs, tokenizer_path(), keep=["doc_id"], with_ids=False)
@@ -157,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
     "op9_line_dedup": op9_line_dedup,
+    "op9_line_dedup_extended": op9_line_dedup_extended,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op4_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
+ORACLES: dict[str, str] = {"op4_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op9_line_dedup_extended": LINE_DEDUP_EXTENDED_SQL}

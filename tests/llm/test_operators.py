@@ -155,6 +155,55 @@ def test_line_dedup_equals_plain_python(spark):
     assert [got[i] for i in range(len(texts))] == plain_line_dedup(texts, 15)
 
 
+def plain_stretch_dedup(texts, words):
+    """Delete every line inside a match of at least ``words`` words with an earlier place, grown line by line to both sides."""
+    docs = []
+    for t in texts:
+        marked = t or ""
+        for e in line_dedup.ENDS:
+            marked = marked.replace(e, e + "\x01")
+        lines = marked.split("\x01")
+        docs.append((lines, [(k, x.strip(" \n")) for k, x in enumerate(lines) if x.strip(" \n")]))
+    places = {}
+    for d, (_, own) in enumerate(docs):
+        for p, (_, x) in enumerate(own):
+            places.setdefault(x, []).append((d, p))
+    out = []
+    for d, (lines, own) in enumerate(docs):
+        gone = set()
+        for p, (_, x) in enumerate(own):
+            for e, q in places[x]:
+                if (e, q) >= (d, p):
+                    break
+                other, a, b = docs[e][1], 0, 1
+                while min(p, q) - a > 0 and own[p - a - 1][1] == other[q - a - 1][1]:
+                    a += 1
+                while p + b < len(own) and q + b < len(other) and own[p + b][1] == other[q + b][1]:
+                    b += 1
+                match = own[p - a : p + b]
+                if sum(y.count(" ") + 1 for _, y in match) >= words:
+                    gone.update(range(match[0][0], match[-1][0] + 1))
+        out.append(("".join(x for k, x in enumerate(lines) if k not in gone) if gone else texts[d], len(gone)))
+    return out
+
+
+def test_line_dedup_extends_matches_both_ways(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    passage = f"{text(25)}. {text(25)}. {text(10)}. "
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, [f"{text(50)}. {passage}{text(50)}", f"Go. {passage}On {text(50)}"], extra=False), both_ways=True).collect()}
+    assert passage in got[0] and got[1].startswith("Go. On u")
+    lines = [" ".join(f"v{rng.randrange(50)}" for _ in range(rng.randint(1, 12))) + rng.choice([".", "", "!"]) for _ in range(60)]
+    texts = [*ODD[:6], *(rng.choice(["\n", " "]).join(rng.choice(lines) for _ in range(rng.randint(1, 40))) for _ in range(40))]
+    for _ in range(40):
+        a = rng.randrange(50)
+        texts.append(rng.choice(["\n", " \n\n", "\n"]).join([rng.choice(lines), *lines[a : a + rng.randint(2, 9)], rng.choice(lines)]))
+    texts += [texts[20], "y. " * 200, "y. " * 90]
+    got = {r["doc_id"]: (r["text"], r["n_deleted"]) for r in line_dedup.dedup_lines(docs(spark, texts, extra=False), run_words=15, both_ways=True).collect()}
+    want = plain_stretch_dedup(texts, 15)
+    assert [got[i] for i in range(len(texts))] == want and want != plain_line_dedup(texts, 15)
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(docs(spark, [], extra=False)).count() == 0
 
