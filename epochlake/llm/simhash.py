@@ -15,7 +15,7 @@ Equal fingerprints are one class before any of this. A cell with more than ``CEL
 pairs of blocks. A task reports a spanning forest of the links it found, never all pairs, so a group of n near
 copies costs at most n rows per cell. The links are joined up to components.
 
-``near_texts`` does the same with fingerprints of 256 bits for looser similarities, where a grid is a random choice of segments.
+``near_texts`` is for looser similarities, which fingerprints can't separate: it compares the shingle sets themselves.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and links like any other;
 with fewer words than a shingle the whole sequence is the one shingle. Repeated rows stay; a null id takes part but
@@ -24,7 +24,6 @@ never names a component. Extra columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shingle_sets
 from .common import cut, partitions_of, small_batches
 from .components import components
 from .hash_arrays import mix
@@ -43,8 +43,6 @@ SEED = 42
 CELL_ROWS = 4096
 #: Hashes whose bits are counted at once.
 BIT_ROWS = 65_536
-#: 64-bit words of a wide fingerprint; members of a cell of a sampled grid, about; chance that all grids miss a pair.
-LANES, CELL_MEMBERS, MISS = 4, 100, 0.02
 #: Ids of dropped documents up to this number are broadcast; above it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -224,41 +222,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     return named(prints, classes, links(classes.select("node", "f0"), radius, masks), ["f0"]).withColumnRenamed("f0", "fp")
 
 
-def sampled_masks(n: int, lanes: int, flip: float) -> list[tuple[int, ...]]:
-    """Random grids for wide fingerprints: enough that a pair whose bits differ with chance ``flip`` misses all with chance ``MISS``.
-
-    A grid takes as many segments as leave about ``CELL_MEMBERS`` fingerprints to a cell, so the cells don't grow
-    with the input; the number of grids does, slowly.
-    """
-    same = (1 - flip) ** 2 + flip**2 / 2
-    segments = max(2, math.ceil(math.log(max(n, 2) / CELL_MEMBERS + 1) / -math.log(0.375)))
-    grids = math.ceil(math.log(MISS) / math.log(1 - same**segments))
-    rng, out = np.random.default_rng(11), []
-    for _ in range(grids):
-        mask = [0] * lanes
-        for s in rng.choice(32 * lanes, min(segments, 32 * lanes), replace=False).tolist():
-            mask[s // 32] |= 3 << (2 * (s % 32))
-        out.append(tuple(m - (1 << 64) if m >= 1 << 63 else m for m in mask))
-    return out
-
-
 def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows (id, f0..f3, component_id): texts of a Jaccard similarity of about ``similarity`` or more link.
+    """Rows (id, node, component_id): texts whose shingle sets have a Jaccard similarity of ``similarity`` or more link, no others.
 
-    At such distances 64 bits can't tell copies from chance, so fingerprints have 256 (``LANES`` lanes). Two sets of
-    Jaccard similarity s meet at a cosine of 2s / (1 + s), which sets the expected share of differing bits; the
-    radius lies two standard deviations above, so that a pair just at ``similarity`` is taken with 98 % and unlike
-    texts stay ten deviations away. Distances of pairs found are exact; the grids find a pair with a chance of 1 - ``MISS``.
+    No fingerprint can tell similarities just above the limit from those just below, so candidates come from an
+    exact prefix join and are compared as sets (``shingle_sets``); what that finds doesn't depend on the input's size.
     """
-    lanes = LANES
-    flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * lanes
-    radius = math.floor(bits * flip + 2 * math.sqrt(bits * flip * (1 - flip)))
-    keys = [f"f{k}" for k in range(lanes)]
-    prints = cut(fingerprints(df, id_col, text, words, lanes))
-    classes = cut(prints.groupBy(*keys).agg(F.min("id").alias("first")).withColumn("node", F.xxhash64(*keys)))
-    found = links(classes.select("node", *keys), radius, sampled_masks(classes.count(), lanes, flip))
-    return named(prints, classes, found, keys)
+    rows, uri = shingle_sets.write_sets(df, id_col, text, words, similarity)
+    rows = cut(rows)
+    classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.first(F.struct("file", "at", "n", "cells")).alias("own")).select("node", "first", "own.*"))
+    members = classes.select("node", "first").join(components(shingle_sets.links(classes, uri, similarity)), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    least = members.join(members.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")
+    return rows.select("id", "node").join(least, "node", "left").select("id", "node", "component_id")
 
 
 def drop_near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -107,6 +107,29 @@ def test_near_texts_keep_one_of_each_group(spark):
     assert sorted(i for i in kept if i is not None) == [5 * g for g in range(20)]
 
 
+@pytest.mark.parametrize("cell_rows", [4096, 8])
+def test_near_texts_equal_exact_similarity(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(simhash, "CELL_ROWS", cell_rows)
+    rng = random.Random(7)
+    texts = list(ODD)
+    for _ in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([12, 60, 200, 900]))]
+        for _ in range(14):
+            t = list(base)
+            for p in rng.sample(range(len(t)), rng.randint(0, max(1, len(t) // 25))):
+                t[p] = f"w{rng.randrange(3000)}"
+            texts.append(" ".join(t))
+
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    want = groups(len(texts), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    got = {r["id"]: r["component_id"] for r in simhash.near_texts(docs(spark, texts, extra=False)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 40 < len(set(want)) < len(texts)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k + 1, k) for k in range(100, 140)] + [(900, k) for k in range(901, 930)] + [(7, 3), (3, 7), (5, 5)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
