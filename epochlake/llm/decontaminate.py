@@ -11,7 +11,8 @@ Items are taken in blocks of ``BLOCK_CHARS``; a block's index (sorted q-grams wi
 scanned whole, by arrays over a few megabytes of text at a time, without a shuffle.
 
 k is lowered where the bound would be under 1. Defined results: items with fewer than q normalised characters are
-left out (they would match anywhere); null and empty texts match nothing; equal items each match; a repeated row
+left out (they would match anywhere); null and empty texts match nothing; equal items each match; an item without id
+matches like any other, with a null item_id; a repeated row
 has its own matches. Extra columns are not read.
 """
 
@@ -180,7 +181,7 @@ def find(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int
                 last = (c, a, b, r)
             if last:
                 out.append((last[3], index.ids[k], last[0], int(origin[last[1]]), int(origin[last[2] - 1]) + 1))
-    return sorted(set(out))
+    return sorted(set(out), key=lambda x: (x[0], x[1] is not None, x[1] or 0, *x[2:]))
 
 
 def text_groups(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -196,7 +197,7 @@ def text_groups(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]
 
 def indexes(benchmark: DataFrame, item_id: str, text: str, q: int, edit_rate: float) -> Iterator[Index]:
     """One index per block of items; a block is what the driver holds at a time."""
-    rows = benchmark.select(F.col(item_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null and text is not null")
+    rows = benchmark.select(F.col(item_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null")
     blocks = max(1, -(-(rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // BLOCK_CHARS))
     for b in range(blocks):
         own = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()

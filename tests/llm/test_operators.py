@@ -276,6 +276,15 @@ def test_decontamination_equals_the_plain_recurrence(spark):
     assert kept == {None, *range(len(texts))} - {d for d, _ in want}
 
 
+def test_decontamination_by_items_without_id(spark):
+    items = ["the quick brown fox jumps over the lazy dog at noon", "seventeen small boats lay in the harbour that night"]
+    bench = spark.createDataFrame([(None, items[0]), (5, items[1]), (None, None)], "item_id bigint, text string")
+    df = docs(spark, [f"before {items[0]} after", f"x {items[1]} y {items[0]} z", "nothing of them"], extra=False)
+    got = {(r["id"], r["item_id"], r["edits"]) for r in decontaminate.matches(df, bench).collect()}
+    assert got == {(0, None, 0), (1, 5, 0), (1, None, 0)}
+    assert [r["doc_id"] for r in decontaminate.clean(df, bench).collect()] == [2]
+
+
 def test_decontamination_without_items(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.matches(docs(spark, ODD), none).count() == 0 and decontaminate.clean(docs(spark, ODD), none).count() == len(ODD) + 1
