@@ -39,7 +39,7 @@ def url_tokens(url: Column) -> Column:
     fragment = F.regexp_extract(text, r"(?s)^.*?://[^#]*#(.*)", 1)
 
     def tagged(tag: str, parts: Column) -> Column:
-        return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(tag), F.substring(x, 1, 64)))
+        return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(tag), x))
 
     shaped = F.regexp_replace(ascii_lower(path), "[0-9]+", "0")
     return F.array_distinct(

@@ -395,6 +395,12 @@ def test_mined_url_rules(spark, monkeypatch, limit):
     assert got == {i: "block" if any(t <= tokens[i] for t, _ in rules) else "allow" for i in tokens}
 
 
+def test_url_tokens_are_whole(spark):
+    slug = "a" * 64
+    df = spark.createDataFrame([(f"http://h.net/{slug}x",), (f"http://h.net/{slug}y",)], "url string")
+    assert [set(r[0]) for r in df.select(url_filters.url_tokens(df.url)).collect()] == [{"h:h", "h:net", f"p:{slug}{c}"} for c in "xy"]
+
+
 def test_url_query_keeps_every_row(spark):
     assert op8_url_filters(spark, SF).count() == spark.read.parquet(f"{SF}/pages.parquet").count()
 
