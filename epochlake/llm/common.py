@@ -15,19 +15,43 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a new one (local runs, tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode (tests) a new one if it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = known.rsplit("/", 1)[0] if known else "file://" + tempfile.mkdtemp(prefix="epochlake-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _folder_of_run(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; deleted when its JVM ends."""
+    uri = f"{shared_folder(spark)}/epochlake-{spark.sparkContext.applicationId}"
+    if uri not in _FOLDERS:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(uri)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _FOLDERS.add(uri)
+    return uri
+
+
+_FOLDERS: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses; it goes when the application ends, or by ``discard``."""
+    return f"{_folder_of_run(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, uri: str) -> None:
+    """Delete what stands at a path of ``fresh_path`` once nothing reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

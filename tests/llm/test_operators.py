@@ -253,29 +253,55 @@ def norm(t):
 def test_decontamination_equals_the_plain_recurrence(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
-    items = [" ".join(word() for _ in range(rng.randint(8, 25))) for _ in range(8)] + ["tiny"]
+    items = [" ".join(word() for _ in range(rng.randint(8, 25))) for _ in range(8)] + ["tiny", "seventeen letters", "ten letter", "!?", ""]
     texts = list(ODD)
     for _ in range(60):
-        t, edits = rng.choice(items[:-1]), rng.randint(0, 12)
+        t, edits = rng.choice(items[:8] + items[9:11]), rng.randint(0, 12)
         t = list(t)
         for _ in range(edits):
             p = rng.randrange(len(t))
             t[p : p + 1] = rng.choice([[], [rng.choice("abcxyz")], [t[p], "q"]])
         texts.append(" ".join(word() for _ in range(9)) + " " + "".join(t).upper() + ",  " + word())
+    texts += ["tiny things", " Tiny.\n"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     got = {(r["id"], r["item_id"]): r["edits"] for r in decontaminate.matches(docs(spark, texts, extra=False), bench).collect()}
-    index = decontaminate.Index(list(enumerate(items)), decontaminate.Q, decontaminate.EDIT_RATE)
     want = {}
     for d, t in enumerate(texts):
-        for k, i in enumerate(index.ids):
-            n = best_distance(norm(items[i]), norm(t)) if t and len(t) < 2000 else 99
-            if n <= index.edits[k]:
+        for i, item in enumerate(map(norm, items)):
+            n = best_distance(item, norm(t)) if t and len(t) < 2000 else 99
+            if item and n <= int(len(item) * decontaminate.EDIT_RATE) and (len(item) >= decontaminate.Q or item == norm(t)):
                 want[d, i] = n
-    assert got == want and len(want) > 20 and 8 not in index.ids
+    assert got == want and len(want) > 20 and (len(texts) - 1, 8) in want
     kept = {r["doc_id"] for r in decontaminate.clean(docs(spark, texts), bench).collect()}
     assert kept == {None, *range(len(texts))} - {d for d, _ in want}
 
 
+def test_decontamination_does_not_depend_on_neighbours(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    items = [" ".join(word() for _ in range(rng.randint(4, 25))) for _ in range(6)] + ["tiny"]
+    texts = []
+    for _ in range(80):
+        t = f"{word()} {rng.choice(items)} {word()}"
+        p = rng.randrange(len(t) + 1)
+        texts += [t[:p], t[p:], rng.choice(["", None, "tiny", t])]
+    indexes = [decontaminate.Index(q, a) for q, a in decontaminate.indexes_of(list(enumerate(items)), decontaminate.Q, decontaminate.EDIT_RATE).items()]
+    alone = [(r, *x[1:]) for r, t in enumerate(texts) for x in decontaminate.find([t], indexes)]
+    assert sorted(decontaminate.find(texts, indexes)) == sorted(alone) and 80 < len(alone)
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    monkeypatch.setattr(decontaminate, "CELLS", 100)
+    assert sorted(decontaminate.find(texts, indexes)) == sorted(alone)
+
+
+def test_decontamination_by_items_with_one_opening():
+    rng = random.Random(3)
+    opening = "answer the following question about the passage above in one short sentence only "
+    items = [opening + "".join(rng.choice("abcdefgh ") for _ in range(40)) for _ in range(3000)]
+    indexes = [decontaminate.Index(q, a) for q, a in decontaminate.indexes_of(list(enumerate(items)), decontaminate.Q, decontaminate.EDIT_RATE).items()]
+    text = " ".join([opening] * 20 + [items[7], items[2999]])
+    assert {7, 2999} <= {k for _, k, *_ in decontaminate.find([text], indexes)}
+
+
 def test_decontamination_by_items_without_id(spark):
     items = ["the quick brown fox jumps over the lazy dog at noon", "seventeen small boats lay in the harbour that night"]
     bench = spark.createDataFrame([(None, items[0]), (5, items[1]), (None, None)], "item_id bigint, text string")
