@@ -8,9 +8,12 @@ Retrieval loses nothing. Unit vectors of cosine c are sqrt(2 - 2c) apart, and th
 that, so in one of the m parts they differ by at most (2 - 2c) / m in square. A coordinate whose sign differs adds at
 least the squares of both values, so one of the two vectors has flipped coordinates whose squares sum to at most
 half of that. Each vector is therefore stored under its own part, and looked up under every part that such a flip
-set makes. Rerank: each retrieved pair is checked by the cosine of the original vectors in double precision.
+set makes. Where a vector has more than ``PROBES`` such parts it is looked up by the parts' leading bits, under which
+all vectors are stored too (every ``STEP`` bits): it has at most ``TABLES`` * (bits / (TABLES * STEP) + PROBES) rows in any
+number of dimensions, and short keys cost longer buckets, not lost links. Rerank: each retrieved pair is checked by the cosine
+of the original vectors in double precision.
 
-Defined results: a vector without id, label or components, with null, NaN or infinite components, or of zero length
+Ids may repeat: a vector is known by a number of its own. Defined results: a vector without id, label or components, with null, NaN or infinite components, or of zero length
 links with nothing and is its own component. Vectors of different lengths never link. Equal rows count as vectors
 of their own. Extra columns are not read.
 """
@@ -31,6 +34,10 @@ from .hash_arrays import mix
 #: Vectors that the rotation is learned on: the stated bound of the sample.
 FIT_ROWS = 4096
 BITS, TABLES, STEPS = 64, 4, 30
+#: Codes a vector is looked up under in a table, at most; bits between the key lengths that vectors are stored under.
+PROBES, STEP = 64, 4
+#: Vectors whose probes are made together.
+PROBE_ROWS = 512
 MIN_COSINE = 0.98
 
 
@@ -57,17 +64,37 @@ def unit(values: np.ndarray) -> np.ndarray:
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
-def probes(coordinates: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, code) for each code that arises by flipping coordinates whose squares sum to at most the budget."""
+def codes_of(coordinates: np.ndarray) -> np.ndarray:
+    """Signs as bits; the first coordinate is the lowest bit."""
+    return ((coordinates >= 0) @ (1 << np.arange(coordinates.shape[1], dtype=np.int64))).astype(np.int64)
+
+
+def probes(coordinates: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, level, code of the first ``level`` bits) of each code that flipping coordinates whose squares sum to at most the budget makes.
+
+    A row goes on to the next ``STEP`` bits as long as it has at most ``PROBES`` codes; the first step has 2**STEP at most.
+    """
     n, s = coordinates.shape
-    square = coordinates**2
-    owner = np.arange(n)
-    code = ((coordinates >= 0) @ (1 << np.arange(s, dtype=np.int64))).astype(np.int64)
-    spent = np.zeros(n)
-    for j in range(s):
-        more = spent + square[owner, j] <= budget
-        owner, code, spent = np.concatenate([owner, owner[more]]), np.concatenate([code, code[more] ^ (1 << j)]), np.concatenate([spent, spent[more] + square[owner[more], j]])
-    return owner, code
+    square, code = coordinates**2, codes_of(coordinates)
+    owner, flip, spent, out = np.arange(n), np.zeros(n, np.int64), np.zeros(n), []
+    for low in range(0, s, STEP):
+        high = min(low + STEP, s)
+        o, f, e = owner, flip, spent
+        for j in range(low, high):
+            cost = e + square[o, j]
+            more = cost <= budget
+            o, f, e = np.concatenate([o, o[more]]), np.concatenate([f, f[more] | (1 << j)]), np.concatenate([e, cost[more]])
+        many = np.bincount(o, minlength=n) > (PROBES if low else 1 << STEP)
+        stop = many[owner]
+        out.append((owner[stop], np.full(stop.sum(), low), (code[owner[stop]] ^ flip[stop]) & ((1 << low) - 1)))
+        go = ~many[o]
+        owner, flip, spent = o[go], f[go], e[go]
+    out.append((owner, np.full(len(owner), s), code[owner] ^ flip))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def levels(bits: int) -> list[int]:
+    return [*range(STEP, bits, STEP), bits]
 
 
 def lists_to_array(column: pa.Array) -> np.ndarray:
@@ -81,7 +108,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("good", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False)))
     keys = [F.when(F.col("good"), F.xxhash64("label", "v")).alias("h1"), F.when(F.col("good"), F.xxhash64(F.lit("second"), "v", "label")).alias("h2")]
-    classes = cut(rows.filter("good").select("id", "label", "v", *keys).groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")))
+    classes = rows.filter("good").select("id", "label", "v", *keys).groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))  # written, so the numbers stand
     sizes = [r[0] for r in classes.select(F.size("v")).distinct().collect()]
     found = None
     for size in sizes:
@@ -92,16 +120,18 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     links = cut(found)
     degree = links.select(F.col("a").alias("node"), F.col("nb").alias("n")).unionAll(links.select("b", "na")).groupBy("node").agg(F.sum("n").alias("others"))
     joined = components(links.select("a", "b"))
-    known = classes.select("h1", "h2", "node", "n").join(degree, "node", "left").join(joined, "node", "left")
-    known = known.select("h1", "h2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    known = classes.select("h1", "h2", "node", "n", "first").join(degree, "node", "left").join(joined, "node", "left")
+    known = known.select("h1", "h2", "first", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    least = cut(known.groupBy("component").agg(F.min("first").alias("component_id")))
+    known = known.join(least, "component").select("h1", "h2", "n_links", "component_id")
     out = rows.select("id", *keys).join(known, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "id")
     return out.select("id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
 def _links(classes: DataFrame, min_cosine: float) -> DataFrame:
-    """Rows (a, b, na, nb): linked classes a < b by their smallest ids, and the number of vectors in each."""
-    sample = classes.select("v").orderBy(F.xxhash64("node")).limit(FIT_ROWS).collect()
+    """Rows (a, b, na, nb): linked classes a < b by their numbers, and how many vectors each has."""
+    sample = classes.select("v", "h1", "h2").orderBy("h1", "h2").limit(FIT_ROWS).collect()
     mean, projection = fit_rotation(unit(np.array([r[0] for r in sample])))
     parts = np.array_split(np.arange(projection.shape[1]), min(TABLES, projection.shape[1]))
     budget = (2 - 2 * min_cosine) / len(parts) / 2 + 1e-9
@@ -112,14 +142,22 @@ def _links(classes: DataFrame, min_cosine: float) -> DataFrame:
                 continue
             node, seed = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             at = (unit(lists_to_array(batch.column(2))) - mean) @ projection
+
+            def stored_rows(t: int, owner: np.ndarray, level: np.ndarray, code: np.ndarray, own: bool, node=node, seed=seed) -> pa.RecordBatch:
+                key = mix(mix(seed[owner] + np.uint64(64 * t) + level.astype(np.uint64)) ^ code.astype(np.uint64)).view(np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[owner]), pa.array(np.full(len(owner), own))], names=["key", "node", "own"])
+
             for t, part in enumerate(parts):
-                owner, code = probes(at[:, part], budget)
-                key = mix(mix(seed[owner] + np.uint64(t)) ^ code.astype(np.uint64)).view(np.int64)
-                own = np.arange(len(owner)) < batch.num_rows  # the unflipped codes come first
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[owner]), pa.array(own)], names=["key", "node", "own"])
+                for low in range(0, len(at), PROBE_ROWS):
+                    some = at[low : low + PROBE_ROWS, part]
+                    owner, level, code = probes(some, budget)
+                    yield stored_rows(t, owner + low, level, code, False)
+                    code = codes_of(some)
+                    for k in levels(len(part)):
+                        yield stored_rows(t, np.arange(len(some)) + low, np.full(len(some), k), code & ((1 << k) - 1), True)
 
     stored = cut(classes.select("node", F.xxhash64("label").alias("seed"), "v").mapInArrow(tables, "key bigint, node bigint, own boolean"))
-    pairs = stored.filter("own").select("key", F.col("node").alias("x")).join(stored.select("key", F.col("node").alias("y")), "key").filter("x <> y")
+    pairs = stored.filter("own").select("key", F.col("node").alias("x")).join(stored.filter("not own").select("key", F.col("node").alias("y")), "key").filter("x <> y")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     side = lambda s: classes.select(F.col("node").alias(s), F.col("v").alias(f"v{s}"), F.col("n").alias(f"n{s}"), F.col("label").alias(f"l{s}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").filter("la = lb").select("a", "b", "na", "nb", "va", "vb")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_sets
-from .common import cut, partitions_of, small_batches
+from .common import cut, discard, partitions_of, small_batches
 from .components import components
 from .hash_arrays import mix
 
@@ -43,8 +43,8 @@ SEED = 42
 CELL_ROWS = 4096
 #: Hashes whose bits are counted at once.
 BIT_ROWS = 65_536
-#: Ids of dropped documents up to this number are broadcast; above it both sides are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Keys of dropped documents (8 bytes each) up to this number are broadcast; above it both sides are shuffled.
+BROADCAST_IDS = 500_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -210,8 +210,8 @@ def links(prints: DataFrame, radius: int, masks: list[tuple[int, ...]]) -> DataF
 def named(prints: DataFrame, classes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (id, keys, component_id) from classes (node, first, keys) and their links."""
     members = classes.join(components(found), "node", "left").select(*keys, "first", F.coalesce("component", "node").alias("component"))
-    least = members.join(members.groupBy("component").agg(F.min("first").alias("component_id")), "component").select(*keys, "component_id")
-    return prints.join(least, keys, "left").select("id", *keys, "component_id")
+    least = cut(members.groupBy("component").agg(F.min("first").alias("component_id")))  # so that Spark can split a large component's join
+    return prints.join(members.join(least, "component").select(*keys, "component_id"), keys, "left").select("id", *keys, "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -228,23 +228,45 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     No fingerprint can tell similarities just above the limit from those just below, so candidates come from an
     exact prefix join and are compared as sets (``shingle_sets``); what that finds doesn't depend on the input's size.
     """
-    rows, uri = shingle_sets.write_sets(df, id_col, text, words, similarity)
+    found = _near_rows(df, id_col, text, words, similarity)
+    return found.select("id", "node", F.col("least.id").alias("component_id"))
+
+
+def _row_key(id_col: str, text: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("bigint"), F.col(text).cast("string"))
+
+
+def _near_rows(df: DataFrame, id_col: str, text: str, words: int, similarity: float) -> DataFrame:
+    """Rows (id, key, node, least): least is the smallest (id, key) of the component, null if none of its rows has an id."""
+    keyed = df.select(F.col(id_col).cast("bigint").alias("id"), _row_key(id_col, text).alias("key"), F.col(text).cast("string").alias("text"))
+    rows, uri = shingle_sets.write_sets(keyed, "id", "text", words, similarity, keep=["key"])
     rows = cut(rows)
-    classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.first(F.struct("file", "at", "n", "cells")).alias("own")).select("node", "first", "own.*"))
-    members = classes.select("node", "first").join(components(shingle_sets.links(classes, uri, similarity)), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    least = members.join(members.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")
-    return rows.select("id", "node").join(least, "node", "left").select("id", "node", "component_id")
+    own = F.when(F.col("id").isNotNull(), F.struct("id", "key"))
+    classes = cut(rows.groupBy("node").agg(F.min(own).alias("first"), F.first(F.struct("file", "at", "n", "cells")).alias("own")).select("node", "first", "own.*"))
+    joined = components(shingle_sets.links(classes, uri, similarity))
+    discard(df.sparkSession, uri)
+    members = classes.select("node", "first").join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    least = cut(members.groupBy("component").agg(F.min("first").alias("least")))
+    return rows.select("id", "key", "node").join(members.join(least, "component").select("node", "least"), "node", "left").select("id", "key", "node", "least")
 
 
 def drop_near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``df`` but for near copies: of each group the smallest id stays, once. Rows without id stay."""
-    found = cut(near_texts(df, id_col, text, words, similarity).select("id", "component_id"))
-    gone = found.filter("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    kept = df.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
-    twice = found.filter("id is not null").groupBy("id").count().filter("count > 1").limit(1).count()
-    if not twice:
-        return kept
-    nulls = kept.filter(F.col(id_col).isNull())
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(nulls)
+    """The rows of ``df`` but for near copies: of each group one row stays, that of the smallest id.
+
+    Rows without id stay. Ids may repeat: rows are told apart by id and text, so a text that is no near copy is never
+    lost. Of rows with the same id and text the least in all columns (as JSON) stays.
+    """
+    found = cut(_near_rows(df, id_col, text, words, similarity).filter("id is not null").select("key", F.col("least.key").alias("stays")))
+    gone = found.filter("key <> stays").select(F.col("key").alias("__key")).distinct()
+    twice = cut(found.filter("key = stays").groupBy(F.col("key").alias("__key")).count().filter("count > 1").select("__key"))
+    keyed = df.withColumn("__key", F.when(F.col(id_col).isNotNull(), _row_key(id_col, text)))
+    kept = keyed.join(_if_few(gone), "__key", "left_anti")
+    if not twice.limit(1).count():
+        return kept.drop("__key")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    once = kept.join(_if_few(twice), "__key", "left_semi").groupBy("__key").agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+    return kept.join(_if_few(twice), "__key", "left_anti").drop("__key").unionByName(once)
+
+
+def _if_few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else keys

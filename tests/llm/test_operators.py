@@ -107,6 +107,14 @@ def test_near_texts_keep_one_of_each_group(spark):
     assert sorted(i for i in kept if i is not None) == [5 * g for g in range(20)]
 
 
+def test_near_texts_with_repeated_ids_lose_no_text(spark):
+    text = lambda k: " ".join(f"w{k * 1000 + j}" for j in range(100))
+    a, b, c = text(1), text(2), text(3)
+    rows = [(0, a, 1), (5, a + " tail", 2), (5, b, 3), (1, c, 4), (1, text(4), 5), (2, c, 6), (1, c, 7), (None, a, 8), (7, None, 9), (7, "", 10)]
+    kept = simhash.drop_near_texts(spark.createDataFrame(rows, "doc_id bigint, text string, key int")).collect()
+    assert sorted(r["key"] for r in kept) == [1, 3, 4, 5, 8, 9] or sorted(r["key"] for r in kept) == [1, 3, 4, 5, 8, 10]
+
+
 @pytest.mark.parametrize("cell_rows", [4096, 8])
 def test_near_texts_equal_exact_similarity(spark, monkeypatch, cell_rows):
     monkeypatch.setattr(simhash, "CELL_ROWS", cell_rows)
@@ -341,6 +349,26 @@ def test_embedding_links_equal_brute_force(spark):
         assert got[r[0]]["kept"] == (want[k] == k)
 
 
+@pytest.mark.parametrize("size", [64, 768])
+def test_probes_of_any_dimension_are_few_and_lose_nothing(spark, size):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, size))
+    v = np.concatenate([base, *(base + rng.normal(size=(40, size)) * s for s in (0.1, 0.17, 0.2))])
+    rows = [(i, [float(x) for x in a], 1) for i, a in enumerate(v)]
+    got = {r["id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    u = embedding_dedup.unit(v)
+    want = ((u @ u.T) >= 0.98).sum(axis=1) - 1
+    assert [got[i] for i in range(len(v))] == want.tolist() and want.sum() > 40
+    owner, level, _ = embedding_dedup.probes(u[:, :16], 0.005)
+    assert np.bincount(owner).max() <= embedding_dedup.PROBES and set(owner) == set(range(len(v))) and level.min() >= embedding_dedup.STEP
+
+
+def test_embeddings_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [0.0, 1.0], 1), (2, [1.0, 0.02], 1), (3, [0.0, 1.0], 1), (4, [-1.0, 0.0], 1)]
+    got = sorted((r["id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 1, 2), (2, 2, 1), (3, 1, 2), (4, 0, 4)]
+
+
 def test_embeddings_of_nothing(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
