@@ -242,7 +242,7 @@ def _near_rows(df: DataFrame, id_col: str, text: str, words: int, similarity: fl
     rows, uri = shingle_sets.write_sets(keyed, "id", "text", words, similarity, keep=["key"])
     rows = cut(rows)
     own = F.when(F.col("id").isNotNull(), F.struct("id", "key"))
-    classes = cut(rows.groupBy("node").agg(F.min(own).alias("first"), F.first(F.struct("file", "at", "n", "cells")).alias("own")).select("node", "first", "own.*"))
+    classes = cut(rows.groupBy("node").agg(F.min(own).alias("first"), F.first(F.struct("file", "at", "n", "low")).alias("own")).select("node", "first", "own.*"))
     joined = components(shingle_sets.links(classes, uri, similarity))
     discard(df.sparkSession, uri)
     members = classes.select("node", "first").join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))

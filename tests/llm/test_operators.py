@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from epochlake.llm import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, quality, simhash, url_filters
+from epochlake.llm import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, quality, shingle_sets, simhash, url_filters
 from epochlake.llm.components import components
 from epochlake.llm.queries import URL_RULES, op5_quality, op7_language_id, op8_url_filters, tokenizer_path
 
@@ -115,9 +115,10 @@ def test_near_texts_with_repeated_ids_lose_no_text(spark):
     assert sorted(r["key"] for r in kept) == [1, 3, 4, 5, 8, 9] or sorted(r["key"] for r in kept) == [1, 3, 4, 5, 8, 10]
 
 
-@pytest.mark.parametrize("cell_rows", [4096, 8])
-def test_near_texts_equal_exact_similarity(spark, monkeypatch, cell_rows):
+@pytest.mark.parametrize(("cell_rows", "frequent"), [(4096, 100), (8, 100), (4096, 3)])
+def test_near_texts_equal_exact_similarity(spark, monkeypatch, cell_rows, frequent):
     monkeypatch.setattr(simhash, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(shingle_sets, "FREQUENT", frequent)
     rng = random.Random(7)
     texts = list(ODD)
     for _ in range(12):
