@@ -214,9 +214,9 @@ def bezier_point(t: Column, s: Column, e: Column, c: Column) -> Column:
 
 
 def bezier_points(df: DataFrame, n: int = 60, columns=("start_x", "start_y", "end_x", "end_y", "ctrl_x", "ctrl_y")) -> DataFrame:
-    """n points per segment row, evenly spaced in t, as ``point_index``, ``t``, ``x``, ``y``."""
+    """n points per segment row at t = 0, 1/n ... (n-1)/n, as ``point_index``, ``t``, ``x``, ``y``; the end is the next segment's start."""
     sx, sy, ex, ey, cx, cy = (F.col(c) for c in columns)
-    steps = df.withColumn("point_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("t", F.col("point_index") / F.lit(float(n - 1)))
+    steps = df.withColumn("point_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("t", F.col("point_index") / F.lit(float(n)))
     return steps.withColumns({"x": bezier_point(F.col("t"), sx, ex, cx), "y": bezier_point(F.col("t"), sy, ey, cy)})
 
 

@@ -24,10 +24,15 @@ def paired_sd(c: Column) -> Column:
     return F.sqrt(F.when(F.count(c) > 1, F.sum(c * c) / (F.count(c) - 1)))
 
 
-def trace_shape(df: DataFrame, k: Keys, x: str = "x", y: str = "y", middle: float = 0.0) -> DataFrame:
-    """A3: larger side of the bounding box, and the shift of its centre from the screen's middle."""
-    out = df.groupBy(*k).agg(F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y)).alias("size"), ((F.max(x) + F.min(x)) / 2).alias("__c"))
-    return out.withColumn("shift", F.abs(F.col("__c") - middle)).drop("__c")
+#: Fixed value: the middle of the screen, in pixels.
+SCREEN_MIDDLE = 960.0
+
+
+def trace_shape(df: DataFrame, k: Keys, x: str = "x", y: str = "y", middle: float = SCREEN_MIDDLE) -> DataFrame:
+    """A3: larger side of the bounding box, and the signed shift of its centre from the screen's middle in half widths (null without width)."""
+    width = F.max(x) - F.min(x)
+    shift = (safe_divide(F.min(x) - F.lit(middle), width) + 0.5) * 2
+    return df.groupBy(*k).agg(F.greatest(width, F.max(y) - F.min(y)).alias("size"), shift.alias("shift"))
 
 
 def path_length(df: DataFrame, k: Keys, o: Keys, x: str = "x", y: str = "y") -> DataFrame:

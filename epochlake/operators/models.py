@@ -64,13 +64,20 @@ def value_identity(table: DataFrame, source: DataFrame, k: Keys, cols: Keys) ->
 
 
 def pooled_scale(df: DataFrame, col: str) -> DataFrame:
-    """M7: median and MAD x 1.4826 of a whole column."""
-    return aggs.mad(df.withColumn("__all", F.lit(1)), ["__all"], col, 1.4826).drop("__all")
+    """M7: median and MAD x 1.4826 of a whole column, by ranks: no task holds the column."""
+    from .windows import quantiles_by_rank
+
+    middle = quantiles_by_rank(df, col, {"median": 0.5}).select("median")
+    away = df.select(col).crossJoin(F.broadcast(middle)).select(F.abs(F.col(col) - F.col("median")).alias("__away"))
+    spread = quantiles_by_rank(away, "__away", {"__mad": 0.5})
+    return middle.crossJoin(F.broadcast(spread)).select("median", (F.col("__mad") * 1.4826).alias("mad"))
 
 
 def quantile_bins(df: DataFrame, col: str, ps: tuple[float, float] = (0.2, 0.8)) -> DataFrame:
-    """M8: ``bin`` low or high outside the cut points, which are kept; the middle is dropped."""
-    cuts = F.broadcast(df.agg(F.percentile(col, F.lit(ps[0])).alias("cut_low"), F.percentile(col, F.lit(ps[1])).alias("cut_high")))
+    """M8: ``bin`` low or high outside the cut points, which are kept; the middle is dropped. Cut points come from ranks."""
+    from .windows import quantiles_by_rank
+
+    cuts = F.broadcast(quantiles_by_rank(df, col, {"cut_low": ps[0], "cut_high": ps[1]}).drop("n"))
     out = df.crossJoin(cuts)
     return out.withColumn("bin", F.when(F.col(col) <= F.col("cut_low"), "low").when(F.col(col) >= F.col("cut_high"), "high")).filter("bin is not null")
 
@@ -109,23 +116,25 @@ def draw_summary(draws: DataFrame, truth: DataFrame, k: Keys, level: float = 0.9
     return out.withColumn("covered", (F.col("truth") >= F.col("lo")) & (F.col("truth") <= F.col("hi")))
 
 
-def max_t(draws: DataFrame, observed: DataFrame, alpha: float = 0.05) -> DataFrame:
+def max_t(draws: DataFrame, observed: DataFrame, alpha: float = 0.05, plus_one: bool = False) -> DataFrame:
     """Family-wise threshold and p values from null draws (draw, t) and observed rows (..., t).
 
-    p = (1 + draws whose largest |t| reaches the observed one) / (1 + draws), counted by one pass over both tables
-    in the order of |t|, ranged by value: no pair of draw and test is formed.
+    p is the share of draws whose largest |t| reaches the observed one (``plus_one``: the observed table counts as a
+    draw), and a test is significant from the threshold on. Counted by one pass over both tables in the order of |t|,
+    ranged by value: no pair of draw and test is formed.
     """
-    from .windows import order_index
+    from .windows import order_index, quantiles_by_rank
 
     maxima = draws.groupBy("draw").agg(F.max(F.abs("t")).alias("at")).select("at", F.lit(True).alias("__draw"))
-    limits = maxima.agg(F.percentile("at", F.lit(1 - alpha)).alias("threshold"), F.count(F.lit(1)).alias("n_draws"))
+    limits = quantiles_by_rank(maxima, "at", {"threshold": 1 - alpha}).withColumnRenamed("n", "n_draws")
     both = observed.withColumns({"at": F.abs("t"), "__draw": F.lit(False)}).unionByName(maxima, allowMissingColumns=True)
     both = both.withColumns({"__down": -F.col("at"), "__later": ~F.col("__draw")})
     order = ["__down", "__later", *[x for x in observed.columns if x != "t"]]
     ranked = order_index(both, order, "__place").filter("not __draw")  # draws at least as large, and larger tests, stand before
     tests = order_index(ranked, ["__place"], "__test")
     out = tests.withColumn("n_reach", F.col("__place") - F.col("__test")).crossJoin(F.broadcast(limits))
-    return out.select(*observed.columns, "threshold", ((F.col("n_reach") + 1) / (F.col("n_draws") + 1)).alias("p_fwe"), (F.abs("t") > F.col("threshold")).alias("significant"))
+    more = 1 if plus_one else 0
+    return out.select(*observed.columns, "threshold", c.safe_divide(F.col("n_reach") + more, F.col("n_draws") + more).alias("p_fwe"), (F.abs("t") >= F.col("threshold")).alias("significant"))
 
 
 def null_draws(spark, covariance: np.ndarray, n: int, df: float | None, seed: int) -> DataFrame:

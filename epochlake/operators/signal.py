@@ -146,13 +146,16 @@ def rectify_smooth(signals: DataFrame, keep: Keys, cutoff: float, fs: float, tap
     return map_arrays(signals, lambda v: kernels.filtered(np.abs(v - np.median(v)) if len(v) else v, kernel), keep, samples, samples)
 
 
-def emg_flags(df: DataFrame, k: Keys, muscle: str, epoch: str, value: str, active: str, rest: str, physical: Column, q: float) -> DataFrame:
-    """MAD-scaled activity per trial, muscle and epoch, active less rest, and a flag above the physical class's lower quantile."""
+def emg_flags(df: DataFrame, unit: Keys, trial: str, muscle: str, epoch: str, value: str, active: str, rest: str, physical: Column, q: float = 0.25) -> DataFrame:
+    """MAD-scaled activity per trial, muscle and epoch, active less rest; a trial of the other class is bad if every muscle
+    reaches its unit's lower quantile of the physical class. What is unknown reaches nothing; physical trials are never bad.
+    """
+    k = [*unit, trial]
     cells = aggs.mad(df, [*k, muscle, epoch], value, 1.4826).withColumnRenamed("mad", "activity")
-    diff = aggs.contrast(cells, [*k, muscle], epoch, active, rest, "activity", "difference").withColumn("__p", physical)
-    limits = diff.filter("__p").groupBy(muscle).agg(F.percentile("difference", F.lit(q)).alias("threshold"))
-    flagged = diff.join(F.broadcast(limits), muscle, "left").withColumn("active", F.coalesce(F.col("difference") > F.col("threshold"), F.lit(False)))
-    return flagged.groupBy(*k).agg(F.bool_or("active").alias("any_active"), F.max("difference").alias("max_difference"))
+    diff = aggs.contrast(cells, [*k, muscle], epoch, active, rest, "activity", "difference").withColumn("__p", F.coalesce(physical, F.lit(False)))
+    limit = F.percentile(F.when(F.col("__p"), F.col("difference")), F.lit(q)).over(Window.partitionBy(*unit, muscle))
+    reached = diff.withColumn("__bad", F.coalesce(~F.col("__p") & (F.col("difference") >= limit), F.lit(False)))
+    return reached.groupBy(*k).agg(F.bool_and("__bad").alias("bad"), F.max("difference").alias("max_difference"))
 
 
 def epochs(samples: DataFrame, anchors: DataFrame, part: Keys, sample: str, anchor: str, families: Mapping[str, tuple[int, int]], value: str) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from . import kernels
-from .aggs import paired_sd, path_length, trace_shape
-from .windows import before_last, lag, latch, ordered, proportion, rezero, reverse_latch, step_dist, turn_angle, whole, wrap_angle
+from .aggs import SCREEN_MIDDLE, paired_sd, path_length, trace_shape
+from .windows import before_last, lag, latch, nth_largest, ordered, proportion, rezero, reverse_latch, step_dist, turn_angle, whole, wrap_angle
 
 Keys = Sequence[str]
 
@@ -26,6 +26,12 @@ DONE = [
     {"origin_radius": 50, "end_radius": 400, "pause_radius": 200, "min_prop": 0.62, "end_prop": 0.82, "min_pause": 0.1},
     {"origin_radius": 50, "end_radius": 400, "pause_radius": 200, "min_prop": 0.62, "end_prop": 0.55, "min_pause": 0.4},
 ]
+GLITCH = {"min_dist": 173.0, "min_angle": 88.0, "min_angle_alt": 70.0, "bad_pixels": ((239, 1079),)}
+FALSE_START = {"start_radius": 80.0, "max_prop": 0.20, "min_pause": 0.064}
+HAND_NOISE = {"min_turnsum": 90.0, "max_size": 100.0, "max_gap": 0.100, "min_dist_a": 120.0, "min_dist_b": 300.0, "min_angle": 30.0, "min_end_dist": 100.0}
+INCOMPLETE = {"max_end_gap": 300.0, "max_size_ratio": 2.5, "max_length_ratio": 1.45, "max_shift": 0.71}
+GAPS = {"pause": 0.170, "min_gap": 0.070, "levels": ((500.0, None), (250.0, 90.0), (180.0, 120.0))}
+TAIL_CRITERION = 5.0
 
 
 def origin_distance(x: str = "x", y: str = "y") -> Column:
@@ -71,58 +77,65 @@ def trim_after_done(df: DataFrame, k: Keys, o: Keys, params: Sequence[Mapping[st
     return out.filter(~tail).select(*df.columns)
 
 
-def degrees_turn(k: Keys, o: Keys, skip: int = 0) -> Column:
-    """Change of direction at the step that arrives, in degrees: angle to the previous step (or the one ``skip`` before)."""
-    return F.degrees(wrap_angle(F.col("__h") - lag("__h", k, o, 1 + skip)))
-
-
 def with_steps(df: DataFrame, k: Keys, o: Keys) -> DataFrame:
-    """Step distance ``__d``, heading ``__h`` and turn ``__a`` (degrees) on the current rows."""
+    """Step distance ``__d``, heading ``__h`` and turn ``__a`` (degrees) of the step that arrives at each of the current rows."""
     dx, dy = F.col("x") - lag("x", k, o), F.col("y") - lag("y", k, o)
-    return df.withColumns({"__d": F.sqrt(dx * dx + dy * dy), "__h": F.atan2(dy, dx)}).withColumn("__a", degrees_turn(k, o))
+    return df.withColumns({"__d": F.sqrt(dx * dx + dy * dy), "__h": F.atan2(dy, dx)}).withColumn("__a", F.degrees(wrap_angle(F.col("__h") - lag("__h", k, o))))
 
 
-def drop_glitches(df: DataFrame, k: Keys, o: Keys, *, min_dist: float = 100, min_angle: float = 90, min_angle_alt: float = 90, bad_pixels: Sequence[tuple[float, float]] = ()) -> DataFrame:
+def drop_glitches(df: DataFrame, k: Keys, o: Keys, *, min_dist: float = GLITCH["min_dist"], min_angle: float = GLITCH["min_angle"], min_angle_alt: float = GLITCH["min_angle_alt"], bad_pixels: Sequence[tuple[float, float]] = GLITCH["bad_pixels"]) -> DataFrame:
     """C4: single points far off the path, points in line with them, far first and last points, and known bad pixels.
 
-    Where a trial has more than one such point, a point before another one must also turn sharply when the next is
-    left out, or be followed by one two places on.
+    A point is far off if both its steps are long and the second turns sharply. Where a trial has more than one such
+    point, one before another must be followed by one two places on, or its arriving step must turn sharply against
+    the chord that leaves the next point out; where that chord is missing it counts as sharp.
     """
     f = lambda e: F.coalesce(e, F.lit(False))
     out = with_steps(df, k, o).withColumns({"__od": origin_distance(), "__nd": lag("__d", k, o, -1), "__na": lag("__a", k, o, -1)})
     out = out.withColumn("__g", f((F.col("__d") > min_dist) & (F.col("__nd") > min_dist) & (F.abs("__na") > min_angle)))
-    out = out.withColumns({"__many": F.sum(F.col("__g").cast("int")).over(whole(k)) > 1, "__g1": f(lag("__g", k, o, -1)), "__g2": f(lag("__g", k, o, -2)), "__a2": degrees_turn(k, o, 1)})
-    alt = ~F.col("__g1") | f(F.abs(lag("__a2", k, o, -1)) > min_angle_alt)
+    over = F.atan2(lag("y", k, o, -2) - F.col("y"), lag("x", k, o, -2) - F.col("x"))
+    out = out.withColumns({"__many": F.sum(F.col("__g").cast("int")).over(whole(k)) > 1, "__g1": f(lag("__g", k, o, -1)), "__g2": f(lag("__g", k, o, -2)), "__over": F.degrees(wrap_angle(over - F.col("__h")))})
+    alt = ~F.col("__g1") | F.col("__over").isNull() | f(F.abs("__over") > min_angle_alt)
     out = out.withColumn("__glitch", F.col("__g") & (~F.col("__many") | F.col("__g2") | alt))
     same = lambda n: f((F.col("x") == lag("x", k, o, n)) | (F.col("y") == lag("y", k, o, n))) & f(lag("__glitch", k, o, n))
-    first = F.col("__d").isNull() & f(F.col("__nd") > min_dist) & (F.col("__od") > min_dist)
+    first = F.col("__d").isNull() & f(F.col("__nd") > min_dist) & f(F.col("__od") > min_dist)
     last = F.col("__nd").isNull() & f(F.col("__od") - lag("__od", k, o) > min_dist)
     pixel = F.lit(False)
     for x, y in bad_pixels:
-        pixel = pixel | ((F.col("x") == x) & (F.col("y") == y))
+        pixel = pixel | f((F.col("x") == x) & (F.col("y") == y))
     out = out.withColumn("__bad", F.col("__glitch") | same(-1) | same(1) | first | last | pixel)
     return out.filter("not __bad").select(*df.columns)
 
 
-def drop_false_start(df: DataFrame, k: Keys, o: Keys, *, start_radius: float = 50, max_prop: float = 0.15, min_pause: float = 0.1) -> DataFrame:
-    """Samples before the last long pause near the origin in the trial's first part; time starts anew at 0."""
+def _with_false_start(df: DataFrame, k: Keys, o: Keys, start_radius: float, max_prop: float, min_pause: float) -> DataFrame:
     out = df.withColumns({"__p": proportion(k, o), "__gap": F.col("time") - lag("time", k, o), "__od": origin_distance()})
     stop = (F.col("__gap") > min_pause) & (F.col("__p") <= max_prop) & (F.col("__od") < start_radius)
-    kept = out.withColumn("__f", before_last(stop, k, o)).filter("not __f").select(*df.columns)
-    return kept.withColumn("time", rezero("time", k, o)).select(*df.columns)
+    return out.withColumn("__f", before_last(stop, k, o))
+
+
+def drop_false_start(df: DataFrame, k: Keys, o: Keys, *, start_radius: float = FALSE_START["start_radius"], max_prop: float = FALSE_START["max_prop"], min_pause: float = FALSE_START["min_pause"]) -> DataFrame:
+    """Samples before the last pause near the origin in the trial's first part; times stay (``false_start_shifts`` has the new onset)."""
+    return _with_false_start(df, k, o, start_radius, max_prop, min_pause).filter("not __f").select(*df.columns)
 
 
-def drop_hand_noise(df: DataFrame, k: Keys, o: Keys, *, min_turnsum: float = 180, max_size: float = 400, max_gap: float = 0.05, min_dist_a: float = 100, min_dist_b: float = 200, min_angle: float = 90, min_end_dist: float = 200) -> DataFrame:
+def false_start_shifts(df: DataFrame, k: Keys, o: Keys, *, start_radius: float = FALSE_START["start_radius"], max_prop: float = FALSE_START["max_prop"], min_pause: float = FALSE_START["min_pause"]) -> DataFrame:
+    """Per trial with a false start the samples, those dropped, and the time of the first one kept (the shift in onset)."""
+    out = _with_false_start(df, k, o, start_radius, max_prop, min_pause)
+    kept = F.when(~F.col("__f"), F.struct(*o, F.col("time").alias("__t")))
+    made = out.groupBy(*k).agg(F.count(F.lit(1)).alias("samples"), F.count_if("__f").alias("flagged"), F.min(kept)["__t"].alias("start_shift"))
+    return made.filter("flagged > 0")
+
+
+def drop_hand_noise(df: DataFrame, k: Keys, o: Keys, *, min_turnsum: float = HAND_NOISE["min_turnsum"], max_size: float = HAND_NOISE["max_size"], max_gap: float = HAND_NOISE["max_gap"], min_dist_a: float = HAND_NOISE["min_dist_a"], min_dist_b: float = HAND_NOISE["min_dist_b"], min_angle: float = HAND_NOISE["min_angle"], min_end_dist: float = HAND_NOISE["min_end_dist"]) -> DataFrame:
     """Samples between the two largest sharp jumps, or after a jump away at the end, if their box is small enough."""
     f = lambda e: F.coalesce(e, F.lit(False))
     one = lambda e: f(e).cast("int")
-    out = with_steps(df, k, o).withColumns({"__od": origin_distance(), "__gap": F.col("time") - lag("time", k, o)})
-    ranked = F.sort_array(F.collect_list("__d").over(whole(k)), asc=False)
+    out = with_steps(df, k, o).withColumns({"__od": origin_distance(), "__gap": F.col("time") - lag("time", k, o), "__second": nth_largest("__d", 2, k)})
     sharp = (F.col("__d") > min_dist_a) & (F.abs("__a") + F.abs(lag("__a", k, o, -1)) > min_turnsum)
-    out = out.withColumns({"__second": F.try_element_at(ranked, F.lit(2)), "__sharp": one(sharp), "__away": one(F.col("__od") - lag("__od", k, o) > min_end_dist)})
+    out = out.withColumns({"__sharp": one(sharp), "__away": one(F.col("__od") - lag("__od", k, o) > min_end_dist)})
     jump = (F.max("__sharp").over(whole(k)) == 1) & F.col("__a").isNotNull() & (F.col("__gap") < max_gap) & (((F.col("__d") > min_dist_a) & (F.abs("__a") > min_angle)) | (F.col("__d") > min_dist_b)) & (F.col("__d") >= F.col("__second"))
     upto = ordered(k, o).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumns({"__jump": one(jump), "__end_near": F.last("__od").over(ordered(k, o).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) < min_end_dist})
+    out = out.withColumns({"__jump": one(jump), "__end_near": f(F.last("__od").over(ordered(k, o).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) < min_end_dist)})
     out = out.withColumns({"__jumps": F.sum("__jump").over(upto), "__all": F.sum("__jump").over(whole(k)), "__aways": F.sum("__away").over(upto), "__total": F.sum("__away").over(whole(k))})
     between = (F.col("__jumps") % 2 == 1) & (F.col("__all") % 2 == 0)
     end = ~F.col("__end_near") & (F.col("__total") > 0) & (F.col("__aways") == F.col("__total"))
@@ -131,23 +144,33 @@ def drop_hand_noise(df: DataFrame, k: Keys, o: Keys, *, min_turnsum: float = 180
     return out.withColumn("__bad", F.col("__n") & (F.greatest(span("x"), span("y")) <= max_size)).filter("not __bad").select(*df.columns)
 
 
-def drop_incomplete(df: DataFrame, figures: DataFrame, k: Keys, o: Keys, *, max_end_gap: float = 400, max_size_ratio: float = 2, max_length_ratio: float = 2, max_shift: float = 100) -> DataFrame:
-    """Trials that end far from the origin, are much smaller than the figure (k, figure_size, figure_length, figure_shift), or short and shifted."""
-    last = df.groupBy(*k).agg(F.max_by(origin_distance(), F.struct(*o)).alias("end_gap"))
-    facts = trace_shape(df, k).join(path_length(df, k, o), list(k)).join(last, list(k)).join(figures, list(k))
-    size, length = c.safe_divide(F.col("figure_size"), F.col("size")), c.safe_divide(F.col("figure_length"), F.col("path_length"))
-    bad = (size > max_size_ratio) | (F.col("end_gap") > max_end_gap) | ((length > max_length_ratio) & (F.abs(F.col("figure_shift") - F.col("shift")) > max_shift))
-    return df.join(facts.filter(F.coalesce(bad, F.lit(False))).select(*k), list(k), "left_anti")
+def drop_incomplete(df: DataFrame, figures: DataFrame, k: Keys, o: Keys, *, max_end_gap: float = INCOMPLETE["max_end_gap"], max_size_ratio: float = INCOMPLETE["max_size_ratio"], max_length_ratio: float = INCOMPLETE["max_length_ratio"], max_shift: float = INCOMPLETE["max_shift"], middle: float = SCREEN_MIDDLE) -> DataFrame:
+    """Trials whose last sample is much further from or nearer to the origin than the first, that are much smaller than the
+    figure (k, figure_size, figure_length, figure_shift), or that are short and shifted more than it. Comparisons with what is unknown fail.
+    """
+    ends = df.withColumn("__od", origin_distance()).groupBy(*k).agg(F.abs(F.max_by("__od", F.struct(*o)) - F.min_by("__od", F.struct(*o))).alias("end_gap"))
+    facts = trace_shape(df, k, middle=middle).join(path_length(df, k, o), list(k)).join(ends, list(k)).join(figures, list(k), "left")
+    size, length = c.safe_divide(F.col("figure_size"), F.col("size")), c.safe_divide(F.col("figure_length"), F.coalesce("path_length", F.lit(0.0)))
+    shifted = F.abs(F.col("shift")) - F.abs(F.col("figure_shift")) > max_shift
+    f = lambda e: F.coalesce(e, F.lit(False))
+    bad = f(size > max_size_ratio) | f(F.col("end_gap") > max_end_gap) | f((length > max_length_ratio) & shifted)
+    return df.join(facts.filter(bad).select(*k), list(k), "left_anti")
 
 
-def drop_large_gaps(df: DataFrame, k: Keys, o: Keys, *, pause: float = 0.3, min_gap: float = 0.04, levels: Sequence[tuple[float, float]] = ((300, 0), (150, 90), (100, 150))) -> DataFrame:
-    """Trials with a pause, or with a jump that takes time and is beyond a level (distance, sum of turns at its ends)."""
-    out = with_steps(df, k, o).withColumns({"__gap": F.col("time") - lag("time", k, o), "__turns": F.abs(F.coalesce("__a", F.lit(0.0)))}).withColumn("__ts", F.col("__turns") + F.coalesce(lag("__turns", k, o, -1), F.lit(0.0)))
+def with_gap_flags(df: DataFrame, k: Keys, o: Keys, *, pause: float = GAPS["pause"], min_gap: float = GAPS["min_gap"], levels: Sequence[tuple[float, float | None]] = GAPS["levels"]) -> DataFrame:
+    """C8 per sample: ``gap`` at a pause, or at a jump that takes time and is beyond a level (distance, sum of turns at its ends if given)."""
+    out = with_steps(df, k, o).withColumns({"__gap": F.col("time") - lag("time", k, o), "__ts": F.abs("__a") + F.abs(lag("__a", k, o, -1))})
+    f = lambda e: F.coalesce(e, F.lit(False))
     jump = F.lit(False)
     for d, a in levels:
-        jump = jump | ((F.col("__d") > d) & (F.col("__ts") >= a))
-    bad = out.filter((F.col("__gap") > pause) | ((F.col("__gap") > min_gap) & jump)).select(*k).distinct()
-    return df.join(bad, list(k), "left_anti")
+        jump = jump | f((F.col("__d") > d) & (F.lit(True) if a is None else F.col("__ts") > a))
+    return out.withColumn("gap", f(F.col("__gap") > pause) | (f(F.col("__gap") > min_gap) & jump)).select(*df.columns, "gap")
+
+
+def drop_large_gaps(df: DataFrame, k: Keys, o: Keys, *, pause: float = GAPS["pause"], min_gap: float = GAPS["min_gap"], levels: Sequence[tuple[float, float | None]] = GAPS["levels"]) -> DataFrame:
+    """Trials with any gap as in ``with_gap_flags``."""
+    flagged = with_gap_flags(df, k, o, pause=pause, min_gap=min_gap, levels=levels)
+    return flagged.withColumn("__any", F.bool_or("gap").over(whole(k))).filter("not __any").select(*df.columns)
 
 
 def flag_edges(df: DataFrame, k: Keys, width: float, height: float) -> DataFrame:
@@ -157,15 +180,19 @@ def flag_edges(df: DataFrame, k: Keys, width: float, height: float) -> DataFrame
 
 
 def flag_table(raw: DataFrame, ids: Keys, stages: Mapping[str, DataFrame]) -> DataFrame:
-    """Every input sample, a flag per stage, and the first stage that removed it. ``stages``: the rows left after each, in order."""
-    out, removed = raw, []
-    before = raw.select(*ids)
-    for name, left in stages.items():
-        gone = before.join(left.select(*ids), list(ids), "left_anti").withColumn(name, F.lit(True))
-        out = out.join(gone, list(ids), "left").withColumn(name, F.coalesce(name, F.lit(False)))
-        removed.append(F.when(F.col(name), F.lit(name)))
-        before = left.select(*ids)
-    return out.withColumn("removed_by", F.coalesce(*removed))
+    """Every input sample, a flag per stage, and the first stage that removed it. ``stages``: the rows left after each, in order.
+
+    Samples and what each stage left are stacked and counted by id: one shuffle, however many stages there are.
+    """
+    names = list(stages)
+    tagged = raw.select(*ids, F.lit(0).alias("__s"))
+    for n, left in enumerate(stages.values(), 1):
+        tagged = tagged.unionByName(left.select(*ids, F.lit(n).alias("__s")))
+    has = tagged.groupBy(*ids).agg(*[F.bool_or(F.col("__s") == n).alias(f"__in{n}") for n in range(len(names) + 1)])
+    gone = {name: F.col(f"__in{n}") & ~F.col(f"__in{n + 1}") for n, name in enumerate(names)}
+    flagged = has.select(*ids, *[e.alias(name) for name, e in gone.items()])
+    out = raw.join(flagged, list(ids), "left")
+    return out.withColumn("removed_by", F.coalesce(*[F.when(F.col(name), F.lit(name)) for name in names]))
 
 
 def filter_summary(flags: DataFrame, k: Keys, stages: Sequence[str]) -> DataFrame:
@@ -277,29 +304,57 @@ def procrustes(df: DataFrame, k: Keys) -> DataFrame:
 
     With the centred cross-product matrix M the sum of its singular values is sqrt(|M|^2 + 2 |det M|), reflections
     allowed; scale is that over the sum of squares of (x, y); the residual is the root of the remaining squares' sum.
+    ``rotation`` is the arc cosine of the rotation matrix's first entry, ``angle`` the signed angle.
     """
+    return _fit(df, k).drop("__x", "__y", "__fx", "__fy", "__r11", "__r12", "__r21", "__r22")
+
+
+def _fit(df: DataFrame, k: Keys) -> DataFrame:
     n = F.count(F.lit(1))
     cov = lambda a, b: F.sum(F.col(a) * F.col(b)) - F.sum(a) * F.sum(b) / n
     sums = df.groupBy(*k).agg(
-        n.alias("n"), F.avg("x").alias("__x"), F.avg("y").alias("__y"), F.avg("fx").alias("__fx"), F.avg("fy").alias("__fy"),
+        F.avg("x").alias("__x"), F.avg("y").alias("__y"), F.avg("fx").alias("__fx"), F.avg("fy").alias("__fy"),
         cov("x", "fx").alias("__a"), cov("x", "fy").alias("__b"), cov("y", "fx").alias("__c"), cov("y", "fy").alias("__d"),
         (cov("x", "x") + cov("y", "y")).alias("__own"), (cov("fx", "fx") + cov("fy", "fy")).alias("__ref"),
     )
     a, b, cc, d = (F.col(f"__{v}") for v in "abcd")
     det = a * d - b * cc
+    turn = det >= 0
+    p, q = F.when(turn, a + d).otherwise(a - d), F.when(turn, b - cc).otherwise(b + cc)
+    h = F.sqrt(p * p + q * q)
+    r11, r12 = c.safe_divide(p, h), c.safe_divide(q, h)
     trace = F.sqrt(a * a + b * b + cc * cc + d * d + 2 * F.abs(det))
-    angle = F.when(det >= 0, F.atan2(b - cc, a + d)).otherwise(F.atan2(b + cc, a - d))
     scale = c.safe_divide(trace, F.col("__own"))
     residual = F.sqrt(F.greatest(F.col("__ref") - trace * scale, F.lit(0.0)))
     translation = c.length_of(F.col("__x"), F.col("__y"), F.col("__fx"), F.col("__fy"))
-    return sums.select(*k, translation.alias("translation"), scale.alias("scale"), angle.alias("rotation"), (det < 0).alias("reflected"), residual.alias("residual"))
+    return sums.select(
+        *k, translation.alias("translation"), scale.alias("scale"), F.acos(F.greatest(F.least(r11, F.lit(1.0)), F.lit(-1.0))).alias("rotation"), F.atan2(q, p).alias("angle"), (~turn).alias("reflected"), residual.alias("residual"),
+        "__x", "__y", "__fx", "__fy", r11.alias("__r11"), r12.alias("__r12"), F.when(turn, -r12).otherwise(r12).alias("__r21"), F.when(turn, r11).otherwise(-r11).alias("__r22"),
+    )
+
+
+def procrustes_points(df: DataFrame, k: Keys) -> DataFrame:
+    """The rows with the fitted place of (x, y) as ``proc_x`` and ``proc_y``, and the fit's figures."""
+    out = df.join(_fit(df, k), list(k))
+    x, y = F.col("x") - F.col("__x"), F.col("y") - F.col("__y")
+    fitted = {"proc_x": F.col("scale") * (x * F.col("__r11") + y * F.col("__r21")) + F.col("__fx"), "proc_y": F.col("scale") * (x * F.col("__r12") + y * F.col("__r22")) + F.col("__fy")}
+    return out.withColumns(fitted).drop("__x", "__y", "__fx", "__fy", "__r11", "__r12", "__r21", "__r22")
+
+
+def procrustes_error(df: DataFrame, k: Keys) -> DataFrame:
+    """The fit's figures and the total, mean, sd and paired sd of the distances of fitted points to (fx, fy)."""
+    points = procrustes_points(df, k)
+    e = c.length_of(F.col("proc_x"), F.col("proc_y"), F.col("fx"), F.col("fy"))
+    fit = [F.first(x).alias(x) for x in ("translation", "scale", "rotation", "angle", "reflected", "residual")]
+    return points.groupBy(*k).agg(*fit, F.sum(e).alias("shape_error_total"), F.avg(e).alias("shape_error_mean"), F.stddev_samp(e).alias("shape_error_sd"), paired_sd(e).alias("shape_error_paired_sd"))
 
 
 def dtw_align(figure: DataFrame, trace: DataFrame, k: Keys, o: str, max_len: int = 5000) -> DataFrame:
     """Pairs (x, y, fx, fy) of the asymmetric time warping of the trace to the figure, with closed ends.
 
     Each trace point gets one figure point; the figure may advance by 0, 1 or 2 points a step, so trials whose
-    figure has twice the trace's points or more have no such path and are left out. Longer ones than ``max_len`` are refused.
+    figure has twice the trace's points or more have no such path and are left out (``dtw_status`` names them). Longer ones than
+    ``max_len`` are refused.
     """
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -318,6 +373,13 @@ def dtw_align(figure: DataFrame, trace: DataFrame, k: Keys, o: str, max_len: int
     return _grouped(figure, k, cols).groupBy(*k).cogroup(_grouped(trace, k, cols).groupBy(*k)).applyInPandas(run, schema_of(trace, k, "point_index bigint, x double, y double, fx double, fy double"))
 
 
+def dtw_status(figure: DataFrame, trace: DataFrame, k: Keys) -> DataFrame:
+    """Per trial the points of both sides, and whether ``dtw_align`` can warp it ("aligned", "figure too long", "no figure", "no trace")."""
+    f, t = (df.groupBy(*k).agg(F.count(F.lit(1)).alias(n)) for df, n in ((figure, "figure_points"), (trace, "trace_points")))
+    status = F.when(F.col("figure_points").isNull(), "no figure").when(F.col("trace_points").isNull(), "no trace").when(F.col("figure_points") >= 2 * F.col("trace_points"), "figure too long").otherwise("aligned")
+    return f.join(t, list(k), "full").withColumn("status", status)
+
+
 def join_metrics(task: DataFrame, metrics: Sequence[DataFrame], keys: Mapping[str, str]) -> DataFrame:
     """Task rows with all metrics; ``keys`` maps the task's key names to the metrics'."""
     out = task
@@ -329,13 +391,20 @@ def join_metrics(task: DataFrame, metrics: Sequence[DataFrame], keys: Mapping[st
     return out
 
 
-def outlier_labels(df: DataFrame, value: str, bins: Keys, params: Mapping[str, float], criterion: float = 1.96) -> DataFrame:
-    """X11: log odds and label of the outlier class, tail label of the good class, and the good range per bin (also for all bins)."""
+def outlier_labels(df: DataFrame, value: str, bins: Keys, params: Mapping[str, float], criterion: float = TAIL_CRITERION, with_all: bool = False) -> DataFrame:
+    """X11: log odds of the outlier class, ``label`` (outlier, tail of the good class, good) and the good range per bin.
+
+    ``with_all`` adds every row once more with label "all"; on those and on good rows the range is null, as it marks only what lies out.
+    """
     odds = c.mixture_label(F.col(value), params["mean"], params["sd"], params["outlier_mean"], params["outlier_sd"], params["logit"])
     tail = c.extreme((F.col(value) - params["mean"]) / params["sd"], criterion)
     out = df.withColumns({"log_odds": odds, "outlier": odds > 0, "tail": tail}).withColumn("good", ~F.col("outlier") & ~F.col("tail"))
     low, high = (f(F.when(F.col("good"), F.col(value))).over(whole(bins)) for f in (F.min, F.max))
-    return out.withColumns({"good_low": low, "good_high": high})
+    out = out.withColumns({"good_low": low, "good_high": high, "label": F.when(F.col("outlier"), "outlier").when(F.col("tail"), "tail").otherwise("good")})
+    if not with_all:
+        return out
+    both = out.withColumn("label", F.explode(F.array("label", F.lit("all"))))
+    return both.withColumns({x: F.when(~F.col("label").isin("all", "good"), F.col(x)) for x in ("good_low", "good_high")})
 
 
 def behaviour_table(trials: DataFrame, bad: DataFrame, k: Keys, unit: Keys, metrics: Sequence[str], fill: Sequence[str] = (), pilots: Column | None = None) -> DataFrame:

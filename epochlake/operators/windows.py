@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -44,10 +44,10 @@ def wrap_angle(a: Column) -> Column:
 
 
 def turn_angle(k: Keys, o: Keys, x: str = "x", y: str = "y", skip: int = 0) -> Column:
-    """Signed angle in (-pi, pi] between the chord that arrives and the one that leaves; chords reach ``skip`` samples further."""
+    """Signed angle in (-pi, pi] between the step that arrives and the chord that leaves; the chord leaves ``skip`` samples out."""
     n = skip + 1
     heading = lambda a, b: F.atan2(b, a)
-    come = heading(F.col(x) - lag(x, k, o, n), F.col(y) - lag(y, k, o, n))
+    come = heading(F.col(x) - lag(x, k, o), F.col(y) - lag(y, k, o))
     go = heading(lag(x, k, o, -n) - F.col(x), lag(y, k, o, -n) - F.col(y))
     return wrap_angle(go - come)
 
@@ -116,8 +116,9 @@ def dup_flag(k: Keys) -> Column:
 
 
 def nth_largest(c: str, n: int, k: Keys) -> Column:
-    """N-th largest value of the group, ties counted one by one; null if there are fewer."""
-    return F.try_element_at(F.sort_array(F.collect_list(c).over(whole(k)), asc=False), F.lit(n))
+    """N-th largest value of the group, ties counted one by one; null if there are fewer. The frame ends at the n-th row."""
+    down = Window.partitionBy(*k).orderBy(F.col(c).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.nth_value(c, n).over(down)
 
 
 def longest_run(df: DataFrame, k: Keys, o: Keys, flag: Column, out: str = "longest_run") -> DataFrame:
@@ -177,6 +178,21 @@ def order_index(df: DataFrame, cols: Keys, out: str = "order_index") -> DataFram
     return local.join(F.broadcast(before), "__p").withColumn(out, F.col("__n") + F.col("__b") - 1).drop("__p", "__n", "__b")
 
 
+def quantiles_by_rank(df: DataFrame, col: str, ps: Mapping[str, float]) -> DataFrame:
+    """One row: quantiles of a column, linearly interpolated between ranks, and ``n``; nulls are left out, without values all are null.
+
+    Ranks come from ``order_index``, so no task holds the column; only the rows next to a quantile are looked at.
+    """
+    values = df.select(F.col(col).cast("double").alias("__v")).filter("__v is not null")
+    ranked = order_index(values, ["__v"], "__i").crossJoin(F.broadcast(values.agg(F.count(F.lit(1)).alias("n"))))
+    parts = []
+    for name, p in ps.items():
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        near = F.abs(F.col("__i") - place)
+        parts.append(F.sum(F.when(near < 1, F.col("__v") * (1 - near))).alias(name))
+    return ranked.agg(*parts, F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+
+
 def first_problem(df: DataFrame, part: Keys, o: str, flag: Column) -> DataFrame:
     """Per part the first problem's place, problems and rows after it, and their share."""
     at = df.withColumn("__f", F.coalesce(flag, F.lit(False))).withColumn("__first", F.min(F.when(F.coalesce(flag, F.lit(False)), F.col(o))).over(whole(part)))

@@ -31,7 +31,7 @@ def _(t):
     return rounded(t.events.groupBy("user_id").agg(a.paired_sd(col("value")).alias("psd")))
 
 
-@query("a3_trace_shape", f"WITH {SM} SELECT trial, round(greatest(max(x) - min(x), max(y) - min(y)), 6) AS size, round(abs((max(x) + min(x)) / 2 - 50), 6) AS shift FROM sm GROUP BY 1")
+@query("a3_trace_shape", f"WITH {SM} SELECT trial, round(greatest(max(x) - min(x), max(y) - min(y)), 6) AS size, round(((min(x) - 50) / nullif(max(x) - min(x), 0) + 0.5) * 2, 6) AS shift FROM sm GROUP BY 1")
 def _(t):
     return rounded(a.trace_shape(t.sm(), ["trial"], middle=50.0))
 
@@ -257,11 +257,11 @@ def _(t):
     return u.snapshot_diff(c.filter("c_custkey % 5 <> 0"), after, ["c_custkey"], ["c_acctbal"])
 
 
-SETS = "WITH s AS (SELECT user_id, coalesce(list_sort(list(DISTINCT k) FILTER (k < 20 AND half = 0)), []) AS a, coalesce(list_sort(list(DISTINCT k) FILTER (k < 20 AND half = 1)), []) AS b FROM (SELECT user_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, event_id % 2 AS half FROM events) GROUP BY 1)"
+SETS = "WITH s AS (SELECT user_id, coalesce(list_sort(list(DISTINCT k) FILTER (half = 0)), []) AS a, coalesce(list_sort(list(DISTINCT k) FILTER (half = 1)), []) AS b FROM (SELECT user_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, event_id % 2 AS half FROM events) GROUP BY 1)"
 
 
 def two_sets(t):
-    ev = t.ev().filter("k < 20")
+    ev = t.ev()
     both = ev.groupBy("user_id").agg(F.collect_set(F.when(col("event_id") % 2 == 0, col("k"))).alias("a"), F.collect_set(F.when(col("event_id") % 2 == 1, col("k"))).alias("b"))
     return t.events.select("user_id").distinct().join(both, "user_id", "left").select("user_id", *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in "ab"])
 

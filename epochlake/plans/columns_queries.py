@@ -164,7 +164,7 @@ def _(t):
     return rounded(t.ev().select("event_id", c.length_of(F.lit(1.0), F.lit(2.0), col("value"), col("k")).alias("d")))
 
 
-@query("f14_bezier_points", f"WITH {EV} SELECT event_id, i AS point_index, round((1-i/4.0)*(1-i/4.0)*value + 2*(1-i/4.0)*(i/4.0)*1.0 + (i/4.0)*(i/4.0)*10.0, 6) AS x, round((1-i/4.0)*(1-i/4.0)*k + 2*(1-i/4.0)*(i/4.0)*2.0 + (i/4.0)*(i/4.0)*20.0, 6) AS y FROM ev, (SELECT CAST(unnest(range(5)) AS INTEGER) AS i)")
+@query("f14_bezier_points", f"WITH {EV} SELECT event_id, i AS point_index, round((1-i/5.0)*(1-i/5.0)*value + 2*(1-i/5.0)*(i/5.0)*1.0 + (i/5.0)*(i/5.0)*10.0, 6) AS x, round((1-i/5.0)*(1-i/5.0)*k + 2*(1-i/5.0)*(i/5.0)*2.0 + (i/5.0)*(i/5.0)*20.0, 6) AS y FROM ev, (SELECT CAST(unnest(range(5)) AS INTEGER) AS i)")
 def _(t):
     seg = t.ev().select("event_id", col("value").alias("start_x"), col("k").cast("double").alias("start_y"), F.lit(10.0).alias("end_x"), F.lit(20.0).alias("end_y"), F.lit(1.0).alias("ctrl_x"), F.lit(2.0).alias("ctrl_y"))
     return rounded(c.bezier_points(seg, 5).select("event_id", "point_index", "x", "y"))

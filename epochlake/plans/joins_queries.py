@@ -200,8 +200,10 @@ def _(t):
     return q.null_counts(t.orders, ["o_custkey", "o_orderdate"])
 
 
-@query("q4_key_mismatches", f"WITH a AS (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) AS n FROM nation), b AS (SELECT n_nationkey + (n_nationkey = 7)::INTEGER * 100 AS k, row_number() OVER (ORDER BY n_nationkey + (n_nationkey = 7)::INTEGER * 100) AS n FROM nation) SELECT count(*) AS n FROM a JOIN b USING (n) WHERE a.k <> b.k")
+@query("q4_key_mismatches", "WITH a AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders), m AS (SELECT o_orderkey + (o_orderkey % 1000 = 7)::INTEGER AS k FROM orders WHERE o_orderkey % 5000 <> 11), b AS (SELECT k, row_number() OVER (ORDER BY k) AS n FROM m) SELECT coalesce(a.n, b.n) AS place, a.k AS a, b.k AS b FROM a FULL JOIN b USING (n) WHERE a.k IS DISTINCT FROM b.k")
 def _(t):
-    a = t.nation.select("n_nationkey")
-    b = a.select(F.when(col("n_nationkey") == 7, 107).otherwise(col("n_nationkey")).alias("n_nationkey"))
-    return q.key_mismatches(a, b, ["n_nationkey"], ["n_nationkey"]).agg(F.count("*").alias("n"))
+    a = t.orders.select("o_orderkey")
+    b = a.filter("o_orderkey % 5000 <> 11").select(F.when(col("o_orderkey") % 1000 == 7, col("o_orderkey") + 1).otherwise(col("o_orderkey")).alias("o_orderkey"))
+    return q.key_mismatches(a, b, ["o_orderkey"], ["o_orderkey"]).select((col("place") + 1).alias("place"), col("a.o_orderkey").alias("a"), col("b.o_orderkey").alias("b"))
+
+

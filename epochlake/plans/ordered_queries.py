@@ -31,6 +31,13 @@ def _(t):
     return rounded(t.sm().select("o", w.turn_angle(KS, OS).alias("turn")))
 
 
+@query("w3_turn_angle_skip", f"""WITH {SM}, l AS (SELECT o, x - lag(x) {WS} AS ax, y - lag(y) {WS} AS ay, lead(x) {WS} - x AS bx, lead(y) {WS} - y AS b2 FROM sm),
+  s AS (SELECT l.o, ax, ay, bx + lead(bx) OVER v AS cx, b2 + lead(b2) OVER v AS cy FROM l JOIN (SELECT o, trial, time FROM sm) p USING (o) WINDOW v AS (PARTITION BY trial ORDER BY time, o)),
+  a AS (SELECT o, atan2(cy, cx) - atan2(ay, ax) AS a FROM s) SELECT o, round(CASE WHEN a > pi() THEN a - 2 * pi() WHEN a <= -pi() THEN a + 2 * pi() ELSE a END, 6) AS turn FROM a""")
+def _(t):
+    return rounded(t.sm().select("o", w.turn_angle(KS, OS, skip=1).alias("turn")))
+
+
 @query("w4_rezero", f"WITH {SM} SELECT o, round(time - first_value(time) {WS}, 6) AS since FROM sm")
 def _(t):
     return rounded(t.sm().select("o", w.rezero("time", KS, OS).alias("since")))
@@ -140,10 +147,10 @@ def _(t):
     return out.select("user_id", *[F.round(x, 6).alias(x) for x in ("max_step", "median_step", "p999_step")], F.round("step_ratio", 4).alias("step_ratio"))
 
 
-@query("t1_order_by", "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey NULLS LAST, o_orderkey) AS n FROM orders QUALIFY n <= 100")
+@query("t1_order_by", "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey NULLS LAST, o_orderkey) AS n FROM orders")
 def _(t):
-    top = shape.order_by(t.orders, ["o_custkey", "o_orderkey"]).limit(100)  # a top-k report
-    return w.order_index(top.select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], "n").select("o_orderkey", (col("n") + 1).cast("bigint").alias("n"))
+    ordered_rows = shape.order_by(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"])
+    return w.order_index(ordered_rows, ["o_custkey", "o_orderkey"], "n").select("o_orderkey", (col("n") + 1).cast("bigint").alias("n"))
 
 
 @query("t2_top1_abs", f"WITH {SG} SELECT vec_id, pos FROM sg QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, pos) = 1")

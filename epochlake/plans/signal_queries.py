@@ -27,9 +27,14 @@ def longest(t):
     return t.sg().withColumn("pos", col("pos").cast("bigint"))
 
 
-@query("g1_channel_metrics", f"WITH {SG}, l AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY vec_id ORDER BY pos)) AS s FROM sg) SELECT vec_id, count(*) AS n, count(*) AS n_finite, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, round(max(v) - min(v), 6) AS ptp, round(min(v), 6) AS min, round(max(v), 6) AS max, round(max(s), 6) AS max_step FROM l GROUP BY 1")
+#: Runs in SQL: steps of at most FLAT (at least one sample), and values of at least CLIP in size.
+FLAT, CLIP = 0.02, 0.1
+RUNS = f"r AS (SELECT *, coalesce(s <= {FLAT}, false) AS st, abs(v) >= {CLIP} AS cl, pos - sum(coalesce(s <= {FLAT}, false)::INTEGER) OVER (PARTITION BY vec_id ORDER BY pos) AS i, pos - sum((abs(v) >= {CLIP})::INTEGER) OVER (PARTITION BY vec_id ORDER BY pos) AS j FROM l), fr AS (SELECT vec_id, max(n) + 1 AS flat_run FROM (SELECT vec_id, count(*) FILTER (st) AS n FROM r GROUP BY vec_id, i) GROUP BY 1), cr AS (SELECT vec_id, max(n) AS clip_run FROM (SELECT vec_id, count(*) FILTER (cl) AS n FROM r GROUP BY vec_id, j) GROUP BY 1)"
+
+
+@query("g1_channel_metrics", f"WITH {SG}, l AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY vec_id ORDER BY pos)) AS s FROM sg), {RUNS} SELECT vec_id, count(*) AS n, count(*) AS n_finite, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, round(max(v) - min(v), 6) AS ptp, round(min(v), 6) AS min, round(max(v), 6) AS max, round(max(s), 6) AS max_step, max(flat_run) AS flat_run, max(clip_run) AS clip_run FROM l JOIN fr USING (vec_id) JOIN cr USING (vec_id) GROUP BY 1")
 def _(t):
-    return rounded(g.channel_metrics(chunks(t), ["vec_id"]).drop("flat_run", "clip_run"))
+    return rounded(g.channel_metrics(chunks(t), ["vec_id"], flat=FLAT, clip=CLIP))
 
 
 @query("g2_welch_psd")
@@ -59,10 +64,10 @@ def _(t):
     return rounded(g.rectify_smooth(signals(t), ["vec_id"], 6, FS, 31).select("vec_id", F.posexplode("samples").alias("pos", "v")))
 
 
-@query("g7_emg_flags")
+@query("g7_emg_flags", f"WITH {SG}, c AS (SELECT *, CASE WHEN pos % 2 = 0 THEN 'a' ELSE 'b' END AS muscle, pos < 32 AS rest FROM sg), md AS (SELECT *, median(v) OVER (PARTITION BY label, vec_id, muscle, rest) AS m FROM c), act AS (SELECT label, vec_id, muscle, rest, median(abs(v - m)) * 1.4826 AS a FROM md GROUP BY ALL), df AS (SELECT label, vec_id, muscle, max(a) FILTER (NOT rest) - max(a) FILTER (rest) AS d FROM act GROUP BY ALL), th AS (SELECT label, muscle, quantile_cont(d, 0.25) FILTER (vec_id % 2 = 0) AS q FROM df GROUP BY ALL) SELECT label, vec_id, bool_and(coalesce(vec_id % 2 = 1 AND d >= q, false)) AS bad, round(max(d), 6) AS max_difference FROM df JOIN th USING (label, muscle) GROUP BY ALL")
 def _(t):
     sg = longest(t).withColumns({"muscle": F.when(col("pos") % 2 == 0, "a").otherwise("b"), "epoch": F.when(col("pos") < 32, "rest").otherwise("active")})
-    return rounded(g.emg_flags(sg, ["vec_id"], "muscle", "epoch", "v", "active", "rest", col("vec_id") % 2 == 0, 0.2))
+    return rounded(g.emg_flags(sg, ["label"], "vec_id", "muscle", "epoch", "v", "active", "rest", col("vec_id") % 2 == 0))
 
 
 @query("g8_epochs", f"WITH {SG}, a AS (SELECT vec_id, 10 + vec_id % 50 AS anchor FROM embeddings), r AS (SELECT a.vec_id, anchor, list(v ORDER BY pos) AS s FROM a JOIN sg ON sg.vec_id = a.vec_id AND pos BETWEEN anchor - 4 AND anchor + 5 GROUP BY 1, 2) SELECT vec_id, anchor, len(s) = 10 AS complete, round(list_sum(s), 6) AS total FROM r")
@@ -170,10 +175,11 @@ def _(t):
     return rounded(g.tf_means(cells, "unit", ["label"], ["cell"], "v").select("unit", "label", "cell", "mean", "lo", "hi"))
 
 
-@query("g22_atlas_means", f"WITH {SG}, a AS (SELECT vec_id % 4 AS condition, pos, avg(v) AS m FROM sg GROUP BY 1, 2) SELECT condition, count(*) FILTER (m < -0.02 OR m > 0.02)::INTEGER AS n_outside, round(count(*) FILTER (m < -0.02 OR m > 0.02) * 100.0 / count(*), 6) AS percent_saturated FROM a GROUP BY 1")
+@query("g22_atlas_means", f"WITH {SG}, a AS (SELECT vec_id % 4 AS condition, pos, avg(v) AS m FROM sg GROUP BY 1, 2) SELECT condition, list(round(m, 6) ORDER BY pos) AS mean, count(*) FILTER (m < -0.02 OR m > 0.02)::INTEGER AS n_outside, round(count(*) FILTER (m < -0.02 OR m > 0.02) * 100.0 / count(*), 6) AS percent_saturated FROM a GROUP BY 1")
 def _(t):
     lineage = t.embeddings.select("vec_id", (col("vec_id") % 4).alias("condition"))
-    return rounded(g.atlas_means(signals(t), lineage, ["vec_id"], "condition", "samples", -0.02, 0.02).drop("mean"))
+    out = g.atlas_means(signals(t), lineage, ["vec_id"], "condition", "samples", -0.02, 0.02)
+    return rounded(out).withColumn("mean", F.transform("mean", lambda x: F.round(x, 6)))
 
 
 @query("g23_compare_branches")
@@ -261,19 +267,20 @@ def _(t):
     return out.select("c_mktsegment", "n", *[F.round(x, 2).alias(x) for x in ("mean", "sd", "se")], F.round("t", 4).alias("t"))
 
 
-#: Draws in SQL: a vector is a draw, its first four values are terms.
-DRAWS = SG + ", dr AS (SELECT vec_id AS sample, 't' || pos AS term, v AS value FROM sg WHERE pos < 4)"
+#: Draws in SQL: a vector is a draw, its values are terms.
+DRAWS = SG + ", dr AS (SELECT vec_id AS sample, 't' || pos AS term, v AS value FROM sg)"
+TERMS = 64
 
 
 def term_draws(t):
-    return longest(t).filter("pos < 4").select(col("vec_id").alias("sample"), F.concat(F.lit("t"), col("pos").cast("string")).alias("term"), col("v").alias("value"))
+    return longest(t).select(col("vec_id").alias("sample"), F.concat(F.lit("t"), col("pos").cast("string")).alias("term"), col("v").alias("value"))
 
 
 def registry(t):
-    return t.spark.createDataFrame([("sum", "t0", 1.0), ("sum", "t1", 1.0), ("diff", "t2", 1.0), ("diff", "t3", -1.0)], "estimand string, term string, weight double")
+    return t.spark.createDataFrame([*(("sum", f"t{k}", 1.0) for k in range(TERMS)), ("diff", "t2", 1.0), ("diff", "t3", -1.0)], "estimand string, term string, weight double")
 
 
-REG = "(VALUES ('sum', 't0', 1.0), ('sum', 't1', 1.0), ('diff', 't2', 1.0), ('diff', 't3', -1.0)) r(estimand, term, weight)"
+REG = f"(SELECT 'sum' AS estimand, 't' || i AS term, 1.0 AS weight FROM range({TERMS}) x(i) UNION ALL VALUES ('diff', 't2', 1.0), ('diff', 't3', -1.0)) r"
 
 
 @query("m11_estimands", f"WITH {DRAWS} SELECT sample, estimand, round(sum(weight * value), 6) AS value FROM dr JOIN {REG} USING (term) GROUP BY 1, 2")
@@ -284,21 +291,21 @@ def _(t):
 @query("m12_estimand_routes", f"WITH {DRAWS} SELECT count(*) AS n, 0.0::DOUBLE AS max_difference, 0::BIGINT AS n_unmatched FROM (SELECT DISTINCT sample, estimand FROM dr, (VALUES ('sum'), ('diff')) r(estimand))")
 def _(t):
     d = term_draws(t)
-    wide = d.groupBy("sample").pivot("term", ["t0", "t1", "t2", "t3"]).agg(F.first("value"))
-    other = wide.select("sample", F.lit("sum").alias("estimand"), (col("t0") + col("t1")).alias("value")).unionByName(wide.select("sample", F.lit("diff").alias("estimand"), (col("t2") - col("t3")).alias("value")))
+    wide = signals(t).select(col("vec_id").alias("sample"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("sum"), (col("samples")[2] - col("samples")[3]).alias("diff"))
+    other = wide.select("sample", F.explode(F.array(*[F.struct(F.lit(e).alias("estimand"), col(e).alias("value")) for e in ("sum", "diff")])).alias("r")).select("sample", "r.*")
     return rounded(m.estimand_routes(m.estimands(d, registry(t)), other, ["sample", "estimand"]))
 
 
 @query("m13_draw_summary", f"WITH {DRAWS}, s AS (SELECT term, quantile_cont(value, 0.025) FILTER (sample > 0) AS lo, max(value) FILTER (sample = 0) AS point, quantile_cont(value, 0.975) FILTER (sample > 0) AS hi FROM dr GROUP BY 1) SELECT term, round(lo, 6) AS lo, round(point, 6) AS point, round(hi, 6) AS hi, 0.1 BETWEEN lo AND hi AS covered FROM s")
 def _(t):
-    truth = t.spark.createDataFrame([(f"t{k}", 0.1) for k in range(4)], "term string, truth double")
+    truth = t.spark.createDataFrame([(f"t{k}", 0.1) for k in range(TERMS)], "term string, truth double")
     return rounded(m.draw_summary(term_draws(t), truth, ["term"]).drop("truth"))
 
 
-@query("m14_max_t", f"WITH {SG}, mx AS (SELECT vec_id, max(abs(v)) AS mx FROM sg GROUP BY 1), ob AS (SELECT o_orderkey, o_totalprice / 1000000 AS t FROM orders WHERE o_custkey < 50) SELECT o_orderkey, t, round((SELECT quantile_cont(mx, 0.95) FROM mx), 6) AS threshold, round((1 + (SELECT count(*) FROM mx WHERE mx >= abs(t))) / (1 + (SELECT count(*) FROM mx)), 6) AS p_fwe, abs(t) > (SELECT quantile_cont(mx, 0.95) FROM mx) AS significant FROM ob")
+@query("m14_max_t", f"WITH {SG}, mx AS (SELECT vec_id, max(abs(v)) AS mx FROM sg GROUP BY 1), ob AS (SELECT o_orderkey, o_totalprice / 1000000 AS t FROM orders) SELECT o_orderkey, t, round((SELECT quantile_cont(mx, 0.95) FROM mx), 6) AS threshold, round((SELECT count(*) FROM mx WHERE mx >= abs(t)) / (SELECT count(*) FROM mx), 6) AS p_fwe, abs(t) >= (SELECT quantile_cont(mx, 0.95) FROM mx) AS significant FROM ob")
 def _(t):
     draws = longest(t).select(col("vec_id").alias("draw"), col("v").alias("t"))
-    observed = t.orders.filter("o_custkey < 50").select("o_orderkey", (col("o_totalprice") / 1000000).alias("t"))
+    observed = t.orders.select("o_orderkey", (col("o_totalprice") / 1000000).alias("t"))
     out = m.max_t(draws, observed)
     return out.select("o_orderkey", "t", F.round("threshold", 6).alias("threshold"), F.round("p_fwe", 6).alias("p_fwe"), "significant")
 
@@ -330,8 +337,12 @@ def _(t):
     return io.read_table(t.spark, f"{t.sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"])
 
 
-@query("f37_table_fingerprint", "SELECT count(*) AS n FROM orders")
+#: The rows as JSON, as both engines write them; orders have no null.
+ORDER_JSON = "'{\"o_orderkey\":' || o_orderkey || ',\"o_custkey\":' || o_custkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}'"
+
+
+@query("f37_table_fingerprint", f"WITH n AS (SELECT sha256({ORDER_JSON}) AS h, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders), b AS (SELECT i // 4096 AS b, count(*) AS c, sha256(string_agg(h, '' ORDER BY i)) AS d FROM n GROUP BY 1) SELECT sum(c)::BIGINT AS n, sha256(string_agg(d, '' ORDER BY b)) AS fingerprint FROM b")
 def _(t):
     from ..operators.fingerprint import table_fingerprint
 
-    return table_fingerprint(t.orders, ["o_orderkey"]).select("n")
+    return table_fingerprint(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"])

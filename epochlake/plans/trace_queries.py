@@ -13,6 +13,9 @@ K, O = ["trial"], ["time", "o"]
 SC = SM + ", s0 AS (SELECT trial, o, x * 60 AS x, y * 10 AS y, time / 1000 AS time FROM sm), og AS (SELECT trial, arg_min(x, o) AS ox, arg_min(y, o) AS oy FROM s0 GROUP BY 1), s1 AS (SELECT s0.*, ox, oy, sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy)) AS od FROM s0 JOIN og USING (trial))"
 W = "OVER (PARTITION BY trial ORDER BY time, o)"
 WU = "OVER (PARTITION BY trial ORDER BY time, o ROWS UNBOUNDED PRECEDING)"
+#: Steps that arrive, their heading, the turn against the step before, and that of the chord which leaves the next point out (degrees).
+TURN = lambda e: f"degrees(CASE WHEN {e} > pi() THEN {e} - 2 * pi() WHEN {e} <= -pi() THEN {e} + 2 * pi() ELSE {e} END)"
+STEPS = f"st0 AS (SELECT *, x - lag(x) {W} AS dx, y - lag(y) {W} AS dy, coalesce(time - lag(time) {W}, 0) AS gap FROM s1), st1 AS (SELECT *, sqrt(dx * dx + dy * dy) AS d, atan2(dy, dx) AS h, dx + lead(dx) {W} AS dx2, dy + lead(dy) {W} AS dy2 FROM st0), st2 AS (SELECT *, h - lag(h) {W} AS t1, atan2(dy2, dx2) - lag(h) {W} AS t2 FROM st1), st AS (SELECT *, {TURN('t1')} AS a, {TURN('t2')} AS a2 FROM st2)"
 
 
 def screen(t):
@@ -26,7 +29,7 @@ def with_origin(t):
 
 
 def figures(t):
-    return t.sm().groupBy("trial").agg((F.max("x") * 70).alias("figure_size"), F.sum("x").alias("figure_length"), F.avg("y").alias("figure_shift"))
+    return t.sm().groupBy("trial").agg((F.max("x") * 70).alias("figure_size"), F.sum("x").alias("figure_length"), F.avg("y").alias("__s")).withColumn("figure_shift", col("__s") / 50).drop("__s")
 
 
 @query("c1_attach_origin", f"WITH {SC}, l AS (SELECT *, x = lag(x) {W} AND y = lag(y) {W} AS again, time - first_value(time) {W} AS since FROM s1) SELECT o, round(since, 6) AS time, round(ox, 6) AS origin_x, round(oy, 6) AS origin_y FROM l WHERE again IS NOT TRUE")
@@ -49,29 +52,46 @@ def _(t):
     return tr.trim_after_done(with_origin(t), K, O, [p]).select("o")
 
 
-@query("c4_drop_glitches")
+@query("c4_drop_glitches", f"WITH {SC}, {STEPS}, g0 AS (SELECT *, coalesce(d > 600 AND lead(d) {W} > 600 AND abs(lead(a) {W}) > 120, false) AS g FROM st), g1 AS (SELECT *, sum(g::INTEGER) OVER (PARTITION BY trial) AS n, coalesce(lead(g) {W}, false) AS ga, coalesce(lead(g, 2) {W}, false) AS gb, lead(a2) {W} AS na2 FROM g0), g2 AS (SELECT *, g AND (n <= 1 OR gb OR NOT (na2 IS NOT NULL AND ga) OR coalesce(abs(na2) > 90, false)) AS gl FROM g1), g3 AS (SELECT *, gl OR coalesce(lead(gl) {W} AND (x = lead(x) {W} OR y = lead(y) {W}), false) OR coalesce(lag(gl) {W} AND (x = lag(x) {W} OR y = lag(y) {W}), false) OR (d IS NULL AND coalesce(lead(d) {W} > 600, false) AND od > 600) OR (lead(d) {W} IS NULL AND coalesce(od - lag(od) {W} > 600, false)) OR (x = 239 AND y = 1079) AS bad FROM g2) SELECT trial, o FROM g3 WHERE NOT bad")
 def _(t):
     return tr.drop_glitches(with_origin(t), K, O, min_dist=600, min_angle=120, min_angle_alt=90).select("trial", "o")
 
 
-@query("c5_drop_false_start", f"WITH {SC}, a AS (SELECT *, row_number() {W} / count(*) OVER (PARTITION BY trial) AS prop, time - lag(time) {W} AS gap FROM s1), b AS (SELECT *, coalesce(gap > 30 AND prop <= 0.3 AND od < 500, false)::INTEGER AS st FROM a), c AS (SELECT *, sum(st) {WU} < sum(st) OVER (PARTITION BY trial) AS drop_ FROM b), d AS (SELECT o, time - min(time) OVER (PARTITION BY trial) AS time FROM c WHERE NOT drop_) SELECT o, round(time, 6) AS time FROM d")
+FALSE_START = f"WITH {SC}, a AS (SELECT *, row_number() {W} / count(*) OVER (PARTITION BY trial) AS prop, time - lag(time) {W} AS gap FROM s1), b AS (SELECT *, coalesce(gap > 30 AND prop <= 0.3 AND od < 500, false)::INTEGER AS st FROM a), c AS (SELECT *, sum(st) {WU} < sum(st) OVER (PARTITION BY trial) AS drop_ FROM b)"
+
+
+@query("c5_drop_false_start", FALSE_START + " SELECT o, round(time, 6) AS time FROM c WHERE NOT drop_")
 def _(t):
     return rounded(tr.drop_false_start(with_origin(t), K, O, start_radius=500, max_prop=0.3, min_pause=30).select("o", "time"))
 
 
-@query("c6_drop_hand_noise")
+@query("c5_false_start_shifts", FALSE_START + " SELECT trial, count(*) AS samples, count(*) FILTER (drop_) AS flagged, round(arg_min(time, (time, o)) FILTER (NOT drop_), 6) AS start_shift FROM c GROUP BY 1 HAVING count(*) FILTER (drop_) > 0")
+def _(t):
+    return rounded(tr.false_start_shifts(with_origin(t), K, O, start_radius=500, max_prop=0.3, min_pause=30))
+
+
+@query("c6_drop_hand_noise", f"WITH {SC}, {STEPS}, n0 AS (SELECT *, coalesce(d > 120 AND abs(a) + abs(lead(a) {W}) > 90, false) AS sharp, (list_reverse_sort(list(d) FILTER (d IS NOT NULL) OVER (PARTITION BY trial)))[2] AS second, last_value(od) OVER (PARTITION BY trial ORDER BY time, o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS od_end, coalesce(od - lag(od) {W} > 100, false)::INTEGER AS away FROM st), n1 AS (SELECT *, coalesce(bool_or(sharp) OVER (PARTITION BY trial) AND a IS NOT NULL AND gap < 100 AND ((d > 120 AND abs(a) > 30) OR d > 300) AND d >= second, false)::INTEGER AS jump, od_end < 100 AS near FROM n0), n2 AS (SELECT *, sum(jump) {WU} AS jumps, sum(jump) OVER (PARTITION BY trial) AS all_, sum(away) {WU} AS aways, sum(away) OVER (PARTITION BY trial) AS total FROM n1), n3 AS (SELECT *, (jumps % 2 = 1 AND all_ % 2 = 0) OR (NOT near AND aways = greatest(1, total)) AS noise FROM n2), n4 AS (SELECT *, greatest(max(x) FILTER (noise) OVER (PARTITION BY trial) - min(x) FILTER (noise) OVER (PARTITION BY trial), max(y) FILTER (noise) OVER (PARTITION BY trial) - min(y) FILTER (noise) OVER (PARTITION BY trial)) AS box FROM n3) SELECT trial, o FROM n4 WHERE NOT (noise AND box <= 900)")
 def _(t):
     return tr.drop_hand_noise(with_origin(t), K, O, max_gap=100, max_size=900).select("trial", "o")
 
 
-@query("c7_drop_incomplete", f"WITH {SC}, l AS (SELECT *, x - lag(x) {W} AS dx, y - lag(y) {W} AS dy FROM s1), z AS (SELECT trial, greatest(max(x) - min(x), max(y) - min(y)) AS size, abs((max(x) + min(x)) / 2) AS shift, sum(sqrt(dx * dx + dy * dy)) AS len, arg_max(od, time) AS gap FROM l GROUP BY 1), f AS (SELECT trial, max(x) * 70 AS fs, sum(x) AS fl, avg(y) AS fsh FROM sm GROUP BY 1), b AS (SELECT trial FROM z JOIN f USING (trial) WHERE fs / size > 1.3 OR gap > 700 OR (fl / len > 0.01 AND abs(fsh - shift) > 500)) SELECT o FROM s1 WHERE trial NOT IN (SELECT trial FROM b)")
+@query("c7_drop_incomplete", f"WITH {SC}, {STEPS}, z AS (SELECT trial, greatest(max(x) - min(x), max(y) - min(y)) AS size, ((min(x) - 2000) / nullif(max(x) - min(x), 0) + 0.5) * 2 AS shift, coalesce(sum(d), 0) AS len, abs(arg_max(od, (time, o)) - arg_min(od, (time, o))) AS gap FROM st GROUP BY 1), f AS (SELECT trial, max(x) * 70 AS fs, sum(x) AS fl, avg(y) / 50 AS fsh FROM sm GROUP BY 1), b AS (SELECT trial FROM z LEFT JOIN f USING (trial) WHERE coalesce(fs / nullif(size, 0) > 1.3, false) OR coalesce(gap > 1500, false) OR coalesce(fl / nullif(len, 0) > 0.012 AND abs(shift) - abs(fsh) > 0.3, false)) SELECT o FROM s1 WHERE trial NOT IN (SELECT trial FROM b)")
+def _(t):
+    return tr.drop_incomplete(with_origin(t), figures(t), K, O, max_end_gap=1500, max_size_ratio=1.3, max_length_ratio=0.012, max_shift=0.3, middle=2000.0).select("o")
+
+
+GAP_SQL = f"WITH {SC}, {STEPS}, f0 AS (SELECT *, abs(a) + abs(lead(a) {W}) AS turns FROM st), f1 AS (SELECT *, gap > 4e5 OR coalesce(gap > 150 AND (d > 2500 OR (d > 1500 AND turns > 90) OR (d > 1300 AND turns > 200)), false) AS gap_ FROM f0)"
+LEVELS = ((2500, None), (1500, 90), (1300, 200))
+
+
+@query("c8_drop_large_gaps", GAP_SQL + " SELECT trial, o FROM (SELECT *, bool_or(gap_) OVER (PARTITION BY trial) AS any_ FROM f1) WHERE NOT any_")
 def _(t):
-    return tr.drop_incomplete(with_origin(t), figures(t), K, O, max_end_gap=700, max_size_ratio=1.3, max_length_ratio=0.01, max_shift=500).select("o")
+    return tr.drop_large_gaps(screen(t), K, O, pause=4e5, min_gap=150, levels=LEVELS).select("trial", "o")
 
 
-@query("c8_drop_large_gaps")
+@query("c8_gap_flags", GAP_SQL + " SELECT trial, o, gap_ AS gap FROM f1")
 def _(t):
-    return tr.drop_large_gaps(screen(t), K, O, pause=400, min_gap=150, levels=((1500, 0), (1300, 200))).select("trial", "o")
+    return tr.with_gap_flags(screen(t), K, O, pause=4e5, min_gap=150, levels=LEVELS).select("trial", "o", "gap")
 
 
 @query("c9_flag_edges", f"WITH {SC} SELECT trial, bool_or(x <= 0 OR x >= 1919 OR y <= 0 OR y >= 979) AS edge_hit FROM s0 GROUP BY 1")
@@ -113,14 +133,14 @@ def _(t):
     return tr.figure_summary(segments(t), K).select("trial", F.round("curve_length", 1).alias("curve_length"), F.round("chord_length", 4).alias("chord_length"))
 
 
-@query("x2_turning_summary")
+@query("x2_turning_summary", f"WITH {EV}, i AS (SELECT user_id AS trial, event_id AS seg, value AS sx, k::DOUBLE AS sy, value + 50 AS ex, k * 2.0 AS ey, value * 3 AS cx, 75.0 AS cy, unnest(range(20)) AS n FROM ev), p AS (SELECT trial, seg, n, cx + (sx - cx) * pow(1 - n / 20.0, 2) + (ex - cx) * pow(n / 20.0, 2) AS x, cy + (sy - cy) * pow(1 - n / 20.0, 2) + (ey - cy) * pow(n / 20.0, 2) AS y FROM i), d AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM p WINDOW w AS (PARTITION BY trial ORDER BY seg, n)), h AS (SELECT trial, atan2(dy, dx) - lag(atan2(dy, dx)) OVER (PARTITION BY trial ORDER BY seg, n) AS t FROM d), a AS (SELECT trial, abs(CASE WHEN abs(t) > pi() THEN t - 2 * pi() * sign(t) ELSE t END) AS t FROM h) SELECT trial, round(sum(t), 4) AS turn_sum, round(avg(t), 4) AS turn_mean, round(stddev_samp(t), 4) AS turn_sd FROM a GROUP BY 1")
 def _(t):
     return rounded(tr.turning_summary(segments(t), K, 20), 4)
 
 
-@query("x3_total_abs_curvature")
+@query("x3_total_abs_curvature", f"WITH {EV}, i AS (SELECT user_id AS trial, value AS sx, k::DOUBLE AS sy, value + 50 AS ex, k * 2.0 AS ey, value * 3 AS cx, 75.0 AS cy, unnest(range(61)) AS n FROM ev), d AS (SELECT *, 2 * (1 - n / 60.0) * (cx - sx) + 2 * n / 60.0 * (ex - cx) AS dx, 2 * (1 - n / 60.0) * (cy - sy) + 2 * n / 60.0 * (ey - cy) AS dy, 2 * (ex - 2 * cx + sx) AS ddx, 2 * (ey - 2 * cy + sy) AS ddy FROM i) SELECT trial, round(sum(CASE WHEN n IN (0, 60) THEN 1 WHEN n % 2 = 1 THEN 4 ELSE 2 END * abs(dx * ddy - dy * ddx) / pow(dx * dx + dy * dy, 1.5)) / 180, 3) AS total_abs_curvature FROM d GROUP BY 1")
 def _(t):
-    return rounded(tr.total_abs_curvature(segments(t), K), 4)
+    return rounded(tr.total_abs_curvature(segments(t), K), 3)
 
 
 @query("x4_series_entropy")
@@ -156,9 +176,18 @@ def _(t):
     return out.select("trial", F.round("error_total", 4).alias("error_total"), *[F.round(x, 6).alias(x) for x in ("error_mean", "error_sd", "error_paired_sd")])
 
 
-@query("x8_procrustes", MATCHED + ", g AS (SELECT trial, covar_pop(x, fx) * count(*) AS a, covar_pop(x, fy) * count(*) AS b, covar_pop(y, fx) * count(*) AS c, covar_pop(y, fy) * count(*) AS d, (var_pop(x) + var_pop(y)) * count(*) AS own, sqrt(pow(avg(x) - avg(fx), 2) + pow(avg(y) - avg(fy), 2)) AS tr FROM m GROUP BY 1) SELECT trial, round(tr, 4) AS translation, round(sqrt(a * a + b * b + c * c + d * d + 2 * abs(a * d - b * c)) / own, 4) AS scale, a * d - b * c < 0 AS reflected FROM g")
+FIT = MATCHED + ", g0 AS (SELECT trial, avg(x) AS mx, avg(y) AS my, avg(fx) AS mfx, avg(fy) AS mfy, covar_pop(x, fx) * count(*) AS a, covar_pop(x, fy) * count(*) AS b, covar_pop(y, fx) * count(*) AS c, covar_pop(y, fy) * count(*) AS d, (var_pop(x) + var_pop(y)) * count(*) AS own, sqrt(pow(avg(x) - avg(fx), 2) + pow(avg(y) - avg(fy), 2)) AS tr FROM m GROUP BY 1), g1 AS (SELECT *, a * d - b * c < 0 AS reflected, CASE WHEN a * d - b * c < 0 THEN a - d ELSE a + d END AS p, CASE WHEN a * d - b * c < 0 THEN b + c ELSE b - c END AS q FROM g0), g AS (SELECT *, sqrt(p * p + q * q) AS h, sqrt(p * p + q * q) / own AS scale FROM g1)"
+
+
+@query("x8_procrustes", FIT + " SELECT trial, round(tr, 4) AS translation, round(scale, 4) AS scale, round(acos(least(1, greatest(-1, p / h))), 4) AS rotation, reflected FROM g")
+def _(t):
+    return rounded(tr.procrustes(matched(t), K).select("trial", "translation", "scale", "rotation", "reflected"), 4)
+
+
+@query("x8_procrustes_error", FIT + ", e AS (SELECT m.trial, sqrt(pow(scale * ((x - mx) * p / h + (y - my) * CASE WHEN reflected THEN q / h ELSE -q / h END) + mfx - fx, 2) + pow(scale * ((x - mx) * q / h + (y - my) * CASE WHEN reflected THEN -p / h ELSE p / h END) + mfy - fy, 2)) AS e FROM m JOIN g USING (trial)) SELECT trial, round(sum(e), 3) AS shape_error_total, round(avg(e), 4) AS shape_error_mean, round(stddev_samp(e), 4) AS shape_error_sd, round(sqrt(sum(e * e) / (count(*) - 1)), 4) AS shape_error_paired_sd FROM e GROUP BY 1")
 def _(t):
-    return rounded(tr.procrustes(matched(t), K).select("trial", "translation", "scale", "reflected"), 4)
+    out = tr.procrustes_error(matched(t), K)
+    return out.select("trial", F.round("shape_error_total", 3).alias("shape_error_total"), *[F.round(x, 4).alias(x) for x in ("shape_error_mean", "shape_error_sd", "shape_error_paired_sd")])
 
 
 @query("x9_dtw_align")
@@ -167,6 +196,12 @@ def _(t):
     return rounded(tr.point_error(tr.dtw_align(sm.filter("o % 2 = 0"), sm.filter("o % 2 = 1"), K, "o"), K), 5)
 
 
+@query("x9_dtw_status", f"WITH {SM}, f AS (SELECT trial, count(*) AS figure_points FROM sm WHERE o % 3 <> 0 GROUP BY 1), t AS (SELECT trial, count(*) AS trace_points FROM sm WHERE o % 3 = 0 GROUP BY 1) SELECT trial, figure_points, trace_points, CASE WHEN figure_points IS NULL THEN 'no figure' WHEN trace_points IS NULL THEN 'no trace' WHEN figure_points >= 2 * trace_points THEN 'figure too long' ELSE 'aligned' END AS status FROM f FULL JOIN t USING (trial)")
+def _(t):
+    sm = t.sm()
+    return tr.dtw_status(sm.filter("o % 3 <> 0"), sm.filter("o % 3 = 0"), K)
+
+
 @query("x10_join_metrics", "SELECT c_custkey, n, m FROM customer LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) a ON a.user_id = c_custkey LEFT JOIN (SELECT user_id, max(value) AS m FROM events GROUP BY 1) b ON b.user_id = c_custkey")
 def _(t):
     g = t.events.groupBy("user_id")
@@ -176,10 +211,10 @@ def _(t):
 ODDS = "0.5 + (-ln(8.0) - (value - 15) * (value - 15) / 128) - (-ln(2.0) - (value - 3) * (value - 3) / 8)"
 
 
-@query("x11_outlier_labels", f"WITH l AS (SELECT event_id, event_type, value, {ODDS} AS odds, abs((value - 3) / 2) > 1.96 AS tail FROM events), g AS (SELECT *, odds > 0 AS outlier, NOT odds > 0 AND NOT tail AS good FROM l) SELECT event_id, round(odds, 6) AS log_odds, outlier, tail, good, min(value) FILTER (good) OVER (PARTITION BY event_type) AS good_low, max(value) FILTER (good) OVER (PARTITION BY event_type) AS good_high FROM g")
+@query("x11_outlier_labels", f"WITH l AS (SELECT event_id, event_type, value, {ODDS} AS odds, abs((value - 3) / 2) > 1.96 AS tail FROM events), g AS (SELECT *, odds > 0 AS outlier, NOT odds > 0 AND NOT tail AS good FROM l), r AS (SELECT *, CASE WHEN outlier THEN 'outlier' WHEN tail THEN 'tail' ELSE 'good' END AS label, min(value) FILTER (good) OVER (PARTITION BY event_type) AS lo, max(value) FILTER (good) OVER (PARTITION BY event_type) AS hi FROM g) SELECT event_id, round(odds, 6) AS log_odds, outlier, tail, good, label, CASE WHEN label <> 'good' THEN lo END AS good_low, CASE WHEN label <> 'good' THEN hi END AS good_high FROM r UNION ALL SELECT event_id, round(odds, 6), outlier, tail, good, 'all', NULL, NULL FROM r")
 def _(t):
     p = {"mean": 3, "sd": 2.0, "outlier_mean": 15, "outlier_sd": 8.0, "logit": 0.5}
-    return rounded(tr.outlier_labels(t.events, "value", ["event_type"], p).select("event_id", "log_odds", "outlier", "tail", "good", "good_low", "good_high"))
+    return rounded(tr.outlier_labels(t.events, "value", ["event_type"], p, 1.96, with_all=True).select("event_id", "log_odds", "outlier", "tail", "good", "label", "good_low", "good_high"))
 
 
 @query("x12_behaviour_table", f"WITH {EV}, f AS (SELECT event_id, user_id, event_type, value, coalesce(CASE WHEN event_type = 'view' THEN k END, max(CASE WHEN event_type = 'view' THEN k END) OVER (PARTITION BY user_id)) AS k FROM ev WHERE user_id >= 5), g AS (SELECT * FROM f WHERE event_type <> 'error') SELECT event_id, k, round((value - (SELECT avg(value) FROM g)) / (SELECT stddev_samp(value) FROM g), 6) AS value_z FROM g")

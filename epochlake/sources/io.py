@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import io
+import itertools
+import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -13,6 +17,37 @@ from pyspark.sql import functions as F
 
 from ..operators.checks import ContractError, require_columns
 
+#: Characters of members, or bytes of records, that a task holds at a time, about.
+PIECE = 1 << 22
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); in local mode a temporary one if it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.gettempdir()
+    jvm = spark.sparkContext._jvm
+    uri = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    parent = jvm.org.apache.hadoop.fs.Path(uri)
+    store = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(parent)
+    store.deleteOnExit(parent)
+    return f"{uri}/data"
+
+
+def put_bytes(uri: str, content: bytes) -> None:
+    """Write a file from a task, under a temporary name first, so that a repeated task leaves the same."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(temporary) as out:
+        out.write(content)
+    store.move(temporary, path)
+
 
 def read_task_tables(spark: SparkSession, path: str, schema: str, id_pattern: str = r"([0-9]+)[^/]*$", drop: Sequence[str] = ()) -> DataFrame:
     """SC1: tab-separated files with a header and ``#`` comments, typed by the schema; ``file_id`` from the file's name."""
@@ -21,57 +56,105 @@ def read_task_tables(spark: SparkSession, path: str, schema: str, id_pattern: st
 
 
 def read_zip_members(spark: SparkSession, path: str, extensions: Sequence[str]) -> DataFrame:
-    """SC2: rows (archive, member, text, status) for the members with these endings; a broken archive gives one error row."""
+    """SC2: rows (archive, member, text, status) for the members with these endings; a broken archive gives one error row.
+
+    Spark lists the archives; a task opens its own and reads member by member, so memory follows the largest member.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = []
-            for p, content in zip(part["path"], part["content"], strict=True):
+            for p in part["path"]:
+                rows, size = [], 0
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    with open_file(p) as source, zipfile.ZipFile(source) as z:
                         names = sorted(n for n in z.namelist() if n.lower().endswith(tuple(extensions)))
-                        rows += [(p, n, z.read(n).decode("utf-8", "replace"), "ok") for n in names] or [(p, None, None, "no_member")]
+                        for n in names:
+                            rows.append((p, n, z.read(n).decode("utf-8", "replace"), "ok"))
+                            size += len(rows[-1][2])
+                            if size > PIECE:
+                                yield pd.DataFrame(rows, columns=columns)
+                                rows, size = [], 0
+                        if not names:
+                            rows.append((p, None, None, "no_member"))
                 except (zipfile.BadZipFile, OSError, RuntimeError) as e:
                     rows.append((p, None, None, f"error: {type(e).__name__}"))
-            yield pd.DataFrame(rows, columns=["archive", "member", "text", "status"])
+                yield pd.DataFrame(rows, columns=columns)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    columns = ["archive", "member", "text", "status"]
+    files = spark.read.format("binaryFile").load(path).select("path")
     return files.mapInPandas(run, "archive string, member string, text string, status string")
 
 
-def decode_recording(content: bytes) -> list[tuple[str, float, np.ndarray, str]]:
-    """(label, rate, physical samples, unit) per signal of a file with a fixed-width header and 16-bit interleaved records."""
-    text = lambda a, b: content[a:b].decode("ascii", "replace").strip()
-    header, records, seconds, signals = int(text(184, 192)), int(text(236, 244)), float(text(244, 252)), int(text(252, 256))
-    at, columns = 256, {}
+def open_file(uri: str):
+    """A file for reading in a task, with seek."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+    return store.open_input_file(path)
+
+
+def recording_header(source) -> tuple[int, int, float, dict[str, list[str]]]:
+    """(bytes of the header, records or -1, seconds a record, the signals' fields) of a recording with a fixed-width header."""
+    text = lambda raw: raw.decode("ascii", "replace").strip()
+    head = source.read(256)
+    header, records, seconds, signals = int(text(head[184:192])), int(text(head[236:244])), float(text(head[244:252])), int(text(head[252:256]))
+    fields = source.read(256 * signals)
+    at, columns = 0, {}
     #: Names and widths of the per-signal fields, in file order.
     for name, width in (("label", 16), ("transducer", 80), ("unit", 8), ("pmin", 8), ("pmax", 8), ("dmin", 8), ("dmax", 8), ("filter", 80), ("count", 8), ("reserved", 32)):
-        columns[name] = [text(at + k * width, at + (k + 1) * width) for k in range(signals)]
+        columns[name] = [text(fields[at + k * width : at + (k + 1) * width]) for k in range(signals)]
         at += signals * width
+    return header, records, seconds, columns
+
+
+def recording_chunks(source, chunk_seconds: float) -> Iterator[tuple[str, str, float, int, float, np.ndarray]]:
+    """(label, unit, rate, chunk, start, samples) of every signal, a few interleaved 16-bit records at a time."""
+    header, records, seconds, columns = recording_header(source)
     counts = [int(x) for x in columns["count"]]
-    data = np.frombuffer(content, "<i2", offset=header)
-    whole = min(records, len(data) // sum(counts)) if records >= 0 else len(data) // sum(counts)
-    table = data[: whole * sum(counts)].reshape(whole, sum(counts))
-    out, start = [], 0
-    for k, n in enumerate(counts):
-        pmin, pmax, dmin, dmax = (float(columns[x][k]) for x in ("pmin", "pmax", "dmin", "dmax"))
-        raw = table[:, start : start + n].ravel().astype(float)
-        out.append((columns["label"][k], n / seconds, (raw - dmin) * (pmax - pmin) / (dmax - dmin) + pmin, columns["unit"][k]))
-        start += n
-    return out
+    rates = [n / seconds for n in counts]
+    sizes = [max(1, round(r * chunk_seconds)) for r in rates]
+    width, starts = 2 * sum(counts), np.concatenate([[0], np.cumsum(counts)])
+    scale = [[float(columns[x][k]) for x in ("pmin", "pmax", "dmin", "dmax")] for k in range(len(counts))]
+    source.seek(header)
+    held: list[list[np.ndarray]] = [[] for _ in counts]
+    done, left = [0] * len(counts), records if records >= 0 else 1 << 62
+    step = max(1, -(-round(chunk_seconds / seconds) // 1), PIECE // max(width, 1))
+    while left > 0:
+        raw = source.read(width * min(step, left))
+        table = np.frombuffer(raw[: len(raw) // width * width], "<i2").reshape(-1, sum(counts)) if width else np.zeros((0, 0), "<i2")
+        left -= len(table)
+        if not len(table):
+            break
+        for k, n in enumerate(sizes):
+            pmin, pmax, dmin, dmax = scale[k]
+            values = np.concatenate([*held[k], (table[:, starts[k] : starts[k + 1]].ravel().astype(float) - dmin) * (pmax - pmin) / (dmax - dmin) + pmin])
+            whole = len(values) // n * n
+            for at in range(0, whole, n):
+                yield columns["label"][k], columns["unit"][k], rates[k], done[k] // n, done[k] / rates[k], values[at : at + n]
+                done[k] += n
+            held[k] = [values[whole:]]
+    for k, n in enumerate(sizes):
+        rest = np.concatenate([*held[k], np.zeros(0)])
+        if len(rest):
+            yield columns["label"][k], columns["unit"][k], rates[k], done[k] // n, done[k] / rates[k], rest
 
 
 def read_recordings(spark: SparkSession, path: str, chunk_seconds: float = 10.0) -> DataFrame:
-    """SC3: rows (recording, channel, unit, fs, chunk, t0, samples); one task reads a file, rows are chunks of it."""
+    """SC3: rows (recording, channel, unit, fs, chunk, t0, samples).
+
+    Spark lists the files; a task opens its own and decodes a few records at a time, so memory doesn't follow a file's
+    size. A last chunk that isn't whole is kept.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            for p, content in zip(part["path"], part["content"], strict=True):
-                for label, fs, v, unit in decode_recording(bytes(content)):
-                    n = max(1, int(round(fs * chunk_seconds)))
-                    yield pd.DataFrame([(p, label, unit, fs, k // n, k / fs, v[k : k + n]) for k in range(0, len(v), n)], columns=["recording", "channel", "unit", "fs", "chunk", "t0", "samples"])
+            for p in part["path"]:
+                with open_file(p) as source:
+                    chunks = recording_chunks(source, chunk_seconds)
+                    while rows := [(p, *c) for c in itertools.islice(chunks, 64)]:
+                        yield pd.DataFrame(rows, columns=["recording", "channel", "unit", "fs", "chunk", "t0", "samples"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path")
     return files.mapInPandas(run, "recording string, channel string, unit string, fs double, chunk bigint, t0 double, samples array<double>")
 
 
