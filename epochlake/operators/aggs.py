@@ -276,7 +276,7 @@ def stage_runtime(df: DataFrame, stage: str, seconds: str) -> DataFrame:
 def laterality(df: DataFrame, k: Keys, channel: str, value: str, pairs: DataFrame) -> DataFrame:
     """Mean and sd of left less right over a table of pairs (left_ch, right_ch)."""
     side = lambda s: df.select(*k, F.col(channel).alias(f"{s}_ch"), F.col(value).alias(f"__{s}"))
-    both = side("left").join(F.broadcast(pairs), "left_ch").join(side("right"), [*k, "right_ch"])
+    both = side("left").join(pairs, "left_ch").join(side("right"), [*k, "right_ch"])
     return both.groupBy(*k).agg(F.avg(F.col("__left") - F.col("__right")).alias("mean"), F.stddev_samp(F.col("__left") - F.col("__right")).alias("sd"))
 
 

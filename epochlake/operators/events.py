@@ -23,7 +23,7 @@ def trigger_events(samples: DataFrame, rec: Keys, o: Keys, stim: str, mask: int
 
 def map_codes(df: DataFrame, code_map: DataFrame, code: str) -> DataFrame:
     """V2: ``event_name`` of a code (null if unknown) and whether it is a task event."""
-    return df.join(F.broadcast(code_map), code, "left").withColumn("task_event", F.col("event_name").isNotNull())
+    return df.join(code_map, code, "left").withColumn("task_event", F.col("event_name").isNotNull())
 
 
 def assess_stream(df: DataFrame, part: Keys, code: str, codes: Sequence[str], ratio: float) -> DataFrame:

@@ -54,15 +54,26 @@ def right_join(observed: DataFrame, expected: DataFrame, k: Keys) -> DataFrame:
     return observed.join(expected, list(k), "right")
 
 
+#: Rows of a table of definitions that every row is held against, at most.
+MAX_DEFINITIONS = 10_000
+
+
+def definitions(table: DataFrame, max_rows: int = MAX_DEFINITIONS) -> DataFrame:
+    """A table that every task gets whole; one with more rows is refused."""
+    if table.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} definitions; join them by keys or cells")
+    return F.broadcast(table)
+
+
 def range_join(df: DataFrame, ranges: DataFrame, value: str, lo: str = "lo", hi: str = "hi", width: float | None = None) -> DataFrame:
     """Each row with every range that holds its value, ends included.
 
-    A short table of definitions is broadcast. With ``width`` both sides are cut into cells of that width and
+    A short table of definitions (``MAX_DEFINITIONS``) goes to all tasks. With ``width`` both sides are cut into cells of that width and
     joined on them, for range tables that grow with the data.
     """
     inside = F.col(value).between(F.col(lo), F.col(hi))
     if width is None:
-        return df.join(F.broadcast(ranges), inside)
+        return df.join(definitions(ranges), inside)
     cell = lambda c: F.floor(c / F.lit(float(width))).cast("bigint")
     dealt = ranges.withColumn("__cell", F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi)))))
     return df.withColumn("__cell", cell(F.col(value))).join(dealt, "__cell").filter(inside).drop("__cell")
@@ -106,7 +117,7 @@ def remap_ids(df: DataFrame, mapping: DataFrame, source: str, target: str) -> tu
 
 def cross_registry(df: DataFrame, registry: DataFrame) -> DataFrame:
     """Each row with every entry of a small registry."""
-    return df.crossJoin(F.broadcast(registry))
+    return df.crossJoin(definitions(registry))
 
 
 def explode_crosswalk(df: DataFrame, col: str, sep: str = ";") -> DataFrame:

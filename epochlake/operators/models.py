@@ -102,7 +102,7 @@ def effect_maps(df: DataFrame, unit: str, groups: Keys, label: str, a, b, value:
 
 def estimands(draws: DataFrame, registry: DataFrame, k: Keys = ("sample",)) -> DataFrame:
     """Weighted sums of terms per draw, by a registry (estimand, term, weight)."""
-    return draws.join(F.broadcast(registry), "term").groupBy(*k, "estimand").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+    return draws.join(registry, "term").groupBy(*k, "estimand").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
 
 
 def estimand_routes(by_terms: DataFrame, by_predictions: DataFrame, k: Keys) -> DataFrame:

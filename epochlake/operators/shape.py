@@ -114,7 +114,7 @@ def views(df: DataFrame, predicates: Mapping[str, Column], register: bool = Fals
 
 def select_roles(df: DataFrame, roles: DataFrame, on: Keys) -> DataFrame:
     """Rows that a role asks for, with the role's columns; a row may serve several roles."""
-    return df.join(F.broadcast(roles), list(on))
+    return df.join(roles, list(on))
 
 
 def data_grid(df: DataFrame, cols: Keys, nested: Keys = ()) -> DataFrame:
@@ -122,7 +122,7 @@ def data_grid(df: DataFrame, cols: Keys, nested: Keys = ()) -> DataFrame:
     out = df.select(*nested).distinct() if nested else None
     for c in cols:
         level = df.select(c).distinct()
-        out = level if out is None else out.crossJoin(F.broadcast(level))
+        out = level if out is None else out.crossJoin(level)
     return out
 
 

@@ -220,12 +220,12 @@ def artifact_flags(epochs_: DataFrame, k: Keys, group: Keys, samples: str, max_p
 def band_window_features(cells: DataFrame, k: Keys, definitions: DataFrame, frequency: str, t: str, value: str) -> DataFrame:
     """Mean of the cells in each definition's band and window (f_lo, f_hi, t_lo, t_hi), ends included."""
     inside = F.col(frequency).between(F.col("f_lo"), F.col("f_hi")) & F.col(t).between(F.col("t_lo") - 1e-12, F.col("t_hi") + 1e-12)
-    return cells.join(F.broadcast(definitions), inside).groupBy(*k, "feature").agg(F.avg(value).alias("value"), F.count(F.lit(1)).alias("n_cells"))
+    return cells.join(joins.definitions(definitions), inside).groupBy(*k, "feature").agg(F.avg(value).alias("value"), F.count(F.lit(1)).alias("n_cells"))
 
 
 def roi_means(features: DataFrame, k: Keys, channel: str, value: str, rois: DataFrame, on: Keys = ()) -> DataFrame:
     """Equal-weight mean per region (roi, channel and the columns ``on``, such as the hand), with its contributors."""
-    joined = features.join(F.broadcast(rois), [channel, *on])
+    joined = features.join(rois, [channel, *on])
     return joined.groupBy(*k, "roi").agg(F.avg(value).alias("value"), F.count_distinct(channel).alias("n_channels"))
 
 
@@ -238,7 +238,7 @@ def roi_check(features: DataFrame, roi: DataFrame, k: Keys, channel: str, value:
 
 def map_task_hand(df: DataFrame, codes: DataFrame, overrides: DataFrame, k: Keys, code: str) -> DataFrame:
     """Hand of a code, unless the unit has an override."""
-    out = df.join(F.broadcast(codes), code, "left").join(overrides.withColumnRenamed("hand", "__o"), list(k), "left")
+    out = df.join(codes, code, "left").join(overrides.withColumnRenamed("hand", "__o"), list(k), "left")
     return out.withColumns({"hand": F.coalesce("__o", "hand"), "hand_source": F.when(F.col("__o").isNotNull(), "override").when(F.col("hand").isNotNull(), "code")}).drop("__o")
 
 
@@ -255,7 +255,7 @@ def band_power(tfr: DataFrame, k: Keys, frequency: str, value: str, bands: Seque
 
 def prepare_model_rows(df: DataFrame, coords: DataFrame, channel: str, hand: str, trial: str, block_size: int = 20) -> DataFrame:
     """Coordinates mirrored by hand and tidied, and the block of the trial."""
-    out = df.join(F.broadcast(coords), channel)
+    out = df.join(coords, channel)
     lat, lon = c.sphere_to_latlon(c.mirror(F.col("x"), F.col(hand)), F.col("y"), F.col("z"))
     out = out.withColumns({"lat": lat, "lon": lon}).withColumn("block", c.trial_to_block(F.col(trial), block_size))
     tidy = c.tidy_coord(F.col("lat"), F.col("lon"))
@@ -312,12 +312,12 @@ def feature_ranges(features: DataFrame, groups: Keys, a: str, b: str) -> DataFra
 
 def sampled_qc(samples: DataFrame, windows: DataFrame, part: Keys, sample: str, value: str) -> DataFrame:
     """Amplitude figures in fixed windows (window, lo, hi) of each recording."""
-    inside = samples.join(F.broadcast(windows), F.col(sample).between(F.col("lo"), F.col("hi")))
+    inside = samples.join(joins.definitions(windows), F.col(sample).between(F.col("lo"), F.col("hi")))
     return inside.groupBy(*part, "window").agg(*aggs.signal_moments(value), F.sqrt(F.avg(F.col(value) ** 2)).alias("rms"))
 
 
 def coordinate_coverage(channels: DataFrame, coords: DataFrame, part: Keys, channel: str) -> DataFrame:
     """Per recording the channels, those with coordinates, and the unmatched names."""
     known = coords.select(c.norm_name(F.col(channel)).alias("__c")).distinct().withColumn("__k", F.lit(True))
-    joined = channels.withColumn("__c", c.norm_name(F.col(channel))).join(F.broadcast(known), "__c", "left")
+    joined = channels.withColumn("__c", c.norm_name(F.col(channel))).join(known, "__c", "left")
     return joined.groupBy(*part).agg(F.count(F.lit(1)).alias("n_channels"), F.count("__k").alias("n_matched"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("__k").isNull(), F.col("__c")))), ";").alias("unmatched"))

@@ -76,8 +76,9 @@ def read_zip_members(spark: SparkSession, path: str, extensions: Sequence[str])
                                 rows, size = [], 0
                         if not names:
                             rows.append((p, None, None, "no_member"))
-                except (zipfile.BadZipFile, OSError, RuntimeError) as e:
-                    rows.append((p, None, None, f"error: {type(e).__name__}"))
+                except (zipfile.BadZipFile, OSError, RuntimeError, ValueError) as e:
+                    kind = "BadZipFile" if isinstance(e, ValueError) else type(e).__name__  # a seek before the start of a short file
+                    rows.append((p, None, None, f"error: {kind}"))
                 yield pd.DataFrame(rows, columns=columns)
 
     columns = ["archive", "member", "text", "status"]

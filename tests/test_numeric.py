@@ -99,6 +99,10 @@ def test_procrustes_of_a_moved_copy_is_exact(spark):
     assert (r["scale"], r["rotation"]) == (pytest.approx(2.5), pytest.approx(a)) and r["residual"] < 1e-6 and not r["reflected"]
     u, s, w = np.linalg.svd((p - p.mean(0)).T @ (q - q.mean(0)))
     assert r["scale"] == pytest.approx(s.sum() / ((p - p.mean(0)) ** 2).sum())
+    fitted = trace.procrustes_error(df, ["k"]).first()
+    assert fitted["shape_error_total"] < 1e-6 and fitted["rotation"] == pytest.approx(a)
+    mirror = trace.procrustes_error(df.withColumn("fy", -F.col("fy")), ["k"]).first()
+    assert mirror["reflected"] and mirror["shape_error_total"] < 1e-6
 
 
 def test_bezier_figures(spark):
@@ -132,7 +136,24 @@ def test_glitch_and_false_start(spark):
     assert sorted(set(range(40)) - {r["o"] for r in trace.drop_glitches(df, ["k"], ["o"]).collect()}) == [20]
     slow = df.withColumn("time", F.when(F.col("o") < 3, F.col("o") * 0.01).otherwise(F.col("o") * 0.01 + 5))
     left = trace.drop_false_start(slow, ["k"], ["o"]).orderBy("o").collect()
-    assert left[0]["o"] == 3 and left[0]["time"] == 0
+    assert left[0]["o"] == 3 and left[0]["time"] == pytest.approx(5.03)
+    shift = trace.false_start_shifts(slow, ["k"], ["o"]).first()
+    assert (shift["samples"], shift["flagged"], shift["start_shift"]) == (40, 3, pytest.approx(5.03))
+
+
+def test_closed_traces_stay_and_open_ones_go(spark):
+    turn = [(500 + 400 * np.cos(t), 500 + 400 * np.sin(t)) for t in np.linspace(0, 2 * np.pi, 60)]
+    figure = spark.createDataFrame([(1, 800.0, 2513.0, -1.15)], "k int, figure_size double, figure_length double, figure_shift double")
+    for rows, n in ((turn, 60), (turn[:40], 0), ([(x / 3, y / 3) for x, y in turn], 0)):
+        df = path(spark, rows).withColumns({"origin_x": F.lit(float(rows[0][0])), "origin_y": F.lit(float(rows[0][1]))})
+        assert trace.drop_incomplete(df, figure, ["k"], ["o"]).count() == n
+    df = path(spark, turn).withColumns({"origin_x": F.lit(900.0), "origin_y": F.lit(500.0)})
+    assert trace.drop_incomplete(df, figure.filter("k = 2"), ["k"], ["o"]).count() == 60
+
+
+def test_a_straight_figure_does_not_turn(spark):
+    s = spark.createDataFrame([(1, i, 10.0 * i, 0.0, 10.0 * i + 10, 0.0, 10.0 * i + 5, 0.0) for i in range(4)], "k int, segment_index int, start_x double, start_y double, end_x double, end_y double, ctrl_x double, ctrl_y double")
+    assert trace.turning_summary(s, ["k"]).first()["turn_sum"] == pytest.approx(0, abs=1e-9)
 
 
 # ---- sources
@@ -202,6 +223,8 @@ def test_max_t_counts_draws(spark):
     draws = spark.createDataFrame([(i, float(x)) for i, r in enumerate(null) for x in r], "draw int, t double")
     got = {r["k"]: r["p_fwe"] for r in models.max_t(draws, spark.createDataFrame(seen, "k int, t double")).collect()}
     top = np.abs(null).max(axis=1)
+    assert got == {k: pytest.approx((top >= abs(t)).mean()) for k, t in seen}
+    got = {r["k"]: r["p_fwe"] for r in models.max_t(draws, spark.createDataFrame(seen, "k int, t double"), plus_one=True).collect()}
     assert got == {k: pytest.approx((1 + (top >= abs(t)).sum()) / 61) for k, t in seen}
 
 
