@@ -2,12 +2,13 @@
 
 A table maps a 64-bit key to a row of numbers. Spark ranges the keys into shards; the task that holds a shard sorts
 it and writes two plain files, keys and values. A worker maps the files: in place where the shared folder is
-mounted, else from a local copy that is unlinked as soon as it is mapped. Nothing passes through the driver but the
-shards' sizes. Files are written under a temporary name and renamed, so a repeated task leaves the same result.
+mounted, else from a copy in the executor's own temporary folder, one for all its workers, which goes when they turn to
+another table. Nothing passes through the driver but the shards' sizes. Files are written under a temporary name and renamed, so a repeated task leaves the same result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import tempfile
@@ -44,20 +45,23 @@ def put_file(uri: str, data: np.ndarray) -> None:
     store.move(temporary, path)
 
 
+def _copies() -> str:
+    return os.path.join(tempfile.gettempdir(), "epochlake-copies")
+
+
 def map_file(uri: str, dtype: str) -> np.ndarray:
     path = _mounted(uri)
     if path is None:
         from pyarrow import fs
 
-        store, remote = fs.FileSystem.from_uri(uri)
-        with tempfile.NamedTemporaryFile(delete=False) as local, store.open_input_stream(remote) as source:
-            shutil.copyfileobj(source, local, 1 << 20)
-        path = local.name
-    size = os.path.getsize(path)
-    out = np.memmap(path, dtype, "r") if size else np.zeros(0, dtype)
-    if _mounted(uri) is None:
-        os.unlink(path)
-    return out
+        path = os.path.join(_copies(), hashlib.sha256(uri.rpartition("/")[0].encode()).hexdigest()[:24], uri.rpartition("/")[2])
+        if not os.path.exists(path):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            store, remote = fs.FileSystem.from_uri(uri)
+            with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False) as local, store.open_input_stream(remote) as source:
+                shutil.copyfileobj(source, local, 1 << 20)
+            os.replace(local.name, path)
+    return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
 def mix(key: np.ndarray) -> np.ndarray:
@@ -69,9 +73,15 @@ def mix(key: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(32))
 
 
+def lead_bits(shards: int) -> int:
+    """How many leading bits of a key decide its shard; at least 16, at most 31."""
+    return min(31, max(16, (shards - 1).bit_length()))
+
+
 def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    """Shard by the key's leading 16 bits: shard numbers follow the order of keys. At most 65536 shards."""
-    return ((key >> np.uint64(48)) * np.uint64(shards) >> np.uint64(16)).astype(np.int32)
+    """Shard by the key's leading bits: shard numbers follow the order of keys."""
+    bits = lead_bits(shards)
+    return ((key >> np.uint64(64 - bits)) * np.uint64(shards) >> np.uint64(bits)).astype(np.int32)
 
 
 def write_table(df: DataFrame, uri: str, shards: int, width: int) -> None:
@@ -79,7 +89,8 @@ def write_table(df: DataFrame, uri: str, shards: int, width: int) -> None:
 
     The keys are expected to be spread evenly (``mix``); a shard's rows are held by one task.
     """
-    number = F.shiftrightunsigned(F.shiftrightunsigned("key", 48) * F.lit(shards), 16).cast("int")
+    bits = lead_bits(shards)
+    number = F.shiftrightunsigned(F.shiftrightunsigned("key", 64 - bits) * F.lit(shards).cast("bigint"), bits).cast("int")
     dealt = df.select(number.alias("shard"), "key", "v").repartition(shards, "shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +150,10 @@ class HashTable:
 
 
 def worker_cache(name: str, build: Callable):
-    """One object per Python worker under a name; older ones are dropped."""
+    """One object per Python worker under a name; older ones are dropped, and so are copies of files that they mapped."""
     if _CACHE.get("name") != name:
+        if _CACHE and os.path.isdir(_copies()):
+            shutil.rmtree(_copies(), ignore_errors=True)  # what other workers have mapped stays readable to them
         _CACHE.clear()
         _CACHE.update(name=name, value=build())
     return _CACHE["value"]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, small_batches
-from .hash_arrays import HashTable, mix, put_file, shard_of, worker_cache
+from .hash_arrays import HashTable, lead_bits, mix, put_file, shard_of, worker_cache
 from .language_id import discounts
 from .word_hashes import BEGIN, END, token_chunks
 
@@ -39,6 +39,8 @@ BUCKET_TOKENS = 2_000_000
 #: Tokens that a task counts together before it sends pairs on.
 FLUSH_TOKENS = 2_000_000
 TOTAL = np.uint64(0)
+#: From so many training tokens on, counts are written in 64 bits; below it none can pass 32.
+WIDE = 1 << 32
 PACKED = "bucket int, kind string, a binary, b binary, c binary, d binary"
 KINDS = [pa.int32(), pa.string(), *[pa.binary()] * 4]
 
@@ -64,10 +66,14 @@ def is_in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def pair_key(context: np.ndarray, word: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+def count_kind(tokens: int) -> str:
+    return "<u4" if tokens < WIDE else "<u8"
+
+
+def pair_key(context: np.ndarray, word: np.ndarray, heavy: np.ndarray, buckets: int) -> np.ndarray:
     """Key of a pair: led by the context's leading bits, so that its pairs share a bucket, or spread if it is heavy."""
     key = mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
-    low = np.uint64((1 << 48) - 1)
+    low = np.uint64((1 << (64 - lead_bits(buckets))) - 1)
     return np.where(is_in(heavy, context), key, (context & ~low) | (key & low))
 
 
@@ -94,7 +100,7 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 def packed_pairs(context: np.ndarray, word: np.ndarray, heavy: np.ndarray, buckets: int) -> pa.RecordBatch:
     """One row per bucket: distinct contexts, their run lengths, the words, the counts."""
-    key, n, at = summed(pair_key(context, word, heavy), np.ones(len(word), np.uint32))
+    key, n, at = summed(pair_key(context, word, heavy, buckets), np.ones(len(word), np.int64))
     bucket, context, word = shard_of(key, buckets), context[at], word[at]
     order = np.lexsort((context, bucket))
     bucket, context, word, n = bucket[order], context[order], word[order], n[order].astype(np.uint32)
@@ -115,7 +121,8 @@ class Model:
 
     def __init__(self, uri: str, tokens: int):
         self.uri, self.tokens, self.kinds = uri, tokens, 0
-        self.pair_buckets = max(1, min(1 << 16, math.ceil(tokens / BUCKET_TOKENS)))
+        self.count_kind = count_kind(tokens)
+        self.pair_buckets = max(1, math.ceil(tokens / BUCKET_TOKENS))
         self.word_buckets = max(1, math.ceil(self.pair_buckets / 4))
         self.heavy = np.array([BEGIN])
         self.heavy_totals = np.zeros((1, 4))
@@ -133,7 +140,7 @@ def train(df: DataFrame, text: str = "text") -> Model:
     if not tokens:
         return model
     model.heavy = heavy
-    uri, buckets, word_buckets = model.uri, model.pair_buckets, model.word_buckets
+    uri, buckets, word_buckets, wide = model.uri, model.pair_buckets, model.word_buckets, model.count_kind
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -150,17 +157,17 @@ def train(df: DataFrame, text: str = "text") -> Model:
     def merge_pairs(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
         context = np.concatenate([np.repeat(c, r) for c, r in zip(_arrays(table, "a", "<u8"), _arrays(table, "b", "<u4"), strict=True)])
-        word, n = np.concatenate(_arrays(table, "c", "<u8")), np.concatenate(_arrays(table, "d", "<u4"))
-        key, n, at = summed(pair_key(context, word, heavy), n)
+        word, n = np.concatenate(_arrays(table, "c", "<u8")), np.concatenate(_arrays(table, "d", "<u4")).astype(np.int64)
+        key, n, at = summed(pair_key(context, word, heavy, buckets), n)
         put_file(f"{uri}/pair/{b:06d}.key", key)
-        put_file(f"{uri}/pair/{b:06d}.val", n.astype("<u4"))
+        put_file(f"{uri}/pair/{b:06d}.val", n.astype(wide))
         context, word = context[at], word[at]
         of_counts = np.bincount(np.minimum(n, 5), minlength=6)[1:5].astype(np.int64)
         own, total, n1, n2, n3, _ = summed(context, n.astype(np.int64), *((n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64)))
         stats = np.stack([total, n1, n2, n3], axis=1)
         hot = is_in(heavy, own)
         put_file(f"{uri}/context/{b:06d}.key", own[~hot])
-        put_file(f"{uri}/context/{b:06d}.val", stats[~hot].astype("<u4"))
+        put_file(f"{uri}/context/{b:06d}.val", stats[~hot].astype(wide))
         rows = [(b % word_buckets, "counts", of_counts.tobytes(), b"", b"", b"")]
         for w, s in zip(own[hot], stats[hot], strict=True):
             rows.append((int(shard_of(np.array([w]), word_buckets)[0]), "heavy", w.tobytes(), s.astype("<i8").tobytes(), b"", b""))
@@ -168,7 +175,7 @@ def train(df: DataFrame, text: str = "text") -> Model:
         bounds = np.searchsorted(shard_of(word, word_buckets), np.arange(word_buckets + 1))
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             own = slice(bounds[k], bounds[k + 1])
-            rows.append((k, "words", word[own].tobytes(), n[own].astype("<u4").tobytes(), before[own].astype("<u4").tobytes(), b""))
+            rows.append((k, "words", word[own].tobytes(), n[own].astype("<u8").tobytes(), before[own].astype("<u8").tobytes(), b""))
         return pa.Table.from_batches([batch_of(rows)])
 
     def merge_words(table: pa.Table) -> pa.Table:
@@ -176,9 +183,9 @@ def train(df: DataFrame, text: str = "text") -> Model:
         words, counts, hot = (table.take(np.flatnonzero(kind == k)) for k in ("words", "counts", "heavy"))
         rows = []
         if words.num_rows:
-            word, n, before, _ = summed(np.concatenate(_arrays(words, "a", "<u8")), *(np.concatenate(_arrays(words, c, "<u4")).astype(np.int64) for c in "bc"))
+            word, n, before, _ = summed(np.concatenate(_arrays(words, "a", "<u8")), *(np.concatenate(_arrays(words, c, "<u8")).astype(np.int64) for c in "bc"))
             put_file(f"{uri}/word/{q:06d}.key", word)
-            put_file(f"{uri}/word/{q:06d}.val", np.stack([n, before], axis=1).astype("<u4"))
+            put_file(f"{uri}/word/{q:06d}.val", np.stack([n, before], axis=1).astype(wide))
             few = [int((before == k).sum()) for k in (1, 2, 3, 4)]
             rows.append((q, "sums", np.array([len(word), n.sum(), before.sum(), *few], "<i8").tobytes(), b"", b"", b""))
         if counts.num_rows:
@@ -205,9 +212,9 @@ def train(df: DataFrame, text: str = "text") -> Model:
 class Scorer:
     def __init__(self, model: Model):
         self.m = model
-        self.pair = HashTable(f"{model.uri}/pair", model.pair_buckets, 1, "<u4")
-        self.context = HashTable(f"{model.uri}/context", model.pair_buckets, 4, "<u4")
-        self.word = HashTable(f"{model.uri}/word", model.word_buckets, 2, "<u4")
+        self.pair = HashTable(f"{model.uri}/pair", model.pair_buckets, 1, model.count_kind)
+        self.context = HashTable(f"{model.uri}/context", model.pair_buckets, 4, model.count_kind)
+        self.word = HashTable(f"{model.uri}/word", model.word_buckets, 2, model.count_kind)
 
     @staticmethod
     def left(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -230,7 +237,7 @@ class Scorer:
         seen = totals[:, 0] > 0
         rest = np.where(seen, totals[:, 1:] @ np.array(m.pair_discounts) / np.maximum(totals[:, 0], 1), 1.0)
         before = np.concatenate([[len(kind)], np.where(token[:-1] == END, len(kind), at[:-1])])
-        _, pairs = self.pair.find(pair_key(kinds[before], token, m.heavy))
+        _, pairs = self.pair.find(pair_key(kinds[before], token, m.heavy, m.pair_buckets))
         p = self.left(pairs[:, 0], m.pair_discounts) / np.maximum(totals[before, 0], 1) + rest[before] * alone[at]
         return counts[at, 0].astype(np.int64), p
 

@@ -25,8 +25,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
 
 
-#: The same rule over the lines' texts instead of hashes. Runs are found by a range over the words before a line.
-LINE_DEDUP_SQL = """
+#: Runs from each line over the lines' texts instead of hashes, found by a range over the words before a line.
+RUNS_ON_SQL = """
 WITH texts AS (
   SELECT DISTINCT doc_id, text,
     string_split(replace(replace(replace(replace(text, chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), chr(1)) AS parts
@@ -56,14 +56,8 @@ FROM documents d LEFT JOIN rebuilt r ON r.doc_id = d.doc_id AND r.text = d.text
 """
 
 
-def op9_line_dedup_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op9_line_dedup, with matches extended both ways."""
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), both_ways=True)
-    return found.select("doc_id", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
-
-
-#: The same, with the runs that go back from a line.
-LINE_DEDUP_EXTENDED_SQL = LINE_DEDUP_SQL.replace(
+#: The rule: those and the runs that go back from each line.
+LINE_DEDUP_SQL = RUNS_ON_SQL.replace(
     "), ranked AS (",
     """), back AS (
   SELECT doc_id, text, min(place) OVER run AS place, place AS last, sum(n) OVER run AS words, list(line) OVER run AS content, sum(n) OVER run - n AS words_before
@@ -175,7 +169,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
     "op9_line_dedup": op9_line_dedup,
-    "op9_line_dedup_extended": op9_line_dedup_extended,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op4_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op9_line_dedup_extended": LINE_DEDUP_EXTENDED_SQL}
+ORACLES: dict[str, str] = {"op4_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL}

@@ -239,10 +239,10 @@ def _row_key(id_col: str, text: str) -> Column:
 def _near_rows(df: DataFrame, id_col: str, text: str, words: int, similarity: float) -> DataFrame:
     """Rows (id, key, node, least): least is the smallest (id, key) of the component, null if none of its rows has an id."""
     keyed = df.select(F.col(id_col).cast("bigint").alias("id"), _row_key(id_col, text).alias("key"), F.col(text).cast("string").alias("text"))
-    rows, uri = shingle_sets.write_sets(keyed, "id", "text", words, similarity, keep=["key"])
+    rows, uri = shingle_sets.write_sets(keyed, "id", "text", words, keep=["key"])
     rows = cut(rows)
     own = F.when(F.col("id").isNotNull(), F.struct("id", "key"))
-    classes = cut(rows.groupBy("node").agg(F.min(own).alias("first"), F.first(F.struct("file", "at", "n", "low")).alias("own")).select("node", "first", "own.*"))
+    classes = cut(rows.groupBy("node").agg(F.min(own).alias("first"), F.first(F.struct("file", "at", "n")).alias("own")).select("node", "first", "own.*"))
     joined = components(shingle_sets.links(classes, uri, similarity))
     discard(df.sparkSession, uri)
     members = classes.select("node", "first").join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))

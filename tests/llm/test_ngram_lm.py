@@ -1,9 +1,10 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from epochlake.llm import ngram_lm
+from epochlake.llm import hash_arrays, ngram_lm
 from epochlake.llm.language_id import discounts
 
 
@@ -69,6 +70,23 @@ def test_many_buckets_and_edge_texts(spark, monkeypatch, sf):
     check(spark, texts + odd, odd + texts[:5] + ["never seen words"])
 
 
+def test_wide_counts_and_many_shards(spark, monkeypatch, sf):
+    monkeypatch.setattr(ngram_lm, "WIDE", 10)
+    monkeypatch.setattr(ngram_lm, "BUCKET_TOKENS", 900)
+    texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").select("text").limit(30).collect()]
+    check(spark, texts, texts[:5])
+    assert ngram_lm.count_kind(1 << 40) == "<u8"
+    key = np.array([7, 7, 9], np.uint64)
+    assert ngram_lm.summed(key, np.array([3 << 31, 1 << 32, 5], np.int64))[1].tolist() == [(3 << 31) + (1 << 32), 5]
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    for shards in (1, 3, 65_536, 70_000, 1 << 22):
+        number = hash_arrays.shard_of(keys, shards)
+        assert (np.diff(number) >= 0).all() and number.min() >= 0 and number.max() < shards
+    context, word = keys[:100], keys[100:200]
+    pairs = np.array([ngram_lm.pair_key(np.full(100, c), word, np.array([0], np.uint64), 1 << 20) for c in context])
+    assert all(len(set(hash_arrays.shard_of(row, 1 << 20).tolist())) == 1 for row in pairs)
+
+
 def test_nothing_to_train_on(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     model = ngram_lm.train(docs.filter("false"))
