@@ -7,8 +7,10 @@ continuation counts, the modified Kneser-Ney discounts and the interpolated prob
 sorted hash array per order whose rows hold the log probability in every language. A document's language is the
 one of least cross-entropy per character.
 
-Calibration: cross-entropies of about ``CALIBRATION_ROWS`` labelled documents per run set, per language, the limit
-above which a prediction counts as rejected, and the sharpness that turns cross-entropies into a score.
+Calibration: one labelled document in ``HELD`` (by a hash of id and text) isn't counted but scored. Their cross-entropies set, per
+language, the limit above which a prediction is rejected, and the temperature that makes the score, the posterior
+of the language given the whole text, most likely. A language with fewer than ``LEAST_HELD`` such documents is calibrated on
+all of its own. Percentiles are Spark's mergeable sketches, so this covers all data at any size.
 
 Defined results: null or letterless text is ``und`` with score 0. Without labelled text every document is ``und``.
 Ties go to the language that sorts first. Rows are kept one for one; extra columns are not read.
@@ -19,18 +21,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_path, small_batches
-from .hash_arrays import HashTable, mix, worker_cache, write_table
+from .hash_arrays import HashTable, worker_cache, write_table, xxhash_long
 
 ORDER = 4
 BITS = 16
-#: Labelled documents that the calibration scores, about.
-CALIBRATION_ROWS = 2000
+#: One labelled document in so many is held out of the counts; a language's least number of those.
+HELD, LEAST_HELD = 10, 50
+#: Powers to which likelihoods may be raised for the score.
+TEMPERATURES = [2.0**-k for k in range(13)]
 #: Share of a language's own documents that the rejection limit keeps.
 KEPT_SHARE = 0.999
 #: Characters looked at together; a longer document is still taken whole.
@@ -122,15 +125,19 @@ class Model:
     def __init__(self, uri: str, langs: list[str], shards: list[tuple[int, int]], floor: float):
         self.uri, self.langs, self.shards, self.floor = uri, langs, shards, floor
         self.limit = np.full(len(langs), np.inf)
-        self.sharpness = 1.0
+        self.temperature = 1.0
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model | None:
-    """Train on all rows whose language and text aren't null. The number of languages is expected to be small."""
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id") -> Model | None:
+    """Train on all rows whose language and text aren't null; a missing id column counts as null. The number of languages is expected to be small."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang is not null and text is not null")
-    grams = cut(count_grams(rows))
+    own_id = F.col(id_col).cast("string") if id_col in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), own_id.alias("id")).filter("lang is not null and text is not null")
+    rows = rows.withColumn("held", F.pmod(F.xxhash64("id", "text"), F.lit(HELD)) == 0)
+    few = rows.groupBy("lang").agg(F.count_if("held").alias("n")).filter(F.col("n") < LEAST_HELD)
+    rows = rows.join(F.broadcast(few.select("lang", F.lit(True).alias("few"))), "lang", "left").withColumn("few", F.coalesce("few", F.lit(False)))
+    grams = cut(count_grams(rows.filter("few or not held")))
     langs = [r[0] for r in grams.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return None
@@ -169,22 +176,14 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model | No
         below = cut(joined.select("gram", p.alias("p")))
         sizes = [max(1, t.count() // SHARD_ROWS) for t in (below, ctx)]
         log = lambda c: F.transform(c, lambda x: F.ln(x).cast("float"))
-        write_table(below.select(hashed("gram").alias("key"), log("p").alias("v")), f"{uri}/p{k}", sizes[0], len(langs))
-        write_table(ctx.select(hashed("ctx").alias("key"), log("gamma").alias("v")), f"{uri}/g{k}", sizes[1], len(langs))
+        write_table(below.select(F.xxhash64("gram").alias("key"), log("p").alias("v")), f"{uri}/p{k}", sizes[0], len(langs))
+        write_table(ctx.select(F.xxhash64("ctx").alias("key"), log("gamma").alias("v")), f"{uri}/g{k}", sizes[1], len(langs))
         shards.append((sizes[0], sizes[1]))
     model = Model(uri, langs, shards, floor)
-    calibrate(model, rows)
+    calibrate(model, rows.filter("few or held"))
     return model
 
 
-def _mixed(gram: pd.Series) -> pd.Series:
-    return pd.Series(mix(gram.to_numpy().view(np.uint64)).view(np.int64))
-
-
-def hashed(gram: str) -> Column:
-    return F.pandas_udf(_mixed, "bigint")(gram)
-
-
 class Scorer:
     """Log probabilities per language from the mapped arrays."""
 
@@ -198,16 +197,16 @@ class Scorer:
         """Back off where no language has the gram: its context's weight times the shorter gram's probability."""
         if order == 0:
             return np.full((len(gram), self.n), self.floor, np.float32)
-        found, out = self.p[order - 1].find(mix(gram))
+        found, out = self.p[order - 1].find(xxhash_long(gram))
         if not found.all():
             rest = gram[~found]
-            _, weight = self.g[order - 1].find(mix(rest >> np.uint64(BITS)))
+            _, weight = self.g[order - 1].find(xxhash_long(rest >> np.uint64(BITS)))
             low = rest & np.uint64((1 << BITS * (order - 1)) - 1)
             out[~found] = weight + self.log_p(low, order - 1)
         return out
 
-    def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(nats per character in each language, letters) for each text."""
+    def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nats per character in each language, characters, letters) for each text."""
         total, size, letters = np.zeros((len(texts), self.n)), np.zeros(len(texts)), np.zeros(len(texts))
         for first, code, row in chunks(texts):
             real = code != START
@@ -218,29 +217,29 @@ class Scorer:
                 total[owner[heads]] = np.add.reduceat(value, heads, axis=0, dtype=np.float64)
                 size += np.bincount(owner, minlength=len(texts))
                 letters += np.bincount(owner, letter, minlength=len(texts))
-        return -total / np.maximum(size, 1)[:, None], letters
+        return -total / np.maximum(size, 1)[:, None], size, letters
 
 
 def calibrate(model: Model, rows: DataFrame) -> None:
-    """Rejection limits and sharpness from a sample of about ``CALIBRATION_ROWS`` labelled rows, by hash of the text."""
-    every = max(1, rows.count() // CALIBRATION_ROWS)
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    """Rejection limits and temperature from the given labelled rows, scored where they lie."""
+    names = ["lang", "ce", *[f"t{k}" for k in range(len(TEMPERATURES))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_cache(model.uri, lambda: Scorer(model))
         for batch in batches:
-            ce, letters = scorer.cross_entropies(batch.column(1).to_pylist())
-            own = np.array([model.langs.index(x) for x in batch.column(0).to_pylist()])
-            others = ce.copy()
-            others[np.arange(len(own)), own] = np.inf
-            gap = (others.min(axis=1) if ce.shape[1] > 1 else ce[:, 0] + 1) - ce[np.arange(len(own)), own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ce[np.arange(len(own)), own]), pa.array(gap), pa.array(letters)], names=["lang", "ce", "gap", "letters"])
-
-    scored = cut(sample.mapInArrow(run, "lang string, ce double, gap double, letters double").filter("letters > 0"))
-    for r in scored.groupBy("lang").agg(F.percentile("ce", F.lit(KEPT_SHARE)).alias("high"), F.stddev_samp("ce").alias("sd")).collect():
+            ce, size, letters = scorer.cross_entropies(batch.column(1).to_pylist())
+            own = np.array([model.langs.index(x) for x in batch.column(0).to_pylist()], np.int64)
+            at = np.arange(len(own))
+            apart = -(ce - ce.min(axis=1, keepdims=True)) * size[:, None]
+            likely = [pa.array((apart[at, own] * t) - np.log(np.exp(apart * t).sum(axis=1))) for t in TEMPERATURES]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ce[at, own]), *likely], names=names).filter(pa.array(letters > 0))
+
+    scored = cut(rows.select("lang", "text").mapInArrow(run, ", ".join(["lang string", *(f"{n} double" for n in names[1:])])))
+    for r in scored.groupBy("lang").agg(F.percentile_approx("ce", F.lit(KEPT_SHARE), F.lit(10_000)).alias("high"), F.stddev_samp("ce").alias("sd")).collect():
         model.limit[model.langs.index(r["lang"])] = r["high"] + 3 * (r["sd"] or 0.0)
-    middle = scored.agg(F.percentile("gap", F.lit(0.5))).first()[0]
-    model.sharpness = 5.0 / max(middle or 1.0, 1e-3)
+    mean = scored.agg(*[F.avg(n).alias(n) for n in names[2:]]).first()
+    if mean[0] is not None:
+        model.temperature = TEMPERATURES[int(np.argmax(np.array(mean)))]
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,10 +252,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text:
         scorer = worker_cache(model.uri, lambda: Scorer(model))
         names = np.array(model.langs, object)
         for batch in batches:
-            ce, letters = scorer.cross_entropies(batch.column(1).to_pylist())
+            ce, size, letters = scorer.cross_entropies(batch.column(1).to_pylist())
             best = ce.argmin(axis=1)
             low = ce[np.arange(len(ce)), best]
-            weight = np.exp(-(ce - low[:, None]) * model.sharpness)
+            weight = np.exp(-(ce - low[:, None]) * size[:, None] * model.temperature)
             none = letters == 0
             score = np.where(none, 0.0, 1 / weight.sum(axis=1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(none, UNDETERMINED, names[best]).tolist(), pa.string()), pa.array(score), pa.array(low, mask=none), pa.array(none | (low > model.limit[best]))], names=["id", "lang_pred", "score", "cross_entropy", "rejected"])

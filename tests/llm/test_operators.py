@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -392,6 +393,70 @@ def test_language_id_edges(spark):
     assert {r["lang_pred"] for r in language_id.identify(df, None).collect()} == {"und"}
 
 
+def plain_cross_entropies(train, texts, order=4):
+    """Nats per character of each text in each language, by dictionaries."""
+
+    def codes(t):
+        out = []
+        for c in t:
+            c = c.lower() if c.isalpha() else " "
+            if c != " " or (out and out[-1] != " "):
+                out.append(c)
+        return ["^"] * (order - 1) + out
+
+    langs = sorted({x for x, _ in train})
+    counts = {lang: [Counter() for _ in range(order)] for lang in langs}
+    for lang, t in train:
+        c = codes(t)
+        counts[lang][-1].update(tuple(c[k - order + 1 : k + 1]) for k in range(order - 1, len(c)))
+    for lang in langs:
+        for k in range(order - 2, -1, -1):
+            counts[lang][k] = Counter(g[1:] for g in counts[lang][k + 1])
+    alphabet = len({g for lang in langs for g in counts[lang][0]}) + 1
+
+    def p(lang, g):
+        if not g:
+            return 1 / alphabet
+        level = counts[lang][len(g) - 1]
+        d = [0, *language_id.discounts(*[sum(n == j for n in level.values()) for j in (1, 2, 3, 4)])]
+        same = [(n, d[min(n, 3)]) for x, n in level.items() if x[:-1] == g[:-1]]
+        total = sum(n for n, _ in same)
+        if not total:
+            return p(lang, g[1:])
+        n = level[g]
+        return max(n - d[min(n, 3)], 0) / total + sum(x for _, x in same) / total * p(lang, g[1:])
+
+    out = []
+    for t in texts:
+        c = codes(t)
+        grams = [tuple(c[k - order + 1 : k + 1]) for k in range(order - 1, len(c))]
+        out.append({lang: -sum(np.log(p(lang, g)) for g in grams) / len(grams) for lang in langs})
+    return out
+
+
+def test_language_id_equals_plain_kneser_ney(spark):
+    train = [("aa", "the cat sat on the mat, the hat!"), ("bb", "le chat est sur la table et le chien"), ("aa", "a cat and a hat"), ("bb", "la table, le chat.")]
+    texts = ["the hat", "le chien  sur", "Zebra qu", "a", "la cat: table"]
+    model = language_id.train(spark.createDataFrame([(i, *x) for i, x in enumerate(train)], "doc_id bigint, lang string, text string"))
+    got, size, _ = language_id.Scorer(model).cross_entropies(texts)
+    for row, want, n in zip(got, plain_cross_entropies(train, texts), size, strict=True):
+        assert dict(zip(model.langs, row)) == pytest.approx(want, rel=1e-4) and n > 0
+    rows = language_id.identify(spark.createDataFrame(list(enumerate([*texts, "z"])), "doc_id bigint, text string"), model).orderBy("id").collect()
+    assert [r["lang_pred"] for r in rows[:5]] == [min(x, key=x.get) for x in plain_cross_entropies(train, texts)]
+
+
+def test_language_id_ties_and_rejection(spark):
+    same = spark.createDataFrame([(1, "b", "one two three"), (2, "a", "one two three")], "doc_id bigint, lang string, text string")
+    assert language_id.identify(same, language_id.train(same)).first()["lang_pred"] == "a"
+    rng = random.Random(6)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(150)] for lang, letters in (("a", "aeioutrnsl"), ("b", "aouäkptvlim"))}
+    rows = [(i, lang, " ".join(rng.choice(words[lang]) for _ in range(30))) for i, lang in enumerate(["a", "b"] * 700)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    new = [" ".join(rng.choice(words["b"]) for _ in range(30)), "".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(300)), "это другой язык и другие буквы здесь"]
+    got = language_id.identify(spark.createDataFrame(list(enumerate(new)), "doc_id bigint, text string"), model).orderBy("id").collect()
+    assert [r["rejected"] for r in got] == [False, True, True] and got[0]["lang_pred"] == "b" and got[0]["score"] > 0.99
+
+
 def test_quality_agrees_with_labels(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = op5_quality(spark, SF).join(labels.withColumnRenamed("toxic", "is_toxic"), "doc_id").collect()
