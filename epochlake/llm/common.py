@@ -60,6 +60,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def refuse_columns(given: list[str], taken: list[str]) -> None:
+    """Raise if columns of the input have names that the result adds (in any case)."""
+    clash = sorted({c.lower() for c in given} & {c.lower() for c in taken})
+    if clash:
+        raise ValueError(f"the result adds columns named {clash}; rename them in the input")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -535,6 +535,8 @@ def test_license_scan_and_inheritance(spark):
         ("q/n.py", None, False), ("r.py", "", False), (None, "Licensed under CC BY-NC 4.0.", False), ("a/x.py", "code. more code", False), ("a/long.py", "plain words here. " * 2000, False),
     ]
     df = spark.createDataFrame([(*f, "clash") for f in files], "path string, text string, is_license_file boolean, dir string")
+    with pytest.raises(ValueError, match="cosine"):
+        license_scan.own_licenses(df.withColumnRenamed("dir", "Cosine"))
     got = license_scan.inherit(license_scan.own_licenses(df)).collect()
     by = {r["path"]: (r["own_license"], r["license"], r["inherited_from"]) for r in got}
     assert len(got) == len(files)
@@ -542,21 +544,53 @@ def test_license_scan_and_inheritance(spark):
     assert by["a/x.py"] == (None, "MIT", "a") and by["a/b/c/y.py"] == (None, "Apache-2.0", "a/b") and by["q/n.py"] == (None, None, None) == by["r.py"] and by[None][0] == "CC-BY-NC-4.0" and by["a/long.py"][1] == "MIT"
 
 
-def test_license_cosine_equals_dictionaries(spark):
+def plain_cosines(texts, templates):
+    """The best cosine of each text, by dictionaries over every start of a line and every template."""
     import math
-    from collections import Counter
+    import re
 
-    texts = ["Licensed under the MIT License, Version 2.0.", "under the General Public License version 9", "nothing here", "Released under the Apache License."]
-    df = docs(spark, texts, extra=False)
-    got = {r["doc_id"]: r["cosine"] for r in license_scan.own_licenses(df, min_cosine=0.0001).collect()}
-    sets = [set(t.lower().split()) for t in texts]
-    vocabulary = {w for _, t in license_scan.TEMPLATES for w in t.lower().split()} | {"\n"}
-    idf = lambda w: math.log((1 + len(texts)) / (1 + sum(w in s for s in sets))) + 1 if w in vocabulary else math.log(1 + len(texts)) + 1
-    vector = lambda t: {w: n * idf(w) for w, n in Counter(t.lower().split()).items()}
+    lines = lambda t: [re.findall(r"[^\W_]+", x.lower()) for x in re.split(r"[.!?][ \t]+|\n", t or "")]
+    words = [{w for line in lines(t) for w in line} for t in texts]
+    idf = lambda w: 1 - math.log(sum(w in s for s in words) / len(texts) + license_scan.SMOOTH)
+    vector = lambda ws: {w: n * idf(w) for w, n in Counter(ws).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    out = []
+    for t in texts:
+        own, best = lines(t), 0.0
+        for k, line in enumerate(own):
+            rest = [w for x in own[k:] for w in x]
+            for _, template in templates:
+                ws = [w for x in lines(template) for w in x]
+                if line and (len(ws) > license_scan.SHORT or len(line) == len(ws)):
+                    a, b = vector(rest[: len(ws)]), vector(ws)
+                    best = max(best, sum(x * b.get(w, 0) for w, x in a.items()) / norm(a) / norm(b))
+        out.append(best)
+    return out
 
-    def cosine(a, b):
-        return sum(a[w] * b.get(w, 0) for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
 
-    for i, t in enumerate(texts):
-        want = max(cosine(vector(part), vector(x)) for part in t.replace(". ", ".\n").split("\n") for _, x in license_scan.TEMPLATES)
-        assert (got[i] or 0) == pytest.approx(want, abs=1e-9)
+def test_license_cosine_equals_dictionaries(spark):
+    texts = ["Licensed under the MIT License, Version 2.0.", "under the General Public License version 9", "nothing here", "# Released under\n# the Apache License.", "MIT License\n\nmore", "The MIT License is short", None, ""]
+    texts += ["x = 1\n" + license_scan.TEMPLATES[-6][1].replace(", ", ",\n// ") + "\ny = 2"]
+    got = {r["doc_id"]: r["cosine"] for r in license_scan.own_licenses(docs(spark, texts, extra=False), min_cosine=0.05).collect()}
+    for i, want in enumerate(plain_cosines(texts, license_scan.TEMPLATES)):
+        assert (got[i] or 0) == pytest.approx(want if want >= 0.05 else 0, abs=1e-6)
+
+
+@pytest.mark.parametrize("size", [0, 400, 4000])
+def test_wrapped_and_commented_notices_at_any_size(spark, size):
+    import textwrap
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    code = lambda n: "\n".join(f"{word()} = {word()}({word()}, {rng.randrange(99)})" for _ in range(n))
+    texts, want = [], []
+    for name, notice in license_scan.TEMPLATES:
+        mark = rng.choice(["# ", "// ", " * ", ";; "])
+        body = "\n".join(mark + line for line in textwrap.wrap(notice, 70))
+        texts.append(f"{code(3)}\n{mark}Copyright (c) 2021 {word()} {word()}\n{mark}\n{body}\n{code(4)}")
+        want.append(name)
+    clean = ["The museum renewed its license to serve food. The terms of the permit were published in version two.", "Anyone is free to use, copy or sell this recipe without any warranty of taste.", code(30), "Permission was granted to the school to use the field, subject to conditions."]
+    filler = [" ".join(word() for _ in range(30)) for _ in range(size)]
+    got = {r["doc_id"]: r["own_license"] for r in license_scan.own_licenses(docs(spark, [*texts, *clean, *filler], extra=False)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert all(got[i] is None for i in range(len(texts), len(got)))
