@@ -3,13 +3,14 @@
 Two targets, poor quality and toxicity, are learned in the same way:
 
 1. overlapping heuristic labellers vote yes, no or nothing on each document: shapes of the text for quality; for
-   toxicity fixed word lists and, where some documents have hand labels, word openings that occur in many
-   toxic texts and hardly elsewhere (``mine_openings``, counted over all labelled documents);
+   toxicity marks mined from hand labels: words, openings of words and word pairs that occur in many toxic texts and
+   hardly elsewhere (``mine_marks``, counted over all labelled documents). Without enough hand labels a short list of
+   seed words stands for the mined words;
 2. Spark counts the vote patterns over all documents; expectation-maximisation on these counts estimates how each labeller
    votes for either class, and the posterior of each pattern;
-3. the posteriors of about ``FIT_ROWS`` documents, picked by a hash of the text, train a logistic model on hashed
-   words, shapes and votes with Spark's own optimiser;
-4. the model scores every whole text where it lies.
+3. the posteriors of about ``FIT_ROWS`` documents, picked by a hash of id and text, train a logistic model on hashed
+   words and votes with Spark's own optimiser; several estimated accuracies, not one list, decide what it learns;
+4. the model scores every whole text where it lies. Its probability, ``poor`` or ``toxic``, is what counts.
 
 Patterns are at most 3 to the power of the number of labellers, so what the driver holds is bounded. Defined results: a null or
 empty text gets no votes but "no words", which counts as poor. Where no document or only one class is seen, the
@@ -29,22 +30,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches
+from .common import cut, refuse_columns, small_batches
 from .hash_arrays import mix
 from .word_hashes import END, token_chunks
 
 #: Documents that the linear scorer is fitted on, about: the stated bound of the sample.
 FIT_ROWS = 8000
+#: Tasks that the fit's rows are dealt to; the optimiser passes over them many times.
+FIT_TASKS = 8
 HASH_BITS = 13
 STEPS = 60
-#: Words whose use marks a text as abusive, in two lists that vote apart.
-INSULTS = ["clown", "idiot", "loser", "moron", "scum", "trash", "stupid", "imbecile"]
-SLURS = ["disgusting", "pathetic", "worthless", "stupid", "idiot", "scum", "vermin", "filthy"]
+#: Words that stand for mined ones where hand labels are too few to mine any.
+SEEDS = ["bastard", "clown", "disgusting", "filthy", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
 
 QUALITY = ["symbols", "capitals", "variety", "top word", "bars", "pairs", "exclaims", "endings", "echoes"]
-TOXIC = ["insults", "slurs", "several", "none", "openings"]
+TOXIC = ["words", "openings", "pairs", "several", "none"]
 #: Bytes of a word's opening that the mined list goes by; least number and share of toxic texts with an opening, least precision.
 OPENINGS = (4, 5, 6, 7, 8, 9)
+#: Kinds of marks besides openings: whole words and pairs of neighbouring words.
+WORD, PAIR = 0, -1
+KINDS = (WORD, PAIR, *OPENINGS)
 LEAST_TEXTS, LEAST_SHARE, LEAST_PRECISION = 8, 0.005, 0.95
 #: Hand labels up to this number are broadcast; above it they are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
@@ -58,8 +63,8 @@ def word_hashes(words: list[str]) -> np.ndarray:
 
 
 def bare_hashes(words: list[str]) -> np.ndarray:
-    """Hashes of the words, also with common endings and openings of the token."""
-    return word_hashes([a + w + b for w in words for a in ("", '"', "(") for b in ("", ".", ",", "!", "?", ";", ":", "###", "$$$", "%%%", "&&&", "***", "!!", '"', ")")])
+    """Hashes of the words, also with common punctuation around them."""
+    return word_hashes([a + w + b for w in words for a in ("", '"', "(") for b in ("", ".", ",", "!", "?", ";", ":", '"', ")")])
 
 
 def by_row(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,8 +80,8 @@ def among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
-class Openings:
-    """A sorted list of opening hashes behind a table of their leading 16 bits."""
+class Marks:
+    """A sorted list of hashes behind a table of their leading 16 bits."""
 
     def __init__(self, known: np.ndarray):
         self.known, self.table = known, np.zeros(1 << 16, bool)
@@ -86,9 +91,14 @@ class Openings:
         at = np.flatnonzero(self.table[opening >> np.uint64(48)])
         return at[among(self.known, opening[at])]
 
+    def mask(self, value: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(value), bool)
+        out[self.hits(value)] = True
+        return out
+
 
 def figures(texts: pa.Array) -> Iterator[tuple]:
-    """(first row, row after the last, figures by QUALITY, tokens, their rows, openings, distinct words) of groups of texts."""
+    """(first row, row after the last, figures by QUALITY, tokens, their rows, openings) of groups of texts."""
     import pyarrow.compute as pc
 
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -137,22 +147,32 @@ def figures(texts: pa.Array) -> Iterator[tuple]:
             axis=1,
         )
         out[words == 0, 0] = 1.0
-        yield first, last, out, token, row, openings, (kind, r, times)
+        yield first, last, out, token, row, openings
+
+
+def marks_of(token: np.ndarray, row: np.ndarray, openings: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of KINDS the hash at each token (0 where there is none)."""
+    word = np.where(token == END, np.uint64(0), token)
+    pair = np.zeros(len(token), np.uint64)
+    both = (row[1:] == row[:-1]) & (token[1:] != END)
+    pair[1:][both] = mix(token[:-1][both] * np.uint64(3) + token[1:][both])
+    return [word, pair, *openings]
 
 
 def votes(texts: pa.Array, lists: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, votes on quality, votes on toxicity, tokens, their rows); a vote is 1 (yes, bad), 0 (no) or 2 (none)."""
     low, high = (np.array([LIMITS[k][j] for k in QUALITY]) for j in (0, 1))
-    insults, slurs = (np.unique(x >> np.uint64(16)) for x in lists[:2])
-    both, mined = np.union1d(insults, slurs), [Openings(x) for x in lists[2:]]
-    for first, last, figure, token, row, openings, (kind, r, times) in figures(texts):
+    mined = [Marks(x) for x in lists]
+    for first, last, figure, token, row, openings in figures(texts):
         quality = np.where(figure >= high, 1, np.where(figure <= low, 0, 2)).astype(np.int8)
         n = last - first
-        a, b, either = (np.bincount(r[hit], times[hit], n) for hit in (among(x, kind) for x in (insults, slurs, both)))
-        learned = np.zeros(n, bool)
-        for known, opening in zip(mined, openings, strict=True):
-            learned[(row - first)[known.hits(opening)]] = True
-        toxic = np.stack([np.where(a > 0, 1, 2), np.where(b > 0, 1, 2), np.where(either > 1, 1, 2), np.where((either == 0) & ~learned, 0, 2), np.where(learned, 1, 2)], axis=1).astype(np.int8)
+        seen, at = np.zeros((3, n), bool), np.zeros(len(token), bool)
+        for kind, known, value in zip(KINDS, mined, marks_of(token, row, openings), strict=True):
+            hits = known.hits(value)
+            seen[{WORD: 0, PAIR: 2}.get(kind, 1), (row - first)[hits]] = True
+            at[hits] = True
+        times = np.bincount((row - first)[at], minlength=n)
+        toxic = np.stack([*np.where(seen, 1, 2), np.where(times > 1, 1, 2), np.where(times == 0, 0, 2)], axis=1).astype(np.int8)
         yield first, last, quality, toxic, token, row
 
 
@@ -211,38 +231,39 @@ def feature_rows(v: np.ndarray, first: int, token: np.ndarray, row: np.ndarray)
     return np.concatenate([r, vote_row]), np.concatenate([c, size + 3 * labeller + v.ravel()]), np.concatenate([times / count[r], np.ones(v.size)])
 
 
-def mine_openings(df: DataFrame, labels: DataFrame, id_col: str, text: str) -> list[np.ndarray]:
-    """For each of ``OPENINGS``, the hashes of openings typical of toxic texts.
+def mine_marks(df: DataFrame, labels: DataFrame, id_col: str, text: str) -> list[np.ndarray]:
+    """For each of ``KINDS``, the hashes of words, pairs and openings typical of toxic texts.
 
-    An opening must occur in ``LEAST_SHARE`` of the toxic texts, so the list is bounded by the openings per text; only
-    those are then counted in the other texts.
+    A mark must occur in ``LEAST_SHARE`` of the toxic texts, so the list is bounded by the marks per text; only those are
+    then counted in the other texts.
     """
     marks = labels.filter("toxic is not null").groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
     if marks.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
     known = df.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("text")).join(marks, "__id").select("text", "toxic")
+
     def counted(texts: DataFrame, only: list[np.ndarray] | None) -> DataFrame:
-        """Rows (k, opening, n): in how many texts an opening occurs, of all openings or of those in ``only``."""
+        """Rows (k, mark, n): in how many texts a mark occurs, of all marks or of those in ``only``."""
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, _, _, row, *openings in token_chunks(batch.column(0), OPENINGS):
-                    for j, (k, opening) in enumerate(zip(OPENINGS, openings, strict=True)):
-                        own = opening != 0 if only is None else np.isin(opening, only[j])
-                        value, n = np.unique(_distinct(opening[own], row[own])[0], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(n)], names=["k", "opening", "n"])
+                for _, _, token, row, *openings in token_chunks(batch.column(0), OPENINGS):
+                    for j, (k, mark) in enumerate(zip(KINDS, marks_of(token, row, openings), strict=True)):
+                        own = mark != 0 if only is None else Marks(only[j]).mask(mark)
+                        value, n = np.unique(_distinct(mark[own], row[own])[0], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(n)], names=["k", "mark", "n"])
 
-        return texts.select("text").mapInArrow(count, "k int, opening bigint, n bigint").groupBy("k", "opening").agg(F.sum("n").alias("n"))
+        return texts.select("text").mapInArrow(count, "k int, mark bigint, n bigint").groupBy("k", "mark").agg(F.sum("n").alias("n"))
 
     bad, good = known.filter("toxic = 1"), known.filter("toxic = 0")
     least = max(LEAST_TEXTS, LEAST_SHARE * bad.count())
-    often = {(r["k"], r["opening"]): r["n"] for r in counted(bad, None).filter(F.col("n") >= least).collect()}
+    often = {(r["k"], r["mark"]): r["n"] for r in counted(bad, None).filter(F.col("n") >= least).collect()}
     if not often:
-        return [np.zeros(0, np.uint64) for _ in OPENINGS]
-    likely = [np.unique(np.array([o for j, o in often if j == k], np.int64).view(np.uint64)) for k in OPENINGS]
-    clean = {(r["k"], r["opening"]): r["n"] for r in counted(good, likely).collect()}
+        return [np.zeros(0, np.uint64) for _ in KINDS]
+    likely = [np.unique(np.array([o for j, o in often if j == k], np.int64).view(np.uint64)) for k in KINDS]
+    clean = {(r["k"], r["mark"]): r["n"] for r in counted(good, likely).collect()}
     typical = [x for x, n in often.items() if n >= LEAST_PRECISION * (n + clean.get(x, 0) + 0.5)]
-    return [np.unique(np.array([o for j, o in typical if j == k], np.int64).view(np.uint64)) for k in OPENINGS]
+    return [np.unique(np.array([o for j, o in typical if j == k], np.int64).view(np.uint64)) for k in KINDS]
 
 
 def _distinct(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,9 +276,11 @@ def _distinct(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def train(df: DataFrame, text: str = "text", labels: DataFrame | None = None, id_col: str = "doc_id") -> Model:
     """Learn both targets from the texts and, for the mined list, from ``labels`` (id, toxic 0/1) if given."""
     small_batches(df.sparkSession)
-    mined = mine_openings(df, labels, id_col, text) if labels is not None else [np.zeros(0, np.uint64) for _ in OPENINGS]
-    lists = [bare_hashes(INSULTS), bare_hashes(SLURS), *mined]
-    texts = df.select(F.col(text).cast("string").alias("text"))
+    lists = mine_marks(df, labels, id_col, text) if labels is not None else [np.zeros(0, np.uint64) for _ in KINDS]
+    if not any(len(x) for x in lists):
+        lists[KINDS.index(WORD)] = bare_hashes(SEEDS)
+    own_id = F.col(id_col).cast("string") if id_col in df.columns else F.lit(None).cast("string")
+    texts = df.select(F.col(text).cast("string").alias("text"), own_id.alias("id"))
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +288,7 @@ def train(df: DataFrame, text: str = "text", labels: DataFrame | None = None, id
                 both, n = np.unique(np.stack([code_of(q), code_of(t)], axis=1), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n)], names=["quality", "toxic", "n"])
 
-    counted = cut(texts.mapInArrow(patterns, "quality bigint, toxic bigint, n bigint").groupBy("quality", "toxic").agg(F.sum("n").alias("n")))
+    counted = cut(texts.select("text").mapInArrow(patterns, "quality bigint, toxic bigint, n bigint").groupBy("quality", "toxic").agg(F.sum("n").alias("n")))
     model = Model(Target(QUALITY), Target(TOXIC), lists)
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
@@ -276,7 +299,7 @@ def train(df: DataFrame, text: str = "text", labels: DataFrame | None = None, id
         post, target.vote, target.prior = expectation_maximisation(code[:, None] // 3 ** np.arange(len(target.names)) % 3, n)
         target.posterior = dict(zip(code.tolist(), post.tolist(), strict=True))
     every = max(1, total // FIT_ROWS)
-    sample = texts.filter(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(every)) == 0)
+    sample = texts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0).select("text").coalesce(FIT_TASKS)
     for name, target in (("quality", model.quality), ("toxic", model.toxic)):
         fit(sample, name, target, model)
     return model
@@ -311,6 +334,7 @@ def fit(sample: DataFrame, name: str, target: Target, model: Model) -> None:
 def judge(df: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
     """All columns of ``df`` and ``poor``, ``toxic`` (probabilities), ``poor_label``, ``toxic_label`` (posteriors of the votes)."""
     names = [f"{prefix}{x}" for x in ("poor", "toxic", "poor_label", "toxic_label")]
+    refuse_columns(df.columns, names)
     schema = T.StructType([*df.schema.fields, *[T.StructField(x, T.DoubleType()) for x in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -124,12 +124,12 @@ FROM embeddings e JOIN least l ON l.node = e.vec_id LEFT JOIN degree d ON d.a =
 """
 
 
-#: A document is rejected if either probability, or the vote posterior for toxicity, reaches this.
+#: A document is rejected if the scorer gives either fault this probability.
 REJECT = 0.5
 
 
 def rejected(prefix: str = "") -> Column:
-    return F.greatest(*[F.col(prefix + c) for c in ("poor", "toxic", "toxic_label")]) >= REJECT
+    return F.greatest(*[F.col(prefix + c) for c in ("poor", "toxic")]) >= REJECT
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

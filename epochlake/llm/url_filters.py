@@ -1,13 +1,16 @@
 """URL filters (operator 8, native): association rules mined by Spark's FP-growth, matched by an inverted index.
 
 ``mine_rules`` turns labelled URLs into token sets (host labels, path words, query keys, their shapes) plus the label, and
-keeps the rules "tokens -> block" whose support and confidence suffice. ``judge`` matches every URL against the
-mined rules and a list of written rules in one pass: each rule stands in an index under one key (the rarest token of
-its antecedent, or its host), each URL is exploded into its keys, and one equi-join finds the candidates. A written
-rule, the longest that fits, beats the mined ones.
+keeps the rules "tokens -> block" whose support and confidence suffice. Two steps keep FP-growth small and lose no
+rule: a token that too few blocked URLs have can be in no rule and is left out; tokens that stand in exactly the same
+labelled URLs (the words of one site's template, say) are one item, of which a URL needs any one. ``judge`` matches every URL
+against the mined rules and a list of written rules in one pass: each rule stands in an index under the tokens of its rarest
+item, or its host, each URL is exploded into its keys, and one equi-join finds the candidates. A written rule, the
+longest that fits, beats the mined ones.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed. Rows are
-kept one for one, repeated rows and equal ids included. With no labels, or none that block, no rule is mined.
+kept one for one, repeated rows and equal ids included. With no labels, or none that block, no rule is mined. Names that
+the result adds are refused among the columns kept.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut, refuse_columns
 
 #: Rules up to this number are broadcast; above it the index is joined by a salted shuffle.
 BROADCAST_RULES = 20_000
@@ -53,41 +56,48 @@ def url_tokens(url: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, url: str, block: Column, min_support: float = 0.002, min_confidence: float = 0.5) -> DataFrame:
-    """Rules (tokens, confidence, lift, support) whose consequent is "block".
+    """Rules (items, tokens, key, confidence, lift, support) whose consequent is "block".
 
-    A token or combination must occur in ``min_support`` of the labelled URLs, so the frequent tokens that
-    FP-growth keeps on the driver number at most tokens-per-URL / ``min_support``, whatever the input's size.
-    Rules that a shorter rule of at least the same confidence implies are dropped: they decide nothing.
+    ``items`` is an array of items, each an array of equivalent tokens; ``tokens`` names each item by its first token. A
+    combination must occur in ``min_support`` of the labelled URLs, so the frequent tokens that FP-growth keeps on the driver number
+    at most tokens-per-URL / ``min_support``, whatever the input's size. Rules that a rule of one item less implies with at
+    least the same confidence are dropped: they decide nothing.
     """
-    rows = labelled.select(url_tokens(F.col(url)).alias("tokens"), block.alias("block")).filter("block is not null")
-    items = rows.select(F.when(F.col("block"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
+    rows = cut(labelled.select(url_tokens(F.col(url)).alias("tokens"), block.alias("block")).filter("block is not null").withColumn("row", F.monotonically_increasing_id()))
+    least = rows.count() * min_support
+    places = rows.select("row", "block", F.explode("tokens").alias("token"))
+    counts = places.groupBy("token").agg(F.count_if("block").alias("n_block"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"))
+    common = counts.filter((F.col("n_block") >= least) & (F.col("n_block") > 0))
+    classes = cut(common.groupBy("n", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("members")).select("members", F.col("members")[0].alias("item"), "n"))
+    single = classes.select(F.col("item").alias("token"))
+    found = places.join(single, "token").groupBy("row").agg(F.collect_list("token").alias("own"))
+    kept = rows.select("row", "block").join(found, "row", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+    items = kept.select(F.when(F.col("block"), F.array_append("own", F.lit(BLOCK))).otherwise(F.col("own")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter(F.col("consequent")[0] == BLOCK).select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support")
-    singles = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("key"), F.col("freq"))
-    keyed = rules.withColumn("key", F.explode("tokens")).join(singles, "key")
-    first = keyed.groupBy("tokens").agg(F.max("confidence").alias("confidence"), F.max("lift").alias("lift"), F.max("support").alias("support"), F.min_by("key", F.struct("freq", "key")).alias("key"))
-    shorter = first.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"), F.col("key").alias("any"))
-    implied = (
-        first.withColumn("any", F.explode("tokens"))
-        .join(shorter, "any")
-        .filter((F.size("part") < F.size("tokens")) & (F.col("part_confidence") >= F.col("confidence")) & (F.size(F.array_except("part", "tokens")) == 0))
-        .select("tokens")
-        .distinct()
-    )
-    return first.join(implied, "tokens", "left_anti")
+    rules = cut(model.associationRules.filter(F.col("consequent")[0] == BLOCK).select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support"))
+    less = rules.filter(F.size("tokens") > 1).select("tokens", "confidence", F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))).alias("part"))
+    implied = less.join(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("before")), "part").filter(F.col("before") >= F.col("confidence")).select("tokens").distinct()
+    rules = rules.join(implied, "tokens", "left_anti")
+    each = rules.select("tokens", F.explode("tokens").alias("item")).join(classes, "item")
+    whole = each.groupBy("tokens").agg(F.array_sort(F.collect_list("members")).alias("items"), F.min_by("members", F.struct("n", "item")).alias("keys"))
+    return rules.join(whole, "tokens").select("items", "tokens", F.explode("keys").alias("key"), "confidence", "lift", "support")
 
 
 def written_rules(spark, rules: list[tuple[str, str]]) -> DataFrame:
-    """Rows of (verdict, ``host/path``) as the index holds them."""
-    return spark.createDataFrame([(r, r.partition("/")[0].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), "/" + r.partition("/")[2], v) for v, r in rules], "rule string, host string, prefix string, verdict string")
+    """Rows of (verdict, ``host/path``) as the index holds them, from literals."""
+    made = [F.struct(F.lit(r).alias("rule"), ascii_lower(F.lit(r.partition("/")[0])).alias("host"), F.lit("/" + r.partition("/")[2]).alias("prefix"), F.lit(v).alias("verdict")) for v, r in rules]
+    if not made:
+        return spark.range(0).select(*[F.lit("").alias(c) for c in ("rule", "host", "prefix", "verdict")])
+    return spark.range(1).select(F.explode(F.array(*made)).alias("r")).select("r.*")
 
 
 def judge(pages: DataFrame, mined: DataFrame, written: DataFrame, url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep``, ``host``, ``path``, ``rule``, ``verdict``, ``confidence`` and ``tokens`` of the mined rule that decided."""
     keep = [c for c in pages.columns if c != url] if keep is None else keep
+    refuse_columns(keep, ["host", "path", "rule", "verdict", "confidence", "tokens"])
     depth = written.agg(F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0))).first()[0]
-    index = mined.select(F.concat(F.lit("t/"), "key").alias("key"), "tokens", "confidence", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("prefix"), F.lit("block").alias("says")).unionByName(
-        written.select(F.concat(F.lit("s/"), "host").alias("key"), F.array().cast("array<string>").alias("tokens"), F.lit(None).cast("double").alias("confidence"), "rule", "prefix", F.col("verdict").alias("says"))
+    index = mined.select(F.concat(F.lit("t/"), "key").alias("key"), "items", "tokens", "confidence", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("prefix"), F.lit("block").alias("says")).unionByName(
+        written.select(F.concat(F.lit("s/"), "host").alias("key"), F.array().cast("array<array<string>>").alias("items"), F.array().cast("array<string>").alias("tokens"), F.lit(None).cast("double").alias("confidence"), "rule", "prefix", F.col("verdict").alias("says"))
     )
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), host.alias("host"), path.alias("path"), url_tokens(F.col(url)).alias("own"), F.monotonically_increasing_id().alias("row"))
@@ -101,7 +111,7 @@ def judge(pages: DataFrame, mined: DataFrame, written: DataFrame, url: str = "ur
     else:
         salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = exploded.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
-    fits = F.when(F.col("rule").isNotNull(), F.startswith("path", F.col("prefix"))).otherwise(F.size(F.array_except("tokens", "own")) == 0) & F.col("says").isNotNull()
+    fits = F.when(F.col("rule").isNotNull(), F.startswith("path", F.col("prefix"))).otherwise(F.forall("items", lambda x: F.arrays_overlap(x, F.col("own")))) & F.col("says").isNotNull()
     hit = F.struct(F.coalesce(F.length("rule"), F.lit(-1)).alias("weight"), F.coalesce("confidence", F.lit(0.0)).alias("sure"), "rule", "says", "tokens")
     best = joined.groupBy("row").agg(F.first("kept").alias("kept"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.when(fits, hit)).alias("hit"))
     mined_hit = F.col("hit").isNotNull() & F.col("hit.rule").isNull()

@@ -12,6 +12,8 @@ from .hash_arrays import mix
 
 #: Bytes of text looked at together; a longer text is still taken whole.
 CHUNK = 500_000
+#: Rows looked at together, at most: row numbers inside a group fit 16 bits.
+ROWS = 65_000
 #: Hash of the token that ends each text, and of the context before its first word.
 END, BEGIN = np.uint64(0x5EED_0E4D_0000_0001), np.uint64(0x5EED_0BE6_0000_0002)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +62,7 @@ def token_chunks(texts: pa.Array, openings: tuple[int, ...] = ()) -> Iterator[tu
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     first = 0
     while first < len(texts):
-        last = min(len(texts), max(first + 1, int(np.searchsorted(offset, offset[first] + CHUNK, "right")) - 1))
+        last = min(len(texts), first + ROWS, max(first + 1, int(np.searchsorted(offset, offset[first] + CHUNK, "right")) - 1))
         raw, own = data[offset[first] : offset[last]], offset[first : last + 1] - offset[first]
         inside = t.in_word[raw]
         before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)

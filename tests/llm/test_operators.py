@@ -5,11 +5,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from epochlake.llm import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, quality, shingle_sets, simhash, url_filters
 from epochlake.llm.components import components
 from epochlake.llm.queries import URL_RULES, op5_quality, op7_language_id, op8_url_filters, tokenizer_path
+from epochlake.llm.word_hashes import END, token_chunks
 
 SF = "/root/testdata/sf0.01"
 ODD = [None, "", "  \n\t", "word", "A a A", "x " * 3000, "w" * 5000, "same text twice", "same text twice", "naïve Ünïcode 日本語 \x00 \x01 end."]
@@ -473,6 +475,34 @@ def test_quality_edges(spark):
     assert quality.judge(none, quality.train(none)).count() == 0
 
 
+def test_quality_score_equals_plain_sums(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    vocabulary, bad = [word() for _ in range(200)], ["grobble", "snark", "yuckfest"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(40)) + (f" {rng.choice(bad)} {rng.choice(bad)}" if i % 4 == 0 else "") + (" ###|| " * 8 if i % 5 == 0 else "") for i in range(400)]
+    df = docs(spark, texts, extra=False)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 400, 2)], "doc_id bigint, toxic int")
+    model = quality.train(df, labels=labels)
+    rows = {r["doc_id"]: r for r in quality.judge(df, model).collect()}
+    assert all((rows[i]["toxic"] >= 0.5) == (i % 4 == 0) for i in range(400))  # also where no label was given
+    size = 1 << quality.HASH_BITS
+    for i in (0, 1, 4, 5, 399):
+        _, _, q, t, _, _ = next(quality.votes(pa.array([texts[i]]), model.lists))
+        tokens = [int(next(token_chunks(pa.array([w])))[2][0]) for w in texts[i].split()] + [int(END)]
+        for name, target, v in (("poor", model.quality, q[0]), ("toxic", model.toxic, t[0])):
+            plain = target.bias + sum(target.weights[x >> (64 - quality.HASH_BITS)] for x in tokens) / len(tokens) + sum(target.weights[size + 3 * k + int(x)] for k, x in enumerate(v))
+            assert rows[i][name] == pytest.approx(1 / (1 + np.exp(-plain)), rel=1e-9)
+            assert rows[i][f"{name}_label"] == target.posterior[sum(int(x) * 3**k for k, x in enumerate(v))]
+    with pytest.raises(ValueError, match="toxic"):
+        quality.judge(df.selectExpr("*", "1 as toxic"), model)
+
+
+def test_quality_without_labels_uses_seed_words(spark):
+    texts = ["You worthless idiot, you are scum.", "A quiet evening by the sea with friends."] * 30
+    rows = quality.judge(docs(spark, texts, extra=False), quality.train(docs(spark, texts, extra=False))).collect()
+    assert all((r["toxic"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in rows)
+
+
 def test_expectation_maximisation_recovers_accuracies():
     rng = np.random.default_rng(1)
     truth = rng.random(20_000) < 0.3
@@ -488,7 +518,7 @@ def test_expectation_maximisation_recovers_accuracies():
 def test_written_url_rules(spark):
     urls = ["http://Example.ORG/es/x", "http://a.example.org/en/1?x=/", "http://example.org/en/2", "https://x.com/fr/", "https://com/de/", "https://x.com", "http://xcom/de/", None, "no scheme/org/", "ftp://u@h:1/p#://z", "http://b.org?q"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "x")], "page_id bigint, url string, rule string")
-    mined = spark.createDataFrame([], "key string, tokens array<string>, confidence double, lift double, support double")
+    mined = spark.createDataFrame([], "items array<array<string>>, tokens array<string>, key string, confidence double, lift double, support double")
     got = {r["page_id"]: r for r in url_filters.judge(pages, mined, url_filters.written_rules(spark, URL_RULES), keep=["page_id"]).collect()}
     assert [(got[i]["rule"], got[i]["verdict"]) for i in range(len(urls))] == [("example.org/es/", "block"), ("example.org/en/1", "block"), ("org/", "allow"), ("com/fr/", "allow"), ("com/de/", "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow")]
     assert (got[9]["host"], got[9]["path"], got[7]["host"]) == ("u@h:1", "/p", "")
@@ -511,10 +541,32 @@ def test_mined_url_rules(spark, monkeypatch, limit):
     for t, c in rules:
         hit = [r[2] for r in rows if t <= tokens[r[0]]]
         assert c == pytest.approx(sum(hit) / len(hit))
+    # Plain counting over all sets of up to three tokens finds no rule that these don't imply.
+    import itertools
+
+    common = sorted({t for own in tokens.values() for t in own if sum(t in tokens[r[0]] and r[2] for r in rows) >= 12})
+    for size in (1, 2, 3):
+        for some in itertools.combinations(common, size):
+            hit = [r[2] for r in rows if set(some) <= tokens[r[0]]]
+            if sum(hit) >= 12 and sum(hit) / len(hit) >= 0.8:
+                assert any(t <= set(some) and c >= sum(hit) / len(hit) - 1e-9 for t, c in rules)
     got = {r["page_id"]: r["verdict"] for r in url_filters.judge(df, mined, url_filters.written_rules(spark, []), keep=["page_id"]).collect()}
     assert got == {i: "block" if any(t <= tokens[i] for t, _ in rules) else "allow" for i in tokens}
 
 
+def test_many_shared_url_words_are_one_item(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    urls = [(i, f"http://shop.net/{'/'.join(words)}/{i}", i % 10 != 0) for i in range(60)] + [(100 + i, f"http://a.net/page{i}", False) for i in range(300)]
+    df = spark.createDataFrame([(i, u, b, "x") for i, u, b in urls], "page_id bigint, url string, bad boolean, host string")
+    mined = url_filters.mine_rules(df, "url", df.bad)
+    rules = {tuple(r["tokens"]): (r["confidence"], [len(x) for x in r["items"]]) for r in mined.collect()}
+    assert len(rules) == 1 and next(iter(rules.values())) == (pytest.approx(0.9), [42])
+    new = spark.createDataFrame([(1, f"http://other.net/{words[7]}"), (2, "http://a.net/page3")], "page_id bigint, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filters.judge(new, mined, url_filters.written_rules(spark, []), keep=["page_id"]).collect()} == {1: "block", 2: "allow"}
+    with pytest.raises(ValueError, match="host"):
+        url_filters.judge(df, mined, url_filters.written_rules(spark, []))
+
+
 def test_url_tokens_are_whole(spark):
     slug = "a" * 64
     df = spark.createDataFrame([(f"http://h.net/{slug}x",), (f"http://h.net/{slug}y",)], "url string")
