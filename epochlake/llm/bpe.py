@@ -24,13 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import refuse_columns, small_batches
 
 #: Fixed value: how the tokenizer file splits normalised text into words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Fixed value: white space as the file's normaliser means it.
 SPACES = regex.compile(r"\s+")
 END = "</w>"
+SIGMA = "\u03a3"
 #: Words kept per Python worker; beyond it the cache starts anew.
 CACHE_WORDS = 120_000
 
@@ -128,7 +129,9 @@ class BpeCodec:
     def _plain(text: str) -> list[str]:
         if text.isascii():
             return WORD.findall(text.lower())
-        return WORD.findall("".join(c.lower() for c in SPACES.sub(" ", unicodedata.normalize("NFC", text))))
+        text = SPACES.sub(" ", unicodedata.normalize("NFC", text))
+        # Python lowers a text as it does its characters, but for the capital sigma, whose form depends on its neighbours.
+        return WORD.findall("".join(c.lower() for c in text) if SIGMA in text else text.lower())
 
     def learn(self, found: set[str]) -> None:
         """Put what is new among the words into the cache: (tokens, ids text, decoded text)."""
@@ -188,6 +191,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     """
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text] if keep is None else keep
+    refuse_columns(keep, ["ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256", "__text"])
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
     extra = ([pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())] if with_ids else []) + [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     kinds = ("ids array<int>, decoded string, " if with_ids else "") + "n_tokens bigint, ids_sha256 string, decoded_sha256 string"

@@ -20,7 +20,7 @@ stay. (``both_ways=False`` takes the runs that go on alone.) Defined results: nu
 text stays null, empty text stays empty, blank lines count for nothing and stay unless they lie inside a deleted
 run; a document may end up empty but its row stays. A null id sorts first. Rows with equal ids count as one place: equal
 runs at the same place in them all stay. U+0001 in a text is a line end and is lost where lines are deleted. Extra
-columns are carried along.
+columns are carried along; names that the result or its joins add are refused.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, fresh_path
+from .common import cut, discard, fresh_path, refuse_columns
 
 RUN_WORDS = 40
 MARK = "\x01"
@@ -120,6 +120,7 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_wor
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, both_ways: bool = True) -> DataFrame:
     """All columns of ``df`` with the repeated runs cut out of the text, and ``n_deleted`` (lines, blank ones included)."""
+    refuse_columns(df.columns, ["__key", "__text", "stretches", "n_deleted"])
     found = deletions(df, id_col, text, run_words, both_ways)
     keyed = df.withColumn("__text", F.col(text).cast("string")).withColumn("__key", key_of(id_col, "__text"))
     joined = keyed.join(if_small(found, F.lit(STRETCH_BYTES) * F.size("stretches")), "__key", "left")

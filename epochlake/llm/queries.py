@@ -145,10 +145,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language_id.train(docs.filter(remainder(F.col("doc_id"), 4) != 2))
-    found = language_id.identify(docs, model)
-    held = F.coalesce(remainder(F.col("id"), 4) == 2, F.lit(False))
-    return found.select(F.col("id").alias("doc_id"), held.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    held = lambda c: F.coalesce(remainder(F.col(c), 4) == 2, F.lit(False))  # noqa: E731  a row without id trains, as in op1
+    found = language_id.identify(docs, language_id.train(docs.filter(~held("doc_id"))))
+    return found.select(F.col("id").alias("doc_id"), held("id").alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_sets
-from .common import cut, discard, partitions_of, small_batches
+from .common import cut, discard, partitions_of, refuse_columns, small_batches
 from .components import components
 from .hash_arrays import mix
 
@@ -256,6 +256,7 @@ def drop_near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     Rows without id stay. Ids may repeat: rows are told apart by id and text, so a text that is no near copy is never
     lost. Of rows with the same id and text the least in all columns (as JSON) stays.
     """
+    refuse_columns(df.columns, ["__key", "__row"])
     found = cut(_near_rows(df, id_col, text, words, similarity).filter("id is not null").select("key", F.col("least.key").alias("stays")))
     gone = found.filter("key <> stays").select(F.col("key").alias("__key")).distinct()
     twice = cut(found.filter("key = stays").groupBy(F.col("key").alias("__key")).count().filter("count > 1").select("__key"))

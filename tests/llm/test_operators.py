@@ -44,6 +44,8 @@ def test_bpe_equals_the_library(spark):
         assert rows[i]["decoded"] == lib.decode(ids, skip_special_tokens=False)
         assert rows[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert rows[None]["key"] == "clash"
+    with pytest.raises(ValueError, match="n_tokens"):
+        bpe.encode(docs(spark, ODD).withColumnRenamed("key", "N_tokens"), tokenizer_path())
 
 
 # ---- 6
@@ -239,6 +241,15 @@ def test_line_dedup_extends_matches_both_ways(spark):
     assert [got[i] for i in range(len(texts))] == want and want != plain_line_dedup(texts, 15)
 
 
+def test_line_dedup_keeps_repeated_ids_and_refuses_its_names(spark):
+    text = lambda k: ". ".join(f"line number {k} {j} has a few words of its own" for j in range(8)) + ". "
+    df = spark.createDataFrame([(1, text(1)), (1, text(2)), (2, text(1)), (2, text(3)), (1, text(1))], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["text"], r["n_deleted"]) for r in line_dedup.dedup_lines(df).collect())
+    assert got == sorted([(1, text(1), 0), (1, text(1), 0), (1, text(2), 0), (2, "", 8), (2, text(3), 0)])
+    with pytest.raises(ValueError, match="n_deleted"):
+        line_dedup.dedup_lines(df.selectExpr("*", "1 as n_deleted"))
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(docs(spark, [], extra=False)).count() == 0
 
