@@ -136,9 +136,14 @@ def _(t):
     return rounded(a.two_level(trials(t), "o_custkey", ["c_mktsegment"], "o_totalprice"), 2)
 
 
-@query("a24_mean_ci")
+#: Critical values of Student's t at 97.5 %, by degrees of freedom.
+T_TABLE = "(VALUES " + ", ".join(f"({d}, {a.t_quantile(0.975, d)!r})" for d in range(1, 201)) + ") t(d, t)"
+
+
+@query("a24_mean_ci", f"WITH s AS (SELECT user_id, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM events GROUP BY 1), h AS (SELECT s.*, CASE WHEN n > 1 THEN coalesce(t, 1.959966) * sd / sqrt(n) END AS h FROM s LEFT JOIN {T_TABLE} ON d = n - 1) SELECT user_id, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean - h, 5) AS lo, round(mean + h, 5) AS hi FROM h")
 def _(t):
-    return rounded(a.mean_ci(t.events, ["user_id"], "value"))
+    out = a.mean_ci(t.events, ["user_id"], "value")
+    return rounded(out).withColumns({x: F.round(x, 5) for x in ("lo", "hi")})
 
 
 @query("a25_contrast", "SELECT o_custkey, max(o_totalprice) FILTER (o_orderstatus = 'F') - max(o_totalprice) FILTER (o_orderstatus = 'O') AS contrast FROM orders GROUP BY 1")

@@ -54,14 +54,29 @@ def _(t):
     return rounded(g.rereference(sg, ["label", "rec", "pos"], "ch", "v", [1, 2]).select("vec_id", "pos", "v_reref"))
 
 
-@query("g5_fir_bandpass")
+def low_pass_sql(name: str, cutoff: float, taps: int) -> str:
+    """A windowed-sinc low-pass kernel (j, h) by its formula."""
+    x, half = f"{2 * cutoff / FS}", taps // 2
+    return f"{name} AS (SELECT j, r / sum(r) OVER () AS h FROM (SELECT j, {x} * (CASE WHEN j = 0 THEN 1 ELSE sin(pi() * {x} * j) / (pi() * {x} * j) END) * (0.54 + 0.46 * cos(2 * pi() * j / {taps - 1})) AS r FROM (SELECT unnest(range({-half}, {half + 1})) AS j)))"
+
+
+def convolved_sql(source: str, kernel: str) -> str:
+    """The 64-sample signals of ``source`` under a symmetric kernel, ends mirrored."""
+    return f"SELECT o.vec_id, o.pos, sum(i.v * k.h) AS v FROM {source} o, {kernel} k, {source} i WHERE i.vec_id = o.vec_id AND i.pos = CASE WHEN o.pos + k.j < 0 THEN -(o.pos + k.j) WHEN o.pos + k.j > 63 THEN 126 - o.pos - k.j ELSE o.pos + k.j END GROUP BY 1, 2"
+
+
+def samples_of(df):
+    return rounded(df.select("vec_id", F.posexplode("samples").alias("pos", "v"))).withColumn("v", col("v") + F.lit(0.0))  # no negative zero
+
+
+@query("g5_fir_bandpass", f"WITH {SG}, {low_pass_sql('hi', 12, 31)}, {low_pass_sql('lo', 4, 31)}, bp AS (SELECT j, hi.h - lo.h AS h FROM hi JOIN lo USING (j)), f AS ({convolved_sql('sg', 'bp')}) SELECT vec_id, pos::INTEGER AS pos, round(v, 6) + 0.0 AS v FROM f")
 def _(t):
-    return rounded(g.fir_bandpass(signals(t), ["vec_id"], 4, 12, FS, 31).select("vec_id", F.posexplode("samples").alias("pos", "v")))
+    return samples_of(g.fir_bandpass(signals(t), ["vec_id"], 4, 12, FS, 31))
 
 
-@query("g6_rectify_smooth")
+@query("g6_rectify_smooth", f"WITH {SG}, re AS (SELECT vec_id, pos, abs(v - median(v) OVER (PARTITION BY vec_id)) AS v FROM sg), {low_pass_sql('lo', 6, 31)}, f AS ({convolved_sql('re', 'lo')}) SELECT vec_id, pos::INTEGER AS pos, round(v, 6) + 0.0 AS v FROM f")
 def _(t):
-    return rounded(g.rectify_smooth(signals(t), ["vec_id"], 6, FS, 31).select("vec_id", F.posexplode("samples").alias("pos", "v")))
+    return samples_of(g.rectify_smooth(signals(t), ["vec_id"], 6, FS, 31))
 
 
 @query("g7_emg_flags", f"WITH {SG}, c AS (SELECT *, CASE WHEN pos % 2 = 0 THEN 'a' ELSE 'b' END AS muscle, pos < 32 AS rest FROM sg), md AS (SELECT *, median(v) OVER (PARTITION BY label, vec_id, muscle, rest) AS m FROM c), act AS (SELECT label, vec_id, muscle, rest, median(abs(v - m)) * 1.4826 AS a FROM md GROUP BY ALL), df AS (SELECT label, vec_id, muscle, max(a) FILTER (NOT rest) - max(a) FILTER (rest) AS d FROM act GROUP BY ALL), th AS (SELECT label, muscle, quantile_cont(d, 0.25) FILTER (vec_id % 2 = 0) AS q FROM df GROUP BY ALL) SELECT label, vec_id, bool_and(coalesce(vec_id % 2 = 1 AND d >= q, false)) AS bad, round(max(d), 6) AS max_difference FROM df JOIN th USING (label, muscle) GROUP BY ALL")
@@ -77,18 +92,22 @@ def _(t):
     return rounded(out.select("vec_id", "anchor", "complete", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total")))
 
 
-@query("g9_resample")
+@query("g9_resample", f"WITH {SG}, {low_pass_sql('lo', 7.2, 101)}, f AS ({convolved_sql('sg', 'lo')}) SELECT vec_id, (pos // 4)::INTEGER AS pos, round(v, 6) + 0.0 AS v FROM f WHERE pos % 4 = 0")
 def _(t):
-    return rounded(g.resample(signals(t), ["vec_id"], 64, 16).select("vec_id", F.posexplode("samples").alias("pos", "v")))
+    return samples_of(g.resample(signals(t), ["vec_id"], 64, 16))
 
 
 def tfr(t, freqs=(8.0, 16.0, 24.0)):
     return g.morlet_power(signals(t).select("vec_id", "label", "samples"), ["vec_id", "label"], freqs, FS, lambda f: np.full(len(f), 2.0))
 
 
-@query("g10_morlet_power")
+#: Wavelets of two cycles in SQL: frequency, place and the real and imaginary part, of unit energy.
+WAVELETS = "wv AS (SELECT f, j, half, c / sqrt(sum(e) OVER (PARTITION BY f)) AS re, s / sqrt(sum(e) OVER (PARTITION BY f)) AS im FROM (SELECT f, j, half, g * cos(2 * pi() * f * j / 64) AS c, g * sin(2 * pi() * f * j / 64) AS s, g * g AS e FROM (SELECT f, half, j, exp(-pow(j / 64.0, 2) / (2 * sd * sd)) AS g FROM (SELECT f, sd, half, unnest(range(-half, half + 1)) AS j FROM (SELECT f, sd, floor(5 * sd * 64)::BIGINT AS half FROM (SELECT f, 1 / (pi() * f) AS sd FROM (VALUES (8.0::DOUBLE), (16.0), (24.0)) v(f)))))))"
+
+
+@query("g10_morlet_power", f"WITH {SG}, {WAVELETS} SELECT o.vec_id, f AS frequency, o.pos::INTEGER AS pos, round(pow(sum(i.v * re), 2) + pow(sum(i.v * im), 2), 6) AS p FROM sg o JOIN wv ON o.pos - half >= 0 AND o.pos + half <= 63 JOIN sg i ON i.vec_id = o.vec_id AND i.pos = o.pos - j GROUP BY 1, 2, 3")
 def _(t):
-    return rounded(tfr(t).select("vec_id", "frequency", F.posexplode("power").alias("pos", "p")).filter(~F.isnan("p")))
+    return rounded(tfr(t).select("vec_id", "frequency", F.posexplode("power").alias("pos", "p")).filter("p is not null and not isnan(p)"))
 
 
 @query("g11_wavelet_power")

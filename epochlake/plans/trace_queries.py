@@ -148,9 +148,16 @@ def _(t):
     return rounded(tr.series_entropy(t.sm(), K, "o", "x", 2, 0.2), 6)
 
 
-@query("x5_reinterpolate")
+def interpolated_sql(source: str, grid: str) -> str:
+    """``source`` (trial, ax, ...) with one row per place, interpolated at ``grid`` (trial, i, g): x, y and time."""
+    mean = f"SELECT trial, ax, avg(x) AS x, avg(y) AS y, avg(time) AS time, lead(ax) OVER w AS ax2, lead(avg(x)) OVER w AS x2, lead(avg(y)) OVER w AS y2, lead(avg(time)) OVER w AS time2 FROM {source} GROUP BY trial, ax WINDOW w AS (PARTITION BY trial ORDER BY ax)"
+    part = lambda v: f"round(CASE WHEN ax2 IS NULL THEN {v} ELSE {v} + (g - ax) / (ax2 - ax) * ({v}2 - {v}) END, 4) AS {v}"
+    return f"SELECT g.trial, i, {part('x')}, {part('y')}, {part('time')} FROM {grid} g ASOF JOIN ({mean}) m ON g.trial = m.trial AND g.g >= m.ax"
+
+
+@query("x5_reinterpolate", f"WITH {SM}, d AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM sm WINDOW w AS (PARTITION BY trial ORDER BY o)), p AS (SELECT *, sum(coalesce(sqrt(dx * dx + dy * dy), 0)) OVER (PARTITION BY trial ORDER BY o ROWS UNBOUNDED PRECEDING) AS ax FROM d), g AS (SELECT trial, i, max(ax) * i / 39 AS g FROM p, range(40) r(i) GROUP BY trial, i), r AS ({interpolated_sql('p', 'g')}) SELECT trial, i AS point_index, x, y, time FROM r")
 def _(t):
-    return rounded(tr.reinterpolate(t.sm(), K, "o", 40, equidistant=True), 5)
+    return rounded(tr.reinterpolate(t.sm(), K, "o", 40, equidistant=True), 4)
 
 
 def pairs(t):
@@ -158,9 +165,9 @@ def pairs(t):
     return tr.match_lengths(sm.filter("o % 2 = 0"), sm.filter("o % 2 = 1"), K, "o")
 
 
-@query("x6_match_lengths")
+@query("x6_match_lengths", f"WITH {SM}, a AS (SELECT *, time AS ax FROM sm WHERE o % 2 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY o) - 1 AS i, count(*) OVER (PARTITION BY trial) AS n FROM sm WHERE o % 2 = 1), e AS (SELECT trial, min(ax) AS lo, max(ax) AS hi FROM a GROUP BY 1), g AS (SELECT b.trial, i, CASE WHEN n = 1 THEN lo ELSE lo + (hi - lo) * i / (n - 1) END AS g FROM b JOIN e ON e.trial = b.trial), r AS ({interpolated_sql('a', 'g')}) SELECT b.trial, b.i AS point_index, round(b.x, 4) AS x, round(b.y, 4) AS y, r.x AS fx, r.y AS fy FROM b JOIN r ON r.trial = b.trial AND r.i = b.i")
 def _(t):
-    return rounded(pairs(t), 5)
+    return rounded(pairs(t), 4)
 
 
 MATCHED = f"WITH {SM}, m AS (SELECT trial, x, y, x * 0.5 - y AS fx, y + 3 AS fy FROM sm)"
