@@ -169,13 +169,18 @@ def renumber(part: Keys, o: Keys) -> Column:
 def order_index(df: DataFrame, cols: Keys, out: str = "order_index") -> DataFrame:
     """Number from 0 of each row in the table's order, without gathering the table in one task.
 
-    Rows are ranged into partitions, numbered inside them, and moved by the sizes of the partitions before.
+    Rows are ranged into partitions, numbered inside them, and moved by the sizes of the partitions before. Spark draws
+    the ranges from a sample, anew for each use, so the ranged rows are written once to the shared folder and read twice.
     """
-    ranged = df.repartitionByRange(*cols).withColumn("__p", F.spark_partition_id())
+    from ..sources.io import scratch_path
+
+    path = scratch_path(df.sparkSession, "ranged")
+    df.repartitionByRange(*cols).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
     local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*cols)))
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))
-    return local.join(F.broadcast(before), "__p").withColumn(out, F.col("__n") + F.col("__b") - 1).drop("__p", "__n", "__b")
+    return local.join(F.broadcast(before), "__p").withColumn(out, F.col("__n") + F.col("__b") - 1).select(*df.columns, out)
 
 
 def quantiles_by_rank(df: DataFrame, col: str, ps: Mapping[str, float]) -> DataFrame:

@@ -11,9 +11,9 @@ from .base import EV, query, rounded
 col = F.col
 
 
-@query("p1_select_ordered", "SELECT n_name, n_regionkey, n_nationkey FROM nation")
+@query("p1_select_ordered", "SELECT o_orderstatus, o_custkey, o_orderkey FROM orders")
 def _(t):
-    return c.select_ordered(t.nation.select("n_nationkey", "n_name", "n_regionkey"), ["n_name", "n_regionkey"])
+    return c.select_ordered(t.orders.select("o_orderkey", "o_orderstatus", "o_custkey"), ["o_orderstatus", "o_custkey"])
 
 
 @query("p2_keep_rows", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000 AND o_orderstatus = 'F'")
@@ -97,9 +97,9 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", a.alias("incomplete"), b.alias("gap"))
 
 
-@query("p17_category_of", "SELECT n_nationkey, CASE WHEN n_nationkey IN (1, 3, 5) THEN 'watch' WHEN n_nationkey IN (2, 3) THEN 'special' ELSE 'regular' END AS category FROM nation")
+@query("p17_category_of", "SELECT o_orderkey, CASE WHEN o_custkey IN (1, 3, 5) THEN 'watch' WHEN o_custkey IN (2, 3) THEN 'special' ELSE 'regular' END AS category FROM orders")
 def _(t):
-    return t.nation.select("n_nationkey", c.category_of(col("n_nationkey"), {"watch": [1, 3, 5], "special": [2, 3]}).alias("category"))
+    return t.orders.select("o_orderkey", c.category_of(col("o_custkey"), {"watch": [1, 3, 5], "special": [2, 3]}).alias("category"))
 
 
 @query("f1_parse_name", "SELECT page_id, CASE WHEN regexp_matches(url, '^([a-z]+)://([^/]+)/([a-z]+)/') THEN regexp_extract(url, '^([a-z]+)://([^/]+)/([a-z]+)/', 1) END AS scheme, CASE WHEN regexp_matches(url, '^([a-z]+)://([^/]+)/([a-z]+)/') THEN regexp_extract(url, '^([a-z]+)://([^/]+)/([a-z]+)/', 3) END AS folder, CASE WHEN regexp_matches(url, '^([a-z]+)://([^/]+)/([a-z]+)/') THEN 'parsed' ELSE 'unparsed' END AS parse_status FROM pages")
@@ -239,9 +239,9 @@ def _(t):
     return rounded(t.embeddings.select("vec_id", c.ptp(e).alias("ptp"), c.max_step(e).alias("step")))
 
 
-@query("f30_repeat_rows", "SELECT n_nationkey, CAST(unnest(range(3)) AS INTEGER) AS copy FROM nation")
+@query("f30_repeat_rows", "SELECT o_orderkey, CAST(unnest(range(3)) AS INTEGER) AS copy FROM orders")
 def _(t):
-    return c.repeat_rows(t.nation.select("n_nationkey"), 3)
+    return c.repeat_rows(t.orders.select("o_orderkey"), 3)
 
 
 @query("f31_parse_tuples", f"WITH {EV} SELECT event_id, CAST(k AS DOUBLE) AS first, CAST(k + 1 AS DOUBLE) AS last FROM ev")
@@ -268,9 +268,9 @@ def _(t):
     return lists.select("user_id", F.size(c.split_codes(col("codes"))).alias("n_codes"), c.has_code(col("codes"), "error").alias("has_error"))
 
 
-@query("f35_code_candidate", "SELECT n_nationkey, CASE n_nationkey WHEN 3 THEN 30 WHEN 4 THEN 40 ELSE n_nationkey END AS candidate_code, CASE WHEN n_nationkey IN (3, 4) THEN 'mapped' ELSE 'identity' END AS candidate_rule FROM nation")
+@query("f35_code_candidate", "SELECT o_orderkey, CASE o_custkey WHEN 3 THEN 30 WHEN 4 THEN 40 ELSE o_custkey END AS candidate_code, CASE WHEN o_custkey IN (3, 4) THEN 'mapped' ELSE 'identity' END AS candidate_rule FROM orders")
 def _(t):
-    return t.nation.select("n_nationkey", *c.code_candidate(col("n_nationkey"), {3: 30, 4: 40}))
+    return t.orders.select("o_orderkey", *c.code_candidate(col("o_custkey"), {3: 30, 4: 40}))
 
 
 @query("f36_next_label", "SELECT event_id, CASE event_type WHEN 'view' THEN 'click' WHEN 'click' THEN 'purchase' WHEN 'purchase' THEN 'view' END AS next FROM events")
@@ -293,6 +293,6 @@ def _(t):
     return rounded(t.ev().select("event_id", c.bezier_curvature(F.lit(0.5), sx, sy, ex, ey, cx, cy).alias("curvature"), c.sinuosity(c.length_of(sx, sy, ex, ey), F.lit(10.0)).alias("sinuosity")))
 
 
-@query("u2_with_all", "SELECT n_nationkey, n_name AS grp FROM nation UNION ALL SELECT n_nationkey, 'all' FROM nation")
+@query("u2_with_all", "SELECT o_orderkey, o_orderstatus AS grp FROM orders UNION ALL SELECT o_orderkey, 'all' FROM orders")
 def _(t):
-    return shape.with_all(t.nation.select("n_nationkey", col("n_name").alias("grp")), "grp")
+    return shape.with_all(t.orders.select("o_orderkey", col("o_orderstatus").alias("grp")), "grp")

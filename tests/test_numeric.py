@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochlake.functions import columns as c
-from epochlake.operators import checks, kernels, models, shape, signal, trace
+from epochlake.operators import checks, kernels, models, shape, signal, trace, windows
 from epochlake.operators.aggs import t_quantile
 from epochlake.operators.fingerprint import table_fingerprint
 from epochlake.sources import io
@@ -243,3 +243,13 @@ def test_rank_quantile_and_fingerprint(spark):
     one, two = (table_fingerprint(d, ["a"]).first() for d in (df, df.repartition(9)))
     assert one == two and table_fingerprint(df).first() == table_fingerprint(df.repartition(3)).first()
     assert table_fingerprint(df.withColumn("b", F.lit(0.0)), ["a"]).first() != one
+
+
+def test_order_index_numbers_every_row_once(spark):
+    df = spark.range(40_000).select("id", F.rand(5).alias("v"), F.repeat(F.lit("x"), 50).alias("other")).repartition(7)
+    got = windows.order_index(df, ["v"], "i").select("v", "i", "other").collect()
+    assert sorted(r["i"] for r in got) == list(range(40_000))
+    assert [r["v"] for r in sorted(got, key=lambda r: r["i"])] == sorted(r["v"] for r in got)
+    got = windows.quantiles_by_rank(df, "v", {"a": 0.5, "b": 0.999}).first()
+    want = np.quantile([r["v"] for r in df.select("v").collect()], [0.5, 0.999])
+    assert (got["a"], got["b"]) == (pytest.approx(want[0]), pytest.approx(want[1])) and got["n"] == 40_000
