@@ -13,7 +13,8 @@ of the language given the whole text, most likely. A language with fewer than ``
 all of its own. Percentiles are Spark's mergeable sketches, so this covers all data at any size.
 
 Defined results: null or letterless text is ``und`` with score 0. Without labelled text every document is ``und``.
-Ties go to the language that sorts first. Rows are kept one for one; extra columns are not read.
+Ties go to the language that sorts first. Rows are kept one for one; extra columns are not read. A text is taken
+whole: n characters take some (60 + 16 x languages) n bytes in its task.
 """
 
 from __future__ import annotations
