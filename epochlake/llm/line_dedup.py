@@ -66,6 +66,14 @@ def if_small(df: DataFrame, more: Column | None = None) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def place_of(runs: DataFrame) -> Column:
+    """One number in the order of (id, place), null ids first: 64 bits wide if both fit, else a decimal."""
+    most = runs.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("place").alias("place")).first()
+    if (most["low"] or 0) > -1 << 42 and (most["high"] or 0) < 1 << 42 and (most["place"] or 0) < 1 << 20:
+        return F.coalesce("id", F.lit(-(1 << 42))) * F.lit(1 << 20) + F.col("place")
+    return (F.coalesce("id", F.lit(-1 << 62)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.col("place")).cast("decimal(38,0)")
+
+
 def deletions(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, both_ways: bool = True) -> DataFrame:
     """Rows (__key, stretches): the lines to delete as (first, last), one row per document that has any."""
     spark = df.sparkSession
@@ -83,7 +91,8 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_wor
     mark = F.col("h").bitwiseAND(F.lit(~low)).bitwiseOR(F.col("place").cast("bigint").bitwiseAND(F.lit(low)))
     run = Window.partitionBy("row").orderBy("before").rangeBetween(0, run_words - 1)
     marked = placed.withColumn("mark", mark)
-    changes = lambda least: ~least.eqNullSafe(F.lag(least).over(so_far))
+    # The places' order is that of the words before them, so this window needs no sort of its own.
+    changes = lambda least: ~least.eqNullSafe(F.lag(least).over(Window.partitionBy("row").orderBy("before")))
     marked = marked.withColumn("least", F.min("mark").over(run))
     from_here = F.struct(
         "place", "h", "before", F.max("place").over(run).alias("last"), F.max("after").over(run).alias("end"), (F.max("steps").over(run) - F.col("steps")).alias("steps"), "least", changes(F.col("least")).alias("fresh")
@@ -105,7 +114,7 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text: str = "text", run_wor
     runs = spark.read.parquet(path)
     repeated = cut(runs.filter("at is not null").groupBy("print").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a <> b").select("print"))
     likely = runs.join(if_small(repeated), "print", "left_semi")
-    start = (F.coalesce("id", F.lit(-1 << 62)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.col("place")).cast("decimal(38,0)")
+    start = place_of(runs)
     likely = likely.select("print", "run", "__key", "place", "last", start.alias("start"))
     first = cut(likely.groupBy("print", "run").agg(F.min("start").alias("first"), F.max("start").alias("final")).filter("first <> final").select("print", "run", "first"))
     # ``first`` is written, so that Spark shuffles both sides for this join alone and can split a run that stands very often.

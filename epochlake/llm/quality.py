@@ -300,7 +300,7 @@ def train(df: DataFrame, text: str = "text", labels: DataFrame | None = None, id
         post, target.vote, target.prior = expectation_maximisation(code[:, None] // 3 ** np.arange(len(target.names)) % 3, n)
         target.posterior = dict(zip(code.tolist(), post.tolist(), strict=True))
     every = max(1, total // FIT_ROWS)
-    sample = texts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0).select("text").coalesce(FIT_TASKS)
+    sample = cut(texts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0).select("text").repartition(FIT_TASKS))
     for name, target in (("quality", model.quality), ("toxic", model.toxic)):
         fit(sample, name, target, model)
     return model

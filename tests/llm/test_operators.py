@@ -246,6 +246,8 @@ def test_line_dedup_keeps_repeated_ids_and_refuses_its_names(spark):
     df = spark.createDataFrame([(1, text(1)), (1, text(2)), (2, text(1)), (2, text(3)), (1, text(1))], "doc_id bigint, text string")
     got = sorted((r["doc_id"], r["text"], r["n_deleted"]) for r in line_dedup.dedup_lines(df).collect())
     assert got == sorted([(1, text(1), 0), (1, text(1), 0), (1, text(2), 0), (2, "", 8), (2, text(3), 0)])
+    far = df.selectExpr("if(doc_id = 2, 9000000000000000000, doc_id) as doc_id", "text")
+    assert sorted(r["n_deleted"] for r in line_dedup.dedup_lines(far).collect()) == [0, 0, 0, 0, 8]
     with pytest.raises(ValueError, match="n_deleted"):
         line_dedup.dedup_lines(df.selectExpr("*", "1 as n_deleted"))
 
