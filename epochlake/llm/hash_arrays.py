@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -49,12 +50,18 @@ def _copies() -> str:
     return os.path.join(tempfile.gettempdir(), "epochlake-copies")
 
 
+def _copy_folder(uri: str) -> str:
+    """Where copies of the files of one table lie: by the first two parts of its path in the application's folder."""
+    own = re.search(r"epochlake-[^/]+/[^/]+", uri)
+    return os.path.join(_copies(), hashlib.sha256((own[0] if own else uri).encode()).hexdigest()[:24])
+
+
 def map_file(uri: str, dtype: str) -> np.ndarray:
     path = _mounted(uri)
     if path is None:
         from pyarrow import fs
 
-        path = os.path.join(_copies(), hashlib.sha256(uri.rpartition("/")[0].encode()).hexdigest()[:24], uri.rpartition("/")[2])
+        path = os.path.join(_copy_folder(uri), hashlib.sha256(uri.encode()).hexdigest()[:32])
         if not os.path.exists(path):
             os.makedirs(os.path.dirname(path), exist_ok=True)
             store, remote = fs.FileSystem.from_uri(uri)
@@ -169,8 +176,9 @@ class HashTable:
 def worker_cache(name: str, build: Callable):
     """One object per Python worker under a name; older ones are dropped, and so are copies of files that they mapped."""
     if _CACHE.get("name") != name:
-        if _CACHE and os.path.isdir(_copies()):
-            shutil.rmtree(_copies(), ignore_errors=True)  # what other workers have mapped stays readable to them
+        for folder in os.listdir(_copies()) if _CACHE and os.path.isdir(_copies()) else []:
+            if folder != os.path.basename(_copy_folder(name)):
+                shutil.rmtree(os.path.join(_copies(), folder), ignore_errors=True)  # what other workers have mapped stays readable to them
         _CACHE.clear()
         _CACHE.update(name=name, value=build())
     return _CACHE["value"]

@@ -87,6 +87,20 @@ def test_wide_counts_and_many_shards(spark, monkeypatch, sf):
     assert all(len(set(hash_arrays.shard_of(row, 1 << 20).tolist())) == 1 for row in pairs)
 
 
+def test_files_of_a_store_are_copied_once_and_dropped(tmp_path, monkeypatch):
+    monkeypatch.setattr(hash_arrays.tempfile, "tempdir", str(tmp_path / "own"))
+    (tmp_path / "own").mkdir()
+    uris = [f"file://{tmp_path}/epochlake-app/model-{k}/pair/000000.key" for k in (1, 2)]
+    for k, uri in enumerate(uris):
+        hash_arrays.put_file(uri, np.arange(5, dtype="<u8") + k)
+    monkeypatch.setattr(hash_arrays, "_mounted", lambda uri: None)
+    for k, uri in enumerate(uris):
+        for _ in range(2):
+            found = hash_arrays.worker_cache(uri.rpartition("/pair")[0], lambda uri=uri: hash_arrays.map_file(uri, "<u8"))
+            assert found.tolist() == [k, k + 1, k + 2, k + 3, k + 4]
+        assert len(list((tmp_path / "own").glob("epochlake-copies/*/*"))) == 1
+
+
 def test_nothing_to_train_on(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     model = ngram_lm.train(docs.filter("false"))
