@@ -35,9 +35,9 @@ from .hash_arrays import mix
 FIT_ROWS = 4096
 BITS, TABLES, STEPS = 64, 4, 30
 #: Codes a vector is looked up under in a table, at most; bits between the key lengths that vectors are stored under.
-PROBES, STEP = 64, 4
+PROBES, STEP = 512, 4
 #: Vectors whose probes are made together.
-PROBE_ROWS = 512
+PROBE_ROWS = 256
 MIN_COSINE = 0.98
 
 
