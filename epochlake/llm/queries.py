@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_lm, quality, simhash, url_filters
+from . import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_lm, quality, simhash, suffix_dedup, url_filters
 from .common import remainder, table
 
 #: The tokenizer file's name; its folder is found by the package that holds it.
@@ -158,6 +158,12 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, mined, url_filters.written_rules(spark, URL_RULES), keep=["page_id"])
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed")
+    return left.select(F.col("id").alias("doc_id"), "n_bytes", removed, F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_lm": op1_ngram_lm,
     "op2_decontaminate": op2_decontaminate,
@@ -169,5 +175,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLES: dict[str, str] = {"op4_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
