@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_lm, quality, simhash, suffix_dedup, url_filters
+from . import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_lm, periodic_runs, quality, simhash, suffix_dedup, url_filters
 from .common import remainder, table
 
 #: The tokenizer file's name; its folder is found by the package that holds it.
@@ -158,6 +158,18 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, mined, url_filters.written_rules(spark, URL_RULES), keep=["page_id"])
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = periodic_runs.made_periodic(F.col("text"), F.col("doc_id"))
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), text=text)
+    # The runs lie by start and period, so of equal exponents the first stays.
+    greater = lambda best, r: best.isNull() | (r.length * best.period > best.length * r.period)
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda best, r: F.when(greater(best, r), r).otherwise(best))
+    line = lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))
+    return found.select("id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        F.col("id").alias("doc_id"), "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed")
@@ -175,6 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLES: dict[str, str] = {"op4_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
