@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_lm, periodic_runs, quality, simhash, suffix_dedup, url_filters
+from . import bpe, decontaminate, embedding_dedup, hard_negatives, language_id, license_scan, line_dedup, ngram_lm, periodic_runs, quality, simhash, suffix_dedup, url_filters
 from .common import remainder, table
 
 #: The tokenizer file's name; its folder is found by the package that holds it.
@@ -170,6 +170,32 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.hard_negatives(vectors, F.col("id") % 50 == 0)
+
+
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other) AS INTEGER) AS rank,
+  n.other AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed")
@@ -188,6 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
-ORACLES: dict[str, str] = {"op4_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
+ORACLES: dict[str, str] = {"op4_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}
