@@ -55,15 +55,19 @@ def hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
 
-def welch(v: np.ndarray, fs: float, nperseg: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frequencies, power density) by Welch's method: Hann segments, half overlapping, means removed."""
-    nperseg = min(nperseg, len(v))
-    step = max(1, nperseg // 2)
+def segment_density(v: np.ndarray, fs: float, nperseg: int, step: int) -> np.ndarray:
+    """Power density of each Hann segment, one every ``step`` samples, its mean removed."""
     seg = np.lib.stride_tricks.sliding_window_view(v, nperseg)[::step]
     w = hann(nperseg)
     spec = np.abs(np.fft.rfft((seg - seg.mean(axis=1, keepdims=True)) * w, axis=1)) ** 2 / (fs * (w**2).sum())
     spec[:, 1 : (-1 if nperseg % 2 == 0 else None)] *= 2
-    return np.fft.rfftfreq(nperseg, 1 / fs), spec.mean(axis=0)
+    return spec
+
+
+def welch(v: np.ndarray, fs: float, nperseg: int) -> tuple[np.ndarray, np.ndarray]:
+    """(frequencies, power density) by Welch's method: Hann segments, half overlapping."""
+    nperseg = min(nperseg, len(v))
+    return np.fft.rfftfreq(nperseg, 1 / fs), segment_density(v, fs, nperseg, max(1, nperseg // 2)).mean(axis=0)
 
 
 def band_mean(f: np.ndarray, p: np.ndarray, lo: float, hi: float) -> float:

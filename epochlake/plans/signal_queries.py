@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import models as m
+from ..operators import recordings as rec
 from ..operators import signal as g
 from ..sources import io
 from .base import EV, SG, query, rounded
@@ -37,7 +38,33 @@ def _(t):
     return rounded(g.channel_metrics(chunks(t), ["vec_id"], flat=FLAT, clip=CLIP))
 
 
-@query("g2_welch_psd")
+def psd_sql(source: str, starts: str, nperseg: int, keys: str = "vec_id") -> str:
+    """Mean power density (keys, f, d) over the segments of ``source`` that begin at ``starts`` (vec_id, o), by sums of sines and cosines."""
+    w, turn = f"(0.5 - 0.5 * cos(2 * pi() * i / {nperseg}))", f"2 * pi() * i * k / {nperseg}"
+    seg = f"SELECT {keys}, b.o, pos - b.o AS i, v FROM {source} JOIN {starts} b USING (vec_id) WHERE pos BETWEEN b.o AND b.o + {nperseg - 1}"
+    flat = f"SELECT *, (v - avg(v) OVER (PARTITION BY vec_id, o)) * {w} AS x FROM ({seg.replace('SELECT ', 'SELECT vec_id, ' if keys != 'vec_id' else 'SELECT ', 1)})"
+    power = f"SELECT {keys}, o, vec_id AS vec, k, pow(sum(x * cos({turn})), 2) + pow(sum(x * sin({turn})), 2) AS p FROM ({flat}), range({nperseg // 2 + 1}) q(k) GROUP BY ALL"
+    return f"SELECT {keys}, k * {FS} / {nperseg} AS f, avg(p) * CASE WHEN k IN (0, {nperseg // 2}) THEN 1 ELSE 2 END / ({FS} * (SELECT sum({w} * {w}) FROM range({nperseg}) q(i))) AS d FROM ({power}) GROUP BY {keys}, k"
+
+
+def band_sql(lo: float, hi: float) -> str:
+    return f"avg(d) FILTER (f BETWEEN {lo} AND {hi})"
+
+
+def recordings(t):
+    """Each vector is a channel of 64 samples in four chunks; the first sample of each is counted."""
+    return rec.with_starts(chunks(t), ["vec_id"])
+
+
+HALVES = "(SELECT vec_id, 16 * j AS o FROM embeddings, range(3) r(j))"
+
+
+@query("g2_welch_psd", f"WITH {SG}, ps AS ({psd_sql('sg', HALVES, 32)}), b AS (SELECT vec_id, {band_sql(2, 8)} AS low, {band_sql(8, 16)} AS mid, {band_sql(16, 30)} AS high, {band_sql(19, 21)} AS own, ({band_sql(15, 18)} + {band_sql(22, 25)}) / 2 AS near FROM ps GROUP BY 1) SELECT vec_id, round(low, 6) AS low, round(mid, 6) AS mid, round(high, 6) AS high, round(own / near, 4) AS line_ratio, round(low / high, 4) AS low_high_ratio FROM b")
+def _(t):
+    out = rec.welch_psd(recordings(t), ["vec_id"], FS, 32, {"low": (2, 8), "mid": (8, 16), "high": (16, 30)}, line=20.0, tile=24)
+    return rounded(out.withColumns({c: F.round(c, 4) for c in ("line_ratio", "low_high_ratio")}))
+
+
 def _(t):
     return rounded(g.welch_psd(signals(t), ["vec_id"], FS, 32, {"low": (2, 8), "mid": (8, 16), "high": (16, 30)}, line=20.0))
 
@@ -65,18 +92,20 @@ def convolved_sql(source: str, kernel: str) -> str:
     return f"SELECT o.vec_id, o.pos, sum(i.v * k.h) AS v FROM {source} o, {kernel} k, {source} i WHERE i.vec_id = o.vec_id AND i.pos = CASE WHEN o.pos + k.j < 0 THEN -(o.pos + k.j) WHEN o.pos + k.j > 63 THEN 126 - o.pos - k.j ELSE o.pos + k.j END GROUP BY 1, 2"
 
 
-def samples_of(df):
-    return rounded(df.select("vec_id", F.posexplode("samples").alias("pos", "v"))).withColumn("v", col("v") + F.lit(0.0))  # no negative zero
+def placed(out):
+    """Samples of tiles with their numbers."""
+    rows = out.select("vec_id", "start", F.posexplode("samples").alias("i", "v")).select("vec_id", (col("start") + col("i")).cast("int").alias("pos"), "v")
+    return rounded(rows).withColumn("v", col("v") + F.lit(0.0))  # no negative zero
 
 
 @query("g5_fir_bandpass", f"WITH {SG}, {low_pass_sql('hi', 12, 31)}, {low_pass_sql('lo', 4, 31)}, bp AS (SELECT j, hi.h - lo.h AS h FROM hi JOIN lo USING (j)), f AS ({convolved_sql('sg', 'bp')}) SELECT vec_id, pos::INTEGER AS pos, round(v, 6) + 0.0 AS v FROM f")
 def _(t):
-    return samples_of(g.fir_bandpass(signals(t), ["vec_id"], 4, 12, FS, 31))
+    return placed(rec.bandpass(recordings(t), ["vec_id"], 4, 12, FS, 31, tile=24))
 
 
 @query("g6_rectify_smooth", f"WITH {SG}, re AS (SELECT vec_id, pos, abs(v - median(v) OVER (PARTITION BY vec_id)) AS v FROM sg), {low_pass_sql('lo', 6, 31)}, f AS ({convolved_sql('re', 'lo')}) SELECT vec_id, pos::INTEGER AS pos, round(v, 6) + 0.0 AS v FROM f")
 def _(t):
-    return samples_of(g.rectify_smooth(signals(t), ["vec_id"], 6, FS, 31))
+    return placed(rec.rectify_smooth(recordings(t), ["vec_id"], 6, FS, 31, tile=10))
 
 
 @query("g7_emg_flags", f"WITH {SG}, c AS (SELECT *, CASE WHEN pos % 2 = 0 THEN 'a' ELSE 'b' END AS muscle, pos < 32 AS rest FROM sg), md AS (SELECT *, median(v) OVER (PARTITION BY label, vec_id, muscle, rest) AS m FROM c), act AS (SELECT label, vec_id, muscle, rest, median(abs(v - m)) * 1.4826 AS a FROM md GROUP BY ALL), df AS (SELECT label, vec_id, muscle, max(a) FILTER (NOT rest) - max(a) FILTER (rest) AS d FROM act GROUP BY ALL), th AS (SELECT label, muscle, quantile_cont(d, 0.25) FILTER (vec_id % 2 = 0) AS q FROM df GROUP BY ALL) SELECT label, vec_id, bool_and(coalesce(vec_id % 2 = 1 AND d >= q, false)) AS bad, round(max(d), 6) AS max_difference FROM df JOIN th USING (label, muscle) GROUP BY ALL")
@@ -94,7 +123,7 @@ def _(t):
 
 @query("g9_resample", f"WITH {SG}, {low_pass_sql('lo', 7.2, 101)}, f AS ({convolved_sql('sg', 'lo')}) SELECT vec_id, (pos // 4)::INTEGER AS pos, round(v, 6) + 0.0 AS v FROM f WHERE pos % 4 = 0")
 def _(t):
-    return samples_of(g.resample(signals(t), ["vec_id"], 64, 16))
+    return placed(rec.resample(recordings(t), ["vec_id"], 64, 16, tile=20))
 
 
 def tfr(t, freqs=(8.0, 16.0, 24.0)):
@@ -201,7 +230,27 @@ def _(t):
     return rounded(out).withColumn("mean", F.transform("mean", lambda x: F.round(x, 6)))
 
 
-@query("g23_compare_branches")
+NOTCHED = f"{SG}, {low_pass_sql('hi', 22, 31)}, {low_pass_sql('lo', 18, 31)}, bp AS (SELECT j, hi.h - lo.h AS h FROM hi JOIN lo USING (j)), f AS ({convolved_sql('sg', 'bp')}), nt AS (SELECT label, vec_id, pos, sg.v AS a, sg.v - f.v AS b FROM sg JOIN f USING (vec_id, pos)), nb AS (SELECT vec_id, pos, b AS v FROM nt)"
+CHANGES = f"pa AS (SELECT vec_id, {band_sql(2, 8)} AS low, {band_sql(18, 22)} AS line FROM ({psd_sql('sg', HALVES, 32)}) GROUP BY 1), pb AS (SELECT vec_id, {band_sql(2, 8)} AS low, {band_sql(18, 22)} AS line FROM ({psd_sql('nb', HALVES, 32)}) GROUP BY 1), cm AS (SELECT label, vec_id, count(*) AS n, sqrt(avg(a * a)) AS rms_a, sqrt(avg(b * b)) AS rms_b, sqrt(avg(pow(a - b, 2))) AS rms_difference, corr(a, b) AS correlation FROM nt GROUP BY 1, 2), cb AS (SELECT cm.*, pb.low / pa.low - 1 AS change_low, pb.line / pa.line - 1 AS change_line FROM cm JOIN pa USING (vec_id) JOIN pb USING (vec_id))"
+FIGURES = ", ".join(f"round({c}, 5) AS {c}" for c in ("rms_a", "rms_b", "rms_difference", "correlation", "change_low", "change_line"))
+
+
+def branches(t):
+    """The channels and their notched branch, compared per label (a file) and channel."""
+    own = recordings(t).join(t.embeddings.select("vec_id", "label"), "vec_id")
+    return rec.compare_branches(own, rec.notch(own, ["label", "vec_id"], 20.0, FS, taps=31, tile=24), ["label", "vec_id"], FS, 32, {"low": (2, 8), "line": (18, 22)}, tile=20)
+
+
+@query("g23_compare_branches", f"WITH {NOTCHED}, {CHANGES} SELECT label, vec_id, n, {FIGURES} FROM cb")
+def _(t):
+    return rounded(branches(t), 5)
+
+
+@query("g23_branch_summary", f"WITH {NOTCHED}, {CHANGES} SELECT label, count(*) AS n_channels, round(sqrt(sum(rms_a * rms_a * n) / sum(n)), 5) AS rms_a, round(sqrt(sum(rms_b * rms_b * n) / sum(n)), 5) AS rms_b, round(sqrt(sum(rms_difference * rms_difference * n) / sum(n)), 5) AS rms_difference, round(median(correlation), 5) AS median_correlation, count(*) FILTER (correlation < 0.95) AS n_low_correlation, round(avg(change_low), 5) AS change_low, round(avg(change_line), 5) AS change_line, round(sqrt(sum(rms_difference * rms_difference * n) / sum(rms_a * rms_a * n)), 5) AS difference_share FROM cb GROUP BY 1")
+def _(t):
+    return rounded(rec.branch_summary(branches(t), ["label"], ["low", "line"], 0.95), 5)
+
+
 def _(t):
     s = signals(t)
     return rounded(g.compare_branches(s, g.notch(s, ["vec_id"], 20.0, FS, taps=31), ["vec_id"], FS, 32, {"low": (2, 8), "line": (18, 22)}))
@@ -212,7 +261,19 @@ def _(t):
     return rounded(g.feature_ranges(t.lineitem, ["l_returnflag"], "l_tax", "l_discount"))
 
 
-@query("g25_sampled_qc", f"WITH {SG} SELECT vec_id, w AS \"window\", round(var_pop(v), 6) AS variance, round(max(v) - min(v), 6) AS ptp, round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) AS n_finite, round(sqrt(avg(v * v)), 6) AS rms FROM sg JOIN (VALUES (1, 0, 15), (2, 30, 49)) x(w, lo, hi) ON pos BETWEEN lo AND hi GROUP BY 1, 2")
+WINDOWS = "(VALUES (1, 5, 44), (2, 30, 63)) w(\"window\", lo, hi)"
+INSIDE = f"iw AS (SELECT sg.*, \"window\" FROM sg JOIN {WINDOWS} ON pos BETWEEN lo AND hi), am AS (SELECT label, \"window\", count(DISTINCT vec_id) AS n_channels, count(*) AS n, avg(v) AS mean, var_pop(v) AS variance, min(v) AS min, max(v) AS max, max(v) - min(v) AS ptp, sqrt(avg(v * v)) AS rms FROM iw GROUP BY 1, 2)"
+SEGMENTS = f"(SELECT vec_id, \"window\", lo + 8 * j AS o FROM embeddings, {WINDOWS}, range(8) r(j) WHERE lo + 8 * j + 15 <= hi)"
+DENSITIES = f"ds AS (SELECT label, \"window\", {band_sql(2, 8)} AS low, {band_sql(8, 30)} AS high FROM ({psd_sql('sg', SEGMENTS, 16, 'label, \"window\"')}) GROUP BY 1, 2)"
+
+
+@query("g25_sampled_qc", f"WITH {SG}, {INSIDE}, {DENSITIES} SELECT label, \"window\", n_channels, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "variance", "min", "max", "ptp", "rms", "low", "high")) + " FROM am JOIN ds USING (label, \"window\")")
+def _(t):
+    windows = t.embeddings.select("label").distinct().withColumn("w", F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("window", "lo", "hi"), w, strict=True)]) for w in ((1, 5, 44), (2, 30, 63))]))).select("label", "w.*")
+    own = recordings(t).join(t.embeddings.select("vec_id", "label"), "vec_id")
+    return rounded(rec.sampled_qc(own, windows, ["vec_id"], ["label"], ["label"], FS, 16, {"low": (2, 8), "high": (8, 30)}, tile=24))
+
+
 def _(t):
     windows = t.spark.createDataFrame([(1, 0, 15), (2, 30, 49)], "window int, lo int, hi int")
     return rounded(g.sampled_qc(longest(t), windows, ["vec_id"], "pos", "v"))

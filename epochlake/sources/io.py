@@ -37,6 +37,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{uri}/data"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The table, written once to the shared folder: cuts its lineage and survives the loss of executors."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put_bytes(uri: str, content: bytes) -> None:
     """Write a file from a task, under a temporary name first, so that a repeated task leaves the same."""
     from pyarrow import fs
