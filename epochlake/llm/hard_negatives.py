@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import cut, discard, fresh_path
 
 #: Rows of a tree, of a leaf, and children of a box.
-TREE_ROWS, LEAF, FAN = 16_384, 32, 8
+TREE_ROWS, LEAF, FAN = 16_384, 128, 8
 #: Anchors of a slice, about.
 SLICE = 4_096
 #: Trees whose numbers and labels are broadcast; Spark joins more than these by itself.
@@ -105,13 +105,12 @@ class Tree:
         top = len(self.levels) - 1
         pure_label, pure = self.leaf_label
 
-        def leaf(b: int) -> list[tuple[int, int]]:
-            """(score, -id) of a leaf's rows that have the right label."""
+        def leaf(b: int) -> tuple[np.ndarray, np.ndarray]:
+            """Scores and ids of a leaf's rows that have the right label."""
             if b not in opened:
                 rows = slice(b * LEAF, (b + 1) * LEAF)
-                fits = (self.labels[rows] == label) == same
-                scores, ids = (self.vectors[rows] @ anchor)[fits].tolist(), self.ids[rows][fits].tolist()
-                opened[b] = [(int(s), -i) for s, i in zip(scores, ids, strict=True) if i != but]
+                fits = ((self.labels[rows] == label) == same) & (self.ids[rows] != but if but is not None else True)
+                opened[b] = (self.vectors[rows] @ anchor)[fits], self.ids[rows][fits]
             return opened[b]
 
         def least_of(upper, high: int | None):
@@ -127,8 +126,15 @@ class Tree:
                 if len(best) == k and -upper < best[0][0]:
                     break  # no box left reaches the k-th
                 if level == 0:
-                    for row in leaf(b):
-                        if (low is None or row[0] >= low) and (high is None or row[0] <= high):
+                    scores, ids = leaf(b)
+                    floor = best[0][0] if len(best) == k else low
+                    fits = scores <= high if high is not None else np.ones(len(scores), bool)
+                    fits = fits & (scores >= floor) if floor is not None else fits
+                    if fits.any():
+                        # Of the rows that may count the best k, by score and then by id.
+                        scores, ids = scores[fits], ids[fits]
+                        for i in np.lexsort((ids, -scores))[:k]:
+                            row = (int(scores[i]), -int(ids[i]))
                             if len(best) < k:
                                 heapq.heappush(best, row)
                             elif row > best[0]:

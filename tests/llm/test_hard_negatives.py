@@ -62,7 +62,7 @@ def test_bounds_hold_and_prune():
     tree = Tree(order.astype(np.int64), np.arange(len(vectors)) % 2, vectors[order])
     anchor = np.array([250, 1, -3, 2])
     scores = tree.vectors @ anchor
-    for (least, greatest), size in zip(tree.bounds(tree.exact(anchor)), (32, 256, 2048), strict=True):
+    for (least, greatest), size in zip(tree.bounds(tree.exact(anchor)), (128, 1024, 8192), strict=True):
         for b, (lo, hi) in enumerate(zip(least, greatest, strict=True)):
             part = scores[b * size : (b + 1) * size]
             assert lo <= part.min() and part.max() <= hi
