@@ -166,19 +166,29 @@ def renumber(part: Keys, o: Keys) -> Column:
     return F.dense_rank().over(ordered(part, o))
 
 
-def order_index(df: DataFrame, cols: Keys, out: str = "order_index") -> DataFrame:
-    """Number from 0 of each row in the table's order, without gathering the table in one task.
+def ranged(df: DataFrame, cols: Keys, parts: int | None = None) -> DataFrame:
+    """The rows in ranges of ``cols`` (``__p``), written once to the shared folder, with ``__tie`` as their order inside equal keys.
 
-    Rows are ranged into partitions, numbered inside them, and moved by the sizes of the partitions before. Spark draws
-    the ranges from a sample, anew for each use, so the ranged rows are written once to the shared folder and read twice.
+    A key that many rows share is dealt to several ranges: the rows' number stands behind the key in the order, so Spark's sample counts a
+    heavy key as often as it weighs and sets borders inside it. Spark draws the sample anew for each use, so the rows are written.
     """
-    from ..sources.io import scratch_path
+    from ..sources.io import cut
+
+    keys = [*cols, "__tie"]
+    numbered = df.withColumn("__tie", F.monotonically_increasing_id())
+    dealt = numbered.repartitionByRange(*keys) if parts is None else numbered.repartitionByRange(parts, *keys)
+    return cut(dealt.withColumn("__p", F.spark_partition_id()))
+
 
-    path = scratch_path(df.sparkSession, "ranged")
-    df.repartitionByRange(*cols).withColumn("__p", F.spark_partition_id()).write.parquet(path)
-    ranged = df.sparkSession.read.parquet(path)
-    local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*cols)))
-    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+def order_index(df: DataFrame, cols: Keys, out: str = "order_index") -> DataFrame:
+    """Number from 0 of each row in the table's order, without gathering the table, or the rows of one key, in one task.
+
+    Rows are ranged into partitions (``ranged``), numbered inside them, and moved by the sizes of the partitions before. Equal keys
+    get successive numbers in any order.
+    """
+    rows = ranged(df, cols)
+    local = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*cols, "__tie")))
+    sizes = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))
     return local.join(F.broadcast(before), "__p").withColumn(out, F.col("__n") + F.col("__b") - 1).select(*df.columns, out)
 

@@ -143,9 +143,24 @@ def _(t):
     return rounded(tr.total_abs_curvature(segments(t), K), 3)
 
 
-@query("x4_series_entropy")
+#: Matches of templates by comparing all pairs of a trial: with itself, of 2 and 3 values; then those of sample entropy.
+ENTROPY = f"""WITH {SM}, s AS (
+  SELECT trial, x, lead(x) OVER w AS x1, lead(x, 2) OVER w AS x2, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY trial) AS n,
+    0.2 * stddev_samp(x) OVER (PARTITION BY trial) AS tol
+  FROM sm WHERE x IS NOT NULL WINDOW w AS (PARTITION BY trial ORDER BY o)
+), p AS (
+  SELECT a.trial, a.i, a.n, a.i <= a.n - 3 AND b.i <= a.n - 3 AS goes_on, abs(a.x2 - b.x2) <= a.tol AS third
+  FROM s a JOIN s b ON a.trial = b.trial AND abs(a.x - b.x) <= a.tol AND abs(a.x1 - b.x1) <= a.tol WHERE a.i <= a.n - 2 AND b.i <= b.n - 2
+), c AS (
+  SELECT trial, i, any_value(n) AS n, count(*) AS short, count(*) FILTER (goes_on AND third) AS long, count(*) FILTER (goes_on) AS b FROM p GROUP BY 1, 2
+), e AS (
+  SELECT trial, any_value(n) AS n, avg(ln(short / (n - 1))) AS phi2, avg(ln(long / (n - 2))) FILTER (i <= n - 3) AS phi3, sum(b) - any_value(n - 2) AS b, sum(long) - any_value(n - 2) AS a FROM c GROUP BY 1
+) SELECT t.trial, round(CASE WHEN n >= 4 THEN phi2 - phi3 END, 6) AS approximate_entropy, round(CASE WHEN n >= 4 AND a > 0 AND b > 0 THEN -ln(a / b) END, 6) AS sample_entropy FROM (SELECT DISTINCT trial FROM sm) t LEFT JOIN e USING (trial)"""
+
+
+@query("x4_series_entropy", ENTROPY)
 def _(t):
-    return rounded(tr.series_entropy(t.sm(), K, "o", "x", 2, 0.2), 6)
+    return rounded(tr.series_entropy(t.sm(), K, "o", "x", 2, 0.2).select("trial", *[F.nanvl(c, F.lit(None)).alias(c) for c in ("approximate_entropy", "sample_entropy")]), 6)
 
 
 def interpolated_sql(source: str, grid: str) -> str:
@@ -191,16 +206,50 @@ def _(t):
     return rounded(tr.procrustes(matched(t), K).select("trial", "translation", "scale", "rotation", "reflected"), 4)
 
 
-@query("x8_procrustes_error", FIT + ", e AS (SELECT m.trial, sqrt(pow(scale * ((x - mx) * p / h + (y - my) * CASE WHEN reflected THEN q / h ELSE -q / h END) + mfx - fx, 2) + pow(scale * ((x - mx) * q / h + (y - my) * CASE WHEN reflected THEN -p / h ELSE p / h END) + mfy - fy, 2)) AS e FROM m JOIN g USING (trial)) SELECT trial, round(sum(e), 3) AS shape_error_total, round(avg(e), 4) AS shape_error_mean, round(stddev_samp(e), 4) AS shape_error_sd, round(sqrt(sum(e * e) / (count(*) - 1)), 4) AS shape_error_paired_sd FROM e GROUP BY 1")
-def _(t):
-    out = tr.procrustes_error(matched(t), K)
+#: The distances of fitted points, and their figures.
+SHAPE = ", e AS (SELECT m.trial, sqrt(pow(scale * ((x - mx) * p / h + (y - my) * CASE WHEN reflected THEN q / h ELSE -q / h END) + mfx - fx, 2) + pow(scale * ((x - mx) * q / h + (y - my) * CASE WHEN reflected THEN -p / h ELSE p / h END) + mfy - fy, 2)) AS e FROM m JOIN g USING (trial)) SELECT trial, round(sum(e), 3) AS shape_error_total, round(avg(e), 4) AS shape_error_mean, round(stddev_samp(e), 4) AS shape_error_sd, round(sqrt(sum(e * e) / (count(*) - 1)), 4) AS shape_error_paired_sd FROM e GROUP BY 1"
+
+
+def shape_figures(out):
     return out.select("trial", F.round("shape_error_total", 3).alias("shape_error_total"), *[F.round(x, 4).alias(x) for x in ("shape_error_mean", "shape_error_sd", "shape_error_paired_sd")])
 
 
-@query("x9_dtw_align")
+@query("x8_procrustes_error", FIT + SHAPE)
 def _(t):
+    return shape_figures(tr.procrustes_error(matched(t), K))
+
+
+#: The warping by a recursion over rows of costs, and back from the last point by the cheapest step; pairs as ``m``.
+WARPED = f"""WITH RECURSIVE {SM}, f AS (
+  SELECT trial, list(x ORDER BY o) AS fx, list(y ORDER BY o) AS fy, len(fx) AS m FROM sm WHERE o % 2 = 0 GROUP BY trial
+), q AS (
+  SELECT trial, x, y, row_number() OVER (PARTITION BY trial ORDER BY o) AS i, count(*) OVER (PARTITION BY trial) AS n FROM sm WHERE o % 2 = 1
+), r AS (SELECT * FROM q JOIN f USING (trial) WHERE m < 2 * n), costs(trial, i, n, m, cost) AS (
+  SELECT trial, i, n, m, list_transform(range(1, m + 1), lambda j: CASE WHEN j = 1 THEN sqrt(pow(x - fx[1], 2) + pow(y - fy[1], 2)) ELSE 'infinity'::DOUBLE END) FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.trial, r.i, r.n, r.m, list_transform(range(1, r.m + 1), lambda j: least(cost[j], CASE WHEN j > 1 THEN cost[j - 1] END, CASE WHEN j > 2 THEN cost[j - 2] END) + sqrt(pow(x - fx[j], 2) + pow(y - fy[j], 2)))
+  FROM costs c JOIN r ON r.trial = c.trial AND r.i = c.i + 1
+), way(trial, i, j) AS (
+  SELECT trial, i, m FROM costs WHERE i = n
+  UNION ALL
+  SELECT w.trial, c.i, CASE WHEN cost[j] <= least(CASE WHEN j > 1 THEN cost[j - 1] END, CASE WHEN j > 2 THEN cost[j - 2] END, 'infinity'::DOUBLE) THEN j WHEN cost[j - 1] <= coalesce(CASE WHEN j > 2 THEN cost[j - 2] END, 'infinity'::DOUBLE) THEN j - 1 ELSE j - 2 END
+  FROM way w JOIN costs c ON c.trial = w.trial AND c.i = w.i - 1
+), m AS (SELECT trial, x, y, fx[j] AS fx, fy[j] AS fy FROM way JOIN r USING (trial, i))"""
+
+
+def warped(t):
     sm = t.sm()
-    return rounded(tr.point_error(tr.dtw_align(sm.filter("o % 2 = 0"), sm.filter("o % 2 = 1"), K, "o"), K), 5)
+    return tr.dtw_align(sm.filter("o % 2 = 0"), sm.filter("o % 2 = 1"), K, "o")
+
+
+@query("x9_dtw_align", WARPED + ", e AS (SELECT trial, sqrt((fx - x) * (fx - x) + (fy - y) * (fy - y)) AS e FROM m) SELECT trial, round(sum(e), 4) AS error_total, round(avg(e), 5) AS error_mean, round(stddev_samp(e), 5) AS error_sd, round(sqrt(sum(e * e) / (count(*) - 1)), 5) AS error_paired_sd FROM e GROUP BY 1")
+def _(t):
+    return rounded(tr.point_error(warped(t), K).withColumn("error_total", F.round("error_total", 4)), 5)
+
+
+@query("x9_dtw_shape", FIT.replace(MATCHED, WARPED) + SHAPE)
+def _(t):
+    return shape_figures(tr.procrustes_error(warped(t), K))
 
 
 @query("x9_dtw_status", f"WITH {SM}, f AS (SELECT trial, count(*) AS figure_points FROM sm WHERE o % 3 <> 0 GROUP BY 1), t AS (SELECT trial, count(*) AS trace_points FROM sm WHERE o % 3 = 0 GROUP BY 1) SELECT trial, figure_points, trace_points, CASE WHEN figure_points IS NULL THEN 'no figure' WHEN trace_points IS NULL THEN 'no trace' WHEN figure_points >= 2 * trace_points THEN 'figure too long' ELSE 'aligned' END AS status FROM f FULL JOIN t USING (trial)")

@@ -125,8 +125,79 @@ def test_entropy_and_interpolation(spark):
     assert a["sample_entropy"] < b["sample_entropy"] and a["approximate_entropy"] < b["approximate_entropy"]
     even = trace.reinterpolate(path(spark, [(0, 0), (1, 0), (10, 0)]), ["k"], "o", 11, equidistant=True).orderBy("point_index").collect()
     assert [r["x"] for r in even] == pytest.approx(range(11))
-    with pytest.raises(Exception, match="limit"):
-        trace.series_entropy(flat, ["k"], "o", "x", 2, 0.2, max_len=10).collect()
+
+
+def plain_matches(v, length, tol):
+    w = np.lib.stride_tricks.sliding_window_view(v, length)
+    return np.array([(np.abs(w - row).max(axis=1) <= tol).sum() for row in w])
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "constant", "walk"])
+def test_entropy_counts_equal_all_pairs(kind, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = {"normal": rng.normal(size=700), "ties": rng.integers(0, 6, 600) * 0.1, "constant": np.ones(300), "walk": np.cumsum(rng.normal(size=900))}[kind]
+    for plain in (0, 10**6):
+        monkeypatch.setattr(kernels, "PLAIN", plain)
+        for length in (1, 2, 3, 4):
+            for tol in (0.0, 0.1, 0.2 * v.std(ddof=1), 0.30000000000000004):
+                assert np.array_equal(kernels.template_matches(v, length, tol), plain_matches(v, length, tol))
+        m, n, tol = 2, len(v), 0.2 * v.std(ddof=1)
+        w = lambda q: np.lib.stride_tricks.sliding_window_view(v, q)[: n - m]
+        b, a = ((np.abs(w(q)[:, None] - w(q)[None]).max(axis=2) <= tol).sum() - (n - m) for q in (m, m + 1))
+        phi = [np.log(plain_matches(v, q, tol) / (n - q + 1)).mean() for q in (m, m + 1)]
+        assert kernels.entropies(v, m, 0.2) == pytest.approx((phi[0] - phi[1], -np.log(a / b)), abs=1e-12)
+
+
+def test_entropy_of_a_long_series():
+    """A hundred thousand values: all pairs would be 10^10 comparisons a template length."""
+    approximate, sample = kernels.entropies(np.random.default_rng(1).normal(size=100_000), 2, 0.2)
+    assert 2.1 < sample < 2.3 and 2.2 < approximate < 2.4
+
+
+def plain_warping(query, reference):
+    n, m = len(query), len(reference)
+    cost, came = np.full((n, m), np.inf), np.zeros((n, m), int)
+    cost[0, 0] = np.hypot(*(query[0] - reference[0]))
+    for i in range(1, n):
+        for j in range(m):
+            options = [cost[i - 1, j - s] if j >= s else np.inf for s in range(3)]
+            came[i, j] = int(np.argmin(options))
+            cost[i, j] = min(options) + np.hypot(*(query[i] - reference[j]))
+    at = [m - 1]
+    for i in range(n - 1, 0, -1):
+        at.append(at[-1] - came[i, at[-1]])
+    return at[::-1]
+
+
+@pytest.mark.parametrize(("n", "m"), [(1, 1), (2, 3), (30, 30), (30, 59), (41, 7), (64, 100)])
+def test_warping_equals_the_whole_table(n, m):
+    rng = np.random.default_rng(n * m)
+    for step in (1.0, 0.01):
+        q, r = (np.round(np.cumsum(rng.normal(size=(k, 2)), axis=0) / step) * step for k in (n, m))  # rounded, so that ties occur
+        for cells in (1, 50, 10**6):
+            assert kernels.dtw_asymmetric(q, r, cells).tolist() == plain_warping(q, r)
+
+
+def test_warping_of_long_curves():
+    """Twenty thousand points on both sides: a whole table would hold 4 * 10^8 steps."""
+    t = np.linspace(0, 40, 20_000)
+    q, r = np.stack([np.cos(t), np.sin(t)], axis=1), np.stack([np.cos(t**1.01), np.sin(t**1.01)], axis=1)
+    at = kernels.dtw_asymmetric(q, r, cells=1 << 20)
+    assert at[0] == 0 and at[-1] == len(r) - 1 and set(np.diff(at)) <= {0, 1, 2}
+    assert np.hypot(*(q - r[at]).T).mean() < np.hypot(*(q - r).T).mean() / 5
+
+
+def test_order_index_deals_ties(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 50).alias("v"), "id").repartition(4)
+    out = windows.order_index(df, ["v"]).withColumn("p", F.spark_partition_id())
+    rows = out.collect()
+    assert sorted(r["order_index"] for r in rows) == list(range(4000))
+    assert [r["v"] for r in sorted(rows, key=lambda r: r["order_index"])] == sorted(r["v"] for r in rows)
+    assert ranged_sizes(df, ["v"]).max() <= 2 * 4000 / 4
+
+
+def ranged_sizes(df, cols):
+    return np.array([r["count"] for r in windows.ranged(df, cols, 4).groupBy("__p").count().collect()])
 
 
 def test_glitch_and_false_start(spark):
