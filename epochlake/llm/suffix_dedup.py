@@ -266,7 +266,8 @@ class Repeats:
         texts.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(partitions_of(self.spark), "d").saveAsTable(name)
         self.texts = self.spark.table(name)
         anchors = self._written(self.texts.filter(F.octet_length("text") >= length).select("d", "text").mapInArrow(_anchors(length), "h bigint, d binary, pos bigint, l int, r int"), "suffix-anchors")
-        often = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+        # Written, so that Spark shuffles both sides for the join alone and can split a gram that stands very often.
+        often = cut(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
         places = anchors.join(often, "h").groupBy("d").agg(F.collect_list(F.struct("h", "pos", "l", "r")).alias("places"))
         schema = "h bigint, class binary, d binary, pos bigint, l int, r int"
         self.places = self._written(self._with_texts(places).mapInArrow(_classes, schema), "suffix-places")
