@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import continuity as ct
 from ..operators import events as v
-from ..operators.windows import ordered
+from ..operators import policies as pol
+from ..operators.windows import ordered, whole
 from .base import EV, query, rounded
 
 col = F.col
@@ -136,6 +138,67 @@ def _(t):
     return rounded(v.continuity_audit(t.ev(), P, O, "event_type", "error", "onset").withColumn("segment", col("segment").cast("bigint")))
 
 
+#: Trials in files: by time, or every other trial, or all in one; numbers that go on, begin anew in each file or inside one, or leave some out.
+FILES = "WITH " + AUD + """, tl AS (SELECT user_id, trial, min(onset) AS onset FROM tr WHERE trial > 0 GROUP BY 1, 2), fl AS (
+  SELECT *, (CASE WHEN user_id % 5 = 0 THEN trial % 2 WHEN user_id % 7 = 0 THEN 0 ELSE floor(onset / 700000) END)::BIGINT AS file FROM tl
+), nm AS (
+  SELECT *, CASE WHEN user_id % 14 = 0 THEN trial % 4 WHEN user_id % 3 = 0 THEN trial - min(trial) OVER (PARTITION BY user_id, file) + 1 WHEN user_id % 4 = 1 THEN trial + file ELSE trial END AS number FROM fl
+), st AS (
+  SELECT *, coalesce(number < lag(number) OVER (PARTITION BY user_id, file ORDER BY onset, trial), false) AS r FROM nm
+), sp AS (
+  SELECT user_id, file, count(*) AS n_trials, min(onset) AS a, max(onset) AS z, min(number) AS low_number, max(number) AS high_number, count(*) FILTER (r) AS n_restarts FROM st GROUP BY 1, 2
+), od AS (
+  SELECT *, row_number() OVER w AS part, max(z) OVER b AS ended, max(high_number) OVER b AS reached FROM sp
+  WINDOW w AS (PARTITION BY user_id ORDER BY a, file), b AS (PARTITION BY user_id ORDER BY a, file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), rl AS (
+  SELECT *, CASE WHEN part = 1 THEN 'first' WHEN a < ended THEN 'overlapping' WHEN low_number <= reached THEN 'restarted' WHEN low_number > reached + 1 THEN 'gap' ELSE 'continues' END AS relation,
+    CASE WHEN low_number > reached + 1 THEN low_number - reached - 1 ELSE 0 END AS n_missing, CASE WHEN low_number <= reached THEN least(high_number, reached) - low_number + 1 ELSE 0 END AS n_repeated FROM od
+), ch AS (
+  SELECT *, sum((relation IN ('first', 'overlapping', 'restarted'))::INTEGER) OVER (PARTITION BY user_id ORDER BY a, file) AS chain FROM rl
+), un AS (
+  SELECT user_id, count(*) AS n_files, max(chain) AS n_chains, sum(n_trials) AS n_trials, min(low_number) AS low_number, max(high_number) AS high_number, sum(n_restarts) AS n_restarts, sum(n_missing) AS n_missing, sum(n_repeated) AS n_repeated,
+    CASE WHEN count(*) FILTER (relation = 'overlapping') > 0 THEN 'overlapping' WHEN count(*) FILTER (relation = 'restarted') > 0 THEN 'restarted' WHEN sum(n_restarts) > 0 THEN 'concatenated' WHEN count(*) FILTER (relation = 'gap') > 0 THEN 'split_with_gap' WHEN count(*) > 1 THEN 'split' ELSE 'single' END AS continuity FROM ch GROUP BY 1
+)"""
+FACTS = "count(*) AS join_rows, count(*) FILTER (join_status = 'both') AS matched_rows, count(*) FILTER (join_status = 'left_only') AS raw_only_rows, count(*) FILTER (join_status = 'right_only') AS offset_only_rows, count(*) FILTER (issues LIKE '%duplicate%') AS duplicate_rows, count(*) FILTER (issues <> '') AS issue_rows, count(*) FILTER (join_status = 'both' AND issues = '') AS strict_clean_rows"
+FACT_NAMES = ("join_rows", "matched_rows", "raw_only_rows", "offset_only_rows", "duplicate_rows", "issue_rows", "strict_clean_rows")
+CONTINUITY = FILES + f""", af AS (SELECT aud.*, file FROM aud LEFT JOIN fl ON fl.user_id = aud.user_id AND fl.trial = aud.trial), al AS (
+  SELECT user_id, 'split_part' AS row_kind, file, {FACTS} FROM af WHERE file IS NOT NULL GROUP BY user_id, file UNION ALL SELECT user_id, 'unit_total', NULL, {FACTS} FROM af GROUP BY user_id
+), ro AS (
+  SELECT user_id, 'split_part' AS row_kind, file, part, relation, chain, n_trials, low_number, high_number, n_restarts, n_missing, n_repeated FROM ch
+  UNION ALL SELECT user_id, 'unit_total', NULL, NULL, NULL, NULL, n_trials, low_number, high_number, n_restarts, n_missing, n_repeated FROM un
+) SELECT ro.*, continuity, {", ".join(f"coalesce({x}, 0) AS {x}" for x in FACT_NAMES)},
+  CASE WHEN coalesce(relation IN ('restarted', 'overlapping'), false) OR ro.n_restarts > 0 THEN 'numbers_begin_anew' WHEN duplicate_rows > 0 OR offset_only_rows > 0 OR raw_only_rows > 0 THEN 'not_resolved_on_join' WHEN ro.n_missing > 0 THEN 'numbers_missing_between_files' ELSE 'no_problem_visible' END AS observation
+FROM ro JOIN un USING (user_id) LEFT JOIN al ON al.user_id = ro.user_id AND al.row_kind = ro.row_kind AND al.file IS NOT DISTINCT FROM ro.file"""
+WHOLE = ("part", "chain", "low_number", "high_number", "n_trials", "n_restarts", "n_missing", "n_repeated")
+
+
+def whole_numbers(df, names):
+    return df.withColumns({x: col(x).cast("bigint") for x in names})
+
+
+def in_files(t):
+    """The observed trials with their file and number."""
+    u, n = col("user_id"), col("trial")
+    rows = trials(t).filter("trial > 0").groupBy("user_id", "trial").agg(F.min("onset").alias("onset"))
+    file = F.when(u % 5 == 0, n % 2).when(u % 7 == 0, 0).otherwise(F.floor(col("onset") / 700000)).cast("bigint")
+    first = F.min("trial").over(whole(["user_id", "file"]))
+    number = F.when(u % 14 == 0, n % 4).when(u % 3 == 0, n - first + 1).when(u % 4 == 1, n + col("file")).otherwise(n)
+    return rows.withColumn("file", file).withColumn("number", number)
+
+
+@query("v15_file_continuity", CONTINUITY)
+def _(t):
+    rows = in_files(t)
+    audited = audit(t).join(rows.select("user_id", "trial", "file"), ["user_id", "trial"], "left")
+    return whole_numbers(ct.continuity_audit(rows, audited, P, "file", "number", "onset", ["trial"]), WHOLE)
+
+
+@query("v15_unit_classes", FILES + " SELECT user_id, n_files, n_chains, n_trials, n_restarts, n_missing, n_repeated, continuity FROM un")
+def _(t):
+    out = ct.unit_classes(ct.file_chain(ct.file_spans(in_files(t), P, "file", "number", "onset", ["trial"]), P, "file"), P)
+    return whole_numbers(out.select("user_id", "n_files", "n_chains", "n_trials", "n_restarts", "n_missing", "n_repeated", "continuity"), ("n_chains",))
+
+
 @query("v16_classify_raw_only", f"WITH {CAND}, r AS (SELECT user_id, min(trial) AS lo, max(trial) AS hi FROM ex GROUP BY 1) SELECT aud.user_id, aud.trial, CASE WHEN lo IS NULL THEN 'no_expected_unit' WHEN EXISTS (SELECT 1 FROM rk WHERE rk.user_id = aud.user_id AND rk.trial = aud.trial AND better_than_nominal) THEN 'near_candidate' WHEN aud.trial < lo THEN 'before_range' WHEN aud.trial > hi THEN 'after_range' ELSE 'inside_range' END AS raw_only_class FROM aud LEFT JOIN r ON r.user_id = aud.user_id WHERE join_status = 'left_only'")
 def _(t):
     return v.classify_raw_only(audit(t), expected(t), P, "trial", "trial", candidates(t)).select("user_id", "trial", "raw_only_class")
@@ -166,6 +229,60 @@ def _(t):
     return ledger(t).select("user_id", "trial", "primary", "strict", "code", "decision", "trial_key")
 
 
+#: Two policies as data: (policy, step, decision, code, reason, terms).
+GATES = [
+    ("first_pass", 5, "tag", "fallback_anchor", "anchored by a second choice", [("anchor_fallback", "eq", "true")]),
+    ("first_pass", 6, "tag", "with_issues", "the audit names issues", [("issues", "ne", "")]),
+    ("first_pass", 10, "exclude", "split_recording", "split recordings wait for a decision", [("join_status", "eq", "both"), ("special", "eq", "split")]),
+    ("first_pass", 20, "exclude", "no_anchor", "no anchor event", [("join_status", "eq", "both"), ("anchor_onset", "null", None)]),
+    ("first_pass", 30, "exclude", "short", "under the least duration", [("join_status", "eq", "both"), ("duration", "lt", "100")]),
+    ("first_pass", 40, "exclude", "no_duration", "no duration", [("join_status", "eq", "both"), ("duration", "null", None)]),
+    ("first_pass", 50, "include", "candidate", "matched and anchored", [("join_status", "eq", "both")]),
+    ("first_pass", 60, "exclude", "special_raw_only", "split or repeated recording", [("join_status", "eq", "left_only"), ("special", "in", "split;repeated")]),
+    ("first_pass", 70, "exclude", "no_expected_match", "observed only", [("join_status", "eq", "left_only")]),
+    ("first_pass", 80, "exclude", "no_observed_trial", "expected only", [("join_status", "eq", "right_only")]),
+    ("strict", 10, "exclude", "not_matched", "no counterpart", [("join_status", "ne", "both")]),
+    ("strict", 20, "exclude", "mismatch", "durations differ", [("issues", "contains", "mismatch")]),
+    ("strict", 30, "exclude", "fallback_anchor", "anchored by a second choice", [("anchor_fallback", "eq", "true")]),
+    ("strict", 40, "exclude", "too_short", "under the strict duration", [("duration", "lt", "2000")]),
+    ("strict", 50, "include", "clean", "matched, anchored and long enough", [("anchor_onset", "not_null", None), ("duration", "ge", "2000")]),
+]
+POLICY_LEDGER = "WITH " + LED + """, cs AS (SELECT *, CASE WHEN user_id % 9 = 0 THEN 'split' WHEN user_id % 10 = 0 THEN 'repeated' ELSE 'regular' END AS special FROM lj), fp AS (
+  SELECT *, 'first_pass' AS policy, CASE WHEN join_status = 'both' AND special = 'split' THEN 'split_recording' WHEN join_status = 'both' AND ao IS NULL THEN 'no_anchor' WHEN join_status = 'both' AND duration < 100 THEN 'short' WHEN join_status = 'both' AND duration IS NULL THEN 'no_duration' WHEN join_status = 'both' THEN 'candidate' WHEN join_status = 'left_only' AND special <> 'regular' THEN 'special_raw_only' WHEN join_status = 'left_only' THEN 'no_expected_match' ELSE 'no_observed_trial' END AS reason_code,
+    concat_ws(';', CASE WHEN af THEN 'fallback_anchor' END, CASE WHEN issues <> '' THEN 'with_issues' END) AS tags FROM cs
+  UNION ALL
+  SELECT *, 'strict', CASE WHEN join_status <> 'both' THEN 'not_matched' WHEN issues LIKE '%mismatch%' THEN 'mismatch' WHEN af THEN 'fallback_anchor' WHEN duration < 2000 THEN 'too_short' WHEN ao IS NOT NULL AND duration >= 2000 THEN 'clean' ELSE 'no_gate' END, '' FROM cs
+), dv AS (
+  SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 0 WHEN c_custkey % 11 = 0 THEN 2 ELSE 1 END AS post, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 1 END AS pre FROM customer
+), pl AS (
+  SELECT fp.*, reason_code IN ('candidate', 'clean') AS eligible, coalesce(post, 0) = 1 AS post_available, CASE coalesce(post, 0) WHEN 0 THEN 'post_missing' WHEN 1 THEN 'post_available' ELSE 'post_ambiguous' END AS post_reason_code, coalesce(pre, 0) = 1 AS pre_available,
+    (CASE WHEN join_status <> 'right_only' THEN 'observed' ELSE 'expected_only' END) || '|user_id=' || fp.user_id || '|trial=' || trial AS key_basis FROM fp LEFT JOIN dv ON dv.user_id = fp.user_id
+), pr AS (
+  SELECT *, eligible AND post_available AS ready, CASE WHEN NOT eligible THEN 'policy_' || reason_code WHEN NOT post_available THEN post_reason_code ELSE 'ready' END AS readiness_code, 'v1:' || substr(sha256(key_basis), 1, 20) AS trial_key FROM pl
+)"""
+
+
+def policy_ledger(t):
+    rows = [(p, s, d, code, reason, *term) for p, s, d, code, reason, terms in GATES for term in terms]
+    special = F.when(col("user_id") % 9 == 0, "split").when(col("user_id") % 10 == 0, "repeated").otherwise("regular")
+    anchors = v.trial_anchors(trials(t), ["user_id", "trial"], "event_type", "onset", ["purchase", "click"])
+    held = audit(t).join(anchors.select("user_id", "trial", "anchor_onset", "anchor_fallback"), ["user_id", "trial"], "left").withColumn("special", special)
+    c = col("c_custkey")
+    kinds = F.array(F.when(c % 3 != 0, "post"), F.when((c % 3 != 0) & (c % 11 == 0), "post"), F.when(c % 5 != 0, "pre"))
+    derivatives = t.customer.select(c.alias("user_id"), F.explode(F.array_compact(kinds)).alias("kind"))
+    return pol.policy_ledger(held, t.spark.createDataFrame(rows, pol.POLICY), derivatives, P, ["post", "pre"], "post", col("join_status") != "right_only", ["user_id", "trial"], ["user_id", "trial"])
+
+
+@query("v19_policy_ledger", POLICY_LEDGER + " SELECT user_id, trial, policy, eligible, reason_code, tags, post_available, post_reason_code, pre_available, ready, readiness_code, key_basis, trial_key FROM pr")
+def _(t):
+    return policy_ledger(t).select("user_id", "trial", "policy", "eligible", "reason_code", "tags", "post_available", "post_reason_code", "pre_available", "ready", "readiness_code", "key_basis", "trial_key")
+
+
+@query("v20_policy_reasons", POLICY_LEDGER + " SELECT policy, CASE WHEN eligible THEN 'eligible' ELSE 'ineligible' END AS status, reason_code, count(*) AS n, count(DISTINCT user_id) AS n_units, count(*) FILTER (ready) AS n_ready, round(count(*) / sum(count(*)) OVER (PARTITION BY policy), 6) AS share FROM pr GROUP BY policy, eligible, reason_code")
+def _(t):
+    return rounded(pol.reason_counts(policy_ledger(t), P))
+
+
 @query("v20_ledger_summaries", f"WITH {LED} SELECT code, count(*) AS n, count(*) FILTER (primary_) AS n_primary, count(*) FILTER (primary_ AND issues = '' AND NOT af) AS n_strict, count(*) FILTER (issues <> '') AS n_issues FROM led GROUP BY 1")
 def _(t):
     return v.ledger_summaries(ledger(t), ["code"])
