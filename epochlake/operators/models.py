@@ -154,6 +154,99 @@ def null_draws(spark, covariance: np.ndarray, n: int, df: float | None, seed: in
     return spark.range(n).mapInPandas(run, "draw bigint, test bigint, t double")
 
 
+#: Rows of factors, and draws, that are multiplied at once.
+FACTOR_ROWS, DRAW_BLOCK = 4096, 256
+
+
+def contrast_factors(weights: DataFrame, terms: Sequence[str], covariance: np.ndarray) -> DataFrame:
+    """Rows (test, factor) from contrasts (test, term, weight) of model terms with the given covariance (terms x terms).
+
+    A test's row is its weights times the covariance's lower root, so that rows times independent normals are draws of all tests with their
+    covariances; the covariance of the tests among themselves is never formed. Terms of the model are few; tests may be many.
+    """
+    root = np.linalg.cholesky(np.asarray(covariance, float))
+    place = {t: i for i, t in enumerate(terms)}
+    unknown = weights.filter(~F.col("term").isin(list(terms))).limit(1).count()
+    if unknown or len(root) != len(place):
+        raise checks.ContractError("contrasts must use the terms of the covariance")
+
+    def run(batches):
+        for part in batches:
+            rows = []
+            for ws in part["ws"]:
+                w = np.zeros(len(root))
+                for x in ws:
+                    w[place[x["term"]]] += x["weight"]
+                rows.append(w @ root)
+            yield pd.DataFrame({"test": part["test"], "factor": rows})
+
+    kind = weights.schema["test"].dataType.simpleString()
+    return weights.groupBy("test").agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("ws")).mapInPandas(run, f"test {kind}, factor array<double>")
+
+
+def _normals(seed: int, first: int, upto: int, size: int, df: float | None) -> np.ndarray:
+    """Independent normals (size x draws) of the draws from ``first`` on, each seeded by its own number; Student's t with ``df``."""
+    z = np.empty((size, upto - first))
+    for k, d in enumerate(range(first, upto)):
+        rng = np.random.default_rng([seed, d])
+        z[:, k] = rng.standard_normal(size)
+        if df:
+            z[:, k] /= np.sqrt(rng.chisquare(df) / df)
+    return z
+
+
+def null_maxima(factors: DataFrame, n: int, df: float | None, seed: int) -> DataFrame:
+    """Rows (draw, t): the largest |t| over all tests of each of n null draws, for ``max_t``; tests are rows (test, factor).
+
+    Draws are made again in each task from their numbers, in blocks, and multiplied with the task's blocks of tests; only maxima leave it, so
+    a table of draws x tests is never formed. A test is scaled by its standard error, one without variance counts as 0.
+    """
+
+    def run(batches):
+        best = np.zeros(n)
+
+        def taken(rows):
+            nonlocal best
+            f = np.stack(rows)
+            se = np.sqrt((f * f).sum(axis=1, keepdims=True))
+            f = np.divide(f, se, out=np.zeros_like(f), where=se > 0)
+            for first in range(0, n, DRAW_BLOCK):
+                upto = min(first + DRAW_BLOCK, n)
+                best[first:upto] = np.maximum(best[first:upto], np.abs(f @ _normals(seed, first, upto, f.shape[1], df)).max(axis=0))
+
+        rows = []
+        for part in batches:
+            for f in part["factor"]:
+                rows.append(np.asarray(f, float))
+                if len(rows) == FACTOR_ROWS:
+                    taken(rows)
+                    rows = []
+        if rows:
+            taken(rows)
+        if n:
+            yield pd.DataFrame({"draw": np.arange(n), "t": best})
+
+    return factors.select("factor").mapInPandas(run, "draw bigint, t double").groupBy("draw").agg(F.max("t").alias("t"))
+
+
+def draw_moments(factors: DataFrame, n: int, df: float | None, seed: int) -> DataFrame:
+    """Per test the mean, variance and largest |t| of its n scaled draws, as a check of the null."""
+
+    def run(batches):
+        for part in batches:
+            f = np.stack([np.asarray(x, float) for x in part["factor"]]) if len(part) else np.zeros((0, 1))
+            se = np.sqrt((f * f).sum(axis=1, keepdims=True))
+            f = np.divide(f, se, out=np.zeros_like(f), where=se > 0)
+            total, square, best = np.zeros(len(f)), np.zeros(len(f)), np.zeros(len(f))
+            for first in range(0, n if len(f) else 0, DRAW_BLOCK):
+                t = f @ _normals(seed, first, min(first + DRAW_BLOCK, n), f.shape[1], df)
+                total, square, best = total + t.sum(axis=1), square + (t * t).sum(axis=1), np.maximum(best, np.abs(t).max(axis=1))
+            yield pd.DataFrame({"test": part["test"], "n": n, "se": se[:, 0], "mean": total / n, "variance": square / n - (total / n) ** 2, "largest": best})
+
+    kind = factors.schema["test"].dataType.simpleString()
+    return factors.select("test", "factor").mapInPandas(run, f"test {kind}, n bigint, se double, mean double, variance double, largest double")
+
+
 def results_table(effects: DataFrame, k: Keys, channel: str, t: str, significant: str) -> DataFrame:
     """Per effect the tests, significant ones and their share, the peak channel and the three strongest."""
     counts = effects.groupBy(*k).agg(F.count(F.lit(1)).alias("n_tests"), F.count_if(significant).alias("n_significant"))

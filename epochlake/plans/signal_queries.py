@@ -139,10 +139,10 @@ def _(t):
     return rounded(tfr(t).select("vec_id", "frequency", F.posexplode("power").alias("pos", "p")).filter("p is not null and not isnan(p)"))
 
 
-@query("g11_wavelet_power")
+@query("g11_wavelet_power", f"WITH {SG}, {WAVELETS}, p AS (SELECT o.vec_id, f AS frequency, o.pos - 20 AS pos, pow(sum(i.v * re), 2) + pow(sum(i.v * im), 2) AS p FROM sg o JOIN wv ON f > 8 AND o.pos - half >= 0 AND o.pos + half <= 63 JOIN sg i ON i.vec_id = o.vec_id AND i.pos = o.pos - j WHERE o.pos BETWEEN 20 AND 43 GROUP BY 1, 2, 3), b AS (SELECT vec_id, frequency, avg(p) AS b FROM p WHERE pos BETWEEN 0 AND 4 GROUP BY 1, 2) SELECT vec_id, frequency, pos::INTEGER AS pos, round(10 * log10(p / b), 5) + 0.0 AS db FROM p JOIN b USING (vec_id, frequency)")
 def _(t):
     out = g.wavelet_power(signals(t), ["vec_id"], [16.0, 24.0], FS, trim=20, baseline=(0, 4), cycles=2.0)
-    return rounded(out.select("vec_id", "frequency", F.posexplode("power").alias("pos", "db")).filter("db is not null and not isnan(db)"))
+    return rounded(out.select("vec_id", "frequency", F.posexplode("power").alias("pos", "db")).filter("db is not null and not isnan(db)"), 5).withColumn("db", col("db") + F.lit(0.0))
 
 
 @query("g12_baseline_db", f"WITH {SG}, p AS (SELECT vec_id, pos, v * v + 0.01 AS p FROM sg), b AS (SELECT vec_id, avg(p) AS b FROM p WHERE pos BETWEEN 0 AND 9 GROUP BY 1) SELECT vec_id, (pos - 20)::INTEGER AS at, round(10 * log10(p / b), 5) AS db, round(log10(p), 5) AS lp FROM p JOIN b USING (vec_id) WHERE pos BETWEEN 20 AND 29")
@@ -398,6 +398,38 @@ def _(t):
     return rounded(m.null_draws(t.spark, np.array([[r[f"c{i}{j}"] for j in range(3)] for i in range(3)]) + 1e-9 * np.eye(3), r["n"], 20.0, 5))
 
 
+PLACES = 6
+
+
+def contrast_tests(t):
+    """All differences of the first places of the vectors as tests, with the vectors' covariance as that of the terms."""
+    pairs = [(i, j) for i in range(PLACES) for j in range(i + 1)]
+    x = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    found = t.embeddings.agg(*[F.covar_pop(x(i), x(j)).alias(f"c{i}_{j}") for i, j in pairs], F.count(F.lit(1)).alias("n")).first()
+    v = np.array([[found[f"c{max(i, j)}_{min(i, j)}"] for j in range(PLACES)] for i in range(PLACES)])
+    weights = [(f"{i}-{j}", f"v{k}", w) for i, j in pairs if i != j for k, w in ((i, 1.0), (j, -1.0))]
+    return m.contrast_factors(t.spark.createDataFrame(weights, "test string, term string, weight double"), [f"v{k}" for k in range(PLACES)], v), found["n"]
+
+
+DIFFERENCES = f"pl AS (SELECT a.vec_id, a.pos || '-' || b.pos AS test, a.v - b.v AS d FROM sg a JOIN sg b ON a.vec_id = b.vec_id AND b.pos < a.pos AND a.pos < {PLACES})"
+
+
+@query("m15_draw_moments", f"WITH {SG}, {DIFFERENCES} SELECT test, 4 * count(*) AS n, round(stddev_pop(d), 6) AS se, true AS mean_is_0, true AS variance_is_1 FROM pl GROUP BY 1")
+def _(t):
+    factors, n = contrast_tests(t)
+    out = m.draw_moments(factors, 4 * n, None, 5)
+    bound = 5 / F.sqrt(col("n"))
+    return rounded(out.select("test", "n", "se", (F.abs("mean") < bound).alias("mean_is_0"), (F.abs(col("variance") - 1) < bound * F.sqrt(F.lit(2.0))).alias("variance_is_1")))
+
+
+@query("m15_null_maxima")
+def _(t):
+    """Observed mean differences against the null of largest values."""
+    factors, n = contrast_tests(t)
+    observed = t.sg().filter(col("pos") < PLACES).groupBy(col("pos").alias("test")).agg((F.avg("v") / F.stddev_pop("v") * F.sqrt(F.count(F.lit(1)))).alias("t"))
+    return rounded(m.max_t(m.null_maxima(factors, n, 20.0, 5), observed))
+
+
 @query("m16_results_table", f"WITH {SG}, r AS (SELECT vec_id, pos, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, pos) AS n, abs(v) > 0.2 AS s FROM sg) SELECT vec_id, count(*) AS n_tests, count(*) FILTER (s) AS n_significant, round(count(*) FILTER (s) / count(*), 6) AS share_significant, max(pos) FILTER (n = 1) AS top1, max(pos) FILTER (n = 2) AS top2, max(pos) FILTER (n = 3) AS top3 FROM r GROUP BY 1")
 def _(t):
     return rounded(m.results_table(longest(t).withColumn("s", F.abs("v") > 0.2), ["vec_id"], "pos", "v", "s"))

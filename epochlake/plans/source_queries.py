@@ -25,7 +25,7 @@ def orders(t):
 def spread_files(df, key: str, name, folder: str):
     """One file per group, written by the tasks: ``name`` gives its name and bytes from the key and the rows."""
 
-    def run(k, part: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, part: pd.DataFrame) -> pd.DataFrame:
         file, content = name(k[0], part)
         io.put_bytes(f"{folder}/{file}", content)
         return pd.DataFrame({"file": [file]})
@@ -74,10 +74,10 @@ def _(t):
     return io.read_csv_checked(t.spark, folder, ["o_orderkey", "o_totalprice"], SCHEMA)
 
 
-@query("sc6_file_inventory", "SELECT item_id || '.txt' AS relative_path, octet_length(encode(text))::BIGINT AS length, sha256(text) AS sha256 FROM benchmark")
+@query("sc6_file_inventory", "SELECT item_id || '.txt' AS relative_path, octet_length(encode(text))::BIGINT AS length, sha256(text) AS sha256, true AS unchanged FROM benchmark")
 def _(t):
     folder = spread_files(t.benchmark.select("item_id", "text"), "item_id", lambda k, part: (f"{k}.txt", part["text"].iloc[0].encode()), io.scratch_path(t.spark, "files"))
-    return io.file_inventory(t.spark, folder, "/".join(folder.split("/")[-2:]) + "/").select("relative_path", "length", "sha256")
+    return io.file_inventory(t.spark, folder, "/".join(folder.split("/")[-2:]) + "/").select("relative_path", "length", "sha256", "unchanged")
 
 
 @query("sc7_write_table", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import itertools
 import re
@@ -177,10 +178,29 @@ def read_csv_checked(spark: SparkSession, path: str, required: Sequence[str], sc
 
 
 def file_inventory(spark: SparkSession, path: str, root: str = "") -> DataFrame:
-    """SC6: one row per file: relative path, size, modification time, SHA-256 of the content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """SC6: one row per file: relative path, size, modification time, SHA-256 of the content, and ``unchanged``.
+
+    Content is never a column: a task reads a file in ranges of a few MB into a running digest, so files of any size take the same memory.
+    A file whose read bytes differ from its listed size (it grew or shrank meanwhile) is marked as changed. Spark lists no empty files.
+    """
+
+    def digest(batches):
+        for part in batches:
+            found = []
+            for uri, length in zip(part["path"], part["length"], strict=True):
+                whole, n = hashlib.sha256(), 0
+                with open_file(uri) as stream:
+                    while piece := stream.read(PIECE):
+                        whole.update(piece)
+                        n += len(piece)
+                found.append((whole.hexdigest(), n == length))
+            yield part.assign(sha256=[f[0] for f in found], unchanged=[f[1] for f in found])
+
+    # Without the column of contents Spark lists the files only.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    hashed = files.mapInPandas(digest, "path string, length bigint, modificationTime timestamp, sha256 string, unchanged boolean")
     relative = F.regexp_replace("path", "^.*?" + root.replace("\\", "\\\\"), "") if root else F.col("path")
-    return files.select(relative.alias("relative_path"), "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
+    return hashed.select(relative.alias("relative_path"), "length", "modificationTime", "sha256", "unchanged")
 
 
 def write_table(df: DataFrame, path: str, columns: Sequence[str] | None = None, partition_by: Sequence[str] = ()) -> None:

@@ -324,3 +324,49 @@ def test_order_index_numbers_every_row_once(spark):
     got = windows.quantiles_by_rank(df, "v", {"a": 0.5, "b": 0.999}).first()
     want = np.quantile([r["v"] for r in df.select("v").collect()], [0.5, 0.999])
     assert (got["a"], got["b"]) == (pytest.approx(want[0]), pytest.approx(want[1])) and got["n"] == 40_000
+
+
+def test_inventory_of_a_large_file(spark, tmp_path):
+    """A sparse file of over 2 GB: its bytes fit no column."""
+    import hashlib
+
+    size, end = (1 << 31) + 12_345, b"the end"
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.seek(size - len(end))
+        f.write(end)
+    whole, zeros = hashlib.sha256(), bytes(1 << 22)
+    for at in range(0, size - len(end), len(zeros)):
+        whole.update(zeros[: min(len(zeros), size - len(end) - at)])
+    whole.update(end)
+    rows = {r["relative_path"]: r for r in io.file_inventory(spark, str(tmp_path), f"{tmp_path}/").collect()}
+    assert (rows["large.bin"]["length"], rows["large.bin"]["sha256"], rows["large.bin"]["unchanged"]) == (size, whole.hexdigest(), True)
+
+
+def test_maxima_equal_the_long_table(spark):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(4, 4))
+    v = a @ a.T
+    weights = [(f"t{i}", f"x{k}", float(w)) for i, row in enumerate(rng.integers(-1, 2, (9, 4))) for k, w in enumerate(row)]
+    factors = models.contrast_factors(spark.createDataFrame(weights, "test string, term string, weight double").repartition(3), [f"x{k}" for k in range(4)], v)
+    got = {r["draw"]: r["t"] for r in models.null_maxima(factors, 700, 12.0, 3).collect()}
+    root = np.linalg.cholesky(v)
+    w = np.zeros((9, 4))
+    for t, x, value in weights:
+        w[int(t[1:]), int(x[1:])] = value
+    f = w @ root
+    se = np.sqrt((f**2).sum(axis=1))
+    for d in range(700):
+        r = np.random.default_rng([3, d])
+        z = r.standard_normal(4) / np.sqrt(r.chisquare(12.0) / 12.0)
+        assert got[d] == pytest.approx(np.abs(np.divide(f @ z, se, out=np.zeros(9), where=se > 0)).max())
+    observed = spark.createDataFrame([(k, 0.5 * k) for k in range(8)], "test int, t double")
+    long = spark.createDataFrame([(d, t) for d, t in got.items()] + [(d, 0.0) for d in got], "draw bigint, t double")
+    short = spark.createDataFrame(list(got.items()), "draw bigint, t double")
+    assert sorted(map(tuple, models.max_t(short, observed).collect())) == sorted(map(tuple, models.max_t(long, observed).collect()))
+
+
+def test_maxima_of_many_tests(spark):
+    """20,000 draws of 10,000 tests in 40 terms: 2 * 10^8 values that are never a table."""
+    factors = spark.range(10_000).select(F.col("id").alias("test"), F.array(*[F.sin(F.col("id") * (k + 1) + k) for k in range(40)]).alias("factor"))
+    rows = models.null_maxima(factors.repartition(4), 20_000, None, 1).agg(F.count(F.lit(1)), F.min("t"), F.percentile("t", F.lit(0.95))).first()
+    assert rows[0] == 20_000 and rows[1] > 1 and 3.5 < rows[2] < 5
