@@ -3,8 +3,10 @@
 ``BpeCodec`` reads the vocabulary and the merges of a tokenizer file whose words end in ``</w>``. The distinct
 words of a batch become one flat array of symbol ids with a word number each. A round looks up every neighbouring
 pair in the sorted array of pair keys (binary search), finds the lowest rank in each word, merges all its
-occurrences from left to right, and compacts the array; words without a known pair leave. Spark deals out the
-documents; a task holds one Arrow batch and a bounded cache of encoded words.
+occurrences from left to right, and compacts the array; words without a known pair leave. A word of more than ``LONG``
+bytes goes through the same rounds alone, by lists of places per rank, so its time is n log n. Spark deals out the
+documents; a task holds one Arrow batch and a bounded cache of encoded words. Letters, digits and lower case are those of the
+Unicode version that the library knows.
 
 Defined results: a null or empty text, or one of white space alone, has no ids, and decodes to the empty text.
 The strings of special tokens in a text become their ids, as in the library. Rows are kept one for one,
@@ -15,6 +17,7 @@ text is taken whole: n bytes take some 40 n in its task.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -29,10 +32,31 @@ from .common import refuse_columns, small_batches
 
 #: Fixed value: how the tokenizer file splits normalised text into words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Ranges of characters that Unicode has gained as letters or digits since the version of the library's splitter; there they are neither.
+NEWER = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x1C89, 0x1C89), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CB, 0xA7CC), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DA, 0xA7DA), (0xA7DC, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10D50, 0x10D65), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
+    (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x16FF4, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
+    (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+#: Lower case of characters that Python's tables don't know yet: (first, last, step to the lower form).
+NEWER_LOWER = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+]
+LOWER = {c: chr(c + step) for a, b, step in NEWER_LOWER for c in range(a, b + 1)}
+_NEW = "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in NEWER) + "]"
+IS_NEWER = regex.compile(_NEW)
+WORD_OLDER = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--{_NEW}]+|[\p{{N}}--{_NEW}]|[[^\s\p{{L}}\p{{N}}]||{_NEW}]+")
 #: Fixed value: white space as the file's normaliser means it.
 SPACES = regex.compile(r"\s+")
 END = "</w>"
 SIGMA = "\u03a3"
+#: Bytes of a word from which it is merged on its own.
+LONG = 512
 #: Words kept per Python worker; beyond it the cache starts anew.
 CACHE_WORDS = 120_000
 
@@ -66,11 +90,81 @@ class BpeCodec:
         self.keys = np.array(sorted(first), np.int64)
         self.ranks = np.array([first[k][0] for k in self.keys.tolist()], np.int64)
         self.merged = np.array([first[k][1] for k in self.keys.tolist()], np.int64)
+        # With each merge's products in later ranks alone, all pairs of the lowest rank may be merged at once.
+        least: dict[int, int] = {}
+        for key, (rank, _) in first.items():
+            for symbol in divmod(key, int(self.width)):
+                least[symbol] = min(rank, least.get(symbol, rank))
+        self.later = all(least.get(made, rank + 1) > rank for rank, made in first.values())
         self.cache: dict[str, tuple[int, str, str]] = {}
 
+    def rank_of(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged symbol) of pair keys; the rank is the number of keys where there is none."""
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        known = self.keys[at] == pair
+        return np.where(known, self.ranks[at], len(self.keys)), self.merged[at]
+
+    def encode_long(self, raw: bytes) -> list[int]:
+        """Token ids of one long word: a round merges all pairs of the lowest rank, found by rank in lists of places.
+
+        Symbols are linked, so a round touches only its pairs and their neighbours: n log n steps in all, where rounds over the whole
+        word would take as many passes as it has ranks.
+        """
+        n, none = len(raw), len(self.keys)
+        ids = self.byte_ids[0, np.frombuffer(raw, np.uint8)]
+        ids[-1] = self.byte_ids[1, raw[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, none)  # of the pair that begins at each place
+        rank[:-1], _ = self.rank_of(ids[:-1] * self.width + ids[1:])
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def add(at: np.ndarray) -> None:
+            at = at[rank[at] < none]
+            at = at[np.argsort(rank[at], kind="stable")]
+            edges = np.flatnonzero(np.diff(rank[at], prepend=-1))
+            for part, r in zip(np.split(at, edges[1:]), rank[at[edges]].tolist(), strict=True) if len(at) else ():
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(heap, r)
+                places[r].append(part)
+
+        add(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]  # what has been merged since is gone
+            touching = np.append(False, after[at[:-1]] == at[1:])
+            if touching.any():  # of a a a every other pair from the left
+                first = np.flatnonzero(~touching)
+                nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+                at = at[nth % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            ids[at] = self.rank_of(ids[at] * self.width + ids[gone])[1]
+            rank[gone] = none
+            ids[gone] = -1
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            changed = np.unique(np.concatenate([at, before[at]]))
+            changed = changed[changed >= 0]
+            ends = after[changed] >= n
+            rank[changed[ends]] = none
+            changed = changed[~ends]
+            rank[changed], _ = self.rank_of(ids[changed] * self.width + ids[after[changed]])
+            add(changed)
+        return ids[ids >= 0].tolist()
+
     def encode_words(self, batch: list[str]) -> list[list[int]]:
-        """Token ids of each word, by merge rounds over all words at once."""
+        """Token ids of each word, by merge rounds over all words at once; long words go alone."""
         raw = [w.encode() for w in batch]
+        if self.later and any(len(r) > LONG for r in raw):
+            short = iter(self.encode_words([w for w, r in zip(batch, raw, strict=True) if len(r) <= LONG]))
+            return [self.encode_long(r) if len(r) > LONG else next(short) for r in raw]
+        if not raw:
+            return []
         sizes = np.array([len(r) for r in raw], np.int64)
         flat = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum(sizes)
@@ -131,6 +225,8 @@ class BpeCodec:
         if text.isascii():
             return WORD.findall(text.lower())
         text = SPACES.sub(" ", unicodedata.normalize("NFC", text))
+        if IS_NEWER.search(text):
+            return WORD_OLDER.findall("".join(LOWER.get(ord(c)) or c.lower() for c in text))
         # Python lowers a text as it does its characters, but for the capital sigma, whose form depends on its neighbours.
         return WORD.findall("".join(c.lower() for c in text) if SIGMA in text else text.lower())
 

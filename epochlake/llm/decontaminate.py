@@ -9,7 +9,7 @@ confined to the band (widened by k on both sides) and to the text. An item's q i
 
 Tasks index the items in blocks of ``BLOCK_CHARS`` and write sorted arrays to the shared folder; workers map them. Documents
 are scanned once, whole, by arrays over ``CHUNK`` characters of text at a time, without a shuffle; hits are expanded in
-slices of ``HITS``, so an item's or a q-gram's frequency doesn't bound memory. A text of n characters takes some 60 n bytes.
+slices of ``HITS``, so an item's or a q-gram's frequency doesn't bound memory. A text of n characters takes some 70 n bytes.
 
 Defined results: an item of fewer than q normalised characters would stand in most texts; it matches a document whose
 whole normalised text equals it, and nothing else. Items without letters and digits, null and empty texts match nothing.
@@ -42,21 +42,20 @@ FILTER_BITS = 22
 SPACE, GAP = 32, 0
 ROWS = "id bigint, item_id bigint, edits bigint, start bigint, end bigint"
 #: The arrays of an index and their types.
-ARRAYS = {"keys": "<u8", "first": "<i8", "item": "<i4", "place": "<i4", "filter": "?", "code": "<u2", "bounds": "<i8", "edits": "<i8", "ids": "<i8", "named": "?"}
+ARRAYS = {"keys": "<u8", "first": "<i8", "item": "<i4", "place": "<i4", "filter": "?", "code": "<u4", "bounds": "<i8", "edits": "<i8", "ids": "<i8", "named": "?"}
 _CODES: list[np.ndarray] = []
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def codes() -> np.ndarray:
-    """Code of each code point: letters and digits in lower case (16 bits), a space for all else."""
+    """Code of each code point: letters and digits in lower case, a space for all else."""
     if not _CODES:
-        out = np.full(0x110000, SPACE, np.uint16)
+        out = np.full(0x110000, SPACE, np.uint32)
         for c in range(0x110000):
             s = chr(c)
             if s.isalnum():
                 low = s.lower()
-                cp = ord(low) if len(low) == 1 else c
-                out[c] = cp if cp < 1 << 16 else 0xE000 + cp % 0x1800
+                out[c] = ord(low) if len(low) == 1 else c
         _CODES.append(out)
     return _CODES[0]
 
@@ -113,7 +112,7 @@ def make_index(items: list[tuple[int | None, np.ndarray]], q: int, edit_rate: fl
     some = np.zeros(1 << FILTER_BITS, bool)
     some[keys >> np.uint64(64 - FILTER_BITS)] = True
     return {
-        "keys": keys, "first": np.append(first, len(key)), "item": item[order], "place": place[order], "filter": some, "code": np.concatenate([*texts, np.zeros(0, np.uint16)]), "bounds": np.concatenate([[0], np.cumsum(size)]),
+        "keys": keys, "first": np.append(first, len(key)), "item": item[order], "place": place[order], "filter": some, "code": np.concatenate([*texts, np.zeros(0, np.uint32)]), "bounds": np.concatenate([[0], np.cumsum(size)]),
         "edits": (size * edit_rate).astype(np.int64), "ids": np.array([-1 if i is None else i for i, _ in items], np.int64), "named": np.array([i is not None for i, _ in items], bool),
     }
 

@@ -256,19 +256,20 @@ def ancestors(path: Column) -> Column:
 
 
 def inherit(files: DataFrame, path: str = "path", is_license_file: str = "is_license_file") -> DataFrame:
-    """Adds ``license`` (own, else inherited), ``inherited_from`` (directory or null)."""
+    """Adds ``license`` (own, else inherited), ``inherited_from`` (directory or null). Columns of these names, or of names that start with ``__``, are refused."""
+    refuse_columns(files.columns, ["license", "inherited_from", *(c for c in files.columns if c.startswith("__"))])
     files = cut(files)
     directory = F.regexp_replace(path, "/?[^/]*$", "")
     holding = files.filter(F.col(is_license_file) & F.col("own_license").isNotNull() & F.col(path).isNotNull())
     rules = holding.groupBy(directory.alias("dir")).agg(F.min_by("own_license", F.struct(-F.col("cosine"), "own_license")).alias("given"))
-    homes = files.filter(F.col(path).isNotNull() & F.col("own_license").isNull()).select(directory.alias("home")).distinct()
-    above = homes.select("home", F.posexplode(ancestors(F.concat("home", F.lit("/x")))).alias("up", "dir"))
+    homes = files.filter(F.col(path).isNotNull() & F.col("own_license").isNull()).select(directory.alias("__home")).distinct()
+    above = homes.select("__home", F.posexplode(ancestors(F.concat("__home", F.lit("/x")))).alias("up", "dir"))
     small = rules.limit(BROADCAST_DIRECTORIES + 1).count() <= BROADCAST_DIRECTORIES
-    nearest = above.join(F.broadcast(rules) if small else rules, "dir").groupBy("home").agg(F.min_by(F.struct("dir", "given"), "up").alias("near"))
+    nearest = above.join(F.broadcast(rules) if small else rules, "dir").groupBy("__home").agg(F.min_by(F.struct("dir", "given"), "up").alias("__near"))
     if nearest.limit(BROADCAST_DIRECTORIES + 1).count() <= BROADCAST_DIRECTORIES:
-        joined = files.withColumn("home", directory).join(F.broadcast(nearest), "home", "left")
+        joined = files.withColumn("__home", directory).join(F.broadcast(nearest), "__home", "left")
     else:
-        salted = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = files.withColumn("home", directory).withColumn("salt", F.pmod(F.xxhash64(path), F.lit(SALTS)).cast("int")).join(salted, ["home", "salt"], "left").drop("salt")
-    near = F.when(F.col("own_license").isNull(), F.col("near"))
+        salted = nearest.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = files.withColumn("__home", directory).withColumn("__salt", F.pmod(F.xxhash64(path), F.lit(SALTS)).cast("int")).join(salted, ["__home", "__salt"], "left").drop("__salt")
+    near = F.when(F.col("own_license").isNull(), F.col("__near"))
     return joined.select(*[F.col(f"`{c}`") for c in files.columns], F.coalesce("own_license", near["given"]).alias("license"), near["dir"].alias("inherited_from"))
