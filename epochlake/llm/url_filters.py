@@ -35,7 +35,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def url_tokens(url: Column) -> Column:
-    """Distinct tokens: host labels ``h:``, path words ``p:`` (digits become 0), query keys ``q:``, file ending ``e:``."""
+    """Distinct tokens: host labels ``h:``, path words ``p:`` (digits become 0), query keys ``q:``, the fragment ``f:``."""
     host, path = host_and_path(url)
     text = F.coalesce(url, F.lit(""))
     query = F.regexp_extract(text, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
@@ -55,16 +55,25 @@ def url_tokens(url: Column) -> Column:
     )
 
 
-def mine_rules(labelled: DataFrame, url: str, block: Column, min_support: float = 0.002, min_confidence: float = 0.5) -> DataFrame:
+def least_share(k: Column, n: Column, z: float) -> Column:
+    """Lower end of Wilson's interval for a share of k in n, ``z`` standard errors wide to each side."""
+    p = k / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def mine_rules(labelled: DataFrame, url: str, block: Column, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 5, z: float = 4.0) -> DataFrame:
     """Rules (items, tokens, key, confidence, lift, support) whose consequent is "block".
 
     ``items`` is an array of items, each an array of equivalent tokens; ``tokens`` names each item by its first token. A
-    combination must occur in ``min_support`` of the labelled URLs, so the frequent tokens that FP-growth keeps on the driver number
-    at most tokens-per-URL / ``min_support``, whatever the input's size. Rules that a rule of one item less implies with at
-    least the same confidence are dropped: they decide nothing.
+    combination must occur in ``min_support`` of the labelled URLs and in ``min_count`` blocked ones, and the lower end of its confidence's
+    interval (Wilson's, ``z`` standard errors) must exceed the share of blocked URLs. Of the many combinations that are
+    tried hardly one gets there by chance, so few or unrelated labels give no rules, whatever the table's size. The frequent
+    tokens that FP-growth keeps on the driver number at most tokens-per-URL / ``min_support``. Rules that a rule
+    of one item less implies with at least the same confidence are dropped: they decide nothing.
     """
     rows = cut(labelled.select(url_tokens(F.col(url)).alias("tokens"), block.alias("block")).filter("block is not null").withColumn("row", F.monotonically_increasing_id()))
-    least = rows.count() * min_support
+    total, blocked = rows.agg(F.count(F.lit(1)), F.count_if("block")).first()
+    least = max(total * min_support, min_count)
     places = rows.select("row", "block", F.explode("tokens").alias("token"))
     counts = places.groupBy("token").agg(F.count_if("block").alias("n_block"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"))
     common = counts.filter((F.col("n_block") >= least) & (F.col("n_block") > 0))
@@ -73,8 +82,10 @@ def mine_rules(labelled: DataFrame, url: str, block: Column, min_support: float
     found = places.join(single, "token").groupBy("row").agg(F.collect_list("token").alias("own"))
     kept = rows.select("row", "block").join(found, "row", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
     items = kept.select(F.when(F.col("block"), F.array_append("own", F.lit(BLOCK))).otherwise(F.col("own")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(total, 1)), minConfidence=min_confidence).fit(items)
     rules = cut(model.associationRules.filter(F.col("consequent")[0] == BLOCK).select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support"))
+    hits = F.round(F.col("support") * total)
+    rules = rules.filter((hits >= min_count) & (least_share(hits, hits / F.col("confidence"), z) > blocked / max(total, 1)))
     less = rules.filter(F.size("tokens") > 1).select("tokens", "confidence", F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))).alias("part"))
     implied = less.join(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("before")), "part").filter(F.col("before") >= F.col("confidence")).select("tokens").distinct()
     rules = rules.join(implied, "tokens", "left_anti")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from epochlake.llm import bpe, decontaminate, license_scan
+from epochlake.llm import bpe, decontaminate, license_scan, url_filters
 from epochlake.llm.queries import tokenizer_path
 
 
@@ -59,3 +59,16 @@ def test_words_merged_alone_equal_words_merged_together(library, monkeypatch):
     together = codec.encode_words(words)
     monkeypatch.setattr(bpe, "LONG", 1)
     assert codec.later and codec.encode_words(words) == together == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("n", [1_000, 6_000])
+def test_chance_gives_no_url_rules_and_planted_ones_stay(spark, n):
+    """Labels drawn by lot over a site's many words; then the same with one word that means block in nine of ten."""
+    rng = random.Random(n)
+    rows = [(i, f"http://h{rng.randrange(20)}.org/{rng.choice(['en', 'de', 'fr'])}/w{rng.randrange(n // 8)}/p{rng.randrange(40)}", rng.random() < 0.15) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, bad boolean")
+    assert url_filters.mine_rules(df, "url", df.bad).count() == 0
+    bad = [(i, u.replace("/en/", "/casino/"), rng.random() < 0.9 if "/en/" in u and i % 4 == 0 else b) if "/en/" in u and i % 4 == 0 else (i, u, b) for i, u, b in rows]
+    df = spark.createDataFrame(bad, "page_id bigint, url string, bad boolean")
+    rules = [(r["tokens"], r["confidence"]) for r in url_filters.mine_rules(df, "url", df.bad).collect()]
+    assert (["p:casino"] in [t for t, _ in rules]) and all("p:casino" in t for t, _ in rules)
