@@ -213,13 +213,29 @@ def cut_at_marker(df: DataFrame, part: Keys, label: str, onset: str, marker: str
 
 
 def recording_summary(events: DataFrame, part: Keys, label: str, low: int) -> DataFrame:
-    """Per recording the events, counts by name as text, flags for none and few."""
+    """Per recording that has events their number, counts by name as text, and a flag for few (``file_facts`` knows the others)."""
     counts = events.groupBy(*part, label).agg(F.count(F.lit(1)).alias("__n"))
     text = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", label, F.col("__n").cast("string")))), ";")
     out = counts.groupBy(*part).agg(F.sum("__n").alias("n_events"), text.alias("counts"))
     return out.withColumns({"few_events": F.col("n_events") < low})
 
 
+def file_facts(inventory: DataFrame, events: DataFrame, part: Keys, label: str, order: Sequence[str], low: int, rules: Sequence[tuple[Column, str]] = (), provenance: Keys = ()) -> DataFrame:
+    """V24 per recording of the inventory, with or without events: counts, a pattern of named events in a given order, flags, issue codes and provenance.
+
+    ``no_events`` and ``few_events`` (some, but under ``low``) are flags and codes; ``rules`` (condition on the inventory and the counts, code) add to them.
+    Events of recordings that the inventory lacks are counted as ``not_in_inventory`` rows of their own.
+    """
+    counts = events.groupBy(*part).agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct(label).alias("n_names"), *[F.count_if(F.col(label) == x).alias(f"__{i}") for i, x in enumerate(order)])
+    known = inventory.select(*part, *[x for x in provenance if x not in part]).withColumn("__known", F.lit(True))
+    out = known.join(counts, list(part), "full").withColumns({"n_events": F.coalesce("n_events", F.lit(0)), "n_names": F.coalesce("n_names", F.lit(0)), "in_inventory": F.coalesce("__known", F.lit(False))})
+    shown = F.array_compact(F.array(*[F.when(F.col(f"__{i}") > 0, F.concat(F.lit(f"{x}="), F.col(f"__{i}").cast("string"))) for i, x in enumerate(order)]))
+    none, few = F.col("n_events") == 0, (F.col("n_events") > 0) & (F.col("n_events") < low)
+    codes = c.issue_codes([(none, "no_events"), (few, "few_events"), (~F.col("in_inventory"), "not_in_inventory"), *rules])
+    out = out.withColumns({"pattern": F.array_join(shown, ";"), "no_events": none, "few_events": few, "issues": F.array_join(codes, ";")})
+    return out.drop("__known", *[f"__{i}" for i in range(len(order))])
+
+
 def last_label(df: DataFrame, part: Keys, o: Keys, label: Column) -> Column:
     """The latest label at or before each row."""
     return carried(label, part, o)

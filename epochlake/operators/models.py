@@ -100,6 +100,33 @@ def effect_maps(df: DataFrame, unit: str, groups: Keys, label: str, a, b, value:
     return aggs.two_level(aggs.contrast(cells, [unit, *groups], label, a, b, "__v"), unit, groups, "contrast")
 
 
+def map_spec(spark, specs: Mapping[str, Sequence[tuple[Mapping[str, str], float]]]) -> DataFrame:
+    """Rows (map, factors, weight, n_terms) from maps given as weighted cells, each a mapping of factors to levels.
+
+    A difference is two cells with weights 1 and -1, a double contrast four, a mean of conditions two with 0.5, a raw condition map one.
+    """
+    names = sorted({f for cells in specs.values() for levels, _ in cells for f in levels})
+    if any(set(levels) != set(names) for cells in specs.values() for levels, _ in cells):
+        raise ValueError(f"each cell must name a level of {names}")
+    rows = [(name, *[levels[f] for f in names], float(w), len(cells)) for name, cells in specs.items() for levels, w in cells]
+    return spark.createDataFrame(rows, ", ".join(["map string", *[f"`{f}` string" for f in names], "weight double, n_terms int"]))
+
+
+def contrast_maps(df: DataFrame, spec: DataFrame, unit: str, groups: Keys, value: str) -> DataFrame:
+    """All maps of a spec in one pass: cell means per unit, their weighted sum, then units, mean, sd, se and t per map and group.
+
+    A unit that lacks one of a map's cells has no effect there and isn't counted. t is 0 where the se is 0.
+    """
+    factors = [x for x in spec.columns if x not in ("map", "weight", "n_terms")]
+    cells = df.groupBy(unit, *groups, *factors).agg(F.avg(value).alias("__m")).filter("__m is not null")
+    for f in factors:
+        cells = cells.withColumn(f, F.col(f).cast("string"))
+    effects = cells.join(F.broadcast(spec), factors).groupBy("map", unit, *groups).agg(F.sum(F.col("weight") * F.col("__m")).alias("__e"), F.count(F.lit(1)).alias("__n"), F.max("n_terms").alias("__k")).filter("__n = __k")
+    out = effects.groupBy("map", *groups).agg(F.count(F.lit(1)).alias("n"), F.avg("__e").alias("mean"), F.stddev_samp("__e").alias("sd"))
+    se = F.col("sd") / F.sqrt("n")
+    return out.withColumn("se", se).withColumn("t", F.when(F.col("se") > 0, F.col("mean") / F.col("se")).when(F.col("se") == 0, 0.0))
+
+
 def estimands(draws: DataFrame, registry: DataFrame, k: Keys = ("sample",)) -> DataFrame:
     """Weighted sums of terms per draw, by a registry (estimand, term, weight)."""
     return draws.join(registry, "term").groupBy(*k, "estimand").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
@@ -255,6 +282,26 @@ def results_table(effects: DataFrame, k: Keys, channel: str, t: str, significant
     return counts.join(top, list(k))
 
 
+def results_summary(effects: DataFrame, k: Keys, channel: str, effect: str, t: str, significant: str, pairs: DataFrame, hemispheres: DataFrame, cut: float = 2.0) -> DataFrame:
+    """M16 in full: per map the tests, significant ones, share, peak channel with its effect and t, laterality, significant channels per hemisphere, tests beyond ``cut``, and the three strongest as text.
+
+    ``pairs`` (left_ch, right_ch) gives the mean and sd of left less right over the whole map, ``hemispheres`` (channel, hemi: L, R or M)
+    the counts; the peak is the largest absolute effect, ties by channel.
+    """
+    joined = effects.join(hemispheres.select(F.col(channel), "hemi"), channel, "left")
+    shown = F.struct((-F.abs(effect)).alias("o"), F.col(channel).alias("channel"), F.col(effect).alias("e"), F.col(t).alias("t"))
+    sig = F.coalesce(F.col(significant), F.lit(False))
+    counts = joined.groupBy(*k).agg(
+        F.count(F.lit(1)).alias("n_tests"), F.count_if(sig).alias("n_significant"), F.min(shown).alias("__peak"), F.count_if(F.abs(t) >= cut).alias("n_beyond_cut"),
+        *[F.count_if(sig & (F.col("hemi") == h)).alias(f"n_{name}") for h, name in (("L", "left"), ("M", "mid"), ("R", "right"))],
+    )
+    counts = counts.select(*k, "n_tests", "n_significant", (F.col("n_significant") / F.col("n_tests")).alias("share_significant"), F.col("__peak.channel").alias("peak_channel"), F.col("__peak.e").alias("peak_effect"), F.col("__peak.t").alias("peak_t"), "n_left", "n_mid", "n_right", "n_beyond_cut")
+    text = effects.withColumn("__text", F.format_string("%s (c=%.3f, t=%.2f)", F.col(channel).cast("string"), effect, t))
+    top = shape.topn_wide(text, k, t, "__text", 3)
+    sides = aggs.laterality(effects, k, channel, effect, pairs).withColumnsRenamed({"mean": "mean_left_less_right", "sd": "sd_left_less_right"})
+    return counts.join(sides, list(k), "left").join(top, list(k), "left")
+
+
 def draw_contrasts(draws: DataFrame, groups: Keys, label: str, a, b, level: float = 0.95) -> DataFrame:
     """Contrasts of draws with interval, point and credibility by any grouping."""
     return aggs.credible_diff(draws, groups, label, a, b, level)

@@ -128,6 +128,40 @@ def rank_candidates(metrics: DataFrame, part: Keys, value: str, pct: float) -> D
     return out.withColumn("candidate", F.coalesce(F.col("pct_rank") >= pct, F.lit(False)))
 
 
+def candidate_queue(metrics: DataFrame, kind: str, ranked: Sequence[str], hard: Sequence[tuple[Column, str]], pct: float, comparable: tuple[Column, str] | None = None) -> DataFrame:
+    """Channels worth a look, with reasons in order, their number and a priority.
+
+    ``hard`` rules (condition, code) are exceptions by themselves. Each of the scale-free ``ranked`` measures adds a reason where it is positive and at or
+    above the average percentile rank ``pct`` of its channel type. ``comparable`` (condition, measure) ranks an absolute measure among the rows whose
+    units allow it, at both ends. A queue is no verdict: no channel is called bad.
+    """
+    out, rules = metrics, list(hard)
+    for v in ranked:
+        out = out.withColumn(f"pct_{v}", pct_rank_avg([kind], v))
+        rules.append(((F.col(v) > 0) & (F.col(f"pct_{v}") >= pct), f"extreme_{v}"))
+    if comparable:
+        fine, v = comparable
+        out = out.withColumn("__fine", F.coalesce(fine, F.lit(False)))
+        out = out.withColumn("pct_absolute", F.when(F.col("__fine"), pct_rank_avg([kind, "__fine"], v))).drop("__fine")
+        rules += [(F.col("pct_absolute") >= pct, "extreme_high_scale"), (F.col("pct_absolute") <= 1 - pct, "extreme_low_scale")]
+    out = out.withColumn("__codes", c.issue_codes(rules))
+    is_hard = F.arrays_overlap("__codes", F.array(*[F.lit(code) for _, code in hard])) if hard else F.lit(False)
+    out = out.withColumns({"reasons": F.array_join("__codes", ";"), "n_reasons": F.size("__codes"), "priority": F.when(is_hard, "hard_exception").when(F.size("__codes") > 0, "extreme_rank")})
+    return out.drop("__codes")
+
+
+def queue_summary(queue: DataFrame, file: Keys, kind: str, kinds: Sequence[str]) -> DataFrame:
+    """G3 per file: channels, those of each type, candidates, hard exceptions, and the most frequent first reason by count then name."""
+    reason = F.when(F.col("n_reasons") > 0, F.substring_index("reasons", ";", 1))
+    counts = queue.groupBy(*file).agg(
+        F.count(F.lit(1)).alias("n_channels"), *[F.count_if(F.col(kind) == x).alias(f"n_{x}") for x in kinds],
+        F.count_if(F.col("n_reasons") > 0).alias("n_candidates"), F.count_if(F.col("priority") == "hard_exception").alias("n_hard"),
+    )
+    firsts = queue.withColumn("__r", reason).filter("__r is not null").groupBy(*file, "__r").agg(F.count(F.lit(1)).alias("__n"))
+    top = firsts.groupBy(*file).agg(F.min_by("__r", F.struct(-F.col("__n"), "__r")).alias("top_reason"))
+    return counts.join(top, list(file), "left")
+
+
 def rereference(df: DataFrame, k: Keys, channel: str, value: str, sources: Sequence) -> DataFrame:
     """Each sample less the mean of the source channels at the same place."""
     mean = F.avg(F.when(F.col(channel).isin(list(sources)), F.col(value))).over(Window.partitionBy(*k))

@@ -201,6 +201,28 @@ def filter_summary(flags: DataFrame, k: Keys, stages: Sequence[str]) -> DataFram
     return flags.groupBy(*k).agg(F.count(F.lit(1)).alias("n_samples"), *gone, F.count_if(F.col("removed_by").isNull()).alias("n_left"))
 
 
+def filter_audit(flags: DataFrame, k: Keys, stages: Sequence[str]) -> DataFrame:
+    """C11: the long audit: a row per trial and stage, in order, with samples before, removed and after it, the share removed, and whether the trial ends there.
+
+    ``flags`` is C10's table; a sample counts for the first stage that removed it, so the stages' counts add up. Trials without samples
+    of the input have no row.
+    """
+    counts = flags.groupBy(*k).agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col("removed_by") == s).alias(f"__{i}") for i, s in enumerate(stages)])
+    before, parts = F.col("__n"), []
+    for i, stage in enumerate(stages):
+        gone = F.col(f"__{i}")
+        parts.append(F.struct(F.lit(stage).alias("stage"), F.lit(i + 1).alias("stage_order"), before.alias("n_before"), gone.alias("n_removed"), (before - gone).alias("n_after")))
+        before = before - gone
+    long = counts.select(*k, F.explode(F.array(*parts)).alias("__p")).select(*k, "__p.*")
+    return long.withColumns({"share_removed": c.safe_divide(F.col("n_removed"), F.col("n_before")), "trial_removed": (F.col("n_removed") > 0) & (F.col("n_after") == 0)})
+
+
+def stage_totals(audit: DataFrame) -> DataFrame:
+    """C11: per stage the trials it touched and ended, and samples removed, from the long audit."""
+    touched = [F.count_if(F.col("n_removed") > 0).alias("n_trials_touched"), F.count_if("trial_removed").alias("n_trials_removed"), F.sum("n_removed").alias("n_removed"), F.sum("n_after").alias("n_after")]
+    return audit.groupBy("stage", "stage_order").agg(*touched)
+
+
 def trace_summary(df: DataFrame, k: Keys, o: Keys) -> DataFrame:
     """Movement time, path length and mean speed."""
     out = df.groupBy(*k).agg((F.max("time") - F.min("time")).alias("movement_time")).join(path_length(df, k, o), list(k))
@@ -414,3 +436,30 @@ def behaviour_table(trials: DataFrame, bad: DataFrame, k: Keys, unit: Keys, metr
     out = trials if pilots is None else trials.filter(~F.coalesce(pilots, F.lit(False)))
     out = out.withColumns({f: fill_group(F.col(f), unit) for f in fill}) if fill else out
     return zscore(out.join(bad.select(*k).distinct(), list(k), "left_anti"), metrics)
+
+
+def analysis_table(
+    trials: DataFrame, k: Keys, kind: str, bad: Mapping[str, DataFrame], needed: Mapping[str, str], fill: Mapping[str, tuple[Keys, str]], recode: Mapping[str, Mapping], metrics: Mapping[str, str],
+    updates: Mapping[str, str], response: str, error: str, scaled: Sequence[str], pilots: Column | None = None,
+) -> DataFrame:
+    """X12 in full, in this order:
+
+    rows of pilots go; ``fill`` completes a column inside its block for rows of one kind, and empties it for the others; rows of a kind go if
+    they stand in that kind's table of bad trials (keyed by ``k``) or lack the column that it needs; ``recode`` maps labels
+    (others become null); ``metrics`` names chosen measures; ``updates`` replaces a column where another has a value; ``skill`` is
+    response over error (null at 0), so that better is larger; ``scaled`` columns, skill among them if named, get z-scores over what is left.
+    """
+    from .windows import zscore
+
+    out = trials if pilots is None else trials.filter(~F.coalesce(pilots, F.lit(False)))
+    for name, (block, own) in fill.items():
+        known = F.max(name).over(whole(block))
+        out = out.withColumn(name, F.when(F.col(kind) == own, F.coalesce(name, known)))
+    for own, table in bad.items():
+        out = out.join(table.select(*k).distinct().withColumn("__bad", F.lit(True)), list(k), "left").filter(~F.coalesce((F.col(kind) == own) & F.col("__bad"), F.lit(False))).drop("__bad")
+    for own, column in needed.items():
+        out = out.filter(~F.coalesce((F.col(kind) == own) & F.col(column).isNull(), F.lit(False)))
+    out = out.withColumns({name: c.case_map([(F.col(name) == a, b) for a, b in codes.items()]) for name, codes in recode.items()}) if recode else out
+    out = out.withColumns({name: F.coalesce(other, name) for name, other in updates.items()}) if updates else out
+    out = out.withColumns({name: F.col(source) for name, source in metrics.items()}) if metrics else out
+    return zscore(out.withColumn("skill", c.safe_divide(F.col(response), F.col(error))), list(scaled))

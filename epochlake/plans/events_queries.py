@@ -310,3 +310,10 @@ def _(t):
 @query("v24_recording_summary", "SELECT user_id, sum(n)::BIGINT AS n_events, string_agg(event_type || '=' || n, ';' ORDER BY event_type || '=' || n) AS counts, sum(n) < 60 AS few_events FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
 def _(t):
     return v.recording_summary(t.events, P, "event_type", 60)
+
+
+@query("v24_file_facts", "WITH e AS (SELECT user_id, count(*) AS n_events, count(DISTINCT event_type) AS n_names, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'purchase') AS p FROM events WHERE user_id % 4 <> 0 GROUP BY 1), i AS (SELECT c_custkey AS user_id, c_mktsegment, c_nationkey, true AS k FROM customer WHERE c_custkey % 5 <> 0), j AS (SELECT coalesce(e.user_id, i.user_id) AS user_id, c_mktsegment, coalesce(n_events, 0) AS n_events, coalesce(n_names, 0) AS n_names, coalesce(k, false) AS in_inventory, v, p, c_nationkey FROM e FULL JOIN i ON i.user_id = e.user_id) SELECT user_id, c_mktsegment, n_events, n_names, in_inventory, concat_ws(';', CASE WHEN v > 0 THEN 'view=' || v END, CASE WHEN p > 0 THEN 'purchase=' || p END) AS pattern, n_events = 0 AS no_events, n_events BETWEEN 1 AND 59 AS few_events, concat_ws(';', CASE WHEN n_events = 0 THEN 'no_events' END, CASE WHEN n_events BETWEEN 1 AND 59 THEN 'few_events' END, CASE WHEN NOT in_inventory THEN 'not_in_inventory' END, CASE WHEN c_nationkey = 3 THEN 'remapped' END) AS issues FROM j")
+def _(t):
+    inventory = t.customer.filter("c_custkey % 5 <> 0").withColumnRenamed("c_custkey", "user_id")
+    out = v.file_facts(inventory, t.events.filter("user_id % 4 <> 0"), P, "event_type", ["view", "purchase"], 60, [(col("c_nationkey") == 3, "remapped")], ["c_mktsegment", "c_nationkey"])
+    return out.drop("c_nationkey")

@@ -75,6 +75,31 @@ def _(t):
     return rounded(g.rank_candidates(p, ["label"], "ptp", 0.9).select("vec_id", "rank", "pct_rank", "candidate"))
 
 
+#: Channels with a type (label), a measure without scale, and an absolute one; every third is comparable.
+QUEUE = f"""WITH {SG}, p AS (SELECT vec_id, label, vec_id // 10 AS file, max(v) - min(v) AS ptp, greatest(max(v), 0) AS peak, count(*) FILTER (v > 0.25) AS n_high FROM sg GROUP BY 1, 2), r AS (
+  SELECT *, (rank() OVER (PARTITION BY label ORDER BY ptp) + (count(*) OVER (PARTITION BY label, ptp) - 1) / 2) / count(*) OVER (PARTITION BY label) AS pct_ptp,
+    CASE WHEN vec_id % 3 = 0 THEN (rank() OVER (PARTITION BY label, vec_id % 3 = 0 ORDER BY peak) + (count(*) OVER (PARTITION BY label, vec_id % 3 = 0, peak) - 1) / 2) / count(*) OVER (PARTITION BY label, vec_id % 3 = 0) END AS pct_absolute FROM p
+), q AS (
+  SELECT *, concat_ws(';', CASE WHEN n_high >= 6 THEN 'many_high_samples' END, CASE WHEN ptp > 0 AND pct_ptp >= 0.9 THEN 'extreme_ptp' END, CASE WHEN pct_absolute >= 0.9 THEN 'extreme_high_scale' END, CASE WHEN pct_absolute <= 1 - 0.9 THEN 'extreme_low_scale' END) AS reasons FROM r
+), c AS (SELECT *, CASE WHEN reasons = '' THEN 0 ELSE len(string_split(reasons, ';')) END::INTEGER AS n_reasons, CASE WHEN n_high >= 6 THEN 'hard_exception' WHEN reasons <> '' THEN 'extreme_rank' END AS priority FROM q)"""
+
+
+def queue(t):
+    v = col("v")
+    p = t.sg().groupBy("vec_id", "label").agg((F.max(v) - F.min(v)).alias("ptp"), F.greatest(F.max(v), F.lit(0.0)).alias("peak"), F.count_if(v > 0.25).alias("n_high"))
+    return g.candidate_queue(p.withColumn("file", F.floor(col("vec_id") / 10)), "label", ["ptp"], [(col("n_high") >= 6, "many_high_samples")], 0.9, (col("vec_id") % 3 == 0, "peak"))
+
+
+@query("g3_candidate_queue", QUEUE + " SELECT vec_id, reasons, n_reasons, priority FROM c")
+def _(t):
+    return queue(t).select("vec_id", "reasons", "n_reasons", "priority")
+
+
+@query("g3_queue_summary", QUEUE + ", t AS (SELECT file, string_split(reasons, ';')[1] AS top, count(*) AS n FROM c WHERE n_reasons > 0 GROUP BY 1, 2) SELECT c.file, count(*) AS n_channels, count(*) FILTER (label = 0) AS n_0, count(*) FILTER (label = 1) AS n_1, count(*) FILTER (n_reasons > 0) AS n_candidates, count(*) FILTER (priority = 'hard_exception') AS n_hard, any_value(top_reason) AS top_reason FROM c LEFT JOIN (SELECT file, first(top ORDER BY n DESC, top) AS top_reason FROM t GROUP BY 1) x ON x.file = c.file GROUP BY c.file")
+def _(t):
+    return g.queue_summary(queue(t), ["file"], "label", [0, 1])
+
+
 @query("g4_rereference", f"WITH {SG} SELECT vec_id, pos, round(v - avg(CASE WHEN vec_id % 10 IN (1, 2) THEN v END) OVER (PARTITION BY label, vec_id // 10, pos), 6) AS v_reref FROM sg")
 def _(t):
     sg = longest(t).withColumns({"rec": F.floor(col("vec_id") / 10), "ch": col("vec_id") % 10})
@@ -347,6 +372,25 @@ def _(t):
     return out.select("c_mktsegment", "n", *[F.round(x, 2).alias(x) for x in ("mean", "sd", "se")], F.round("t", 4).alias("t"))
 
 
+#: Three differences, a double contrast, a mean of two conditions and a raw map, over an order's status and priority.
+URGENT, LOW = "1-URGENT", "5-LOW"
+MAPS = {
+    "status": [({"o_orderstatus": "F", "o_orderpriority": URGENT}, 1.0), ({"o_orderstatus": "O", "o_orderpriority": URGENT}, -1.0)],
+    "priority": [({"o_orderstatus": "F", "o_orderpriority": URGENT}, 1.0), ({"o_orderstatus": "F", "o_orderpriority": LOW}, -1.0)],
+    "double": [({"o_orderstatus": s, "o_orderpriority": p}, a * b) for s, a in (("F", 1.0), ("O", -1.0)) for p, b in ((URGENT, 0.5), (LOW, 0.5))],
+    "raw": [({"o_orderstatus": "O", "o_orderpriority": LOW}, 1.0)],
+}
+CELL = lambda s, p: f"avg(o_totalprice) FILTER (o_orderstatus = '{s}' AND o_orderpriority = '{p}')"
+MAP_SQL = " UNION ALL ".join(f"SELECT '{name}' AS map, c_nationkey, " + " + ".join(f"{w} * {CELL(c['o_orderstatus'], c['o_orderpriority'])}" for c, w in cells) + " AS e, c_mktsegment FROM j GROUP BY c_nationkey, c_mktsegment" for name, cells in MAPS.items())
+
+
+@query("m10_contrast_maps", f"WITH j AS (SELECT * FROM orders JOIN customer ON c_custkey = o_custkey), u AS ({MAP_SQL}) SELECT map, c_mktsegment, count(e) AS n, round(avg(e), 0) AS mean, round(stddev_samp(e), 0) AS sd, round(stddev_samp(e) / sqrt(count(e)), 0) AS se, round(CASE WHEN stddev_samp(e) > 0 THEN avg(e) / (stddev_samp(e) / sqrt(count(e))) WHEN stddev_samp(e) = 0 THEN 0 END, 4) AS t FROM u WHERE e IS NOT NULL GROUP BY 1, 2")
+def _(t):
+    joined = t.orders.join(t.customer, col("o_custkey") == col("c_custkey"))
+    out = m.contrast_maps(joined, m.map_spec(t.spark, MAPS), "c_nationkey", ["c_mktsegment"], "o_totalprice")
+    return out.select("map", "c_mktsegment", "n", *[F.round(x, 0).alias(x) for x in ("mean", "sd", "se")], F.round("t", 4).alias("t"))
+
+
 #: Draws in SQL: a vector is a draw, its values are terms.
 DRAWS = SG + ", dr AS (SELECT vec_id AS sample, 't' || pos AS term, v AS value FROM sg)"
 TERMS = 64
@@ -435,6 +479,17 @@ def _(t):
     return rounded(m.results_table(longest(t).withColumn("s", F.abs("v") > 0.2), ["vec_id"], "pos", "v", "s"))
 
 
+TOP3 = ", ".join(f"max(pos || ' (c=' || printf('%.3f', v) || ', t=' || printf('%.2f', t) || ')') FILTER (n3 = {n}) AS top{n}" for n in (1, 2, 3))
+
+
+@query("m16_results_summary", f"WITH {SG}, e AS (SELECT vec_id, pos, v, v * 10 AS t, abs(v) > 0.2 AS s, CASE WHEN pos < 28 THEN 'L' WHEN pos < 36 THEN 'M' ELSE 'R' END AS hemi FROM sg), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, pos) AS n1, row_number() OVER (PARTITION BY vec_id ORDER BY abs(t) DESC, pos || ' (c=' || printf('%.3f', v) || ', t=' || printf('%.2f', t) || ')') AS n3 FROM e), lt AS (SELECT l.vec_id, avg(l.v - x.v) AS m, stddev_samp(l.v - x.v) AS sd FROM sg l JOIN sg x ON l.vec_id = x.vec_id AND x.pos = 63 - l.pos WHERE l.pos < 28 GROUP BY 1) SELECT r.vec_id, count(*) AS n_tests, count(*) FILTER (s) AS n_significant, round(count(*) FILTER (s) / count(*), 6) AS share_significant, max(pos) FILTER (n1 = 1) AS peak_channel, round(max(v) FILTER (n1 = 1), 6) AS peak_effect, round(max(t) FILTER (n1 = 1), 6) AS peak_t, count(*) FILTER (s AND hemi = 'L') AS n_left, count(*) FILTER (s AND hemi = 'M') AS n_mid, count(*) FILTER (s AND hemi = 'R') AS n_right, count(*) FILTER (abs(t) >= 2.0) AS n_beyond_cut, round(any_value(m), 6) AS mean_left_less_right, round(any_value(sd), 6) AS sd_left_less_right, {TOP3} FROM r JOIN lt USING (vec_id) GROUP BY 1")
+def _(t):
+    pairs = t.spark.createDataFrame([(k, 63 - k) for k in range(28)], "left_ch bigint, right_ch bigint")
+    hemi = t.spark.createDataFrame([(k, "L" if k < 28 else "M" if k < 36 else "R") for k in range(64)], "pos bigint, hemi string")
+    effects = longest(t).select("vec_id", "pos", "v", (col("v") * 10).alias("t"), (F.abs("v") > 0.2).alias("s"))
+    return rounded(m.results_summary(effects, ["vec_id"], "pos", "v", "t", "s", pairs, hemi))
+
+
 @query("m17_draw_contrasts", f"WITH {DRAWS}, c AS (SELECT sample % 3 AS grp, sample, max(value) FILTER (term = 't0') - max(value) FILTER (term = 't1') AS value FROM dr GROUP BY 1, 2), s AS (SELECT grp, quantile_cont(value, 0.4) FILTER (sample > 0) AS lo, max(value) FILTER (sample = 0) AS point, quantile_cont(value, 0.6) FILTER (sample > 0) AS hi FROM c GROUP BY 1) SELECT grp, round(lo, 6) AS lo, round(point, 6) AS point, round(hi, 6) AS hi, lo > 0 OR hi < 0 AS credible FROM s")
 def _(t):
     d = term_draws(t).withColumn("grp", col("sample") % 3)

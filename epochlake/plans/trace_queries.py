@@ -118,6 +118,21 @@ def _(t):
     return tr.filter_summary(flags(t), K, ["wide", "tall"])
 
 
+LONG_AUDIT = FLAGS + """, a AS (SELECT trial, count(*) AS n, count(*) FILTER (wide) AS w, count(*) FILTER (tall AND NOT wide) AS t FROM g GROUP BY 1), l AS (
+  SELECT trial, 'wide' AS stage, 1 AS stage_order, n AS n_before, w AS n_removed, n - w AS n_after FROM a UNION ALL SELECT trial, 'tall', 2, n - w, t, n - w - t FROM a
+)"""
+
+
+@query("c11_filter_audit", LONG_AUDIT + " SELECT *, round(CASE WHEN n_before <> 0 THEN n_removed / n_before END, 6) AS share_removed, n_removed > 0 AND n_after = 0 AS trial_removed FROM l")
+def _(t):
+    return rounded(tr.filter_audit(flags(t), K, ["wide", "tall"]))
+
+
+@query("c11_stage_totals", LONG_AUDIT + " SELECT stage, stage_order, count(*) FILTER (n_removed > 0) AS n_trials_touched, count(*) FILTER (n_removed > 0 AND n_after = 0) AS n_trials_removed, sum(n_removed)::BIGINT AS n_removed, sum(n_after)::BIGINT AS n_after FROM l GROUP BY 1, 2")
+def _(t):
+    return tr.stage_totals(tr.filter_audit(flags(t), K, ["wide", "tall"]))
+
+
 @query("c12_trace_summary", f"WITH {SC}, l AS (SELECT *, x - lag(x) {W} AS dx, y - lag(y) {W} AS dy FROM s0), z AS (SELECT trial, max(time) - min(time) AS m, sum(sqrt(dx * dx + dy * dy)) AS p FROM l GROUP BY 1) SELECT trial, round(m, 4) AS movement_time, round(p, 3) AS path_length, CASE WHEN m <> 0 THEN round(p / m, 4) END AS speed FROM z")
 def _(t):
     out = tr.trace_summary(screen(t), K, O)
@@ -278,3 +293,14 @@ def _(t):
     ev = t.ev().withColumn("k", F.when(col("event_type") == "view", col("k")))
     out = tr.behaviour_table(ev, ev.filter("event_type = 'error'").select("event_id"), ["event_id"], ["user_id"], ["value"], ["k"], col("user_id") < 5)
     return rounded(out.select("event_id", "k", "value_z"))
+
+
+@query("x12_analysis_table", f"WITH {EV}, f AS (SELECT *, CASE WHEN event_type = 'click' THEN coalesce(CASE WHEN k % 3 = 0 THEN k END, max(CASE WHEN k % 3 = 0 THEN k END) OVER (PARTITION BY user_id)) END AS vivid FROM ev WHERE user_id >= 5 AND event_type IN ('view', 'click')), g AS (SELECT event_id, event_type, vivid, CASE event_type WHEN 'view' THEN 'physical' WHEN 'click' THEN 'imagery' END AS condition, CASE WHEN k % 2 = 0 THEN k / 2.0 ELSE onset END AS mt, value AS complexity, CASE WHEN k <> 0 THEN value / k END AS skill FROM f WHERE NOT (event_type = 'click' AND event_id % 7 = 0) AND NOT (event_type = 'view' AND k % 5 = 0)) SELECT event_id, condition, vivid, round(mt, 5) AS mt, complexity, round((complexity - avg(complexity) OVER ()) / stddev_samp(complexity) OVER (), 6) AS complexity_z, round((skill - avg(skill) OVER ()) / stddev_samp(skill) OVER (), 6) AS skill_z FROM g")
+def _(t):
+    k = col("k")
+    ev = t.ev().filter("event_type in ('view', 'click')").withColumns({"vivid": F.when(k % 3 == 0, k), "clip": F.when(k % 2 == 0, k / 2.0), "own": F.when(k % 5 != 0, k), "condition": col("event_type"), "mt": col("onset")})
+    out = tr.analysis_table(
+        ev, ["event_id"], "event_type", {"click": ev.filter("event_id % 7 = 0").select("event_id")}, {"view": "own"}, {"vivid": (["user_id"], "click")},
+        {"condition": {"view": "physical", "click": "imagery"}}, {"complexity": "value"}, {"mt": "clip"}, "value", "k", ["complexity", "skill"], col("user_id") < 5,
+    )
+    return rounded(out.select("event_id", "condition", "vivid", F.round("mt", 5).alias("mt"), "complexity", "complexity_z", "skill_z"))
