@@ -2,13 +2,14 @@
 
 A table maps a 64-bit key to a row of numbers. Spark ranges the keys into shards; the task that holds a shard sorts
 it and writes two plain files, keys and values. A worker maps the files: in place where the shared folder is
-mounted, else from a copy in the executor's own temporary folder, one for all its workers, which goes when they turn to
-another table. Nothing passes through the driver but the shards' sizes. Files are written under a temporary name and renamed, so a repeated task leaves the same result.
+mounted, else from a copy in the host's temporary folder, one for all workers of the application there, which goes when one of them turns to
+another table; other applications' copies are left alone. Maps hold no file open, and a worker keeps a bounded number of them. Nothing passes through the driver but the shards' sizes. Files are written under a temporary name and renamed, so a repeated task leaves the same result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import mmap
 import os
 import re
 import shutil
@@ -23,6 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Attempts to copy a file that vanishes; shards that a worker keeps mapped.
+TRIES, OPEN_SHARDS = 5, 2_000
+
+
 def _mounted(uri: str) -> str | None:
     parts = urlparse(uri)
     return parts.path if parts.scheme in ("", "file") else None
@@ -46,29 +51,54 @@ def put_file(uri: str, data: np.ndarray) -> None:
     store.move(temporary, path)
 
 
-def _copies() -> str:
-    return os.path.join(tempfile.gettempdir(), "epochlake-copies")
+def _own(uri: str) -> tuple[str, str]:
+    """(application's folder, table) that a path in the shared folder names; the path itself twice where it is another."""
+    own = re.search(r"(epochlake-[^/]+)/([^/]+)", uri)
+    return (own[1], own[2]) if own else (uri, uri)
+
+
+def _copies(uri: str) -> str:
+    """Where this application's copies lie on the host."""
+    return os.path.join(tempfile.gettempdir(), "epochlake-copies", hashlib.sha256(_own(uri)[0].encode()).hexdigest()[:24])
 
 
 def _copy_folder(uri: str) -> str:
-    """Where copies of the files of one table lie: by the first two parts of its path in the application's folder."""
-    own = re.search(r"epochlake-[^/]+/[^/]+", uri)
-    return os.path.join(_copies(), hashlib.sha256((own[0] if own else uri).encode()).hexdigest()[:24])
+    """Where copies of the files of one table lie."""
+    return os.path.join(_copies(uri), hashlib.sha256(_own(uri)[1].encode()).hexdigest()[:24])
 
 
-def map_file(uri: str, dtype: str) -> np.ndarray:
-    path = _mounted(uri)
-    if path is None:
-        from pyarrow import fs
+def _copied(uri: str) -> str:
+    """Path of the host's copy of a file. A worker that has turned to another table may clear the folder meanwhile; then it is copied again."""
+    from pyarrow import fs
 
-        path = os.path.join(_copy_folder(uri), hashlib.sha256(uri.encode()).hexdigest()[:32])
-        if not os.path.exists(path):
+    path = os.path.join(_copy_folder(uri), hashlib.sha256(uri.encode()).hexdigest()[:32])
+    store, remote = fs.FileSystem.from_uri(uri)
+    for attempt in range(TRIES):
+        if os.path.exists(path):
+            return path
+        try:
             os.makedirs(os.path.dirname(path), exist_ok=True)
-            store, remote = fs.FileSystem.from_uri(uri)
             with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False) as local, store.open_input_stream(remote) as source:
                 shutil.copyfileobj(source, local, 1 << 20)
             os.replace(local.name, path)
-    return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        except FileNotFoundError:
+            if attempt == TRIES - 1:
+                raise
+    return path
+
+
+def map_file(uri: str, dtype: str) -> np.ndarray:
+    for attempt in range(TRIES):
+        try:
+            with open(_mounted(uri) or _copied(uri), "rb") as f:
+                if not os.fstat(f.fileno()).st_size:
+                    return np.zeros(0, dtype)
+                # The map lives without the descriptor.
+                return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), dtype)
+        except FileNotFoundError:
+            if _mounted(uri) or attempt == TRIES - 1:
+                raise
+    raise FileNotFoundError(uri)
 
 
 def mix(key: np.ndarray) -> np.ndarray:
@@ -147,6 +177,8 @@ class HashTable:
 
     def shard(self, s: int) -> tuple[np.ndarray, np.ndarray]:
         if s not in self.open:
+            if len(self.open) >= OPEN_SHARDS:
+                del self.open[next(iter(self.open))]  # the one mapped first
             self.open[s] = (map_file(f"{self.uri}/{s:06d}.key", "<u8"), map_file(f"{self.uri}/{s:06d}.val", self.dtype).reshape(-1, self.width))
         return self.open[s]
 
@@ -176,9 +208,8 @@ class HashTable:
 def worker_cache(name: str, build: Callable):
     """One object per Python worker under a name; older ones are dropped, and so are copies of files that they mapped."""
     if _CACHE.get("name") != name:
-        for folder in os.listdir(_copies()) if _CACHE and os.path.isdir(_copies()) else []:
-            if folder != os.path.basename(_copy_folder(name)):
-                shutil.rmtree(os.path.join(_copies(), folder), ignore_errors=True)  # what other workers have mapped stays readable to them
+        if _CACHE and _own(_CACHE["name"])[1] != _own(name)[1]:
+            shutil.rmtree(_copy_folder(_CACHE["name"]), ignore_errors=True)  # what other workers have mapped stays readable to them
         _CACHE.clear()
         _CACHE.update(name=name, value=build())
     return _CACHE["value"]
