@@ -251,10 +251,15 @@ def artifact_flags(epochs_: DataFrame, k: Keys, group: Keys, samples: str, max_p
     return scored.groupBy(*k).agg(*[F.coalesce(F.bool_or(e), F.lit(False)).alias(n) for n, e in flags.items()])
 
 
-def band_window_features(cells: DataFrame, k: Keys, definitions: DataFrame, frequency: str, t: str, value: str) -> DataFrame:
-    """Mean of the cells in each definition's band and window (f_lo, f_hi, t_lo, t_hi), ends included."""
-    inside = F.col(frequency).between(F.col("f_lo"), F.col("f_hi")) & F.col(t).between(F.col("t_lo") - 1e-12, F.col("t_hi") + 1e-12)
-    return cells.join(joins.definitions(definitions), inside).groupBy(*k, "feature").agg(F.avg(value).alias("value"), F.count(F.lit(1)).alias("n_cells"))
+def band_window_features(cells: DataFrame, k: Keys, definitions: DataFrame, frequency: str, t: str, value: str, width: float | None = None) -> DataFrame:
+    """Mean of the cells in each definition's band and window (f_lo, f_hi, t_lo, t_hi), ends included.
+
+    A short table of definitions goes to all tasks; with ``width`` cells and definitions meet in stretches of time of that width, so their number
+    may grow with the data.
+    """
+    band = F.col(frequency).between(F.col("f_lo"), F.col("f_hi"))
+    wide = definitions.withColumns({"t_lo": F.col("t_lo") - 1e-12, "t_hi": F.col("t_hi") + 1e-12})
+    return joins.range_join(cells, wide, t, "t_lo", "t_hi", width).filter(band).groupBy(*k, "feature").agg(F.avg(value).alias("value"), F.count(F.lit(1)).alias("n_cells"))
 
 
 def roi_means(features: DataFrame, k: Keys, channel: str, value: str, rois: DataFrame, on: Keys = ()) -> DataFrame:

@@ -186,15 +186,20 @@ def _(t):
 DEF = "(VALUES ('a', 0, 3, 0, 15), ('b', 2, 6, 16, 40)) d(feature, f_lo, f_hi, t_lo, t_hi)"
 
 
-def features(t):
+def features(t, width=None):
     d = t.spark.createDataFrame([("a", 0, 3, 0, 15), ("b", 2, 6, 16, 40)], "feature string, f_lo int, f_hi int, t_lo int, t_hi int")
     cells = longest(t).withColumns({"trial": F.floor(col("vec_id") / 10), "ch": (col("vec_id") % 10), "f": col("vec_id") % 7})
-    return g.band_window_features(cells, ["trial", "ch"], d, "f", "pos", "v")
+    return g.band_window_features(cells, ["trial", "ch"], d, "f", "pos", "v", width)
 
 
 FEAT = f"{SG}, ft AS (SELECT vec_id // 10 AS trial, vec_id % 10 AS ch, feature, avg(v) AS value, count(*) AS n_cells FROM sg JOIN {DEF} ON vec_id % 7 BETWEEN f_lo AND f_hi AND pos BETWEEN t_lo AND t_hi GROUP BY 1, 2, 3)"
 
 
+@query("g14_band_window_features_cells", f"WITH {FEAT} SELECT trial, ch, feature, round(value, 6) AS value, n_cells FROM ft")
+def _(t):
+    return rounded(features(t, 10.0))
+
+
 @query("g14_band_window_features", f"WITH {FEAT} SELECT trial, ch, feature, round(value, 6) AS value, n_cells FROM ft")
 def _(t):
     return rounded(features(t))
