@@ -9,8 +9,8 @@ one of least cross-entropy per character.
 
 Calibration: one labelled document in ``HELD`` (by a hash of id and text) isn't counted but scored. Their cross-entropies set, per
 language, the limit above which a prediction is rejected, and the temperature that makes the score, the posterior
-of the language given the whole text, most likely. A language with fewer than ``LEAST_HELD`` such documents is calibrated on
-all of its own. Percentiles are Spark's mergeable sketches, so this covers all data at any size.
+of the language given the whole text, most likely. No document is scored by a model that counted it, whatever the language's size; a language
+without such documents has no limit, and one that would have nothing else keeps them for its counts. Percentiles are Spark's mergeable sketches, so this covers all data at any size.
 
 Defined results: null or letterless text is ``und`` with score 0. Without labelled text every document is ``und``.
 Ties go to the language that sorts first. Rows are kept one for one; extra columns are not read. A text is taken
@@ -31,8 +31,8 @@ from .hash_arrays import HashTable, worker_cache, write_table, xxhash_long
 
 ORDER = 4
 BITS = 16
-#: One labelled document in so many is held out of the counts; a language's least number of those.
-HELD, LEAST_HELD = 10, 50
+#: One labelled document in so many is held out of the counts.
+HELD = 10
 #: Powers to which likelihoods may be raised for the score.
 TEMPERATURES = [2.0**-k for k in range(13)]
 #: Share of a language's own documents that the rejection limit keeps.
@@ -136,9 +136,10 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str =
     own_id = F.col(id_col).cast("string") if id_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), own_id.alias("id")).filter("lang is not null and text is not null")
     rows = rows.withColumn("held", F.pmod(F.xxhash64("id", "text"), F.lit(HELD)) == 0)
-    few = rows.groupBy("lang").agg(F.count_if("held").alias("n")).filter(F.col("n") < LEAST_HELD)
-    rows = rows.join(F.broadcast(few.select("lang", F.lit(True).alias("few"))), "lang", "left").withColumn("few", F.coalesce("few", F.lit(False)))
-    grams = cut(count_grams(rows.filter("few or not held")))
+    # A language all of whose documents would be held out couldn't be learned.
+    only = rows.groupBy("lang").agg(F.bool_and("held").alias("only")).filter("only")
+    rows = rows.join(F.broadcast(only), "lang", "left").withColumn("held", F.col("held") & F.col("only").isNull())
+    grams = cut(count_grams(rows.filter(~F.col("held"))))
     langs = [r[0] for r in grams.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return None
@@ -181,7 +182,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str =
         write_table(ctx.select(F.xxhash64("ctx").alias("key"), log("gamma").alias("v")), f"{uri}/g{k}", sizes[1], len(langs))
         shards.append((sizes[0], sizes[1]))
     model = Model(uri, langs, shards, floor)
-    calibrate(model, rows.filter("few or held"))
+    calibrate(model, rows.filter("held"))
     return model
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from epochlake.llm import bpe, decontaminate, license_scan, url_filters
+from epochlake.llm import bpe, decontaminate, language_id, license_scan, url_filters
 from epochlake.llm.queries import tokenizer_path
 
 
@@ -72,3 +72,17 @@ def test_chance_gives_no_url_rules_and_planted_ones_stay(spark, n):
     df = spark.createDataFrame(bad, "page_id bigint, url string, bad boolean")
     rules = [(r["tokens"], r["confidence"]) for r in url_filters.mine_rules(df, "url", df.bad).collect()]
     assert (["p:casino"] in [t for t, _ in rules]) and all("p:casino" in t for t, _ in rules)
+
+
+def test_small_languages_are_calibrated_like_large_ones(spark):
+    """A limit comes from documents that weren't counted, be they few or many: it lies above what counted ones reach."""
+    rng = random.Random(11)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(400)] for lang, letters in (("aa", "abcdefgh"), ("bb", "klmnopqr"))}
+    rows = [(i, lang, " ".join(rng.choice(words[lang]) for _ in range(30))) for lang, n in (("aa", 600), ("bb", 60)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    model = language_id.train(df)
+    limits = dict(zip(model.langs, model.limit.tolist(), strict=True))
+    assert all(limit < float("inf") for limit in limits.values()) and abs(limits["aa"] - limits["bb"]) < 1.0
+    alone = language_id.train(spark.createDataFrame([(1, "cc", "only one text"), *rows[:50]], "doc_id bigint, lang string, text string"))
+    assert "cc" in alone.langs
+    assert {r["lang_pred"] for r in language_id.identify(df.filter("lang = 'bb'"), model).collect()} == {"bb"}
