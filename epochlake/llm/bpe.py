@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -50,6 +51,8 @@ NEWER_LOWER = [
 LOWER = {c: chr(c + step) for a, b, step in NEWER_LOWER for c in range(a, b + 1)}
 _NEW = "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in NEWER) + "]"
 IS_NEWER = regex.compile(_NEW)
+#: Any character from the first of those on: one range, so that most texts are told apart quickly.
+MAY_BE_NEWER = re.compile(f"[{chr(NEWER[0][0])}-\U0010ffff]")
 WORD_OLDER = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--{_NEW}]+|[\p{{N}}--{_NEW}]|[[^\s\p{{L}}\p{{N}}]||{_NEW}]+")
 #: Fixed value: white space as the file's normaliser means it.
 SPACES = regex.compile(r"\s+")
@@ -225,7 +228,7 @@ class BpeCodec:
         if text.isascii():
             return WORD.findall(text.lower())
         text = SPACES.sub(" ", unicodedata.normalize("NFC", text))
-        if IS_NEWER.search(text):
+        if MAY_BE_NEWER.search(text) and IS_NEWER.search(text):
             return WORD_OLDER.findall("".join(LOWER.get(ord(c)) or c.lower() for c in text))
         # Python lowers a text as it does its characters, but for the capital sigma, whose form depends on its neighbours.
         return WORD.findall("".join(c.lower() for c in text) if SIGMA in text else text.lower())
