@@ -23,7 +23,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8)."""
+    """One document of each group of near copies (five words, similarity 0.8): fingerprints' grid, then the pairs beyond its radius."""
     return simhash.drop_near_texts(docs, words=5, similarity=0.8)
 
 

@@ -1,16 +1,19 @@
 """Links between texts of a Jaccard similarity of shingle sets, all of them and no others.
 
 * a task writes its texts' sets (sorted 64-bit shingle hashes) to a file in the shared folder, each after a sketch; a
-  row keeps only where they stand. Equal sets are one class, linked to others once.
-* prefix: in any order of all hashes, of two sets that are similar enough the first n - ceil(s * n) + 1 members of both
+  row keeps the set's fingerprint and where they stand. Equal sets are one class, linked to others once.
+* ``close_links``: the grid of ``simhash`` over the fingerprints holds every pair within its radius, without loss. Pairs
+  are checked by the embedding, by the fingerprints, then exactly by the sets.
+* ``far_links``: the pairs beyond the radius, and only those, come from a prefix join. In any order of all hashes, of two sets that are similar enough the first n - ceil(s * n) + 1 members of both
   meet, so a cell per such member holds every pair that links, without loss. The order is: hashes that at most
   ``FREQUENT`` sets have before the others, then by the hash. So a line or passage that many texts share makes no cells
   where a text has enough of its own. Tasks and Spark count the lower hashes of all sets; those that stand in several sets
   are written as sorted hash arrays that workers map, and only they make cells. What isn't counted is taken for rare
   and shared, which costs time, not links.
-* within a cell the sizes are compared first, then the sketches: a sketch has a bit per ``BITS`` residues that says
+* within such a cell the sizes are compared first, then the sketches: a sketch has a bit per ``BITS`` residues that says
   whether an odd number of hashes fall on it, so two sketches never differ in more bits than the sets in hashes. What is
-  left is compared exactly. Pairs already joined are not looked at, and a task reports a spanning forest.
+  left is compared exactly.
+* pairs already joined, by fingerprints or in the task, are not looked at, and a task reports a spanning forest.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 import math
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, fresh_path, partitions_of, small_batches
+from .common import discard, fresh_path, partitions_of, small_batches
 from .hash_arrays import HashTable, put_file, worker_cache, write_table
 
 #: Bits of a sketch; sets and open files that a task keeps.
@@ -35,6 +38,8 @@ BITS, KEPT_SETS, OPEN_FILES = 256, 5_000, 200
 #: Rows of cells that a task compares, about.
 TASK_ROWS = 200_000
 LANES = BITS // 64
+#: What is known of a class: its node, where its set stands, its fingerprint, its component by what was found before.
+PLACED = ("node", "file", "at", "n", "fp", "known")
 #: Share of all hashes that is counted: those below the bound.
 COUNTED_SHARE = 0.4
 COUNTED = np.uint64(int(COUNTED_SHARE * 2**64))
@@ -54,8 +59,8 @@ def prefix(n: int, similarity: float) -> int:
 
 
 def write_sets(df: DataFrame, id_col: str, text: str, words: int, keep: list[str] | None = None) -> tuple[DataFrame, str]:
-    """Rows (id, node, file, at, n) and the columns of ``keep``, one per row of ``df``, and the folder of the sets."""
-    from .simhash import shingle_hashes
+    """Rows (id, node, fp, file, at, n) and the columns of ``keep``, one per row of ``df``, and the folder of the sets."""
+    from .simhash import shingle_hashes, signs
 
     small_batches(df.sparkSession)
     uri = fresh_path(df.sparkSession, "shingle-sets")
@@ -68,17 +73,17 @@ def write_sets(df: DataFrame, id_col: str, text: str, words: int, keep: list[str
             for t in batch.column(1):
                 own = np.unique(shingle_hashes(t.as_py(), words))
                 parts += [sketch(own), own]
-                rows.append((xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63), at, len(own)))
+                rows.append((xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63), signs(own), at, len(own)))
                 at += LANES + len(own)
             put_file(f"{uri}/{file:016x}", np.concatenate(parts))
-            node, place, n = zip(*rows, strict=True)
-            made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array([file] * len(node), pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int64())], names=["id", "node", "file", "at", "n"])
+            node, fp, place, n = zip(*rows, strict=True)
+            made = pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (node, fp, [file] * len(node), place, n))], names=["id", "node", "fp", "file", "at", "n"])
             yield pa.RecordBatch.from_arrays([*made.columns, *batch.columns[2:]], names=[*made.schema.names, *keep])
 
     keep = keep or []
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"), *keep)
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:])
-    return source.mapInArrow(run, f"id bigint, node bigint, file bigint, at bigint, n bigint{kept}"), uri
+    return source.mapInArrow(run, f"id bigint, node bigint, fp bigint, file bigint, at bigint, n bigint{kept}"), uri
 
 
 class Sets:
@@ -129,15 +134,16 @@ def root(parent: np.ndarray, x: int) -> int:
     return x
 
 
-def forest(key: np.ndarray, member: np.ndarray, place: np.ndarray, sets: Sets, similarity: float) -> np.ndarray:
-    """For each place (file, at, n) the one it is joined to by links inside cells; rows are sorted by key."""
-    parent, failed = np.arange(len(place)), set()
+def forest(key: np.ndarray, member: np.ndarray, place: np.ndarray, sets: Sets, similarity: float, known: np.ndarray, may_link: Callable) -> np.ndarray:
+    """For each place (file, at, n) the one it is joined to by links inside cells; rows are sorted by key.
+
+    Places of the same ``known`` component are joined from the start. Only pairs that ``may_link`` are compared.
+    """
+    _, first, group = np.unique(known, return_index=True, return_inverse=True)
+    parent, failed = first[group], set()
     heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(heads, len(key)))
     end = np.repeat(heads + sizes, sizes)
-    sketches = np.zeros((len(place), LANES), np.uint64)
-    for k in np.unique(member[np.repeat(sizes > 1, sizes)]).tolist():
-        sketches[k] = sets.read(*place[k, :2].tolist(), LANES)
     n, live, d = place[:, 2], np.arange(len(key)), 1
     while len(live := live[end[live] > live + d]):
         for first in range(0, len(live), 1_000_000):
@@ -147,8 +153,7 @@ def forest(key: np.ndarray, member: np.ndarray, place: np.ndarray, sets: Sets, s
             a, b = a[open_], b[open_]
             fits = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
             a, b = a[fits], b[fits]
-            apart = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64)
-            fits = apart <= (1 - similarity) / (1 + similarity) * (n[a] + n[b]) + 1e-9
+            fits = may_link(a, b)
             for x, y in np.unique(np.stack([np.minimum(a, b)[fits], np.maximum(a, b)[fits]], axis=1), axis=0).tolist():
                 rx, ry = root(parent, x), root(parent, y)
                 if rx == ry or (x, y) in failed:
@@ -179,7 +184,7 @@ def low_hashes(sets: Sets, file: int, at: int, n: int) -> np.ndarray:
 def by_file(classes: DataFrame) -> DataFrame:
     """The rows so that a task reads whole files from front to back."""
     tasks = max(partitions_of(classes.sparkSession), classes.count() // 20_000)
-    return classes.select("node", "file", "at", "n").repartition(tasks, "file").sortWithinPartitions("file", "at")
+    return classes.select(*PLACED).repartition(tasks, "file").sortWithinPartitions("file", "at")
 
 
 def shared_hashes(classes: DataFrame, uri: str) -> DataFrame:
@@ -206,7 +211,7 @@ def shared_hashes(classes: DataFrame, uri: str) -> DataFrame:
 
 
 def cells_of(classes: DataFrame, uri: str, similarity: float) -> DataFrame:
-    """Rows (node, file, at, n, cell): those of the first members of each set in the global order that other sets may have."""
+    """Rows (node, file, at, n, fp, known, cell): those of the first members of each set in the global order that other sets may have."""
     spark = classes.sparkSession
     table = fresh_path(spark, "shared-shingles")
     often = fresh_path(spark, "shared-counts")
@@ -237,49 +242,82 @@ def cells_of(classes: DataFrame, uri: str, similarity: float) -> DataFrame:
                 first = np.concatenate([np.flatnonzero(rare), np.flatnonzero(~rare)])[:need]
                 chosen.append(own[first[t[first] > 1]])
             sizes = [len(c) for c in chosen]
-            repeated = [pa.array(np.repeat(np.array(batch.column(k).to_numpy()), sizes)) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*repeated, pa.array(np.concatenate(chosen).view(np.int64))], names=["node", "file", "at", "n", "cell"])
+            repeated = [pa.array(np.repeat(np.array(batch.column(k).to_numpy()), sizes)) for k in range(len(PLACED))]
+            yield pa.RecordBatch.from_arrays([*repeated, pa.array(np.concatenate(chosen).view(np.int64))], names=[*PLACED, "cell"])
         sets.close()
 
     path = fresh_path(spark, "cells")
-    by_file(classes).mapInArrow(run, "node bigint, file bigint, at bigint, n bigint, cell bigint").write.parquet(path)
+    by_file(classes).mapInArrow(run, ", ".join(f"{c} bigint" for c in (*PLACED, "cell"))).write.parquet(path)
     discard(spark, table)
     return spark.read.parquet(path)
 
 
-def links(classes: DataFrame, uri: str, similarity: float) -> DataFrame:
-    """Rows (a, b), a > b, whose components are those of all links, between rows (node, file, at, n)."""
-    from .simhash import CELL_ROWS
+def close_links(classes: DataFrame, uri: str, similarity: float, radius: int) -> DataFrame:
+    """Rows (a, b), a > b, whose components are those of the links between fingerprints within the radius; rows (node, file, at, n, fp)."""
+    from .simhash import cell_masks, grid_cells, group_count
+
+    n = classes.count()
+    masks = [(m,) for m in cell_masks(group_count(n, radius), radius)]
+    cells = grid_cells(classes.withColumn("known", F.col("node")).select(*PLACED), ["fp"], masks)
+
+    def near(fp: np.ndarray, place: np.ndarray, sets: Sets) -> Callable:
+        half, low = fp >> np.uint64(1), np.uint64(0x5555555555555555)
+        unary = ((fp & half & low) << np.uint64(1)) | ((fp | half) & low)
+
+        def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            fits = np.bitwise_count(unary[a] ^ unary[b]) <= radius
+            fits[fits] = np.bitwise_count(fp[a[fits]] ^ fp[b[fits]]) <= radius
+            return fits
+
+        return may_link
+
+    return linked(cells, max(partitions_of(classes.sparkSession), n * len(masks) // TASK_ROWS), uri, similarity, near)
+
 
+def far_links(classes: DataFrame, uri: str, similarity: float, radius: int) -> DataFrame:
+    """Rows (a, b), a > b: links between components ``known`` of rows (node, file, at, n, fp, known), by pairs beyond the radius."""
     cells = cells_of(classes, uri, similarity)
-    counts = cells.groupBy("cell").agg(F.count("*").alias("rows"))
-    crowded = cut(counts.filter(F.col("rows") > CELL_ROWS).select("cell", F.ceil(F.col("rows") / (CELL_ROWS // 2)).cast("int").alias("blocks")))
-    dealt = cells.select("node", "file", "at", "n", F.col("cell").alias("key"))
-    if (many := crowded.count()) > 0:
-        sides = F.broadcast(crowded) if many <= 100_000 else crowded
-        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        other = cells.join(sides, "cell", "left").withColumn("own", F.coalesce(block, F.lit(0))).withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
-        dealt = other.select("node", "file", "at", "n", F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "with"), F.greatest("own", "with"))).alias("key"))
-    tasks = max(partitions_of(classes.sparkSession), cells.count() // TASK_ROWS)
+
+    def near(fp: np.ndarray, place: np.ndarray, sets: Sets) -> Callable:
+        sketches = np.zeros((len(place), LANES), np.uint64)
+        for k, (file, at) in enumerate(place[:, :2].tolist()):
+            sketches[k] = sets.read(file, at, LANES)
+        n = place[:, 2]
+
+        def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            apart = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64)
+            fits = apart <= (1 - similarity) / (1 + similarity) * (n[a] + n[b]) + 1e-9
+            return fits & (np.bitwise_count(fp[a] ^ fp[b]) > radius)
+
+        return may_link
+
+    return linked(cells, max(partitions_of(classes.sparkSession), cells.count() // TASK_ROWS), uri, similarity, near)
+
+
+def linked(cells: DataFrame, tasks: int, uri: str, similarity: float, near: Callable) -> DataFrame:
+    """Rows (a, b), a > b: between the ``known`` of rows that share a cell, may link by ``near`` and are similar enough."""
+    from .simhash import dealt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(k).to_numpy() for k in range(5)] for b in batches if b.num_rows]
+        parts = [[b.column(k).to_numpy() for k in range(len(PLACED) + 1)] for b in batches if b.num_rows]
         if not parts:
             return
-        node, file, at, n, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        node, file, at, n, fp, known, key = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((node, key))
         key = key[order]
         same = key[1:] == key[:-1]
-        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        order, key = order[shared], key[shared]
         if not len(order):
             return
-        node, first, member = np.unique(node[order], return_index=True, return_inverse=True)
-        place = np.stack([x[order][first] for x in (file, at, n)], axis=1)
+        _, first, member = np.unique(node[order], return_index=True, return_inverse=True)
+        first = order[first]
+        place, known, fp = np.stack([x[first] for x in (file, at, n)], axis=1), known[first], fp[first].view(np.uint64)
         sets = Sets(uri)
-        parent = forest(key[np.concatenate([[False], same]) | np.concatenate([same, [False]])], member, place, sets, similarity)
+        parent = forest(key, member, place, sets, similarity, known, near(fp, place, sets))
         sets.close()
-        moved = np.flatnonzero(parent != np.arange(len(parent)))
-        a, b = node[moved], node[parent[moved]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        a, b = known, known[parent]
+        moved = a != b
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[moved]), pa.array(np.minimum(a, b)[moved])], names=["a", "b"])
 
-    return dealt.select("node", "file", "at", "n", "key").repartition(tasks, "key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt(cells, list(PLACED)).repartition(tasks, "key").mapInArrow(run, "a bigint, b bigint").distinct()

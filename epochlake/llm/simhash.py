@@ -15,7 +15,9 @@ Equal fingerprints are one class before any of this. A cell with more than ``CEL
 pairs of blocks. A task reports a spanning forest of the links it found, never all pairs, so a group of n near
 copies costs at most n rows per cell. The links are joined up to components.
 
-``near_texts`` is for looser similarities, which fingerprints can't separate: it compares the shingle sets themselves.
+``near_texts`` links by the Jaccard similarity of the shingle sets. The same grid over the fingerprints of the sets gives
+the candidates, which are verified by the sets. A similarity doesn't bound the distance of fingerprints, so similar texts
+beyond the radius, and no others, come from a prefix join (``shingle_sets``).
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and links like any other;
 with fewer words than a shingle the whole sequence is the one shingle. Repeated rows stay; a null id takes part but
@@ -72,12 +74,16 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def signs(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes as a signed 64-bit word: the bits that over half of them have set."""
+    return int(np.packbits(bit_counts(hashes) * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
     """``lanes`` signed 64-bit words; the first is from the shingles' hashes themselves, further ones from mixed hashes."""
     hashes, out = shingle_hashes(text, words), []
     for lane in range(lanes):
-        own = hashes if lane == 0 else mix(hashes + np.uint64(lane))
-        out.append(int(np.packbits(bit_counts(own) * 2 > len(own), bitorder="little").view("<i8")[0]))
+        out.append(signs(hashes if lane == 0 else mix(hashes + np.uint64(lane))))
     return out
 
 
@@ -116,6 +122,31 @@ def cell_masks(groups: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def grid_cells(prints: DataFrame, names: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
+    """Each row of ``prints`` once per grid, with its ``cell`` there; the fingerprint is in the columns ``names``.
+
+    Each entry of ``masks`` is a grid: the bits, per lane, of the embedding's segments that make its cells.
+    """
+    unary = [f"u{k}" for k in range(len(names))]
+    embedded = prints.select("*", *[unary_popcounts(F.col(f)).alias(u) for f, u in zip(names, unary, strict=True)])
+
+    def cell(mask: tuple[int, ...], grid: int) -> Column:
+        return F.xxhash64(F.lit(grid), *[F.col(u).bitwiseAND(F.lit(m).cast("bigint")) for u, m in zip(unary, mask, strict=True) if m])
+
+    return embedded.select(*prints.columns, F.explode(F.array(*[cell(m, k) for k, m in enumerate(masks)])).alias("cell"))
+
+
+def dealt(cells: DataFrame, names: list[str]) -> DataFrame:
+    """Rows (names, key) that meet by key: a cell of more than ``CELL_ROWS`` rows is dealt out as pairs of blocks by node."""
+    crowded = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).select("cell", F.ceil(F.col("n") / (CELL_ROWS // 2)).cast("int").alias("blocks")))
+    if not (many := crowded.count()):
+        return cells.select(*names, F.col("cell").alias("key"))
+    sides = F.broadcast(crowded) if many <= 100_000 else crowded
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = cells.join(sides, "cell", "left").withColumn("own", F.coalesce(block, F.lit(0))).withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
+    return other.select(*names, F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "with"), F.greatest("own", "with"))).alias("key"))
+
+
 def hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join the sets of a[k] and b[k] for all k; ``parent`` points to the smallest member known."""
     while len(a):
@@ -167,32 +198,17 @@ def forest(cell: np.ndarray, prints: np.ndarray, unary: np.ndarray, radius: int)
 
 
 def links(prints: DataFrame, radius: int, masks: list[tuple[int, ...]]) -> DataFrame:
-    """Rows (a, b), a > b: a spanning forest of the links that share a cell, between rows (node, f0, f1, ...).
-
-    Each entry of ``masks`` is a grid: the bits, per lane, of the embedding's segments that make its cells.
-    """
+    """Rows (a, b), a > b: a spanning forest of the links that share a cell, between rows (node, f0, f1, ...)."""
     spark, lanes = prints.sparkSession, len(masks[0])
     n = prints.count()
-    names, unary = [f"f{k}" for k in range(lanes)], [f"u{k}" for k in range(lanes)]
-    embedded = prints.select("node", *names, *[unary_popcounts(F.col(f)).alias(u) for f, u in zip(names, unary, strict=True)])
-
-    def cell(mask: tuple[int, ...], grid: int) -> Column:
-        return F.xxhash64(F.lit(grid), *[F.col(u).bitwiseAND(F.lit(m).cast("bigint")) for u, m in zip(unary, mask, strict=True) if m])
-
-    cells = embedded.select("node", *names, F.explode(F.array(*[cell(m, k) for k, m in enumerate(masks)])).alias("cell"))
-    crowded = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).select("cell", F.ceil(F.col("n") / (CELL_ROWS // 2)).cast("int").alias("blocks")))
-    dealt = cells.select("node", *names, F.col("cell").alias("key"))
-    if (many := crowded.count()) > 0:
-        sides = F.broadcast(crowded) if many <= 100_000 else crowded
-        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        other = cells.join(sides, "cell", "left").withColumn("own", F.coalesce(block, F.lit(0))).withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
-        dealt = other.select("node", *names, F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "with"), F.greatest("own", "with"))).alias("key"))
+    names = [f"f{k}" for k in range(lanes)]
+    rows = dealt(grid_cells(prints.select("node", *names), names, masks), ["node", *names])
     tasks = max(partitions_of(spark), n * len(masks) // 400_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [[b.column(k).to_numpy() for k in range(lanes + 2)] for b in batches if b.num_rows]
-        if rows:
-            node, *own, key = (np.concatenate(x) for x in zip(*rows, strict=True))
+        parts = [[b.column(k).to_numpy() for k in range(lanes + 2)] for b in batches if b.num_rows]
+        if parts:
+            node, *own, key = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((node, key))
             node, key = node[order], key[order]
             prints = np.stack([f[order].view(np.uint64) for f in own], axis=1)  # bits of a signed number are those of its absolute value
@@ -204,7 +220,7 @@ def links(prints: DataFrame, radius: int, masks: list[tuple[int, ...]]) -> DataF
             pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return dealt.select("node", *names, "key").repartition(tasks, "key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition(tasks, "key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def named(prints: DataFrame, classes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -222,13 +238,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     return named(prints, classes, links(classes.select("node", "f0"), radius, masks), ["f0"]).withColumnRenamed("f0", "fp")
 
 
-def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """Rows (id, node, component_id): texts whose shingle sets have a Jaccard similarity of ``similarity`` or more link, no others.
 
-    No fingerprint can tell similarities just above the limit from those just below, so candidates come from an
-    exact prefix join and are compared as sets (``shingle_sets``); what that finds doesn't depend on the input's size.
+    Pairs whose fingerprints differ in at most ``radius`` bits come from the grid, the rest from the prefix join; both
+    are compared as sets. What links doesn't depend on the radius or on the input's size.
     """
-    found = _near_rows(df, id_col, text, words, similarity)
+    found = _near_rows(df, id_col, text, words, similarity, radius)
     return found.select("id", "node", F.col("least.id").alias("component_id"))
 
 
@@ -236,28 +252,30 @@ def _row_key(id_col: str, text: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("bigint"), F.col(text).cast("string"))
 
 
-def _near_rows(df: DataFrame, id_col: str, text: str, words: int, similarity: float) -> DataFrame:
+def _near_rows(df: DataFrame, id_col: str, text: str, words: int, similarity: float, radius: int) -> DataFrame:
     """Rows (id, key, node, least): least is the smallest (id, key) of the component, null if none of its rows has an id."""
     keyed = df.select(F.col(id_col).cast("bigint").alias("id"), _row_key(id_col, text).alias("key"), F.col(text).cast("string").alias("text"))
     rows, uri = shingle_sets.write_sets(keyed, "id", "text", words, keep=["key"])
     rows = cut(rows)
     own = F.when(F.col("id").isNotNull(), F.struct("id", "key"))
-    classes = cut(rows.groupBy("node").agg(F.min(own).alias("first"), F.first(F.struct("file", "at", "n")).alias("own")).select("node", "first", "own.*"))
-    joined = components(shingle_sets.links(classes, uri, similarity))
+    classes = cut(rows.groupBy("node").agg(F.min(own).alias("first"), F.first(F.struct("file", "at", "n", "fp")).alias("own")).select("node", "first", "own.*"))
+    close = components(shingle_sets.close_links(classes, uri, similarity, radius))
+    classes = cut(classes.join(close, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component"))
+    far = components(shingle_sets.far_links(classes, uri, similarity, radius)).withColumnRenamed("node", "known")
     discard(df.sparkSession, uri)
-    members = classes.select("node", "first").join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    members = classes.select("node", "first", "known").join(far, "known", "left").select("node", "first", F.coalesce("component", "known").alias("component"))
     least = cut(members.groupBy("component").agg(F.min("first").alias("least")))
     return rows.select("id", "key", "node").join(members.join(least, "component").select("node", "least"), "node", "left").select("id", "key", "node", "least")
 
 
-def drop_near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """The rows of ``df`` but for near copies: of each group one row stays, that of the smallest id.
 
     Rows without id stay. Ids may repeat: rows are told apart by id and text, so a text that is no near copy is never
     lost. Of rows with the same id and text the least in all columns (as JSON) stays.
     """
     refuse_columns(df.columns, ["__key", "__row"])
-    found = cut(_near_rows(df, id_col, text, words, similarity).filter("id is not null").select("key", F.col("least.key").alias("stays")))
+    found = cut(_near_rows(df, id_col, text, words, similarity, radius).filter("id is not null").select("key", F.col("least.key").alias("stays")))
     gone = found.filter("key <> stays").select(F.col("key").alias("__key")).distinct()
     twice = cut(found.filter("key = stays").groupBy(F.col("key").alias("__key")).count().filter("count > 1").select("__key"))
     keyed = df.withColumn("__key", F.when(F.col(id_col).isNotNull(), _row_key(id_col, text)))
