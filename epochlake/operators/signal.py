@@ -7,6 +7,7 @@ frequency, power array<float>) over a shared time axis. Long rows are made only
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -143,7 +144,7 @@ def candidate_queue(metrics: DataFrame, kind: str, ranked: Sequence[str], hard:
         fine, v = comparable
         out = out.withColumn("__fine", F.coalesce(fine, F.lit(False)))
         out = out.withColumn("pct_absolute", F.when(F.col("__fine"), pct_rank_avg([kind, "__fine"], v))).drop("__fine")
-        rules += [(F.col("pct_absolute") >= pct, "extreme_high_scale"), (F.col("pct_absolute") <= 1 - pct, "extreme_low_scale")]
+        rules += [(F.col("pct_absolute") >= pct, "extreme_high_scale"), (F.col("pct_absolute") <= float(1 - Decimal(str(pct))), "extreme_low_scale")]  # 1 - 0.9 is 0.1, not the float below
     out = out.withColumn("__codes", c.issue_codes(rules))
     is_hard = F.arrays_overlap("__codes", F.array(*[F.lit(code) for _, code in hard])) if hard else F.lit(False)
     out = out.withColumns({"reasons": F.array_join("__codes", ";"), "n_reasons": F.size("__codes"), "priority": F.when(is_hard, "hard_exception").when(F.size("__codes") > 0, "extreme_rank")})
