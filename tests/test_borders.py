@@ -12,3 +12,8 @@ def queue(spark):
 def test_low_rank_of_just_one_tenth_is_extreme(spark):
     got = {r["vec_id"]: r["reasons"] for r in queue(spark).collect() if r["reasons"]}
     assert got == {1: "extreme_low_scale", 2: "extreme_low_scale", 18: "extreme_high_scale", 19: "extreme_high_scale", 20: "extreme_high_scale"}
+
+
+def test_summary_counts_low_rank_of_just_one_tenth(spark):
+    got = {r["file"]: (r["n_channels"], r["n_candidates"], r["top_reason"]) for r in g.queue_summary(queue(spark), ["file"], "label", [1]).collect()}
+    assert got[1] == (2, 1, "extreme_low_scale") and got[0] == (1, 1, "extreme_low_scale") and got[2] == (2, 0, None)
