@@ -118,6 +118,8 @@ def forest(homes: int, guests: int, hh: Near, hg: Near) -> tuple[np.ndarray, np.
 
     def reach(rows: np.ndarray, open_: np.ndarray, near: Near, row_at: int, at: int) -> np.ndarray:
         """Open columns near one of the rows, which are open no more."""
+        if not len(rows):
+            return rows
         got = []
         for low in range(0, len(rows), ROWS):
             if not len(rest := np.flatnonzero(open_)):
@@ -265,19 +267,22 @@ def _near(classes: DataFrame, min_cosine: float) -> DataFrame:
 def _forests(low: np.ndarray, own: np.ndarray, prefix: int, lead: int, bits: int, square: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Forests of the pairs of homes, or of a home and a guest, whose distance in square may be ``square`` or less; all in units of a byte's step."""
     up = low[:, :bits] >= 0
-    least = np.where(up, low[:, :bits], -1 - low[:, :bits]).astype(np.int32) ** 2
-    at, half = low.astype(np.float32), square / 2 + 1e-6
-    size = (at * at).sum(axis=1)
-    most = np.float32((math.sqrt(square) + math.sqrt(low.shape[1])) ** 2 + 1)
+    least = np.where(up, low[:, :bits], -1 - low[:, :bits]).astype(np.int16) ** 2
+    half = square / 2 + 1e-6
+    most = math.ceil((math.sqrt(square) + math.sqrt(low.shape[1])) ** 2)
+    # Their product is the distance in square less ``most``, in whole numbers below 2^24.
+    left, width = np.ones((len(low), low.shape[1] + 2), np.float32), low.shape[1]
+    left[:, :width] = low
+    size = np.einsum("nd,nd->n", left[:, :width], left[:, :width])
+    right = left * np.float32(-2)
+    right[:, width], right[:, width + 1], left[:, width + 1] = size, 1, size - most
     spent = np.zeros(len(low), np.int32)
     for j in range(lead):
         spent += np.where(up[:, j] != bool(prefix >> j & 1), least[:, j], 0)
 
     def leaf(home: np.ndarray, guest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         def near(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-            apart = at[rows] @ (at[columns] * np.float32(-2)).T
-            apart += size[columns]
-            return apart <= (most - size[rows])[:, None]
+            return left[rows] @ right[columns].T <= 0
 
         if len(home) * (len(home) + len(guest)) <= ROWS * COLUMNS:
             hh, hg = near(home, home), near(home, guest)
@@ -287,7 +292,7 @@ def _forests(low: np.ndarray, own: np.ndarray, prefix: int, lead: int, bits: int
                 return
             columns = np.flatnonzero(hg[rows].any(axis=0))
             hh, hg, home, guest = hh[np.ix_(rows, rows)], hg[np.ix_(rows, columns)], home[rows], guest[columns]
-            x, y = forest(len(home), len(guest), lambda r, c: hh[np.ix_(r, c)], lambda r, c: hg[np.ix_(r, c)])
+            x, y = forest(len(home), len(guest), lambda r, c: hh[r[:, None], c], lambda r, c: hg[r[:, None], c])
         else:
             x, y = forest(len(home), len(guest), lambda r, c: near(home[r], home[c]), lambda r, c: near(home[r], guest[c]))
         if len(x):
@@ -356,10 +361,10 @@ def _checked(classes: DataFrame, groups: DataFrame, min_cosine: float) -> DataFr
                 if i < j:
                     others[y] += (n[some] @ part).astype(np.int64)
             if i < j:
-                p, q = forest(len(x), len(y), lambda r, c: np.zeros((len(r), len(c)), bool), lambda r, c, link=link: link[np.ix_(r, c)])
+                p, q = forest(len(x), len(y), lambda r, c: np.zeros((len(r), len(c)), bool), lambda r, c, link=link: link[r[:, None], c])
                 both = np.concatenate([x, y])
             else:
-                p, q = forest(len(x), 0, lambda r, c, link=link: link[np.ix_(r, c)], lambda r, c: np.zeros((len(r), 0), bool))
+                p, q = forest(len(x), 0, lambda r, c, link=link: link[r[:, None], c], lambda r, c: np.zeros((len(r), 0), bool))
                 both = x
             a.append(node[both[p]])
             b.append(node[both[q]])
